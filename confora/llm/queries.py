@@ -19,8 +19,35 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture_runs, merged_index, write_archives
+
+    pages = table(spark, sf_dir, "pages")
+    at = F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_577_836_800)
+    merged = merged_index(capture_runs(spark, write_archives(pages, at)))
+    return merged.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+        "url_key", "capture_time", "archive", "record_offset", "range_id", "position",
+    )
+
+
+def op10_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_cells import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_join import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
+        "op4_warc_index": op4_warc_index,
+        "op10_embedding_cells": op10_embedding_cells,
         "op6_token_counts": op6_token_counts,
     }
 
