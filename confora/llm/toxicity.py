@@ -6,8 +6,8 @@
    of a letter may be one, two or all of them. Viterbi decoding under the character model picks
    the restored token.
 3. The restored text is scored by a model of words and word beginnings, fitted on labelled rows whose
-   crc32(doc_id) mod 5 is not 0: weights are lower confidence bounds of log odds, and a two-feature
-   logistic regression over (largest weight, sum of the largest three) gives the score.
+   crc32(doc_id) mod 5 is not 0: weights are lower confidence bounds of log odds, and a logistic
+   regression over the sum of the three largest gives the score, so evidence only ever adds.
 
 The classifier is fitted on at most FIT_ROWS labelled rows (those with the smallest hash of their id);
 everything else covers all rows. Nulls and empty texts are scored like texts without words; labels
@@ -31,6 +31,7 @@ from .hashing import word_hashes
 
 FIT_ROWS = 20_000
 BUCKETS = 1 << 20
+LEAST_WEIGHT = 0.5
 #: What each sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -168,12 +169,19 @@ def features(text: str) -> np.ndarray:
     return np.unique(word_hashes([f for w in set(WORD.findall(text)) for f in beginnings(w)]) % np.uint64(BUCKETS)).astype(np.int32)
 
 
-def strongest(weights: Weights, text: str) -> tuple[float, float]:
-    """The largest weight, and the sum of the largest three."""
+def evidence(weights: Weights, text: str) -> float:
+    """The sum of the three largest weights of distinct words."""
     found = sorted((w for w in map(weights.__getitem__, set(WORD.findall(text))) if w > 0), reverse=True)[:3]
     if len(weights) > REMEMBERED:
         weights.clear()
-    return (found[0], sum(found)) if found else (0.0, 0.0)
+    return sum(found)
+
+
+def bounds(tox, clean, n1, n0):
+    """Lower confidence bounds of the log odds, where they are clear; else 0."""
+    odds = np.log((tox + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+    low = odds - 1.64 * np.sqrt(1 / (tox + 0.5) + 1 / (clean + 0.5))
+    return np.where((tox >= 2) & (low >= LEAST_WEIGHT), low, 0)
 
 
 def fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,20 +193,17 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
             tox[f] += 1
     n1, n0 = labels.sum(), (1 - labels).sum()
     clean = all_ - tox
-    odds = np.log((tox + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
-    w = np.where(tox >= 3, odds - 1.64 * np.sqrt(1 / (tox + 0.5) + 1 / (clean + 0.5)), 0).clip(0)
+    w = bounds(tox, clean, n1, n0)
 
     def left_out(y, f):  # a row's own count must not vouch for it
-        t, c = tox[f] - y, clean[f] - (1 - y)
-        o = np.log((t + 0.5) / (n1 + 1 - y)) - np.log((c + 0.5) / (n0 + y))
-        v = np.sort(np.where(t >= 3, o - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)), 0).clip(0))[::-1]
-        return (1.0, v[0] if len(v) else 0.0, v[:3].sum())
+        v = np.sort(bounds(tox[f] - y, clean[f] - (1 - y), n1 - y, n0 - (1 - y)))
+        return (1.0, v[-3:].sum())
 
     x = np.array([left_out(y, f) for y, f in zip(labels, rows, strict=True)])
-    b = np.zeros(3)
+    b = np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-(x @ b).clip(-30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
         b = b + np.linalg.solve(h, x.T @ (labels - p) - 0.05 * b)
     return w.astype(np.float32), b
 
@@ -231,7 +236,7 @@ def toxicity(
     if rows is not None:
         rows = rows.drop_duplicates("id").sort_values("id")
     if rows is None or rows["y"].nunique() < 2:
-        weights, coef = np.zeros(BUCKETS, np.float32), np.array([-40.0, 0, 0])
+        weights, coef = np.zeros(BUCKETS, np.float32), np.array([-40.0, 0])
     else:
         weights, coef = fit(rows["y"].to_numpy(np.float64), [np.frombuffer(x, np.int32) for x in rows["f"]])
     at = np.nonzero(weights)[0].astype(np.int32)
@@ -239,7 +244,7 @@ def toxicity(
 
     def score(batches):
         dec = Decoder(decoder.value)
-        at, w, (c0, c1, c2) = model.value
+        at, w, (c0, c1) = model.value
         table = np.zeros(BUCKETS, np.float32)
         table[at] = w
         known = Weights(table)
@@ -248,8 +253,8 @@ def toxicity(
             for t in b.column(2):
                 text = t.as_py() or ""
                 restored = dec.restore(text)
-                m, s = strongest(known, restored)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c0 + c1 * m + c2 * s)))))
+                s = evidence(known, restored)
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c0 + c1 * s)))))
                 changed.append(restored != text.lower())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(changed, pa.bool_())], ["doc_id", "held_out", "score", "predicted", "was_obfuscated"])
 
