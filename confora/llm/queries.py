@@ -63,6 +63,26 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def removed_length(removed):
+    return F.aggregate(removed, F.lit(0).cast("long"), lambda n, x: n + x["length"])
+
+
+def op5_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree_dedup import remove_repeated_words
+
+    found = remove_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_symbols").alias("n_words"), removed_length("removed").alias("n_removed"), "kept_sha256")
+
+
+def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array_dedup import remove_repeated_bytes
+
+    found = remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("n_symbols").alias("n_bytes"), removed_length("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -71,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc_index": op4_warc_index,
         "op10_embedding_cells": op10_embedding_cells,
         "op9_toxicity": op9_toxicity,
+        "op5_suffix_trees": op5_suffix_trees,
+        "op8_suffix_arrays": op8_suffix_arrays,
         "op6_token_counts": op6_token_counts,
     }
 
