@@ -1,28 +1,56 @@
-"""The stages of corpus_pipeline.py: each applies one operator and lets its decision take effect."""
+"""The stages of corpus_pipeline.py: each applies one operator and lets its decision take effect.
+
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``. Rows with a null
+id pass every filtering stage except the one that judges rows by themselves (toxicity).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .bm25_wand import contaminated
+from .common import table, written
+from .minhash_join import near_duplicate_classes
+from .personal_data import masked, personal_spans
+from .toxicity import toxicity
+from .unigram import encoded
+
+#: Dropped ids are broadcast only when they were counted to be at most so many (8 bytes each).
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows with these ids: by broadcast below the checked bound, else by a shuffled anti join."""
+    ids = written(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that the toxicity operator rejects go."""
+    return toxicity(docs, table(spark, sf_dir, "labels"), keep_columns=True).where("predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Of each class of near-duplicates the document with the smallest id stays."""
+    return without(docs, near_duplicate_classes(docs).where("doc_id != class_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents with a verified benchmark item go."""
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Spans of personal data become their kind in angle brackets; ``n_chars`` follows the text."""
+    clean = masked(docs, personal_spans(docs))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The pieces of every remaining text."""
+    import public_tokenizers
+
+    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))

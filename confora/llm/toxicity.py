@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import renamed
 from .hashing import word_hashes
@@ -209,9 +210,12 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
 
 
 def toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", fit_rows: int = FIT_ROWS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", fit_rows: int = FIT_ROWS, keep_columns: bool = False
 ) -> DataFrame:
-    """(doc_id, held_out, score, predicted, was_obfuscated): one row per document."""
+    """(doc_id, held_out, score, predicted, was_obfuscated): one row per document.
+
+    With ``keep_columns`` the columns of ``docs`` come first, unchanged, and doc_id is left out.
+    """
     spark = docs.sparkSession
     d = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     counts = np.zeros(N_CLASSES**3, np.int64)
@@ -242,12 +246,14 @@ def toxicity(
     at = np.nonzero(weights)[0].astype(np.int32)
     model = spark.sparkContext.broadcast((at, weights[at], coef))
 
-    def score(batches):
-        dec = Decoder(decoder.value)
-        at, w, (c0, c1) = model.value
+    def ready():
+        at, w, coef = model.value
         table = np.zeros(BUCKETS, np.float32)
         table[at] = w
-        known = Weights(table)
+        return Decoder(decoder.value), Weights(table), *coef.tolist()
+
+    def score(batches, state=None):
+        dec, known, c0, c1 = state or ready()
         for b in batches:
             scores, changed = [], []
             for t in b.column(2):
@@ -259,4 +265,22 @@ def toxicity(
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(changed, pa.bool_())], ["doc_id", "held_out", "score", "predicted", "was_obfuscated"])
 
     held = F.coalesce(remainder(F.col("id")) == 0, F.lit(False))
-    return d.select("id", held.alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int, was_obfuscated boolean")
+    added = "held_out boolean, score double, predicted int, was_obfuscated boolean"
+    if not keep_columns:
+        return d.select("id", held.alias("held_out"), "text").mapInArrow(score, f"doc_id long, {added}")
+
+    at, n = docs.columns.index(text_col), len(docs.columns)
+    own = docs.select("*", F.coalesce(remainder(F.col(f"`{id_col}`").cast("long")) == 0, F.lit(False)).alias("held_out"))
+
+    def beside(batches):
+        state = ready()
+        for b in batches:
+            slim = pa.RecordBatch.from_arrays([b.column(n), b.column(n), b.column(at)], ["id", "held_out", "text"])
+            out = next(score(iter([slim]), state))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)] + [out.column(i) for i in range(1, 5)], b.schema.names[:n] + out.schema.names[1:])
+
+    extra = own.sparkSession.createDataFrame([], added).schema.fields
+    clash = {f.name for f in extra} & set(docs.columns)
+    if clash:
+        raise ValueError(f"docs has columns of these names already: {sorted(clash)}")
+    return own.mapInArrow(beside, StructType([*docs.schema.fields, *extra]))
