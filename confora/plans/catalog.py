@@ -307,12 +307,12 @@ def canonical(spark, d):
 
 def categories(edges):
     f = screening.with_total(edges.groupBy("edge").agg(F.count("*").alias("n")), edges, "l_orderkey").withColumn("frequency", F.col("n") / F.col("n_total"))
-    kind = F.when(F.col("frequency") >= 0.17, "common").when(F.col("frequency") <= 0.158, "rare").otherwise("other")
+    kind = F.when(F.col("frequency") >= 0.161, "common").when(F.col("frequency") <= 0.152, "rare").otherwise("other")
     return f.withColumn("category", kind)
 
 
 CANON = """e AS (SELECT DISTINCT l_orderkey, concat_ws('|', (l_partkey % 4)::VARCHAR, l_returnflag, (l_suppkey % 2)::VARCHAR) AS edge FROM lineitem),
-f AS (SELECT edge, n, frequency, CASE WHEN frequency >= 0.17 THEN 'common' WHEN frequency <= 0.158 THEN 'rare' ELSE 'other' END AS category
+f AS (SELECT edge, n, frequency, CASE WHEN frequency >= 0.161 THEN 'common' WHEN frequency <= 0.152 THEN 'rare' ELSE 'other' END AS category
     FROM (SELECT edge, count(*) AS n, count(*)::DOUBLE / (SELECT count(DISTINCT l_orderkey) FROM e) AS frequency FROM e GROUP BY 1))"""
 
 
