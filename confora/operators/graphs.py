@@ -37,7 +37,7 @@ def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: floa
     kind = graphs.schema[structure].dataType.simpleString()
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        left = [(r[structure], [tuple(e) for e in r["edges"]]) for _, r in block.sort_values(structure).iterrows()]
+        left = [(r[structure], [(e["u"], e["v"]) for e in r["edges"]]) for _, r in block.sort_values(structure).iterrows()]
         out = []
         while left:
             lead, edges = left[0]
