@@ -33,6 +33,7 @@ from .hashing import word_hashes
 FIT_ROWS = 20_000
 BUCKETS = 1 << 20
 LEAST_WEIGHT = 0.5
+RIDGE = 0.002
 #: What each sign may stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -204,8 +205,8 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     b = np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-(x @ b).clip(-30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
-        b = b + np.linalg.solve(h, x.T @ (labels - p) - 0.05 * b)
+        h = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
+        b = b + np.linalg.solve(h, x.T @ (labels - p) - RIDGE * b)
     return w.astype(np.float32), b
 
 
