@@ -168,7 +168,12 @@ class Weights(dict):
 
 
 def features(text: str) -> np.ndarray:
-    return np.unique(word_hashes([f for w in set(WORD.findall(text)) for f in beginnings(w)]) % np.uint64(BUCKETS)).astype(np.int32)
+    """A row of four buckets for each distinct word: the word and its beginnings, the first repeated where there are fewer."""
+    rows = []
+    for w in sorted(set(WORD.findall(text))):
+        f = beginnings(w)
+        rows += f + f[:1] * (4 - len(f))
+    return (word_hashes(rows) % np.uint64(BUCKETS)).astype(np.int32).reshape(-1, 4)
 
 
 def evidence(weights: Weights, text: str) -> float:
@@ -190,15 +195,16 @@ def fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     """(weights of buckets, logistic coefficients)."""
     tox, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for y, f in zip(labels, rows, strict=True):
-        all_[f] += 1
+        once = np.unique(f)
+        all_[once] += 1
         if y:
-            tox[f] += 1
+            tox[once] += 1
     n1, n0 = labels.sum(), (1 - labels).sum()
     clean = all_ - tox
     w = bounds(tox, clean, n1, n0)
 
     def left_out(y, f):  # a row's own count must not vouch for it
-        v = np.sort(bounds(tox[f] - y, clean[f] - (1 - y), n1 - y, n0 - (1 - y)))
+        v = np.sort(bounds(tox[f] - y, clean[f] - (1 - y), n1 - y, n0 - (1 - y)).max(axis=1, initial=0))
         return (1.0, v[-3:].sum())
 
     x = np.array([left_out(y, f) for y, f in zip(labels, rows, strict=True)])
@@ -243,7 +249,7 @@ def toxicity(
     if rows is None or rows["y"].nunique() < 2:
         weights, coef = np.zeros(BUCKETS, np.float32), np.array([-40.0, 0])
     else:
-        weights, coef = fit(rows["y"].to_numpy(np.float64), [np.frombuffer(x, np.int32) for x in rows["f"]])
+        weights, coef = fit(rows["y"].to_numpy(np.float64), [np.frombuffer(x, np.int32).reshape(-1, 4) for x in rows["f"]])
     at = np.nonzero(weights)[0].astype(np.int32)
     model = spark.sparkContext.broadcast((at, weights[at], coef))
 
