@@ -20,14 +20,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .warc import capture_runs, merged_index, write_archives
+    from .warc import capture_runs, globally_numbered, merged_index, write_archives
 
     pages = table(spark, sf_dir, "pages")
     at = F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_577_836_800)
-    merged = merged_index(capture_runs(spark, write_archives(pages, at)))
+    merged = globally_numbered(merged_index(capture_runs(spark, write_archives(pages, at))))
     return merged.select(
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"),
-        "url_key", "capture_time", "archive", "record_offset", "range_id", "position",
+        "url_key", "capture_time", "index_position",
     )
 
 
@@ -108,4 +108,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_jaccard": OP1, "op4_warc_index": OP4, "op5_suffix_trees": OP5, "op10_embedding_cells": OP10}
+
+
+#: Connected components of ``links`` (a, b), both ways round, by spreading smaller ids.
+_COMPONENTS = """reach(node, label) AS (SELECT a, a FROM links UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.node WHERE r.label < l.b),
+component AS (SELECT node, min(label) AS label FROM reach GROUP BY 1)"""
+
+OP1 = (
+    r"""WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT rid, md5(array_to_string(ws[i : i + 4], ' ')) AS gram FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n, md5(string_agg(gram, '' ORDER BY gram)) AS key FROM g GROUP BY 1),
+shared AS (SELECT x.rid AS a, y.rid AS b, count(*) AS k FROM g x JOIN g y ON x.gram = y.gram AND x.rid <> y.rid GROUP BY 1, 2),
+pairs AS MATERIALIZED (SELECT a, b FROM shared JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE k::DOUBLE / (p.n + q.n - k) >= 0.8),
+links AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM pairs JOIN w x ON x.rid = a JOIN w y ON y.rid = b),
+"""
+    + _COMPONENTS
+    + """, same AS (SELECT key, min(doc_id) AS first FROM n JOIN w USING (rid) GROUP BY 1)
+SELECT w.doc_id, coalesce(c.label, w.doc_id) AS class_id, coalesce(d.k, 0) AS n_links, coalesce(same.first, w.doc_id) AS same_set_id FROM w LEFT JOIN n USING (rid) LEFT JOIN same USING (key)
+LEFT JOIN component c ON c.node = w.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM pairs GROUP BY 1) d ON d.a = w.rid"""
+)
+
+#: Base32 digits from five bits at a time of the hexadecimal digest.
+_BASE32 = "array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * i::INT, 5))::INT >> s) & 31) + 1, 1)), '')), '')"
+
+OP4 = (
+    """WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n, regexp_replace(coalesce(url, ''), '#.*$', '') AS u FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1),
+q AS (SELECT p.*, first, regexp_extract(u, '^[a-z]+://(?:www[.])?([^/?:]*)', 1) AS host, regexp_extract(u, '^[a-z]+://[^/?]*(.*)$', 1) AS rest FROM p JOIN f USING (h)),
+r AS (SELECT *, array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN rest = '' OR rest[1] = '?' THEN '/' || rest ELSE rest END AS url_key,
+    strftime(to_timestamp(page_id + 1577836800) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS capture_time FROM q)
+SELECT page_id, n AS payload_bytes, """
+    + _BASE32
+    + """ AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to, url_key, capture_time, row_number() OVER (ORDER BY encode(url_key), capture_time, page_id) - 1 AS index_position FROM r"""
+)
+
+OP5 = r"""WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+twice AS (SELECT key FROM win GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win SEMI JOIN twice USING (key)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+marked AS (SELECT w.doc_id, w.i, word, max(CASE WHEN hit.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+    FROM words w LEFT JOIN hit ON hit.doc_id = w.doc_id AND hit.i = w.i),
+kept AS (SELECT doc_id, count(*) AS n, sum(gone) AS gone, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS text FROM marked GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+OP10 = (
+    """WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS MATERIALIZED (SELECT x.rid AS r, x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.rid <> y.rid AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),
+links AS MATERIALIZED (SELECT DISTINCT a, b FROM pairs), """
+    + _COMPONENTS
+    + """ SELECT e.vec_id, coalesce(k, 0) AS n_links, coalesce(c.label, e.vec_id) AS component_id, coalesce(c.label, e.vec_id) = e.vec_id AS kept FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS k FROM pairs GROUP BY 1) p ON p.a = e.vec_id LEFT JOIN component c ON c.node = e.vec_id"""
+)

@@ -219,3 +219,15 @@ def merged_index(runs: DataFrame, captures_per_range: int = CAPTURES_PER_RANGE)
 
     cut = runs.mapInArrow(pieces, "range_id int, piece binary")
     return cut.repartitionByRange(n_ranges, "range_id").mapInArrow(merge, f"{CAPTURE}, range_id int, position long")
+
+
+def globally_numbered(merged: DataFrame) -> DataFrame:
+    """Adds index_position, the place in the whole index: places within ranges plus the sizes of the ranges before (a row per range)."""
+    merged = written(merged, "index")
+    sizes = dict(merged.groupBy("range_id").count().collect())
+    before, total = [], 0
+    for r in sorted(sizes):
+        before += [F.lit(r), F.lit(total)]
+        total += sizes[r]
+    start = F.element_at(F.create_map(*before), F.col("range_id")) if before else F.lit(0)
+    return merged.withColumn("index_position", (start + F.col("position")).cast("long"))
