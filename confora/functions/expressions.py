@@ -14,13 +14,27 @@ AMINO_ACIDS = {
 }
 #: Van der Waals radii by method; the default is under the empty element.
 RADII = {
-    "vdw": {"H": 1.20, "C": 1.70, "N": 1.55, "O": 1.52, "F": 1.47, "P": 1.80, "S": 1.80, "CL": 1.75, "BR": 1.85, "I": 1.98, "MG": 1.73, "ZN": 1.39, "CA": 2.31, "NA": 2.27, "K": 2.75, "": 1.70},
+    "vdw": {
+        "H": 1.20, "C": 1.70, "N": 1.55, "O": 1.52, "F": 1.47, "P": 1.80, "S": 1.80, "CL": 1.75, "BR": 1.85, "I": 1.98,
+        "MG": 1.73, "MN": 1.79, "FE": 1.72, "CO": 1.67, "NI": 1.63, "CU": 1.40, "ZN": 1.39, "CA": 2.31, "NA": 2.27, "K": 2.75, "": 1.70,
+    },
     "standard": {"H": 1.20, "C": 1.70, "N": 1.55, "O": 1.52, "F": 1.47, "P": 1.80, "S": 1.80, "I": 1.98, "": 1.50},
+}
+#: Spellings of the eight interaction types.
+INTERACTIONS = {
+    "hydrogen_bonds": ("hydrogen_bond", "hydrogen_bonds", "hbond"),
+    "hydrophobic_interactions": ("hydrophobic_interaction", "hydrophobic_interactions", "hydrophobic"),
+    "salt_bridges": ("salt_bridge", "salt_bridges", "ionic"),
+    "pi_stacks": ("pi_stack", "pi_stacks", "pi_stacking"),
+    "pi_cation_interactions": ("pi_cation_interaction", "pi_cation_interactions"),
+    "halogen_bonds": ("halogen_bond", "halogen_bonds"),
+    "metal_complexes": ("metal_complex", "metal_complexes", "metal"),
+    "water_bridges": ("water_bridge", "water_bridges"),
 }
-#: Supertypes of interaction types.
+#: Supertypes of interaction types; those of water bridges and halogen bonds are our choice.
 SUPERTYPES = {
-    "hydrogen_bond": "Polar contact", "salt_bridge": "Polar contact", "water_bridge": "Polar contact", "halogen_bond": "Polar contact",
-    "hydrophobic": "Hydrophobic contact", "pi_stacking": "Pi interaction", "pi_cation": "Pi interaction", "metal_complex": "Metal coordination",
+    "hydrogen_bonds": "Polar contact", "salt_bridges": "Polar contact", "water_bridges": "Polar contact", "halogen_bonds": "Polar contact",
+    "hydrophobic_interactions": "Hydrophobic contact", "pi_stacks": "Pi interaction", "pi_cation_interactions": "Pi interaction", "metal_complexes": "Metal coordination",
 }
 
 
@@ -78,27 +92,31 @@ def class_name(number: Column, prefix: str = "class", separator: str = "_", widt
 
 def graph_token(text: Column) -> Column:
     """White space becomes ``_``, other characters outside ``[A-Za-z0-9_.:-]`` too; nothing becomes ``_``."""
-    clean = F.regexp_replace(F.regexp_replace(F.trim(text), r"[ \t\n\r\f\x0B]+", "_"), r"[^A-Za-z0-9_.:-]", "_")
+    blank = r"[ \t\n\r\f\x0B]+"
+    bare = F.regexp_replace(text, f"^{blank}|{blank}$", "")
+    clean = F.regexp_replace(F.regexp_replace(bare, blank, "_"), r"[^A-Za-z0-9_.:-]", "_")
     return F.when(clean == "", "_").otherwise(clean)
 
 
-def ligand_node_key(mode: str, resname: Column, chain: Column, resseq: Column, atom: Column, serial: Column) -> Column:
-    parts = {
-        "full": (resname, chain, resseq, atom), "residue_atom": (resname, atom), "atom": (atom,), "serial": (serial,),
-    }[mode]
-    return F.concat_ws(":", *[p.cast("string") for p in parts])
+def ligand_node_key(mode: str, resname: Column, chain: Column, resseq: Column, icode: Column, atom: Column, serial: Column) -> Column:
+    """``atom_name``, ``serial_atom_name``, ``residue_atom_name_serial``, or else the residue and the atom."""
+    tail = F.concat(F.lit("@serial:"), serial.cast("string"))
+    full = F.concat_ws(":", resname, F.when(F.trim(chain) == "", "_").otherwise(chain), F.concat(resseq.cast("string"), F.trim(icode)), atom)
+    return {"atom_name": atom, "legacy_atom_name": atom, "serial_atom_name": F.concat(atom, tail), "residue_atom_name_serial": F.concat(full, tail)}.get(mode.lower(), full)
 
 
-def ligand_label(mode: str, resname: Column, atom: Column, element: Column, serial: Column) -> Column:
-    """The label that classification compares; an unknown mode falls back to the bare atom name."""
+def ligand_label(mode: str, resname: Column, chain: Column, resseq: Column, icode: Column, atom: Column, element: Column, repeated: Column | None = None) -> Column:
+    """The label that classification compares; an unknown mode, ``auto`` too, falls back to the bare atom name."""
+    mode = mode.lower()
+    own = F.concat_ws("_", graph_token(resname), F.concat(graph_token(chain), graph_token(resseq.cast("string")), F.trim(icode)), graph_token(atom))
+    if mode == "node_key":
+        return graph_token(ligand_node_key("residue_atom_name", resname, chain, resseq, icode, atom, F.lit("")))
+    if mode in ("residue_atom_name", "unique_residue_atom_name"):
+        return own
+    if mode in ("atom_name_with_residue_for_duplicates", "duplicate_aware_atom_name") and repeated is not None:
+        return F.when(repeated, own).otherwise(graph_token(atom))
     if mode == "element":
-        return graph_token(element)
-    if mode == "residue_atom_name":
-        return graph_token(F.concat_ws("_", resname, atom))
-    if mode == "residue_element":
-        return graph_token(F.concat_ws("_", resname, element))
-    if mode == "serial":
-        return graph_token(serial.cast("string"))
+        return graph_token(F.when(F.trim(element) != "", element).otherwise(atom))
     return graph_token(atom)
 
 
@@ -112,13 +130,9 @@ def is_hydrogen(element: Column, atom_name: Column) -> Column:
 
 
 def interaction_type(raw: Column) -> Column:
-    """Free spellings of the eight interaction types to their canonical names; null if none fits."""
-    t = F.regexp_replace(F.lower(F.trim(raw)), r"[ _-]+", "_")
-    rules = [
-        ("salt", "salt_bridge"), ("hydroph", "hydrophobic"), ("water", "water_bridge"), ("halogen", "halogen_bond"), ("cation", "pi_cation"),
-        ("stack", "pi_stacking"), ("metal", "metal_complex"), ("hydrogen", "hydrogen_bond"), ("hbond", "hydrogen_bond"),
-    ]
-    return F.coalesce(*[F.when(F.contains(t, F.lit(k)), v) for k, v in rules])
+    """A spelling of one of the eight interaction types to its name; others stay, in lower case."""
+    t = F.replace(F.lower(F.trim(raw)), F.lit("-"), F.lit("_"))
+    return F.coalesce(F.element_at(literal_map({x: k for k, v in INTERACTIONS.items() for x in v}), t), t)
 
 
 def supertype(kind: Column, overrides: dict[str, str] | None = None) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import supertype
+from ..functions.expressions import interaction_type, supertype
 
 #: Metals as single-atom components, with their charge, and residue names shown differently.
 METALS = {"MG": "Mg2+", "ZN": "Zn2+", "CA": "Ca2+", "MN": "Mn2+", "FE": "Fe2+", "CU": "Cu2+", "CO": "Co2+", "NI": "Ni2+", "NA": "Na+", "K": "K+"}
@@ -178,7 +178,7 @@ def canonical_edges(interactions: DataFrame, units: DataFrame, overrides: dict[s
     """(structure_id, edge): unit, supertype and residue of every contact, each once per structure."""
     u = units.select("atom_key", "unit").dropDuplicates(["atom_key"])
     j = interactions.join(u, "atom_key", "left").withColumn("unit", F.coalesce("unit", "atom_key"))
-    return j.select("structure_id", F.concat_ws(" | ", "unit", supertype(F.col("type"), overrides), "residue").alias("edge")).distinct()
+    return j.select("structure_id", F.concat_ws(" | ", "unit", supertype(interaction_type(F.col("type")), overrides), "residue").alias("edge")).distinct()
 
 
 def class_signatures(edges: DataFrame, classes: DataFrame, policy: str = "most_common") -> DataFrame:

@@ -19,13 +19,15 @@ def ligand_inventory(given: DataFrame, processed: DataFrame, source: str = "inpu
     return given.unionByName(processed.join(given.select("structure_id", "serial"), ["structure_id", "serial"], "left_anti"))
 
 
-def ligand_nodes(atoms: DataFrame, key_mode: str = "full", label_mode: str = "auto") -> DataFrame:
-    """Adds node_key and label. A key used again gets its serial behind ``@``; the label is left as it is."""
-    c = {n: F.col(n) for n in ("resname", "chain", "resseq", "atom_name", "serial", "element")}
-    key = ligand_node_key(key_mode, c["resname"], c["chain"], c["resseq"], c["atom_name"], c["serial"])
+def ligand_nodes(atoms: DataFrame, key_mode: str = "residue_atom_name", label_mode: str = "auto") -> DataFrame:
+    """Adds node_key and label. A key used again gets ``@serial:`` and its serial; the label is left as it is."""
+    c = {n: F.col(n) for n in ("resname", "chain", "resseq", "icode", "atom_name", "serial", "element")}
+    place = (c["resname"], c["chain"], c["resseq"], c["icode"], c["atom_name"])
     again = F.row_number().over(Window.partitionBy("structure_id", "__key").orderBy("serial")) > 1
-    out = atoms.withColumn("__key", key).withColumn("node_key", F.when(again, F.concat("__key", F.lit("@"), F.col("serial").cast("string"))).otherwise(F.col("__key")))
-    return out.drop("__key").withColumn("label", ligand_label(label_mode, c["resname"], c["atom_name"], c["element"], c["serial"]))
+    out = atoms.withColumn("__key", ligand_node_key(key_mode, *place, c["serial"]))
+    out = out.withColumn("node_key", F.when(again, F.concat("__key", F.lit("@serial:"), F.col("serial").cast("string"))).otherwise(F.col("__key")))
+    repeated = F.count("*").over(Window.partitionBy("structure_id", "atom_name")) > 1
+    return out.withColumn("label", ligand_label(label_mode, *place, c["element"], repeated)).drop("__key")
 
 
 def ligand_bonds(atoms: DataFrame, listed: DataFrame, covalent: float = 1.9) -> DataFrame:

@@ -295,9 +295,9 @@ def q25_stable_labels(spark, d):
 @query("""SELECT supertype, count(*) AS n, count(DISTINCT l_orderkey) AS n_structures FROM (SELECT l_orderkey, CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'Polar contact' WHEN 'RF' THEN 'Hydrophobic contact'
     WHEN 'NO' THEN 'Pi interaction' WHEN 'NF' THEN 'Metal coordination' ELSE 'Other' END AS supertype FROM lineitem) GROUP BY 1""")
 def q26_interaction_supertype(spark, d):
-    kinds = {"AF": "hydrogen_bond", "RF": "hydrophobic", "NO": "pi_stacking", "NF": "metal_complex"}
+    kinds = {"AF": "hbond", "RF": "hydrophobic_interaction", "NO": "pi-stacking", "NF": "metal"}
     kind = F.element_at(X.literal_map(kinds), F.concat("l_returnflag", "l_linestatus"))
-    return t(spark, d, "lineitem").select("l_orderkey", X.supertype(kind).alias("supertype")).groupBy("supertype").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_structures"))
+    return t(spark, d, "lineitem").select("l_orderkey", X.supertype(X.interaction_type(kind)).alias("supertype")).groupBy("supertype").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_structures"))
 
 
 def canonical(spark, d):
@@ -372,7 +372,7 @@ def q34_last_integer_natural(spark, d):
     return n.select("name", X.last_integer(F.col("name")).alias("last_int"), X.natural_key(F.col("name")).alias("natural_key"), X.shift_last_integer(F.col("name"), 7).alias("shifted"))
 
 
-@query(r"""SELECT doc_id, md5(CASE WHEN s = '' THEN '_' ELSE s END) AS token_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(text, ' '), '[ \t\n\r\f\v]+', '_', 'g'), '[^A-Za-z0-9_.:-]', '_', 'g') AS s FROM documents)""")
+@query(r"""SELECT doc_id, md5(CASE WHEN s = '' THEN '_' ELSE s END) AS token_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g'), '[ \t\n\r\f\v]+', '_', 'g'), '[^A-Za-z0-9_.:-]', '_', 'g') AS s FROM documents)""")
 def q35_token_sanitise(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(X.graph_token(F.col("text"))).alias("token_md5"))
 

@@ -12,16 +12,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import RADII
+
 #: Fixed values: (start, length) of the columns, counted from 1.
 COLUMNS = {
     "record": (1, 6), "serial": (7, 5), "atom_name": (13, 4), "altloc": (17, 1), "resname": (18, 3), "chain": (22, 1), "resseq": (23, 4), "icode": (27, 1),
     "x": (31, 8), "y": (39, 8), "z": (47, 8), "occupancy": (55, 6), "b_factor": (61, 6), "element": (77, 2),
 }
 INTEGERS, DOUBLES = ("serial", "resseq"), ("x", "y", "z", "occupancy", "b_factor")
-#: Element symbols of two letters.
-TWO_LETTERS = ("CL", "BR", "NA", "MG", "ZN", "FE", "MN", "CA", "CU", "CO", "NI", "SE", "SI", "LI", "CD", "HG")
 #: Residue names of water.
-WATER = ("HOH", "WAT", "DOD", "H2O", "TIP", "TIP3", "SOL")
+WATER = ("HOH", "WAT", "H2O", "DOD")
+#: Element symbols of two letters that have a radius.
+TWO_LETTERS = tuple(e for e in RADII["vdw"] if len(e) == 2)
 
 
 @dataclass(frozen=True)
@@ -51,10 +53,10 @@ def lines(spark: SparkSession, path: str, pattern: str = "*.pdb") -> DataFrame:
 
 
 def guessed_element(atom_name: Column, explicit: Column) -> Column:
-    """The explicit field where it is a known two-letter symbol or else its first letter; without one, the same of the atom name."""
-    letters = F.upper(F.regexp_replace(F.when(F.trim(explicit) != "", explicit).otherwise(atom_name), "[^A-Za-z]", ""))
-    two = F.substring(letters, 1, 2)
-    return F.when((F.trim(explicit) != "") & two.isin(*TWO_LETTERS), two).otherwise(F.when(F.upper(F.trim(atom_name)).isin(*TWO_LETTERS) & (F.trim(explicit) == ""), two).otherwise(F.substring(letters, 1, 1)))
+    """The first two letters of the explicit field, or else of the atom name without leading digits, where they are a known symbol; else the first."""
+    text = F.upper(F.when(F.trim(explicit) != "", F.trim(explicit)).otherwise(F.regexp_replace(F.trim(atom_name), "^[0-9]+", "")))
+    two = F.substring(text, 1, 2)
+    return F.when(two.isin(*TWO_LETTERS), two).otherwise(F.substring(text, 1, 1))
 
 
 def atoms(source: DataFrame, dialect: Dialect = LENIENT) -> DataFrame:

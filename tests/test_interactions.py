@@ -9,10 +9,11 @@ from confora.sources import sinks
 
 def test_nodes_bonds_and_cascade(spark):
     atoms = spark.createDataFrame(
-        [("s", 1, "O1", "LIG", "A", 9, "O", 0.0, 0.0, 0.0), ("s", 2, "O1", "LIG", "A", 9, "O", 1.2, 0.0, 0.0), ("s", 3, "MG", "MG", "A", 10, "MG", 9.0, 0.0, 0.0)],
-        "structure_id string, serial int, atom_name string, resname string, chain string, resseq int, element string, x double, y double, z double",
+        [("s", 1, "O1", "LIG", "A", 9, "", "O", 0.0, 0.0, 0.0), ("s", 2, "O1", "LIG", "A", 9, "", "O", 1.2, 0.0, 0.0), ("s", 3, "MG", "MG", "A", 10, "", "MG", 9.0, 0.0, 0.0)],
+        "structure_id string, serial int, atom_name string, resname string, chain string, resseq int, icode string, element string, x double, y double, z double",
     )
-    assert [r.node_key for r in I.ligand_nodes(atoms).orderBy("serial").collect()] == ["LIG:A:9:O1", "LIG:A:9:O1@2", "MG:A:10:MG"]
+    assert [r.node_key for r in I.ligand_nodes(atoms).orderBy("serial").collect()] == ["LIG:A:9:O1", "LIG:A:9:O1@serial:2", "MG:A:10:MG"]
+    assert [r.label for r in I.ligand_nodes(atoms, label_mode="duplicate_aware_atom_name").orderBy("serial").collect()] == ["LIG_A9_O1", "LIG_A9_O1", "MG"]
     none = spark.createDataFrame([], "structure_id string, u int, v int")
     assert [(r.u, r.v, r.edge_type) for r in I.ligand_bonds(atoms, none).collect()] == [(1, 2, "distance")]
     c = spark.createDataFrame(

@@ -147,7 +147,7 @@ def test_reports(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<report><hydrogen_bond id='1'><resnr>10</resnr><restype>SER</restype><reschain>A</reschain><dist_h-a>2.1</dist_h-a></hydrogen_bond></report>")
     (tmp_path / "b.txt").write_text("Type: hbond\tLigand: O1\tProtein: SER10A\tLigandNodeKey: LIG:A:501:O1\n")
     r = tables.plip_report(spark, f"file://{tmp_path}").first()
-    assert (r.kind, r.resnr, r.restype, r.dist) == ("hydrogen_bond", 10, "SER", 2.1)
+    assert (r.kind, r.resnr, r.restype, r.dist) == ("hydrogen_bonds", 10, "SER", 2.1)
     assert tables.interaction_lines(spark, f"file://{tmp_path}").first().ligand_node_key == "LIG:A:501:O1"
     assert tables.first_existing(spark, [f"file://{tmp_path}/none", f"file://{tmp_path}/a.xml"]).endswith("a.xml")
     df = spark.createDataFrame([("c1", "m_3", "m_3")], "Class string, structure_id string, representative_id string")
