@@ -21,7 +21,6 @@ Equality below step 2 is by 64-bit fingerprints of symbol blocks along the whole
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -31,12 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, renamed
-from .hashing import mix, word_hashes
+from .hashing import mix
 
 P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A fixed 64-bit number for each byte, from the mixing rule.
 BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * P1)
-SPACES = re.compile(rb"[^\x20\x09-\x0D]+")
 LONGEST_RUN = 4096
 #: Occurrences of an anchor value from which its windows are spread by their whole content.
 HOT = 4000
@@ -85,26 +83,31 @@ def sliding(a: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
 
 
 class Words:
-    """Words between ASCII white space, unchanged."""
-
-    gap = b" "
+    """Words between ASCII white space, unchanged; a word's symbol is the fingerprint of its bytes."""
 
     @staticmethod
-    def split(data: bytes) -> tuple[list, np.ndarray]:
-        words = SPACES.findall(data)
-        return words, word_hashes(words)
+    def split(data: bytes) -> tuple[tuple, np.ndarray]:
+        b = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+        edges = np.diff(inside)
+        starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+        prints = Fingerprints(BYTE_CODE[b])
+        return (data, starts, ends), mix((prints.sums[ends] - prints.sums[starts]) * prints.down[starts])
 
     @staticmethod
-    def cut(parts, start: int, end: int) -> bytes:
-        return b" ".join(parts[start:end])
+    def cut(parts: tuple, start: int, end: int) -> bytes:
+        data, starts, ends = parts
+        return data[starts[start] : ends[end - 1]]
 
     @staticmethod
     def again(data: bytes) -> np.ndarray:
-        return word_hashes(data.split(b" "))
+        return Words.split(data)[1]
 
     @staticmethod
-    def join(parts, keep: np.ndarray) -> bytes:
-        return b" ".join([parts[i] for i in np.nonzero(keep)[0]])
+    def join(parts: tuple, keep: np.ndarray) -> bytes:
+        words = parts[0].split()  # of bytes, this splits at the same six characters
+        return b" ".join(words if keep.all() else [words[i] for i in np.nonzero(keep)[0]])
 
 
 class Bytes:
