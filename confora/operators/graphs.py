@@ -32,8 +32,10 @@ def signature_classes(signatures: DataFrame, structure: str) -> DataFrame:
 def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: float) -> DataFrame:
     """General leader clustering within blocks of equal edge count; ``distance(edges_a, edges_b)`` may be any function.
 
-    Blocks are independent because graphs of unequal edge counts are infinitely far apart.
+    Blocks are independent because graphs of unequal edge counts are infinitely far apart. Graphs of equal
+    edges always share a leader, so only distinct edge sets enter a block, each under its first structure.
     """
+    distinct = graphs.groupBy("edge_count", "edges").agg(F.min(structure).alias(structure))
     kind = graphs.schema[structure].dataType.simpleString()
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +49,9 @@ def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: floa
             left = [x for x in left if x[0] not in member]
         return pd.DataFrame(out, columns=[structure, "leader", "distance"]).assign(edge_count=int(block["edge_count"].iloc[0]))
 
-    return graphs.groupBy("edge_count").applyInPandas(run, f"{structure} {kind}, leader {kind}, distance double, edge_count int")
+    led = distinct.groupBy("edge_count").applyInPandas(run, f"{structure} {kind}, leader {kind}, distance double, edge_count int")
+    first = distinct.join(led.drop("edge_count"), structure).select("edge_count", "edges", "leader", "distance")
+    return graphs.join(first, ["edge_count", "edges"]).select(structure, "leader", "distance", "edge_count")
 
 
 def jaccard_candidates(current: DataFrame, reference: DataFrame, member: str, current_class: str, reference_class: str) -> DataFrame:
