@@ -191,29 +191,20 @@ def bounds(tox, clean, n1, n0):
     return np.where((tox >= 2) & (low >= LEAST_WEIGHT), low, 0)
 
 
-def fit(labels: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of buckets, logistic coefficients)."""
-    tox, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for y, f in zip(labels, rows, strict=True):
-        once = np.unique(f)
-        all_[once] += 1
-        if y:
-            tox[once] += 1
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    clean = all_ - tox
-    w = bounds(tox, clean, n1, n0)
-
-    def left_out(y, f):  # a row's own count must not vouch for it
-        v = np.sort(bounds(tox[f] - y, clean[f] - (1 - y), n1 - y, n0 - (1 - y)).max(axis=1, initial=0))
-        return (1.0, v[-3:].sum())
-
-    x = np.array([left_out(y, f) for y, f in zip(labels, rows, strict=True)])
-    b = np.zeros(2)
+def left_out(y: int, rows: np.ndarray, tox: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> float:
+    """The evidence in a training row, whose own count must not vouch for it."""
+    w = bounds(tox[rows] - y, clean[rows] - (1 - y), n1 - y, n0 - (1 - y)).max(axis=1, initial=0)
+    return float(np.sort(w)[-3:].sum())
+
+
+def calibrated(evidence: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """(intercept, slope) of a logistic regression on the evidence."""
+    x, b = np.stack([np.ones(len(evidence)), evidence], axis=1), np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-(x @ b).clip(-30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(2)
         b = b + np.linalg.solve(h, x.T @ (labels - p) - RIDGE * b)
-    return w.astype(np.float32), b
+    return b
 
 
 def toxicity(
@@ -234,22 +225,41 @@ def toxicity(
     taken = known.where(remainder(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").limit(fit_rows).toPandas()
     chosen = spark.sparkContext.broadcast(dict(zip(taken["id"].tolist(), taken["y"].astype(int).tolist(), strict=True)))
 
-    def training(batches):
+    def training_rows(batches):
         dec = Decoder(decoder.value)
         for b in batches:
-            ids, ys, fs = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if i in chosen.value:
-                    ids.append(i), ys.append(chosen.value[i]), fs.append(features(dec.restore(t.as_py() or "")).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(fs, pa.binary())], ["id", "y", "f"])
-
-    rows = d.mapInArrow(training, "id long, y int, f binary").toPandas() if len(taken) else None
-    if rows is not None:
-        rows = rows.drop_duplicates("id").sort_values("id")
-    if rows is None or rows["y"].nunique() < 2:
-        weights, coef = np.zeros(BUCKETS, np.float32), np.array([-40.0, 0])
-    else:
-        weights, coef = fit(rows["y"].to_numpy(np.float64), [np.frombuffer(x, np.int32).reshape(-1, 4) for x in rows["f"]])
+                    yield chosen.value[i], features(dec.restore(t.as_py() or ""))
+
+    def count_features(batches):
+        """Dense counts per task; the last bucket counts rows."""
+        tox, n = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+        for y, f in training_rows(batches):
+            once = np.append(np.unique(f), BUCKETS)
+            n[once] += 1
+            tox[once] += y
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(tox[at]), pa.array(n[at])], ["bucket", "tox", "n"])
+
+    tox, clean = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    if len(taken):  # buckets of fewer than two toxic rows never weigh anything; at most BUCKETS rows come back
+        c = d.mapInArrow(count_features, "bucket int, tox long, n long").groupBy("bucket").agg(F.sum("tox").alias("tox"), F.sum("n").alias("n"))
+        c = c.where((F.col("tox") > 1) | (F.col("bucket") == BUCKETS)).toPandas()
+        at = c["bucket"].to_numpy(np.int64)
+        tox[at], clean[at] = c["tox"], c["n"] - c["tox"]
+    n1, n0 = int(tox[BUCKETS]), int(clean[BUCKETS])
+    weights, coef = np.zeros(BUCKETS, np.float32), np.array([-40.0, 0])
+    if n1 and n0:
+        counts_of = spark.sparkContext.broadcast((tox[:BUCKETS].astype(np.int32), clean[:BUCKETS].astype(np.int32)))
+
+        def evidence_of(batches):
+            rows = [(y, left_out(y, f, *counts_of.value, n1, n0)) for y, f in training_rows(batches)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["y", "e"])
+
+        e = d.mapInArrow(evidence_of, "y int, e double").toPandas().sort_values(["e", "y"])  # two numbers for each training row
+        weights = bounds(tox[:BUCKETS], clean[:BUCKETS], n1, n0).astype(np.float32)
+        coef = calibrated(e["e"].to_numpy(), e["y"].to_numpy(np.float64))
     at = np.nonzero(weights)[0].astype(np.int32)
     model = spark.sparkContext.broadcast((at, weights[at], coef))
 
