@@ -400,6 +400,13 @@ def q38_connected_components(spark, d):
     return graphs.components(e)
 
 
+@query()
+def q38_connected_components_whole(spark, d):
+    """Components over every edge, with whole keys; q38_connected_components is the slice that its recursive SQL can follow."""
+    key = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"))
+    return graphs.components(t(spark, d, "lineitem").select(key("O", "l_orderkey").alias("u"), key("S", "l_suppkey").alias("v")).where("u is not null and v is not null"))
+
+
 @query("SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 45 AND l_returnflag = 'R')")
 def q39_topology_unattached(spark, d):
     ends = t(spark, d, "lineitem").where("l_quantity >= 45 and l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))

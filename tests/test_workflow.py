@@ -130,3 +130,17 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").select("structure_id", "mean").collect() == [("m1", 80.0)]
     e = spark.createDataFrame([("2024-01-01 00:10:00", 1.0), ("2024-01-01 00:50:00", 2.0), ("2024-01-01 01:10:00", 3.0)], "t string, value double").select(F.to_timestamp("t").alias("ts"), "value")
     assert sorted((r.n, r.total) for r in S.windowed(e, "1 hour").collect()) == [(1, 3.0), (2, 3.0)]
+
+
+def test_components_cover_every_edge_with_whole_keys(spark, tmp_path):
+    """Orders 1 and 5001 are two nodes, and rows of any quantity and discount are edges."""
+    from confora.plans import catalog
+
+    rows = [(1, 10, 50, 0.0), (1, 11, 3, 0.05), (5001, 12, 50, 0.0), (5001, 13, 7, 0.1), (7, 13, 20, 0.0), (9, 14, 1, 0.02)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_quantity int, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {n: n for o, s, _, _ in rows for n in (f"O{o}", f"S{s}")}
+    for _ in want:
+        for o, s, _, _ in rows:
+            want[f"O{o}"] = want[f"S{s}"] = min(want[f"O{o}"], want[f"S{s}"])
+    got = {r.node: r.component for r in catalog.QUERIES["q38_connected_components_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and len(set(got.values())) == 3
