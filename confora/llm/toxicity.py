@@ -49,14 +49,16 @@ for _c in " \t\r\n.,;:?\"'()[]{}":
     CLASS[ord(_c)] = EDGE
 WORD = re.compile(r"\w+")
 SIGNS = "".join(LEET)
-SIGN_IN_WORD = re.compile(f"[{re.escape(SIGNS)}][^\\W_]")
-LEET_TOKEN = re.compile(f"(?<![\\w{re.escape(SIGNS)}])[\\w{re.escape(SIGNS)}]{{3,40}}")
+#: Whole tokens that hold a sign; all digits are signs. Tokens start only where none runs on, and no loop backtracks.
+LEET_TOKEN = re.compile(f"(?<![\\w{re.escape(SIGNS)}])[^\\W0-9]*+[{re.escape(SIGNS)}][\\w{re.escape(SIGNS)}]*+")
 RUN = re.compile(r"([^\W\d_])\1\1")
-RUN_TOKEN = re.compile(r"\w*([^\W\d_])\1\1\w*")
-SPACED = re.compile(r"(?<!\w)[^\W_][ .\-_*][^\W_][ .\-_*][^\W_](?!\w)")
+REST = re.compile(r"\w*")
 SPACED_TOKEN = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*][^\W_]){2,}(?!\w)")
 SEPARATORS = " .-_*"
-REMEMBERED = 200_000
+#: Signs that also end sentences.
+CLOSING = "!"
+#: Results remembered per task, and the longest token among them; longer ones are decoded each time.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
 
 
 def classes(text: str) -> np.ndarray:
@@ -120,11 +122,28 @@ class Decoder:
         token = token.lower()
         if (found := self.seen.get(token)) is not None:
             return found
-        # a path's character cost is per letter, so that dropping letters gains nothing by itself
-        paths = {(EDGE, EDGE): (0.0, "")}
-        for arcs in self.lattice(token):
+        best = self.likeliest(self.lattice(token))
+        if stem := token.rstrip(CLOSING):
+            if stem != token:  # closing punctuation may also be just that
+                plain = [[(c, 0.0)] for c in stem] if not RUN.search(stem) and not any(c in LEET for c in stem) else self.lattice(stem)
+                score, letters = self.likeliest(plain)
+                best = max(best, (score, letters + token[len(stem) :]))
+        if len(token) <= REMEMBERED_LENGTH:
+            if len(self.seen) > REMEMBERED:
+                self.seen.clear()
+            self.seen[token] = best[1]
+        return best[1]
+
+    def likeliest(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """(score, text) of the best path.
+
+        A path's character cost is per letter, so that dropping letters gains nothing by itself. Texts are chains of
+        (the chain before, letters), so that a step costs the same however long the token is.
+        """
+        paths: dict = {(EDGE, EDGE): (0.0, None)}
+        for arcs in lattice:
             new: dict = {}
-            for (a, b), (score, text) in paths.items():
+            for (a, b), (score, chain) in paths.items():
                 for x, cost in arcs:
                     p, q, s = a, b, score + cost
                     for ch in x:
@@ -132,23 +151,31 @@ class Decoder:
                         s += self.log[p][q][r]
                         p, q = q, r
                     if (p, q) not in new or new[p, q][0] < s:
-                        new[p, q] = (s, text + x)
+                        new[p, q] = (s, (chain, x))
             paths = new
-        best = max(((s + self.log[a][b][EDGE], t) for (a, b), (s, t) in paths.items()), default=(0, token))[1]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self.seen[token] = best
-        return best
+        score, chain = max(((s + self.log[a][b][EDGE], c) for (a, b), (s, c) in paths.items()), key=lambda x: x[0])
+        letters = []
+        while chain:
+            chain, x = chain
+            letters.append(x)
+        return score, "".join(reversed(letters))
 
     def restore(self, text: str) -> str:
-        text = text.lower()
-        if SPACED.search(text):
-            text = SPACED_TOKEN.sub(lambda m: self.decode(m[0]), text)
-        if SIGN_IN_WORD.search(text):
-            text = LEET_TOKEN.sub(lambda m: self.decode(m[0]) if any(c in LEET for c in m[0]) and any(c.isalpha() for c in m[0]) else m[0], text)
-        if RUN.search(text):
-            text = RUN_TOKEN.sub(lambda m: self.decode(m[0]) if len(m[0]) <= 64 else m[0], text)
-        return text
+        text = SPACED_TOKEN.sub(lambda m: self.decode(m[0]), text.lower())
+        text = LEET_TOKEN.sub(lambda m: self.decode(m[0]) if any(c.isalpha() for c in m[0]) else m[0], text)
+        return self.without_runs(text)
+
+    def without_runs(self, text: str) -> str:
+        """Every word with a run, decoded; words are found outwards from their first run."""
+        parts, at = [], 0
+        for m in RUN.finditer(text):
+            if (lo := m.start()) >= at:
+                while lo > at and (text[lo - 1].isalnum() or text[lo - 1] == "_"):
+                    lo -= 1
+                hi = REST.match(text, m.end()).end()
+                parts += text[at:lo], self.decode(text[lo:hi])
+                at = hi
+        return "".join(parts) + text[at:] if parts else text
 
 
 def beginnings(word: str) -> list[str]:
@@ -161,24 +188,29 @@ class Weights(dict):
     def __init__(self, table: np.ndarray):
         self.table = table
 
-    def __missing__(self, word):
-        at = (word_hashes(beginnings(word)) % np.uint64(BUCKETS)).astype(np.int64)
-        w = self[word] = float(self.table[at].max())
-        return w
+    def of(self, words: set[str]) -> list[float]:
+        if new := [w for w in words if w not in self]:
+            self.update(zip(new, self.table[buckets(new)].max(axis=1).tolist(), strict=True))
+        return [self[w] for w in words]
 
 
-def features(text: str) -> np.ndarray:
-    """A row of four buckets for each distinct word: the word and its beginnings, the first repeated where there are fewer."""
+def buckets(words: list[str]) -> np.ndarray:
+    """A row of four buckets for each word: the word and its beginnings, the first repeated where there are fewer."""
     rows = []
-    for w in sorted(set(WORD.findall(text))):
+    for w in words:
         f = beginnings(w)
         rows += f + f[:1] * (4 - len(f))
     return (word_hashes(rows) % np.uint64(BUCKETS)).astype(np.int32).reshape(-1, 4)
 
 
+def features(text: str) -> np.ndarray:
+    """The buckets of every distinct word."""
+    return buckets(sorted(set(WORD.findall(text))))
+
+
 def evidence(weights: Weights, text: str) -> float:
     """The sum of the three largest weights of distinct words."""
-    found = sorted((w for w in map(weights.__getitem__, set(WORD.findall(text))) if w > 0), reverse=True)[:3]
+    found = sorted((w for w in weights.of(set(WORD.findall(text))) if w > 0), reverse=True)[:3]
     if len(weights) > REMEMBERED:
         weights.clear()
     return sum(found)

@@ -255,6 +255,22 @@ def test_toxicity(spark):
     assert unlabelled < 1e-9
 
 
+def test_every_obfuscated_token_is_restored():
+    """Alone in a text and however long; closing punctuation stays."""
+    counts = np.zeros(toxicity.N_CLASSES**3, np.int64)
+    for w in ("moron", "dumbass", "shit", "you", "go", "hello", "the"):
+        c = np.concatenate([[toxicity.EDGE], toxicity.classes(w), [toxicity.EDGE]]).astype(np.int64)
+        np.add.at(counts, (c[:-2] * toxicity.N_CLASSES + c[1:-1]) * toxicity.N_CLASSES + c[2:], 50)
+    restore = toxicity.Decoder(counts).restore
+    want = {
+        "you dumb@$$ go": "you dumbass go", "sh1+": "shit", "m" + "0" * 60 + "ron": "moron", "mor" + "o" * 70 + "n": "moron", "the m_o_r_o_n": "the moron",
+        "hello! you": "hello! you", "m0r0n!!": "moron!!", "the 2020": "the 2020",
+    }
+    assert {t: restore(t) for t in want} == want
+    long = "".join(random.Random(9).choice("moron0123") for _ in range(100_000))
+    assert len(restore(long)) > 50_000
+
+
 # 10
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_cells, "BLOCK", 16)
