@@ -11,8 +11,9 @@ the item's terms are there), so one threshold fits short and long items. Retriev
 * the rest run document-at-a-time WAND: pivots by the terms' maxima, then block maxima, then scores.
 
 A hit is verified on word n-grams of the item's question and of its answer: both must overlap. With
-one text column the last sentence is the answer, the rest the question; a part shorter than an
-n-gram must occur as a whole.
+one text column the last sentence is the answer, the rest the question, and it is enough that the item
+as a whole overlaps. Parts of so few n-grams that one edited word could fail them are also compared by
+word edit distance to the nearest stretch of the passage.
 
 Nulls and texts without words neither query nor match; repeated items are hits of their own; ids may be
 null and are carried along; empty tables give an empty result; extra columns are ignored.
@@ -55,7 +56,7 @@ class Index:
     def __init__(self, items: list[tuple], k1: float = K1, b: float = B, block: int = BLOCK):
         self.ids = [i for i, _, _ in items]
         self.parts = [(words(q), words(a)) for _, q, a in items]
-        full = [q + a for q, a in self.parts]
+        full = self.full = [q + a for q, a in self.parts]
         n, mean = max(1, len(full)), sum(map(len, full)) / max(1, len(full)) or 1.0
         tf = [Counter(x) for x in full]
         df = Counter(t for c in tf for t in c)
@@ -141,11 +142,40 @@ def overlap(part: list[str], passage: list[str], n: int) -> float:
     return len(grams & there) / len(grams)
 
 
+def edit_similarity(part: list[str], passage: list[str]) -> float:
+    """1 - (word edits to the nearest stretch of the passage) / words of the part."""
+    row = np.arange(len(part) + 1)
+    steps, best, at = row.copy(), len(part), {}
+    for x in set(passage):
+        at[x] = np.array([w != x for w in part], np.int64)
+    for x in passage:
+        new = np.empty_like(row)
+        new[0] = 0
+        new[1:] = np.minimum(row[:-1] + at[x], row[1:] + 1)
+        row = np.minimum.accumulate(new - steps) + steps
+        best = min(best, int(row[-1]))
+    return 1 - best / len(part)
+
+
+def tolerant_overlap(part: list[str], passage: list[str], n: int, least: float) -> float:
+    """``overlap``, or the edit similarity if that is larger and one edited word could bring the overlap below ``least``."""
+    found = overlap(part, passage, n)
+    grams = len(part) - n + 1
+    if found >= least or grams - n >= least * grams > 0:
+        return found
+    there = set(passage)
+    # words that are not in the passage are edits in any case
+    return max(found, edit_similarity(part, passage)) if sum(x in there for x in part) >= least * len(part) else found
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     question_col: str = "text", answer_col: str | None = None, threshold: float = 0.5, min_overlap: float = 0.8, ngram: int = 5,
 ) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each verified hit of a document, with its best passage's score."""
+    """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each verified hit of a document, with its best passage's score.
+
+    Without ``answer_col`` either overlap may be below ``min_overlap`` where that of the whole item is not.
+    """
     spark = docs.sparkSession
     if answer_col:
         b = renamed(benchmark, i=item_col, q=question_col, a=answer_col)
@@ -183,9 +213,10 @@ def contaminated(
                     if bound[query].sum(axis=0).max() < threshold * 0.9999:
                         continue
                     for item, score in index.wand(set(query.tolist()), threshold):
-                        q, a = index.parts[item]
-                        found = (overlap(q, ws[lo:hi], ngram), overlap(a, ws[lo:hi], ngram))
-                        if min(found) >= min_overlap and (item not in best or best[item][0] < score):
+                        if item in best and best[item][0] >= score:
+                            continue
+                        found = tuple(tolerant_overlap(x, ws[lo:hi], ngram, min_overlap) for x in index.parts[item])
+                        if min(found) >= min_overlap or (not answer_col and tolerant_overlap(index.full[item], ws[lo:hi], ngram, min_overlap) >= min_overlap):
                             best[item] = (score, *found)
                 out += [(at.as_py(), index.ids[i], *x) for i, x in sorted(best.items())]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5

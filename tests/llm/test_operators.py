@@ -100,6 +100,34 @@ def test_contamination(spark):
     assert hits == {(1, 3), (2, 5), (6, 2), (6, 9)}
 
 
+def test_contamination_of_edited_items(spark):
+    """One changed word anywhere, or a missing short last sentence, hides no item; items that share half their words are not hits."""
+    rng = random.Random(31)
+    item = lambda n, m: (words(rng, n, "q", 9000), words(rng, m, "a", 9000))
+    text = lambda q, a: f"{' '.join(q)}. {' '.join(a)}."
+    items = [item(20, 7), item(30, 3), item(9, 3), item(60, 7)]
+    bench = spark.createDataFrame([(i, text(*x)) for i, x in enumerate(items)], "item_id long, text string")
+    pad, texts, want = " ".join(words(rng, 80)), [], set()
+    for i, (q, a) in enumerate(items):
+        for k in range(len(q) + len(a)):
+            w = q + a
+            w[k] = "changed"
+            want.add((len(texts), i))
+            texts.append(f"{pad} {text(w[: len(q)], w[len(q) :])} {pad}")
+    want.add((len(texts), 1))
+    texts += [f"{pad} {' '.join(items[1][0])}. {pad}", f"{pad} {' '.join(items[0][0][:14] + items[0][1])} {pad}"]
+    assert {(r.doc_id, r.item_id) for r in bm25_wand.contaminated(docs(spark, texts), bench).collect()} == want
+    for _ in range(50):
+        part, passage = words(rng, rng.randrange(1, 8), "w", 5), words(rng, rng.randrange(1, 12), "w", 5)
+        table = [[0] * (len(passage) + 1)]
+        for x in part:
+            row = [len(table)]
+            for j, y in enumerate(passage):
+                row.append(min(table[-1][j] + (x != y), table[-1][j + 1] + 1, row[-1] + 1))
+            table.append(row)
+        assert bm25_wand.edit_similarity(part, passage) == 1 - min(table[-1]) / len(part)
+
+
 # 3
 @pytest.fixture(scope="module")
 def piece_model():
