@@ -5,10 +5,11 @@ that fail their test are dropped. Positions come from marking the matches in the
 piece lengths, in code points.
 
 Bootstrapping: base values are the seeds. Every base span and every other token with a digit or
-an at sign is an occurrence of a value in a lexical pattern, the two words to its left. Over the
-pattern-value graph, each round scores patterns by the share and the logarithm of their known values
+an at sign is an occurrence of a value in a lexical pattern, the two words to its left, of which
+those with a digit or an at sign are one placeholder, so that lists and tables have patterns too; where the
+text begins sooner, the pattern says so. Over the pattern-value graph, each round scores patterns by the share and the logarithm of their known values
 (RlogF), accepts confident ones, scores the unknown values by their accepted patterns and
-adds confident values to the known. Occurrences of discovered values become further spans of the
+adds confident values to the known, until a round adds none. Occurrences of discovered values become further spans of the
 seeds' kind; base spans always stay.
 
 Nulls are empty texts; equal matches are spans of their own; rows with equal id and text share their
@@ -32,9 +33,10 @@ SHAPES = {
 }
 HINTS = {"email": "@", "phone": "+"}
 OTHER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-EDGE, INSTEAD = "\uE000", "\uE001"
+#: Marks of our own, in no text: around matches and as the placeholder of identifiers, and as the word before the first.
+EDGE, INSTEAD, BEGINNING = "\uE000", "\uE001", "\uE002"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-ROUNDS, MIN_SUPPORT, MIN_PRECISION, MIN_VALUE_SCORE = 3, 3, 0.5, 1.0
+MIN_SUPPORT, MIN_PRECISION, MIN_VALUE_SCORE = 3, 0.5, 1.0
 
 
 def pieces(text: Column, shape: str) -> Column:
@@ -42,19 +44,29 @@ def pieces(text: Column, shape: str) -> Column:
     return F.split(F.regexp_replace(text, shape, f"{EDGE}$0{EDGE}"), EDGE, -1)
 
 
+def context(left: Column) -> Column:
+    """The last two words of ``left``, in lower case and with identifiers as EDGE.
+
+    Cut from the reversed text by an anchored pattern without backtracking, so that no length needs a limit. A word that
+    runs on into the match stays open: words are only ever added to the right.
+    """
+    words = F.reverse(F.regexp_extract(F.reverse(left), r"^\s*+(?:\S++(?:\s++\S++)?+)?+", 0))
+    words = F.regexp_replace(F.lower(words), r"\s+", " ")
+    return F.regexp_replace(words, rf"(?<!\S)[^\s0-9@{EDGE}]*+[0-9@{EDGE}]\S*+", EDGE)
+
+
 def located(cut: Column) -> Column:
-    """(start, end, value, before) of each match: ``before`` are the two words to its left."""
+    """(start, end, value, before) of each match: ``before`` are the two words to its left in the whole text."""
     zero = F.struct(
-        F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit("").alias("gap"),
+        F.lit(0).alias("at"), F.lit(False).alias("match"), F.lit(f"{BEGINNING} ").alias("left"),
         F.array().cast("array<struct<start: int, end: int, value: string, before: string>>").alias("out"),
     )
-    context = lambda gap: F.lower(F.regexp_replace(F.regexp_extract(F.substring(gap, -80, 80), r"(\S+\s+\S+\s*)$", 1), r"\s+", " "))
 
     def step(acc, piece):
         end = acc["at"] + F.length(piece)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("value"), context(acc["gap"]).alias("before"))
+        span = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("value"), acc["left"].alias("before"))
         return F.struct(
-            end.alias("at"), (~acc["match"]).alias("match"), piece.alias("gap"),
+            end.alias("at"), (~acc["match"]).alias("match"), F.when(acc["match"], F.concat(acc["left"], F.lit(EDGE))).otherwise(context(F.concat(acc["left"], piece))).alias("left"),
             F.when(acc["match"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
         )
 
@@ -81,8 +93,8 @@ def of_kind(i: int, kind: str) -> Column:
 
 def shaped(docs: DataFrame) -> DataFrame:
     """(id, tk, base, other): base spans with their kinds and the other candidate tokens of every text."""
-    # marks of our own must not be in the text; both characters count one and belong to no shape
-    text = F.translate(F.coalesce("text", F.lit("")), EDGE, INSTEAD)
+    # marks of our own must not be in the text; all three characters count one and belong to no shape
+    text = F.translate(F.coalesce("text", F.lit("")), EDGE + BEGINNING, INSTEAD + INSTEAD)
     d = docs.select("id", F.xxhash64("text").alias("tk"), text.alias("t"))
     kinds = {}
     for kind in KINDS:
@@ -100,13 +112,13 @@ def shaped(docs: DataFrame) -> DataFrame:
     return d.select("id", "tk", "base", free.alias("other"))
 
 
-def discovered_values(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discovered_values(found: DataFrame) -> DataFrame:
     """(value, before, kind): graph edges whose value, unknown at first, was accepted as ``kind``."""
     seeds = found.select(F.explode("base").alias("s")).select("s.before", "s.value", "s.kind")
     rest = found.select(F.explode("other").alias("s")).select("s.before", "s.value", F.lit(None).cast("int").alias("kind"))
-    edges = written(seeds.union(rest).where("before != ''").groupBy("before", "value").agg(F.min("kind").alias("seed")), "edges")
-    known = edges.where("seed is not null").groupBy("value").agg(F.min("seed").alias("kind"))
-    for _ in range(rounds):
+    edges = written(seeds.union(rest).groupBy("before", "value").agg(F.min("kind").alias("seed")), "edges")
+    known = written(edges.where("seed is not null").groupBy("value").agg(F.min("seed").alias("kind")), "known")
+    while True:  # every round adds values of a finite table, or is the last
         marked = edges.join(known, "value", "left")
         total = marked.groupBy("before").agg(F.count("*").alias("values"))
         hits = marked.where("kind is not null").groupBy("before", "kind").agg(F.count("*").alias("hits"))
@@ -116,6 +128,9 @@ def discovered_values(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         votes = marked.where("kind is null").join(good, "before").groupBy("value", "as").agg(F.sum("score").alias("score"))
         best = votes.groupBy("value").agg(F.max(F.struct("score", (-F.col("as")).alias("as"))).alias("b"))
         new = best.where(F.col("b.score") >= MIN_VALUE_SCORE).select("value", (-F.col("b.as")).alias("kind"))
+        new = written(new, "new")
+        if new.isEmpty():
+            break
         known = written(known.union(new), "known")
     return edges.where("seed is null").select("value").distinct().join(known, "value")
 

@@ -256,6 +256,37 @@ def test_personal_data(spark):
     assert masked[17] == "write now to <email> please" and masked[0] is None and masked[18] == texts[18]
 
 
+def test_values_are_discovered_in_every_context(spark):
+    """At the start of a text, after other identifiers, next to a long word and beyond a third round."""
+    long = "x" * 100
+    forms = ["Badge: {}", "{} signed", "on 555-1234 or {}", "account 12345 pin {}", "see {} {}", f"the {long} {{}} end"]
+    texts, want = [], {}
+
+    def add(text, value=None):
+        if value:
+            want[len(texts)] = text.rindex(value)
+        texts.append(text)
+
+    for k, f in enumerate(forms):
+        for i in range(4):
+            mail = f"user{k}n{i}@site.org"
+            add(f.format(*[mail] * f.count("{}")) if f.count("{}") == 1 else f.format(f"user{k}m{i}@site.org", mail))
+        add(f.format(f"agent{k}x") if f.count("{}") == 1 else f.format(f"user{k}m9@site.org", f"agent{k}x"), f"agent{k}x")
+    for step in range(6):  # values of one step are the only support of the next one's pattern
+        for i in range(4):
+            add(f"some step{'abcdef'[step]} here {f's0i{i}@site.org' if step == 0 else f'chain{step}i{i}'} end", None if step == 0 else f"chain{step}i{i}")
+            add(f"some step{'abcdef'[step]} here chain{step + 1}i{i} end", f"chain{step + 1}i{i}")
+    got = personal_data.personal_spans(docs(spark, texts)).orderBy("doc_id").collect()
+    missed = [texts[i] for i, at in want.items() if at not in [s.start for s in got[i].added]]
+    assert not missed, missed
+    assert all(not r.added for i, r in enumerate(got) if i not in want and "12345" not in texts[i] and "555" not in texts[i])
+
+
+def test_one_long_word_of_many_matches(spark):
+    got = personal_data.personal_spans(docs(spark, ["1.1.1.1," * 20_000, "q" * 1_000_000 + " 5"])).orderBy("doc_id").collect()
+    assert len(got[0].base) == 20_000
+
+
 def test_personal_data_is_native():
     source = open(personal_data.__file__).read()
     assert not re.search(r"udf|mapIn|applyIn|toPandas|\.rdd|import (pandas|pyarrow|numpy)", source)
