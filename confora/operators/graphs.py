@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +56,44 @@ def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: floa
     return graphs.join(first, ["edge_count", "edges"]).select(structure, "leader", "distance", "edge_count")
 
 
+def edit_distance(nodes_a: dict, edges_a, nodes_b: dict, edges_b, limit: float = float("inf")) -> float:
+    """Exact graph edit distance at uniform costs of undirected graphs; infinite where it is not below ``limit``.
+
+    ``nodes`` map a vertex to its label, and labels may repeat. Depth-first over vertex mappings, cut by a lower bound from the
+    labels and edges that are left. Time grows exponentially with the distance; nothing stops it early.
+    """
+    ea, eb = {frozenset(e) for e in edges_a}, {frozenset(e) for e in edges_b}
+    degree = Counter(x for e in ea for x in e)
+    todo = sorted(nodes_a, key=lambda x: (-degree[x], str(x)))
+    best = limit
+
+    def left_over(k: int, free: set, rest_a: int, rest_b: int) -> int:
+        la, lb = Counter(nodes_a[x] for x in todo[k:]), Counter(nodes_b[y] for y in free)
+        return max(la.total(), lb.total()) - (la & lb).total() + abs(rest_a - rest_b)
+
+    def visit(k: int, to: dict, free: set, cost: int, rest_a: int, rest_b: int) -> None:
+        nonlocal best
+        if cost + left_over(k, free, rest_a, rest_b) >= best:
+            return
+        if k == len(todo):
+            best = cost + len(free) + rest_b
+            return
+        x = todo[k]
+        for y in [*sorted(free, key=lambda y: (nodes_b[y] != nodes_a[x], y != x, str(y))), None]:
+            mine = [frozenset((x, p)) in ea for p in to]
+            theirs = [y is not None and q is not None and frozenset((y, q)) in eb for q in to.values()]
+            step = (1 if y is None else int(nodes_a[x] != nodes_b[y])) + sum(m != t for m, t in zip(mine, theirs, strict=True))
+            visit(k + 1, to | {x: y}, free - {y}, cost + step, rest_a - sum(mine), rest_b - sum(theirs))
+
+    visit(0, {}, set(nodes_b), 0, len(ea), len(eb))
+    return float(best) if best < limit else float("inf")
+
+
+def blueprint_distance(labels: dict, threshold: float):
+    """The ``distance`` of ``leader_clusters`` for graphs that all have the vertices of a blueprint, vertex to label."""
+    return lambda a, b: edit_distance(labels, a, labels, b, threshold)
+
+
 def jaccard_candidates(current: DataFrame, reference: DataFrame, member: str, current_class: str, reference_class: str) -> DataFrame:
     """Class pairs that share members, with shared count and Jaccard index."""
     c, r = current.select(member, current_class).distinct(), reference.select(member, reference_class).distinct()

@@ -106,9 +106,23 @@ def kept_structures(edges: DataFrame, keys: list[str], s: Settings) -> DataFrame
     return screening.structure_filter(screening.node_sets(edges, "structure_id", "residue"), keys, s.required_mode)
 
 
-def classes(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    """Step 07: (structure_id, class_number, leader) of kept structures, graphs of equal edges in one class."""
+def classes(edges: DataFrame, kept: DataFrame, nodes: DataFrame | None = None, threshold: float = 1.0) -> DataFrame:
+    """Step 07: (structure_id, class_number, leader) of kept structures, graphs below ``threshold`` of edit distance to the leader in one class.
+
+    Without ``nodes`` the ends of edges are taken for distinct labels. ``nodes`` (node_key, label) is the blueprint, and
+    ends of edges are its keys: where labels repeat, or the threshold is above 1, exact distances decide instead of equal edges.
+    """
     e = edges.join(kept.select("structure_id"), "structure_id", "left_semi")
+    if nodes is None and threshold > 1:
+        raise ValueError("a threshold above 1 needs the blueprint's nodes")
+    if nodes is not None:
+        labels = {r.node_key: r.label for r in nodes.select("node_key", "label").distinct().collect()}  # a blueprint
+        if threshold > 1 or len(set(labels.values())) < len(labels):
+            ends = F.struct(F.least("ligand", "residue").alias("u"), F.greatest("ligand", "residue").alias("v"))
+            g = e.groupBy("structure_id").agg(F.array_sort(F.collect_set(ends)).alias("edges")).withColumn("edge_count", F.size("edges"))
+            led = graphs.leader_clusters(g, "structure_id", graphs.blueprint_distance(labels, threshold), threshold)
+            numbers = led.select("edge_count", "leader").distinct().withColumn("class_number", F.row_number().over(Window.orderBy(F.desc("edge_count"), "leader")))
+            return led.join(numbers, ["edge_count", "leader"]).select("structure_id", "class_number", "leader", "edge_count")
     sig = graphs.edge_signatures(e, "structure_id", "ligand", "residue")
     return sig.join(graphs.signature_classes(sig, "structure_id"), ["edge_count", "signature"]).select("structure_id", "class_number", "leader", "edge_count")
 
