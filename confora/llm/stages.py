@@ -1,7 +1,7 @@
 """The stages of corpus_pipeline.py: each applies one operator and lets its decision take effect.
 
-Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``. Rows with a null
-id pass every filtering stage except the one that judges rows by themselves (toxicity).
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``. Stages that drop
+rows give each an internal key first, written with their input, so null and repeated ids are no exemption.
 """
 
 from __future__ import annotations
@@ -20,10 +20,19 @@ from .unigram import encoded
 BROADCAST_IDS = 200_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows with these ids: by broadcast below the checked bound, else by a shuffled anti join."""
-    ids = written(ids.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+#: The internal key's column.
+KEY = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for every row, written, so that every reader sees the same keys."""
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` less those with these keys, and without the key: by broadcast below the checked bound, else by a shuffled anti join."""
+    keys = written(keys.select(KEY).distinct(), "dropped")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, KEY, "left_anti").drop(KEY)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +41,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    return without(docs, near_duplicate_classes(docs).where("doc_id != class_id"))
+    """Of each class of near-duplicates the document with the smallest id stays; null ids come last."""
+    rows = keyed(docs)
+    classes = written(near_duplicate_classes(rows, id_col=KEY).where("n_links > 0").select(F.col("doc_id").alias(KEY), "class_id"), "classes")
+    members = written(rows.select(KEY, "doc_id").join(classes, KEY), "members")
+    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY))[KEY].alias("stays"))
+    return without(rows, members.join(first, "class_id").where(F.col(KEY) != F.col("stays"))).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified benchmark item go."""
-    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = keyed(docs)
+    hits = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return without(rows, hits.select(F.col("doc_id").alias(KEY))).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

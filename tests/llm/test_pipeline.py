@@ -30,3 +30,17 @@ def test_stages(spark):
     assert {9001, 9005, 9006} <= ids["sentencepiece"]
     assert not {9002, 9003} & ids["near_duplicates"] and 9004 in ids["near_duplicates"] and 9004 not in ids["decontamination"]
     assert docs.where("round_trip").count() == docs.count()
+
+
+def test_null_and_repeated_ids_are_dropped_too(spark):
+    from confora.llm import stages
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    copy = lambda k: " ".join(f"{k}{i}" for i in range(200))
+    rows = [(None, copy("a")), (None, copy("a")), (None, copy("a").replace("a7 ", "b ")), (5, copy("c")), (5, copy("c")), (3, copy("d")), (2, copy("d")), (None, copy("d")), (None, f"{copy('e')} {bench}"), (5, copy("f")), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    once = written(stages.drop_near_duplicates(spark, docs, SF))
+    assert once.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "")[:2]) for r in stages.drop_contaminated(spark, once, SF).collect())
+    assert got == [("2", "d0"), ("5", "c0"), ("5", "f0"), ("None", ""), ("None", "a0")]
