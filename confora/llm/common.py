@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is taken.
+    Only where that is unset and the session runs in one process (``local``), a temporary folder is taken; a
+    cluster without the setting is an error, for its executors share no temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="confora-")
         shared_dir.own = found
         found = f"file://{found}" if found.startswith("/") else found
@@ -30,7 +34,17 @@ def written(df: DataFrame, what: str = "cut") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def deleted(df: DataFrame) -> None:
+    """Removes the files of a table made by ``written`` that no later plan reads."""
+    jvm, path = df.sparkSession._jvm, getattr(df, "written_path", None)
+    if path:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def n_partitions(spark: SparkSession) -> int:
@@ -55,10 +69,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
 
     Alternating large-star and small-star rounds: each is a pair of aggregations, so a node with
     millions of neighbours is pre-aggregated and never gathered into a list. Every round ends in
-    a written table. Rounds grow with the logarithm of the longest chain; ``max_rounds`` only
+    a written table, and the one before it is deleted. Rounds grow with the logarithm of the longest chain; ``max_rounds`` only
     guards against a bug and raises instead of returning a partial answer.
     """
+
+    def state(edges: DataFrame):
+        return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
     e = written(edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a < b").distinct(), "cc")
+    before = state(e)
     for _ in range(max_rounds):
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select("b", "a"))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -74,11 +93,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
             .distinct()
         )
         new = written(small, "cc")
-        same = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        old = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        now = state(new)
+        deleted(e)
         e = new
-        if same == old:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("components did not settle")
     comp = e.select(F.col("b").alias("node"), F.col("a").alias("component"))

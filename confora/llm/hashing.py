@@ -5,25 +5,16 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words remembered per Python worker; the table is emptied beyond it.
-REMEMBERED = 500_000
+P1 = np.uint64(0x9E3779B97F4A7C15)
+#: Powers are kept up to this length; longer texts make their own and let them go.
+KEPT_POWERS = 1 << 18
 
-
-class _Words(dict):
-    def __missing__(self, word):
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def word_hashes(words: list) -> np.ndarray:
     """A 64-bit hash for each word (str or bytes)."""
-    out = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    return out
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,3 +24,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def powers(p: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """p**i and p**-i modulo 2**64 for i up to n."""
+    known = _powers.get(int(p))
+    if known is None or len(known[0]) <= n:
+        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        inverse = np.uint64(pow(int(p), -1, 1 << 64))
+        up, down = np.full(size, p, np.uint64), np.full(size, inverse, np.uint64)
+        up[0] = down[0] = 1
+        known = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        if size <= KEPT_POWERS:
+            _powers[int(p)] = known
+    return known
+
+
+class Fingerprints:
+    """Hashes of any stretch of a symbol sequence, from prefix sums."""
+
+    def __init__(self, symbols: np.ndarray, p: np.uint64 = P1):
+        up, self.down = powers(p, len(symbols) + 1)
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
+
+    def all(self, width: int) -> np.ndarray:
+        n = len(self.sums) - width
+        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
+
+    def at(self, starts: np.ndarray, width) -> np.ndarray:
+        return mix((self.sums[starts + width] - self.sums[starts]) * self.down[starts])
+
+
+_letters: list[np.ndarray] = []
+
+
+def is_word() -> np.ndarray:
+    """For every code point, whether ``\\w`` matches it: letters, digits and the underscore."""
+    if not _letters:
+        _letters.append(np.fromiter((c == 95 or chr(c).isalnum() for c in range(0x110000)), np.bool_, 0x110000))
+    return _letters[0]
+
+
+def hashes_of_words(text: str) -> np.ndarray:
+    """A 64-bit hash for each lower-cased ``\\w+`` word of ``text``, in order, without a Python object per word."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = is_word()[codes]
+    edges = np.diff(inside)
+    starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    return Fingerprints(mix(codes + P1)).at(starts, ends - starts)

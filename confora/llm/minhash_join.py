@@ -11,15 +11,15 @@
    leave a tile; no pair is ever a row, and none is dropped.
 5. Components of the links give the class of near-duplicates.
 
-Nulls and texts without words link with nothing and are their own class; rows with a null id are
-carried along with the class of their set; repeated rows are documents of their own; an empty table
-gives an empty result; other columns are ignored.
+Nulls and texts without words link with nothing and are their own class; repeated rows are documents of
+their own, also under one id; an id with several texts is one document of each of their sets; rows with a
+null id link like any other and count, and a class's id is the smallest that is not null; very long texts
+are one set; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, n_partitions, renamed, written
-from .hashing import mix, word_hashes
+from .hashing import hashes_of_words, mix
 
-WORD = re.compile(r"\w+")
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 80
-#: Members and n-grams of a tile's side, on average.
-TILE_ROWS = 1024
-TILE_NGRAMS = 1_000_000
+#: Members and n-grams of a tile's side, on average: members are dealt to sides by a hash, so that the largest of many sides of 512 holds some 600.
+TILE_ROWS = 512
+TILE_NGRAMS = 400_000
+#: Bytes of n-grams that a task puts into one batch.
+BATCH_BYTES = 4 << 20
 
 
 def bands_for(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -54,7 +55,7 @@ def bands_for(threshold: float, recall: float, max_hashes: int = MAX_HASHES) ->
 
 def ngram_set(text: str, n: int = NGRAM) -> np.ndarray:
     """Sorted distinct n-gram hashes."""
-    w = word_hashes(WORD.findall(text.lower()))
+    w = hashes_of_words(text)
     if not len(w):
         return w
     n = min(n, len(w))
@@ -86,7 +87,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, ngram: int) -> DataFrame:
-    """(id, k1, k2, n_grams, bands): the set's 128-bit key, its size and band keys; nulls without words."""
+    """(id, tk, k1, k2, n_grams, bands): the set's 128-bit key, its size and band keys; nulls without words."""
 
     def run(batches):
         sign = Signer(bands, rows)
@@ -103,11 +104,11 @@ def signatures(docs: DataFrame, bands: int, rows: int, ngram: int) -> DataFrame:
                 else:
                     k1.append(None), k2.append(None), keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "k1", "k2", "n_grams", "bands"],
+                [b.column(0), b.column(2), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                ["id", "tk", "k1", "k2", "n_grams", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, k1 long, k2 long, n_grams int, bands array<long>")
+    return docs.mapInArrow(run, "id long, tk long, k1 long, k2 long, n_grams int, bands array<long>")
 
 
 def near_duplicate_classes(
@@ -118,11 +119,12 @@ def near_duplicate_classes(
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
     d = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    sigs = written(signatures(d, bands, rows, ngram), "signatures")
-    good = sigs.where("k1 is not null")
-    reps = written(
-        good.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands")).where("rep is not null"), "reps"
-    )
+    sigs = written(signatures(d.withColumn("tk", F.xxhash64("text", F.isnull("id"))), bands, rows, ngram), "signatures")
+    # a set is a node: its smallest id and one of that id's texts stand for it
+    named = F.col("id").isNotNull()
+    one = F.min(F.struct((~named).alias("unnamed"), "id", "tk")).alias("one")
+    good = sigs.where("k1 is not null").groupBy("k1", "k2").agg(one, F.count("*").alias("n"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    reps = written(good.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), F.col("one.id").alias("id"), F.col("one.tk").alias("tk"), "n", "n_grams", "bands"), "reps")
     entries = reps.select("rep", "n_grams", F.posexplode("bands").alias("band", "key"))
     h = F.xxhash64("rep")
     buckets = entries.groupBy("band", "key").agg(
@@ -135,28 +137,30 @@ def near_duplicate_classes(
     tiles = F.greatest(F.ceil(F.col("size") / TILE_ROWS), F.ceil(F.col("grams") / TILE_NGRAMS)).cast("int")
     kept = kept.select("first.band", "first.key", tiles.alias("tiles"))
     wanted = entries.join(kept, ["band", "key"]).groupBy("rep").agg(F.collect_list(F.struct("band", "key", "tiles")).alias("spots"))
-    wanted = written(wanted.join(reps.select("rep", "n", "bands"), "rep"), "wanted")
-    # an id that names several rows is read once: the row whose set has the wanted key
-    keyed = wanted.select("rep", "n", "bands", "spots")
-    texts = d.where("id is not null").join(keyed, F.col("id") == F.col("rep")).select("rep", "n", "bands", "spots", "text")
+    wanted = written(wanted.join(reps.select("rep", "id", "tk", "n", "bands"), "rep"), "wanted")
+    # one text for each wanted set: rows that repeat an id and its text are collapsed before they meet
+    place = lambda tk: (F.coalesce("id", F.lit(0)).alias("a"), tk.alias("b"))
+    texts = d.select(*place(F.xxhash64("text", F.isnull("id"))), "text").groupBy("a", "b").agg(F.first("text").alias("text"))
+    texts = texts.join(wanted.select(*place(F.col("tk")), "rep", "n", "bands", "spots"), ["a", "b"]).select("rep", "n", "bands", "spots", "text")
 
     def deal(batches):
         sign = Signer(bands, rows)
         for b in batches:
-            out = []
+            out, held = [], 0
             for rep, n, keys, spots, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
-                text = text.as_py()
-                g = ngram_set(text, ngram) if text else ()
-                if not len(g) or sign(g).tolist() != keys:
+                g = ngram_set(text.as_py(), ngram)
+                if sign(g).tolist() != keys:  # another text with this id and text key
                     continue
                 packed = g.tobytes()
                 for s in spots:
                     t = s["tiles"]
-                    c = rep * 2654435761 % 4294967296 % t
-                    out += [(s["band"], s["key"], min(c, j), max(c, j), c, rep, n, keys, packed) for j in range(t)]
-                    if len(out) >= 256:
-                        yield record(out)
-                        out = []
+                    c = int(mix(np.array([rep], np.int64).view(np.uint64))[0]) % t
+                    for j in range(t):
+                        out.append((s["band"], s["key"], min(c, j), max(c, j), c, rep, n, keys, packed))
+                        held += len(packed) + 200
+                        if held >= BATCH_BYTES:
+                            yield record(out)
+                            out, held = [], 0
             if out:
                 yield record(out)
 
@@ -173,8 +177,11 @@ def near_duplicate_classes(
     found = written(dealt.mapInArrow(verify, "rep long, links long, other long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
-    known = reps.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(comp, F.col("rep") == comp.node, "left")
-    known = known.select("k1", "k2", F.col("rep").alias("same"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("class"))
+    comp = written(reps.select("rep", "id").join(comp, F.col("rep") == comp.node), "components")
+    named = comp.groupBy("component").agg(F.min("id").alias("class"))
+    comp = comp.join(named, "component").select("rep", "class")
+    known = reps.select("k1", "k2", "rep", "n", F.col("id").alias("same")).join(links, "rep", "left").join(comp, "rep", "left")
+    known = known.select("k1", "k2", "same", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("class", "same").alias("class"))
     all_docs = sigs.select("id", "k1", "k2").join(known, ["k1", "k2"], "left")
     return all_docs.select(
         F.col("id").alias("doc_id"),
@@ -188,14 +195,15 @@ def verified(batches, threshold: float):
     """Rows come tile by tile; a tile at a time is held."""
     now, rows = None, []
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(8)]
+        cols = [b.column(i).to_pylist() for i in range(7)]
+        keys = np.asarray(b.column(7).flatten()).reshape(b.num_rows, -1)
         for i, grams in enumerate(b.column(8)):
             tile = tuple(cols[c][i] for c in range(4))
             if tile != now:
                 if len(rows) > 1:
                     yield tile_links(now, rows, threshold)
                 now, rows = tile, []
-            rows.append((cols[4][i], cols[5][i], cols[6][i], cols[7][i], np.frombuffer(grams.as_py(), np.uint64)))
+            rows.append((cols[4][i], cols[5][i], cols[6][i], keys[i].copy(), np.frombuffer(grams.as_py(), np.uint64)))
     if len(rows) > 1:
         yield tile_links(now, rows, threshold)
 
@@ -214,7 +222,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, gram = owner[keep], new[gram[keep]]
     by = np.argsort(gram, kind="stable")
     owner, gram = owner[by], gram[by]
-    total, width = np.zeros((n, n), np.float32), 2048
+    total, width = np.zeros((n, n), np.float32), 1024
     for lo in range(0, int(gram[-1]) + 1 if len(gram) else 0, width):
         s, e = np.searchsorted(gram, (lo, lo + width))
         m = np.zeros((n, width), np.float32)
@@ -229,8 +237,11 @@ def tile_links(tile, rows, threshold: float) -> pa.RecordBatch:
     ids, weight = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
     keys, sets = np.array([r[3] for r in rows], np.int64), [r[4] for r in rows]
     size = np.array([len(s) for s in sets], np.float64)
-    same = overlaps(sets).astype(np.float64)
-    near = same / (size[:, None] + size - same) >= threshold
+    same = overlaps(sets)
+    near = np.empty(same.shape, bool)
+    for i in range(0, len(sets), 256):
+        part = same[i : i + 256].astype(np.float64)
+        near[i : i + 256] = part / (size[i : i + 256, None] + size - part) >= threshold
     np.fill_diagonal(near, False)
     if ta != tb:
         near &= side[:, None] != side

@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, renamed
-from .hashing import mix
+from .hashing import P1, Fingerprints, mix
 
-P1, P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+P2 = np.uint64(0xD6E8FEB86659FD93)
 #: A fixed 64-bit number for each byte, from the mixing rule.
 BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * P1)
 LONGEST_RUN = 4096
@@ -42,36 +42,6 @@ HOT = 4000
 AT_ONCE = 300_000
 REMEMBERED = 100_000
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(p: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i up to n."""
-    known = _powers.get(int(p))
-    if known is None or len(known[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        inverse = np.uint64(pow(int(p), -1, 1 << 64))
-        up, down = np.full(size, p, np.uint64), np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        known = _powers[int(p)] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return known
-
-
-class Fingerprints:
-    """Hashes of any stretch of a symbol sequence, from prefix sums."""
-
-    def __init__(self, symbols: np.ndarray, p: np.uint64 = P1):
-        up, self.down = powers(p, len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
-
-    def all(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
-
-    def at(self, starts: np.ndarray, width: int) -> np.ndarray:
-        return mix((self.sums[starts + width] - self.sums[starts]) * self.down[starts])
-
 
 def sliding(a: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
     """pick over every ``width`` neighbours, by doubling."""

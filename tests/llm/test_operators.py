@@ -54,6 +54,36 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert {i: r.class_id for i, r in got.items()} == label
 
 
+def test_near_duplicates_of_repeated_ids_and_rows(spark):
+    """Repeated rows, one id with two texts, and null ids: every row is a document."""
+    rng = random.Random(11)
+    a = words(rng, 100)
+    near, far = " ".join([*a[:50], "other", *a[51:]]), " ".join(words(rng, 100, "z"))
+    a = " ".join(a)
+    for rows in (
+        [(1, a), (1, a), (2, near)],
+        [(1, a), (1, far), (2, near), (3, far)],
+        [(None, a), (None, near), (None, far), (4, far), (None, None), (None, a)],
+        [(7, a), (7, near), (7, a), (None, near), (3, None), (3, "")],
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        sets = [set(minhash_join.ngram_set(t).tolist()) if t else set() for _, t in rows]
+        link = [[j for j in range(len(rows)) if j != i and sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8] for i in range(len(rows))]
+        reach = [{i} for i in range(len(rows))]
+        for _ in rows:
+            reach = [r.union(*(reach[j] for j in link[i])) for i, r in enumerate(reach)]
+        low = [min((rows[j][0] for j in r if rows[j][0] is not None), default=None) for r in reach]
+        got = [(r.doc_id, r.class_id, r.n_links) for r in minhash_join.near_duplicate_classes(df).collect()]
+        assert Counter(got) == Counter((i, c, len(x)) for (i, _), c, x in zip(rows, low, link, strict=True))
+
+
+def test_words_are_those_of_the_pattern():
+    for t in ("Don't stop_now, ÉTÉ 漢字2 ß", "", "  ", "a", "x" * 70_000 + " y"):
+        w = re.findall(r"\w+", t.lower())
+        got = minhash_join.hashes_of_words(t)
+        assert len(got) == len(w) and [int(x) for x in got] == [int(minhash_join.hashes_of_words(x)[0]) for x in w]
+
+
 def test_bands():
     b, r = minhash_join.bands_for(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= minhash_join.MAX_HASHES
