@@ -1,19 +1,22 @@
-"""Near-duplicate vectors by spherical k-means cells and blocked cosine products.
+"""Near-duplicate vectors by spherical k-means cells and blocked cosine products, without losing a link.
 
-Cells are Voronoi cells of unit centroids. Vectors of a pair with cosine >= t lie within
-r = sqrt(2 - 2t) of each other on the unit sphere; across a given cell boundary they differ by about
-r / sqrt(dimension). A vector therefore also visits every cell whose bisecting hyperplane is within
-MARGIN times that, and a pair is found when either of the two visits the home cell of the other. Links that are
-found are exact, in double precision. (Visiting all cells within r itself would be lossless, but in
-64 dimensions that is most cells: it took 157 visits a vector.) Recall is measured by tests and ``recall``.
+Cells are Voronoi cells of unit centroids. Vectors of a pair with cosine >= t lie within r = sqrt(2 - 2t) of
+each other on the unit sphere. If x is at home in cell i and y in cell j, the plane that bisects i and j
+stands between them, so their distances to it add up to r at most, and one of the two lies within r / 2 of it. A
+vector therefore also visits every cell whose bisecting plane with its own is within r / 2, and every pair
+meets in the home cell of one of its two vectors: nothing is sampled, estimated or tuned, whatever the
+distribution of the data or the centroids. How many cells a vector visits does depend on the data: few where the
+vectors have structure (low intrinsic dimension, clusters), a good part of all cells where they fill many dimensions evenly.
 
 Bit-equal vectors are first collapsed to one weighted representative. Large cells are cut into home
 blocks; within a block the products are matrix products, and only link counts and component edges
-leave it.
+leave it. The number of cells grows with the number of rows up to MAX_CELLS, beyond which cells grow and are
+compared block by block.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
-kept; vectors of different lengths never link; equal vectors (ties, repeated rows) link; a null id
-is carried along; an empty table gives an empty result; extra columns are ignored.
+kept; vectors of different lengths never link; equal vectors (ties, repeated rows) link; an id that names
+several vectors is a vector for each; rows with a null id link with nothing; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, n_partitions, renamed, written
 
-#: Documented bounds: the rows that centroids are fitted on, and the number of cells.
-FIT_ROWS = 8192
-MAX_CELLS = 2048
-#: Reach of visits, in typical offsets of a pair at the threshold; 1.5 is about 93 % of one-sided boundary cases, and pairs have two chances.
-MARGIN = 1.5
-#: Home rows of a block; a block's inner state is about BLOCK x batch booleans.
+#: Documented bounds: rows for each fitted cell, the number of cells, and the representatives that a cell is to hold below that number.
+FIT_ROWS_PER_CELL = 8
+MAX_CELLS = 8192
+ROWS_PER_CELL = 1024
+#: Home rows of a block; a block's inner state is about BLOCK x BATCH booleans.
 BLOCK = 2048
 BATCH = 4096
 
@@ -55,67 +57,83 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 11)
     return c
 
 
-def fit_cells(reps: DataFrame, n: int, seed: int = 11) -> dict[int, np.ndarray]:
-    """Centroids by vector length, fitted on a sample of at most FIT_ROWS rows."""
-    some = reps.select("vec").sample(min(1.0, 0.8 * FIT_ROWS / max(n, 1)), seed=seed).limit(FIT_ROWS).toPandas()["vec"]
+def fit_cells(reps: DataFrame, n: int, rows_per_cell: int, seed: int = 11) -> dict[int, np.ndarray]:
+    """Centroids by vector length, fitted on a sample of at most FIT_ROWS_PER_CELL rows for each cell."""
+    cells = min(MAX_CELLS, max(1, n // rows_per_cell))
+    rows = FIT_ROWS_PER_CELL * cells
+    some = reps.select("vec").sample(min(1.0, 1.2 * rows / max(n, 1)), seed=seed).limit(rows).toPandas()["vec"]
     by: dict[int, list] = {}
     for v in some:
         by.setdefault(len(v), []).append(v)
-    cells = min(MAX_CELLS, max(1, math.isqrt(n)))
     return {d: spherical_kmeans(unit(np.array(v, dtype=np.float64)), max(1, cells * len(v) // len(some))) for d, v in by.items()}
 
 
-def lists(column: pa.ListArray) -> list[np.ndarray]:
-    return [np.asarray(x.values, dtype=np.float64) for x in column]
+def visited(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home cells, boolean matrix of visited cells) of unit rows ``x``: cells whose bisecting plane with the home cell is within ``reach``."""
+    dots = x @ c.T
+    home = dots.argmax(axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))
+    near = dots.max(axis=1)[:, None] - dots <= reach * apart + 1e-9
+    near[np.arange(len(x)), home] = True
+    return home, near
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, margin: float = MARGIN) -> DataFrame:
+def by_length(column: pa.ListArray):
+    """(length, rows, matrix) for each length among the lists."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    for d in np.unique(sizes):
+        at = np.nonzero(sizes == d)[0]
+        yield int(d), at, values[offsets[at][:, None] + np.arange(d)].astype(np.float64)
+
+
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per input row."""
     spark = vectors.sparkSession
-    v = renamed(vectors, id=id_col, vec=vec_col).withColumn("vec", F.col("vec").cast("array<double>"))
+    v = renamed(vectors, id=id_col, vec=vec_col)
+    if v.schema["vec"].dataType.elementType.typeName() not in ("float", "double"):
+        v = v.withColumn("vec", F.col("vec").cast("array<double>"))
+    kind = v.schema["vec"].dataType.elementType.typeName()  # vectors travel as they are and are compared in double precision
     good = F.coalesce(
         (F.size("vec") > 0)
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-        & F.exists("vec", lambda x: x != 0),
+        & F.exists("vec", lambda x: x != 0)
+        & F.col("id").isNotNull(),
         F.lit(False),
     )
-    v = v.select("id", F.transform("vec", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("vec"), good.alias("good"))
+    v = v.select("id", F.transform("vec", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)).alias("vec"), good.alias("good"))
     v = v.withColumns({"k1": F.xxhash64("vec"), "k2": F.xxhash64(F.lit("second"), "vec")})
-    reps = written(v.where("good").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")).where("rep is not null"), "reps")
-    cells = fit_cells(reps, reps.count())
+    reps = v.where("good").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    reps = written(reps.select("k1", "k2", F.monotonically_increasing_id().alias("rep"), "id", "n", "vec"), "reps")
+    cells = fit_cells(reps, reps.count(), rows_per_cell)
     first = np.cumsum([0, *(len(cells[d]) for d in sorted(cells))])
-    offset = {d: int(first[i]) for i, d in enumerate(sorted(cells))}
-    reach = margin * math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    shared = spark.sparkContext.broadcast((cells, {d: int(first[i]) for i, d in enumerate(sorted(cells))}))  # at most MAX_CELLS centroids
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
 
     def assign(batches):
-        """A row for the home cell and for each visited cell; every row knows all of them."""
+        """A row for the home cell, which knows all visited cells, and one for each visited cell."""
+        cells, offset = shared.value
+        names = ["cell", "home_cell", "visits", "rep", "n", "vec"]
         for b in batches:
-            rows, vecs = [], lists(b.column(2))
-            for d in sorted({len(x) for x in vecs}):
-                at = [i for i, x in enumerate(vecs) if len(x) == d]
-                for s in range(0, len(at), 1024):
-                    some = at[s : s + 1024]
-                    if d not in cells:  # a length too rare for the sample has one cell
-                        rows += [(i, -d, -d, [-d]) for i in some]
-                        continue
-                    c = cells[d]
-                    dots = unit(np.array([vecs[i] for i in some])) @ c.T
-                    home = dots.argmax(axis=1)
-                    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[home]
-                    apart[np.arange(len(some)), home] = 1.0
-                    near = dots.max(axis=1)[:, None] - dots <= reach / math.sqrt(d) * apart
-                    for r, i in enumerate(some):
-                        visits = (np.nonzero(near[r])[0] + offset[d]).tolist()
-                        rows += [(i, v, offset[d] + int(home[r]), visits) for v in visits]
-            take, cell, home, visits = zip(*rows, strict=True) if rows else ((), (), (), ())
-            got = b.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell, pa.int32()), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32())), got.column(0), got.column(1), got.column(2)],
-                ["cell", "home_cell", "visits", "rep", "n", "vec"],
-            )
+            for d, at, x in by_length(b.column(2)):
+                c = cells.get(d)
+                step = 1024 if c is None else max(16, min(1024, (1 << 21) // len(c)))
+                for s in range(0, len(at), step):
+                    some = at[s : s + step]
+                    if c is None:  # a length too rare for the sample has one cell
+                        take, cell = some, np.full(len(some), -d)
+                        home, visits = cell, [[-d]] * len(some)
+                    else:
+                        homes, near = visited(unit(x[s : s + step]), c, reach)
+                        row, cell = np.nonzero(near)
+                        take, cell, home = some[row], cell + offset[d], homes[row] + offset[d]
+                        lists = np.split(cell, np.cumsum(near.sum(axis=1))[:-1])
+                        visits = [lists[r].tolist() if i == h else None for r, i, h in zip(row.tolist(), cell.tolist(), home.tolist(), strict=True)]
+                    got = b.take(pa.array(take, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32())), got.column(0), got.column(1), got.column(2)], names)
 
     spread = max(n_partitions(spark), 1)
-    members = reps.select("rep", "n", "vec").repartition(spread).mapInArrow(assign, "cell int, home_cell int, visits array<int>, rep long, n long, vec array<double>")
+    members = reps.select("rep", "n", "vec").repartition(spread).mapInArrow(assign, f"cell int, home_cell int, visits array<int>, rep long, n long, vec array<{kind}>")
     members = written(members, "members")
     blocks = members.where("cell = home_cell").groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -124,14 +142,15 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     dealt = spots.repartition(spread, "cell", "block").sortWithinPartitions("cell", "block", F.desc("home"), "rep")
 
     def compare(batches):
-        for out in compared(batches, threshold):
-            yield out
+        yield from compared(batches, threshold)
 
     found = written(dealt.mapInArrow(compare, "rep long, links long, other long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
-    known = reps.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(comp, F.col("rep") == comp.node, "left")
-    known = known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("good"))
+    comp = written(reps.select("rep", "id").join(comp, F.col("rep") == comp.node), "components")
+    comp = comp.join(comp.groupBy("component").agg(F.min("id").alias("least")), "component").select("rep", "least")
+    known = reps.select("k1", "k2", "rep", "n", F.col("id").alias("own")).join(links, "rep", "left").join(comp, "rep", "left")
+    known = known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "own").alias("component_id"), F.lit(True).alias("good"))
     result = v.select("id", "k1", "k2", "good").join(known, ["k1", "k2", "good"], "left")
     component = F.coalesce("component_id", "id")
     return result.select(
@@ -142,34 +161,41 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     )
 
 
-def compared(batches, threshold: float):
-    """Rows come block by block, home rows first. Yields link counts and component edges."""
+def record(rep, links, other) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], ["rep", "links", "other"])
+
+
+class Block:
+    """Home rows of one block of a cell: their links so far and the labels of what they link with."""
+
+    def __init__(self, cell: int, threshold: float):
+        self.cell, self.threshold, self.parts, self.visits, self.rows = cell, threshold, [], [], None
 
-    def record(rep, links, other):
-        return pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], ["rep", "links", "other"])
+    def add(self, ids, weights, rows, visits) -> None:
+        self.parts.append((ids, weights, rows))
+        self.visits += visits
 
-    def start(hs):
-        """Ids, unit rows, weights, visited cells, links so far and component labels of the home rows."""
-        ids = np.array([x[0] for x in hs], np.int64)
-        return ids, np.stack([x[2] for x in hs]), np.array([x[1] for x in hs], np.int64), [set(x[4]) for x in hs], np.zeros(len(hs), np.int64), ids.copy()
+    def ready(self) -> None:
+        if self.rows is None:
+            self.ids, self.weights, self.rows = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            self.parts, self.links, self.label = None, np.zeros(len(self.ids), np.int64), self.ids.copy()
 
-    def meet(h, cell, ms):
-        hid, hrows, hw, visits, links, lab = h
-        mid, mrows, mw = np.array([x[0] for x in ms], np.int64), np.stack([x[2] for x in ms]), np.array([x[1] for x in ms], np.int64)
-        near = (hrows @ mrows.T) >= threshold
-        near &= hid[:, None] != mid[None, :]
-        links += near @ mw
+    def meet(self, mid, mw, mrows, homes):
+        """Home rows against other members; yields what visitors learn here and the edges of components."""
+        self.ready()
+        near = (self.rows @ mrows.T) >= self.threshold
+        near &= self.ids[:, None] != mid[None, :]
         rows, cols = near.any(axis=1), near.any(axis=0)
         if not rows.any():
             return
-        homes = np.array([x[3] for x in ms])
-        for other in np.unique(homes[cols & (homes != cell)]):
+        self.links += near @ mw
+        for other in np.unique(homes[cols & (homes != self.cell)]):
             # visitors whose own cell the home row does not visit learn of the link here
-            unseen = np.array([other not in v for v in visits])
+            unseen = np.array([other not in v for v in self.visits])
             at = np.nonzero(cols & (homes == other))[0]
-            gained = hw @ (near[:, at] & unseen[:, None])
+            gained = self.weights @ (near[:, at] & unseen[:, None])
             yield record(mid[at][gained > 0], gained[gained > 0], [None] * int((gained > 0).sum()))
-        a, old = near[np.ix_(rows, cols)], lab[rows]
+        a, old = near[np.ix_(rows, cols)], self.label[rows]
         top = np.iinfo(np.int64).max
         hl, ml = old.copy(), mid[cols].copy()
         while True:
@@ -178,42 +204,54 @@ def compared(batches, threshold: float):
             if (m2 == ml).all() and (h2 == hl).all():
                 break
             ml, hl = m2, h2
-        lab[rows] = hl
+        self.label[rows] = hl
         edges = np.concatenate([np.stack([mid[cols], ml], 1), np.stack([old, hl], 1)])
         edges = np.unique(edges[edges[:, 0] != edges[:, 1]], axis=0)
         yield record(edges[:, 0], np.zeros(len(edges), np.int64), edges[:, 1])
 
-    def finish(h):
-        hid, _, _, _, links, lab = h
-        moved = lab != hid
-        yield record(np.concatenate([hid, hid[moved]]), np.concatenate([links, np.zeros(moved.sum(), np.int64)]), [None] * len(hid) + lab[moved].tolist())
+    def among_home(self):
+        self.ready()
+        for s in range(0, len(self.ids), BATCH):
+            p = slice(s, s + BATCH)
+            yield from self.meet(self.ids[p], self.weights[p], self.rows[p], np.full(len(self.ids[p]), self.cell))
+
+    def finished(self):
+        moved = self.label != self.ids
+        yield record(np.concatenate([self.ids, self.ids[moved]]), np.concatenate([self.links, np.zeros(moved.sum(), np.int64)]), [None] * len(self.ids) + self.label[moved].tolist())
+
+
+def compared(batches, threshold: float):
+    """Rows come block by block, home rows first. Yields link counts and component edges."""
+    now, block, begun = None, None, False
+
+    def ended():
+        if block is not None and (block.parts or block.rows is not None):
+            if not begun:
+                yield from block.among_home()
+            yield from block.finished()
 
-    now, hs, ms, home = None, [], [], None
     for b in batches:
-        cell, block, at_home, rep, n = (b.column(i).to_pylist() for i in range(5))
-        vecs, home_cell, visits = lists(b.column(5)), b.column(6).to_pylist(), b.column(7).to_pylist()
-        for i in range(len(cell)):
-            if (cell[i], block[i]) != now:
-                if hs:
-                    home = home or start(hs)
-                    if ms:
-                        yield from meet(home, now[0], ms)
-                    yield from finish(home)
-                now, hs, ms, home = (cell[i], block[i]), [], [], None
-            row = (rep[i], n[i], unit(vecs[i][None, :])[0], home_cell[i], visits[i])
-            if at_home[i]:
-                hs.append(row)
-            ms.append(row)
-            if len(ms) >= BATCH and not at_home[i]:
-                if hs:
-                    home = home or start(hs)
-                    yield from meet(home, now[0], ms)
-                ms = []
-    if hs:
-        home = home or start(hs)
-        if ms:
-            yield from meet(home, now[0], ms)
-        yield from finish(home)
+        cell, number, at_home = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        ids, weights, homes = (b.column(i).to_numpy() for i in (3, 4, 6))
+        values, offsets = b.column(5).values.to_numpy(zero_copy_only=False), b.column(5).offsets.to_numpy()
+        cut = np.nonzero((np.diff(cell) != 0) | (np.diff(number) != 0) | (np.diff(at_home.astype(np.int8)) != 0))[0] + 1
+        for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(cell)], strict=True):
+            if s == e:
+                continue
+            if (cell[s], number[s]) != now:
+                yield from ended()
+                now, block, begun = (cell[s], number[s]), Block(int(cell[s]), threshold), False
+            for lo in range(s, e, BATCH):
+                hi = min(e, lo + BATCH)
+                rows = unit(values[offsets[lo] : offsets[hi]].reshape(hi - lo, -1).astype(np.float64))
+                if at_home[lo]:
+                    block.add(ids[lo:hi], weights[lo:hi], rows, [set(x) for x in b.column(7).slice(lo, hi - lo).to_pylist()])
+                elif block.parts or block.rows is not None:
+                    if not begun:
+                        yield from block.among_home()
+                        begun = True
+                    yield from block.meet(ids[lo:hi], weights[lo:hi], rows, homes[lo:hi])
+    yield from ended()
 
 
 def recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, queries: int = 500) -> float:
@@ -223,7 +261,7 @@ def recall(vectors: DataFrame, found: DataFrame, id_col: str = "vec_id", vec_col
 
     def count(batches):
         for b in batches:
-            rows = unit(np.stack(lists(b.column(1))))
+            rows = unit(b.column(1).flatten().to_numpy().reshape(b.num_rows, -1))
             near = ((q @ rows.T) >= threshold) & (ids[:, None] != b.column(0).to_numpy()[None, :])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.sum(axis=1))], ["id", "n"])
 
