@@ -369,7 +369,7 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     x = np.concatenate([b[rng.integers(0, 30, 300)] + rng.normal(size=(300, 16)) * 0.12, b[:3], b[:3], np.zeros((1, 16))])
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [1.0, float("nan")]), (402, [1.0, 2.0]), (403, [2.0, 4.0]), (404, []), (405, [None, 1.0]), (406, [float("inf"), 1.0])]
     df = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<double>, cell int")
-    found = embedding_cells.near_duplicate_vectors(df, margin=4.0)
+    found = embedding_cells.near_duplicate_vectors(df, rows_per_cell=10)
     got = {r.vec_id: r for r in found.collect()}
     u = x[:306] / np.linalg.norm(x[:306], axis=1, keepdims=True)
     near = u @ u.T >= 0.95
@@ -381,4 +381,31 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert [got[i].component_id for i in range(306)] == label.tolist()
     assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in (306, 400, 401, 404, 405, 406)] == [(0, i, True) for i in (306, 400, 401, 404, 405, 406)]
     assert (got[402].n_links, got[403].component_id, got[403].kept) == (1, 402, False)
-    assert embedding_cells.recall(df.where("vec_id < 306"), embedding_cells.near_duplicate_vectors(df)) >= 0.9
+    assert embedding_cells.recall(df.where("vec_id < 306"), found) == 1.0
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "subspace", "clusters", "one_direction"])
+def test_no_link_is_lost(spark, kind):
+    """All links at the default threshold, whatever the shape of the data, with small cells."""
+    rng = np.random.default_rng(3)
+    n, d, k = 1500, 64, 8
+    if kind == "subspace":
+        d, k = 384, 16
+        x = rng.normal(size=(n, k)) @ np.linalg.qr(rng.normal(size=(d, k)))[0].T
+    elif kind == "clusters":
+        x = rng.normal(size=(20, d))[rng.integers(0, 20, n)] + rng.normal(size=(n, d)) * 0.2
+    else:
+        x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=(n, d)) if kind != "one_direction" else np.tile(np.eye(d)[0], (n, 1))
+    if kind == "subspace":
+        step = step @ np.linalg.qr(x[:k].T)[0] @ np.linalg.qr(x[:k].T)[0].T
+    step -= (step * x).sum(axis=1, keepdims=True) * x
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    cos = rng.uniform(0.951, 0.97, n)[:, None]
+    x = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * step])
+    near = (x @ x.T) >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_cells.near_duplicate_vectors(df, rows_per_cell=50).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist() and near.sum() >= 2 * n
