@@ -23,7 +23,7 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import capture_runs, globally_numbered, merged_index, write_archives
 
     pages = table(spark, sf_dir, "pages")
-    at = F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_577_836_800)
+    at = F.timestamp_seconds(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9)) + 1_577_836_800)  # the table has no capture times
     merged = globally_numbered(merged_index(capture_runs(spark, write_archives(pages, at))))
     return merged.select(
         F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"),
@@ -137,7 +137,7 @@ OP4 = (
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY 1),
 q AS (SELECT p.*, first, regexp_extract(u, '^[a-z]+://(?:www[.])?([^/?:]*)', 1) AS host, regexp_extract(u, '^[a-z]+://[^/?]*(.*)$', 1) AS rest FROM p JOIN f USING (h)),
 r AS (SELECT *, array_to_string(list_reverse(string_split(lower(host), '.')), ',') || ')' || CASE WHEN rest = '' OR rest[1] = '?' THEN '/' || rest ELSE rest END AS url_key,
-    strftime(to_timestamp(page_id + 1577836800) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS capture_time FROM q)
+    strftime(to_timestamp(page_id % 1000000000 + 1577836800) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS capture_time FROM q)
 SELECT page_id, n AS payload_bytes, """
     + _BASE32
     + """ AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,

@@ -2,14 +2,16 @@
 
 Records are written with Spark's own text writer (record separator CRLF CRLF, which is how a WARC
 record ends), so any shared store works and a lost executor only repeats its task. Reading back,
-each archive file becomes one locally sorted run of captures, kept as a table in the shared
-folder. The runs are then cut at range boundaries over (URL key, timestamp, record) and the pieces
-of each range are merged k-way by a loser tree, which gives globally ordered capture histories:
+the captures of a task's archive files become locally sorted runs of up to RUN_CAPTURES, kept as a table in the shared
+folder. The runs are then cut at range boundaries over (URL key, timestamp, record id, place in the archive), an order without
+ties, so that no key and no repeated row makes a range larger, and the pieces
+of each range are merged k-way by a loser tree, in passes of FAN_IN runs at most, which gives globally ordered capture histories:
 ranges in order of ``range_id``, captures within a range in order of ``position``.
 
 A null payload is an empty one; a null or odd URL has the key of its text, null the empty key; a
 null id is kept as null and may not be referred to; rows that repeat the smallest id of a payload are
-all responses; empty tables give empty archives and results; extra columns are ignored.
+all responses; a null capture time is the epoch, and dates are written in UTC whatever the session's time zone;
+empty tables give empty archives and results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import renamed, shared_dir, written
@@ -32,9 +34,11 @@ END = "\r\n\r\n"
 #: At most so many keys are sampled to place range boundaries; boundaries only spread the work, results never depend on them.
 BOUNDARY_SAMPLE = 20_000
 CAPTURES_PER_RANGE = 100_000
+#: Captures that a task sorts into one run, and runs that one pass merges.
+RUN_CAPTURES = 50_000
+FAN_IN = 64
 CAPTURE = "url_key string, capture_time string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, archive string, record_offset long"
 COLUMNS = [c.split()[0] for c in CAPTURE.split(", ")]
-N_KEY = 3
 
 
 def sha1_base32(data: Column) -> Column:
@@ -44,6 +48,15 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.upper(F.concat(*groups)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def utc(at: Column) -> Column:
+    """``2020-01-31T23:59:59Z`` from the seconds since the epoch, which no session's time zone shifts."""
+    seconds = F.unix_seconds(at)
+    day, rest = F.floor(seconds / 86_400).cast("int"), F.pmod(seconds, F.lit(86_400))
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(F.floor(rest / 3600)), two(F.floor(F.pmod(rest, F.lit(3600)) / 60)), two(F.pmod(rest, F.lit(60))))
+    return F.concat(F.date_from_unix_date(day).cast("string"), F.lit("T"), clock, F.lit("Z"))
+
+
 def write_archives(
     pages: DataFrame, capture_time: Column, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     min_revisit_bytes: int = 0, records_per_file: int = 2000, path: str | None = None,
@@ -65,7 +78,7 @@ def write_archives(
         F.lit("WARC/1.1"),
         line("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">"))),
-        line("WARC-Date", F.date_format(F.coalesce("at", F.timestamp_seconds(F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", utc(F.coalesce("at", F.timestamp_seconds(F.lit(0))))),
         F.when(F.col("url").isNotNull(), line("WARC-Target-URI", clean)).otherwise(""),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         line("X-Payload-Length", F.col("n").cast("string")),
@@ -120,25 +133,38 @@ def parse_archive(data: bytes, name: str) -> Iterator[tuple]:
 
 
 def order(capture: tuple) -> tuple:
-    return (capture[0], capture[1], len(capture[2] or ""), capture[2] or "")
+    """URL key, time, record id, and the place in its archive, so that no two captures are equal."""
+    return (capture[0], capture[1], len(capture[2] or ""), capture[2] or "", *capture[7:9])
+
+
+KINDS = [pa.string() if c.split()[1] == "string" else pa.int64() for c in CAPTURE.split(", ")]
+
+
+def table_of(captures: list[tuple]) -> list[pa.Array]:
+    return [pa.array(x, kind) for x, kind in zip(zip(*captures, strict=True) if captures else [()] * len(KINDS), KINDS, strict=True)]
 
 
-def capture_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One sorted run of captures per archive file, written to the shared folder."""
+def capture_runs(spark: SparkSession, path: str, run_captures: int = RUN_CAPTURES) -> DataFrame:
+    """Sorted runs of captures, written to the shared folder; a run has the name of its first archive file and the captures of one or more."""
 
-    def run(batches):
+    def runs(batches):
+        held: list[tuple] = []
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
-                name = name.as_py().rpartition("/")[2]
-                found = sorted(parse_archive(content.as_py(), name), key=order)
-                yield pa.RecordBatch.from_arrays([pa.array(x) if i not in (2, 6) else pa.array(x, pa.string()) for i, x in enumerate(zip(*found, strict=True))], COLUMNS) if found else empty()
-
-    def empty():
-        kinds = {"string": pa.string(), "long": pa.int64()}
-        return pa.RecordBatch.from_arrays([pa.array([], kinds[c.split()[1]]) for c in CAPTURE.split(", ")], COLUMNS)
+                held += parse_archive(content.as_py(), name.as_py().rpartition("/")[2])
+                if len(held) >= run_captures:
+                    yield run(held)
+                    held = []
+        if held:
+            yield run(held)
+
+    def run(held):
+        name = held[0][7]
+        held.sort(key=order)
+        return pa.RecordBatch.from_arrays([*table_of(held), pa.array([name] * len(held), pa.string())], [*COLUMNS, "run"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return written(files.mapInArrow(run, CAPTURE), "runs")
+    return written(files.mapInArrow(runs, f"{CAPTURE}, run string"), "runs")
 
 
 class LoserTree:
@@ -178,56 +204,61 @@ class LoserTree:
             self.replay(w)
 
 
+def merged(runs: list[list[tuple]], fan_in: int = FAN_IN) -> list[tuple]:
+    """Sorted runs as one, by passes that each merge ``fan_in`` runs at most."""
+    while len(runs) > 1:
+        runs = [list(LoserTree(runs[i : i + fan_in])) for i in range(0, len(runs), fan_in)]
+    return runs[0] if runs else []
+
+
 def merged_index(runs: DataFrame, captures_per_range: int = CAPTURES_PER_RANGE) -> DataFrame:
     """The runs merged: CAPTURE columns, range_id and position. Ranges hold about ``captures_per_range``."""
     n = runs.count()
     n_ranges = max(1, -(-n // captures_per_range))
     bounds: list[tuple] = []
     if n_ranges > 1:
-        keys = runs.select("url_key", "capture_time", "page_id").sample(min(1.0, 0.8 * BOUNDARY_SAMPLE / n), seed=7).limit(BOUNDARY_SAMPLE)
+        keys = runs.select(*COLUMNS).sample(min(1.0, 0.8 * BOUNDARY_SAMPLE / n), seed=7).limit(BOUNDARY_SAMPLE)
         some = sorted(order(tuple(r)) for r in keys.collect())
         bounds = sorted({some[len(some) * i // n_ranges] for i in range(1, n_ranges)}) if some else []
 
     def pieces(batches):
-        """Cuts each stretch of a run at the boundaries; every piece is sorted as its run is."""
+        """Cuts each stretch of a run at the boundaries; every piece is sorted as its run is, and is one row of arrays."""
         for b in batches:
-            names = b.column(7).to_pylist()
-            keys = [order(x) for x in zip(*(b.column(i).to_pylist() for i in range(N_KEY)), strict=True)]
-            ranges = [bisect_right(bounds, k) for k in keys]
-            ids, packed, start = [], [], 0
-            for i in range(1, len(names) + 1):
-                if i == len(names) or names[i] != names[start] or ranges[i] != ranges[start]:
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, b.schema) as out:
-                        out.write_batch(b.slice(start, i - start))
-                    ids.append(ranges[start])
-                    packed.append(sink.getvalue().to_pybytes())
-                    start = i
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(packed, pa.binary())], ["range_id", "piece"])
+            names = b.column(len(COLUMNS)).to_pylist()
+            captures = list(zip(*(b.column(i).to_pylist() for i in range(len(COLUMNS))), strict=True))
+            ranges = [bisect_right(bounds, order(c)) for c in captures]
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1] or ranges[i] != ranges[i - 1]), len(names)]
+            offsets = pa.array(cuts, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, b.column(i)) for i in range(len(COLUMNS))]
+            yield pa.RecordBatch.from_arrays([pa.array([ranges[i] for i in cuts[:-1]], pa.int32()), *lists], ["range_id", *COLUMNS])
 
     def merge(batches):
-        held: dict[int, list] = {}
+        """Ranges come one after the other; the pieces of one are held."""
+        now, held = None, []
+
+        def out():
+            found = merged(held)
+            return pa.RecordBatch.from_arrays([*table_of(found), pa.array([now] * len(found), pa.int32()), pa.array(range(len(found)), pa.int64())], [*COLUMNS, "range_id", "position"])
+
         for b in batches:
-            for r, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.setdefault(r, []).append(pa.ipc.open_stream(piece.as_py()).read_all())
-        for r in sorted(held):
-            runs_of = (zip(*(t.column(i).to_pylist() for i in range(len(COLUMNS))), strict=True) for t in held[r])
-            found = list(LoserTree(runs_of))
-            kinds = held[r][0].schema
-            cols = [pa.array(x, kinds.field(i).type) for i, x in enumerate(zip(*found, strict=True))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([r] * len(found), pa.int32()), pa.array(range(len(found)), pa.int64())], [*COLUMNS, "range_id", "position"])
+            for row in zip(*(b.column(i).to_pylist() for i in range(len(COLUMNS) + 1)), strict=True):
+                if row[0] != now:
+                    if held:
+                        yield out()
+                    now, held = row[0], []
+                held.append(list(zip(*row[1:], strict=True)))
+        if held:
+            yield out()
 
-    cut = runs.mapInArrow(pieces, "range_id int, piece binary")
-    return cut.repartitionByRange(n_ranges, "range_id").mapInArrow(merge, f"{CAPTURE}, range_id int, position long")
+    arrays = ", ".join(f"{c.split()[0]} array<{c.split()[1]}>" for c in CAPTURE.split(", "))
+    cut = runs.mapInArrow(pieces, f"range_id int, {arrays}")
+    return cut.repartitionByRange(n_ranges, "range_id").sortWithinPartitions("range_id").mapInArrow(merge, f"{CAPTURE}, range_id int, position long")
 
 
 def globally_numbered(merged: DataFrame) -> DataFrame:
     """Adds index_position, the place in the whole index: places within ranges plus the sizes of the ranges before (a row per range)."""
     merged = written(merged, "index")
-    sizes = dict(merged.groupBy("range_id").count().collect())
-    before, total = [], 0
-    for r in sorted(sizes):
-        before += [F.lit(r), F.lit(total)]
-        total += sizes[r]
-    start = F.element_at(F.create_map(*before), F.col("range_id")) if before else F.lit(0)
-    return merged.withColumn("index_position", (start + F.col("position")).cast("long"))
+    sizes = merged.groupBy("range_id").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return merged.join(starts, "range_id").withColumn("index_position", (F.col("start") + F.col("position")).cast("long")).drop("start")
