@@ -197,10 +197,21 @@ def test_encoding_round_trip(spark, piece_model):
 # 4
 def test_loser_tree():
     rng = random.Random(5)
-    runs = [sorted([(rng.choice("abc"), f"{rng.randrange(9)}", str(rng.randrange(50)), i) for i in range(rng.randrange(8))], key=warc.order) for _ in range(7)]
-    out = list(warc.LoserTree(runs))
-    assert sorted(map(warc.order, out)) == [warc.order(x) for x in out] and len(out) == sum(map(len, runs))
-    assert list(warc.LoserTree([])) == [] and list(warc.LoserTree([[]])) == []
+    capture = lambda r, i: (rng.choice("abc"), f"{rng.randrange(9)}", str(rng.randrange(50)), 0, "", "", None, f"file{r}", i)
+    runs = [sorted([capture(r, i) for i in range(rng.randrange(8))], key=warc.order) for r in range(30)]
+    for out in (list(warc.LoserTree(runs)), warc.merged(runs, 2), warc.merged(runs, 4)):
+        assert sorted(map(warc.order, out)) == [warc.order(x) for x in out] and len(out) == sum(map(len, runs))
+    assert list(warc.LoserTree([])) == [] and list(warc.LoserTree([[]])) == [] and warc.merged([]) == []
+
+
+def test_dates_are_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = spark.sql("select explode(array(0, -1, 1604217599, 4102444800, -2208988801)) as s").select("s", warc.utc(F.timestamp_seconds("s")).alias("t")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    want = {0: "1970-01-01T00:00:00Z", -1: "1969-12-31T23:59:59Z", 1604217599: "2020-11-01T07:59:59Z", 4102444800: "2100-01-01T00:00:00Z", -2208988801: "1899-12-31T23:59:59Z"}
+    assert {r.s: r.t for r in found} == want
 
 
 def test_archives(spark):
@@ -211,6 +222,8 @@ def test_archives(spark):
     rows = warc.merged_index(runs, captures_per_range=2).orderBy("range_id", "position").collect()
     keys = [(r.url_key, r.capture_time) for r in rows]
     assert keys == sorted(keys) and len(rows) == 7
+    numbered = warc.globally_numbered(warc.merged_index(warc.capture_runs(spark, warc.write_archives(df, at, records_per_file=1), run_captures=2), captures_per_range=2))
+    assert [r.url_key for r in numbered.orderBy("index_position").collect()] == [k for k, _ in keys] and numbered.agg(F.max("index_position")).first()[0] == 6
     got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows}
     assert got == {("3", 4, "revisit", "1"), ("1", 4, "response", None), ("2", 0, "response", None), ("4", 0, "revisit", "2"), ("5", 14, "response", None), (None, 4, "revisit", "1")}
     assert {r.payload_digest for r in rows if r.page_id == "1"} == {base64.b32encode(hashlib.sha1(b"same").digest()).decode()}
