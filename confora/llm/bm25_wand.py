@@ -1,6 +1,7 @@
 """Benchmark decontamination: BM25 inverted index of test items, block-max WAND, overlap verification.
 
-The index is over the benchmark items, whose size is checked before it is broadcast; every passage
+The index is over the benchmark items and is broadcast; a benchmark beyond a checked size is indexed in parts, each
+below it and each with the statistics of the whole, and the union of the parts' hits is the result. Every passage
 of every training document is a query. Scores are BM25 divided by the item's own score (1.0: all of
 the item's terms are there), so one threshold fits short and long items. Retrieval is exact:
 
@@ -16,12 +17,14 @@ as a whole overlaps. Parts of so few n-grams that one edited word could fail the
 word edit distance to the nearest stretch of the passage.
 
 Nulls and texts without words neither query nor match; repeated items are hits of their own; ids may be
-null and are carried along; empty tables give an empty result; extra columns are ignored.
+null or repeated and are carried along, a row of hits for each document row; very long texts are read whole; empty
+tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 import re
 from collections import Counter
@@ -30,14 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
-from .common import renamed
+from .common import renamed, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: The index is refused above this size instead of being broadcast.
-MAX_INDEX_BYTES = 256 << 20
+#: Bytes of benchmark text that are indexed and broadcast at once.
+PART_BYTES = 8 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -53,13 +58,16 @@ def split_answer(text: str) -> tuple[str, str]:
 class Index:
     """Postings in item order with normalised impacts, cut into blocks with their maxima."""
 
-    def __init__(self, items: list[tuple], k1: float = K1, b: float = B, block: int = BLOCK):
+    def __init__(self, items: list[tuple], k1: float = K1, b: float = B, block: int = BLOCK, whole: tuple[int, float, dict] | None = None):
+        """``whole``: number of items, their mean length and document frequencies, where ``items`` are a part of them."""
         self.ids = [i for i, _, _ in items]
         self.parts = [(words(q), words(a)) for _, q, a in items]
         full = self.full = [q + a for q, a in self.parts]
         n, mean = max(1, len(full)), sum(map(len, full)) / max(1, len(full)) or 1.0
         tf = [Counter(x) for x in full]
         df = Counter(t for c in tf for t in c)
+        if whole:
+            n, mean, df = whole
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         self.longest = max(map(len, full), default=0)
         postings: dict[str, list] = {}
@@ -88,8 +96,6 @@ class Index:
             for g, x in m.items():
                 at = g * self.groups // self.n_blocks
                 self.bound[t, at] = max(self.bound[t, at], np.nextafter(np.float32(x), np.float32(2)))
-        if self.bound.nbytes > MAX_INDEX_BYTES:
-            raise ValueError(f"the benchmark index would take {self.bound.nbytes} bytes on every executor")
 
     def wand(self, terms: set[int], threshold: float) -> list[tuple[int, float]]:
         """All items scoring >= threshold, by block-max WAND."""
@@ -171,6 +177,7 @@ def tolerant_overlap(part: list[str], passage: list[str], n: int, least: float)
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     question_col: str = "text", answer_col: str | None = None, threshold: float = 0.5, min_overlap: float = 0.8, ngram: int = 5,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): a row for each verified hit of a document, with its best passage's score.
 
@@ -181,12 +188,47 @@ def contaminated(
         b = renamed(benchmark, i=item_col, q=question_col, a=answer_col)
     else:
         b = renamed(benchmark, i=item_col, q=question_col).withColumn("a", F.lit(None).cast("string"))
-    size = b.agg(F.sum(F.octet_length("q") + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
-    if size > MAX_INDEX_BYTES // 8:
-        raise ValueError(f"the benchmark has {size} bytes of text: index it in parts")
-    items = [(r.i, r.q, r.a) for r in b.collect() if words(r.q) or words(r.a)]
-    items = [(i, q or "", a) if answer_col else (i, *split_answer(q)) for i, q, a in items]
-    shared = spark.sparkContext.broadcast(Index(items))
+    d = renamed(docs, id=id_col, text=text_col)
+    found = [hits_of(d, index, bool(answer_col), b.schema["i"].dataType.simpleString(), threshold, min_overlap, ngram) for index in indexes(b, bool(answer_col), part_bytes)]
+    return functools.reduce(DataFrame.unionAll, found)
+
+
+def item_parts(question: str | None, answer: str | None, answered: bool) -> tuple[str, str]:
+    return (question or "", answer or "") if answered else split_answer(question or "")
+
+
+def indexes(benchmark: DataFrame, answered: bool, part_bytes: int):
+    """The index of ``benchmark`` (i, q, a), or those of its parts; at least one."""
+    spark = benchmark.sparkSession
+    size = benchmark.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
+    n_parts = -(-2 * size // part_bytes) if size > part_bytes else 1
+    if n_parts == 1:
+        rows = [(r.i, *item_parts(r.q, r.a, answered)) for r in benchmark.collect()]
+        yield spark.sparkContext.broadcast(Index([x for x in rows if words(x[1]) or words(x[2])]))
+        return
+    parts = written(benchmark.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(n_parts)).cast("int")), "benchmark")
+
+    def terms(batches):
+        for batch in batches:
+            texts = [item_parts(q, a, answered) for q, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            own = [words(q) + words(a) for q, a in texts]
+            of = [p for p, w in zip(batch.column(2).to_pylist(), own, strict=True) if w]
+            own = [w for w in own if w]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array([len(w) for w in own], pa.int64()), pa.array([sorted(set(w)) for w in own], pa.list_(pa.string()))], ["part", "n", "terms"])
+
+    of = written(parts.select("q", "a", "part").mapInArrow(terms, "part int, n long, terms array<string>"), "terms")
+    n, total = of.agg(F.count("*"), F.sum("n")).first()
+    each = of.select("part", F.explode("terms").alias("term"))
+    df = written(each.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    for part in range(n_parts):
+        rows = [(r.i, *item_parts(r.q, r.a, answered)) for r in parts.where(F.col("part") == part).collect()]  # part_bytes of text, about
+        rows = [x for x in rows if words(x[1]) or words(x[2])]
+        known = dict(map(tuple, each.where(F.col("part") == part).select("term").distinct().join(df, "term").collect()))
+        yield spark.sparkContext.broadcast(Index(rows, whole=(n, total / n, known) if rows else None))
+
+
+def hits_of(d: DataFrame, shared, answered: bool, item_kind: str, threshold: float, min_overlap: float, ngram: int) -> DataFrame:
+    """The verified hits of documents (id, text) on one index."""
 
     def run(batches):
         index = shared.value
@@ -216,12 +258,12 @@ def contaminated(
                         if item in best and best[item][0] >= score:
                             continue
                         found = tuple(tolerant_overlap(x, ws[lo:hi], ngram, min_overlap) for x in index.parts[item])
-                        if min(found) >= min_overlap or (not answer_col and tolerant_overlap(index.full[item], ws[lo:hi], ngram, min_overlap) >= min_overlap):
+                        if min(found) >= min_overlap or (not answered and tolerant_overlap(index.full[item], ws[lo:hi], ngram, min_overlap) >= min_overlap):
                             best[item] = (score, *found)
                 out += [(at.as_py(), index.ids[i], *x) for i, x in sorted(best.items())]
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            kinds = [batch.schema.field(0).type, items, pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    d = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    return d.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    items = to_arrow_type(_parse_datatype_string(item_kind))
+    return d.mapInArrow(run, f"doc_id {d.schema['id'].dataType.simpleString()}, item_id {item_kind}, score double, question_overlap double, answer_overlap double")
