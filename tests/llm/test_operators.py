@@ -130,6 +130,46 @@ def test_contamination(spark):
     assert hits == {(1, 3), (2, 5), (6, 2), (6, 9)}
 
 
+def test_contamination_equals_brute_force(spark):
+    """Every passage against every item, without index or bounds; whole, in parts, with null and repeated ids, repeated items and a very long text."""
+    rng = random.Random(32)
+    item = lambda: f"{' '.join(words(rng, rng.randrange(6, 25), 'q', 60))}. {' '.join(words(rng, rng.randrange(1, 9), 'a', 60))}."
+    items = [item() for _ in range(25)]
+    items += [items[3], None, "", "one", "..."]
+    bench = spark.createDataFrame([(i if i != 4 else None, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+
+    def text(n):
+        w = words(rng, n, "q", 60)
+        for _ in range(2):
+            own = items[rng.randrange(25)].split()
+            own[rng.randrange(len(own))] = "changed"
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = own[: rng.randrange(len(own) // 2, len(own) + 1)]
+        return " ".join(w)
+
+    texts = [text(rng.randrange(5, 120)) for _ in range(60)] + [None, "", "...", "one", items[0], text(20_000)]
+    rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(7, texts[7])] * 2
+    ix = bm25_wand.Index([(i if i != 4 else None, *bm25_wand.split_answer(t or "")) for i, t in enumerate(items) if bm25_wand.words(t)])
+    want = Counter()
+    for i, t in rows:
+        ws, hits = bm25_wand.words(t), {}
+        for lo in range(0, len(ws), ix.longest):
+            passage = ws[lo : lo + 2 * ix.longest]
+            score = Counter()
+            for x in {ix.term.get(w, 0) for w in passage}:
+                for k, s in zip(ix.items[x], ix.impact[x], strict=True):
+                    score[k] += s
+            for k, s in score.items():
+                parts = [bm25_wand.tolerant_overlap(p, passage, 5, 0.8) for p in (*ix.parts[k], ix.full[k])]
+                if s >= 0.5 - 1e-9 and (min(parts[:2]) >= 0.8 or parts[2] >= 0.8):
+                    hits[k] = max(hits.get(k, 0), round(s, 9))
+        want.update((i, ix.ids[k], s) for k, s in hits.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for part_bytes in (bm25_wand.PART_BYTES, 400):
+        got = bm25_wand.contaminated(df, bench, part_bytes=part_bytes).collect()
+        assert Counter((r.doc_id, r.item_id, round(r.score, 9)) for r in got) == want and len(want) > 20
+
+
 def test_contamination_of_edited_items(spark):
     """One changed word anywhere, or a missing short last sentence, hides no item; items that share half their words are not hits."""
     rng = random.Random(31)
