@@ -13,7 +13,7 @@ from .bm25_wand import contaminated
 from .common import table, written
 from .minhash_join import near_duplicate_classes
 from .personal_data import masked, personal_spans
-from .toxicity import toxicity
+from .toxicity import free_prefix, toxicity
 from .unigram import encoded
 
 #: Dropped ids are broadcast only when they were counted to be at most so many (8 bytes each).
@@ -37,7 +37,8 @@ def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator rejects go."""
-    return toxicity(docs, table(spark, sf_dir, "labels"), keep_columns=True).where("predicted = 0").select(*docs.columns)
+    scored = toxicity(docs, table(spark, sf_dir, "labels"), keep_columns=True)
+    return scored.where(F.col(f"{free_prefix(docs.columns)}predicted") == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,11 @@ The classifier is fitted on at most FIT_ROWS labelled rows (those with the small
 everything else covers all rows. Nulls and empty texts are scored like texts without words; labels
 that are null are unlabelled and of contradicting ones the toxic one counts; without labels of both
 kinds every score is 0; rows with a null id are scored and never held out; repeated rows give a row
-each; an empty table gives an empty result; extra columns are ignored.
+each, and of rows that share an id one (the least text) is a training row; very long texts and tokens are
+read whole; an empty table gives an empty result; extra columns are ignored.
+
+Every step but the joining of letters kept apart by spaces looks at one token between white space at a time, so
+a task reads each distinct token once: almost all are plain and without weight, and a text costs a set difference.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
+from xxhash import xxh64_intdigest
 
-from .common import renamed
+from .common import renamed, written
 from .hashing import word_hashes
 
 FIT_ROWS = 20_000
@@ -58,26 +63,40 @@ SEPARATORS = " .-_*"
 #: Signs that also end sentences.
 CLOSING = "!"
 #: Results remembered per task, and the longest token among them; longer ones are decoded each time.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
 
 
 def classes(text: str) -> np.ndarray:
     return CLASS[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
 
 
+#: Characters counted at once.
+AT_ONCE = 1 << 20
+
+
 def character_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): character trigram counts of ``text`` over all rows; at most N_CLASSES cubed."""
 
     def run(batches):
         total = np.zeros(N_CLASSES**3, np.int64)
+
+        def add(texts):
+            c = classes("\n\n".join(["", *texts, ""])).astype(np.int32)
+            for lo in range(0, len(c) - 2, AT_ONCE):
+                x = c[lo : lo + AT_ONCE + 2]
+                total[:] += np.bincount((x[:-2] * N_CLASSES + x[1:-1]) * N_CLASSES + x[2:], minlength=len(total))
+
         for b in batches:
+            held, size = [], 0
             for t in b.column(0):
                 if t := t.as_py():
-                    c = np.concatenate([[EDGE], classes(t), [EDGE]]).astype(np.int32)
-                    total += np.bincount((c[:-2] * N_CLASSES + c[1:-1]) * N_CLASSES + c[2:], minlength=len(total)) if len(c) > 20_000 else 0
-                    if len(c) <= 20_000:
-                        g, n = np.unique((c[:-2] * N_CLASSES + c[1:-1]) * N_CLASSES + c[2:], return_counts=True)
-                        total[g] += n
+                    held.append(t)
+                    size += len(t)
+                    if size > AT_ONCE:
+                        add(held)
+                        held, size = [], 0
+            if held:
+                add(held)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
 
@@ -129,7 +148,7 @@ class Decoder:
                 score, letters = self.likeliest(plain)
                 best = max(best, (score, letters + token[len(stem) :]))
         if len(token) <= REMEMBERED_LENGTH:
-            if len(self.seen) > REMEMBERED:
+            if len(self.seen) > REMEMBERED // 4:
                 self.seen.clear()
             self.seen[token] = best[1]
         return best[1]
@@ -160,8 +179,15 @@ class Decoder:
             letters.append(x)
         return score, "".join(reversed(letters))
 
+    def joined(self, text: str) -> str:
+        """Letters kept apart, decoded."""
+        return SPACED_TOKEN.sub(lambda m: self.decode(m[0]), text)
+
     def restore(self, text: str) -> str:
-        text = SPACED_TOKEN.sub(lambda m: self.decode(m[0]), text.lower())
+        return self.plain(self.joined(text.lower()))
+
+    def plain(self, text: str) -> str:
+        """Signs and runs decoded; no match holds white space."""
         text = LEET_TOKEN.sub(lambda m: self.decode(m[0]) if any(c.isalpha() for c in m[0]) else m[0], text)
         return self.without_runs(text)
 
@@ -182,16 +208,71 @@ def beginnings(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)]
 
 
-class Weights(dict):
-    """Word -> the largest weight of its features."""
+SINGLE = re.compile(r"(?<!\w)[^\W_](?!\w)")
+#: Signs around a word that stand for nothing and belong to no word.
+AROUND = ".,;:?\"')[]{}%&#*-"
+
+
+class Reader:
+    """Evidence of texts, from what is remembered of their distinct tokens."""
 
-    def __init__(self, table: np.ndarray):
-        self.table = table
+    def __init__(self, decoder: Decoder, weights: dict[int, float]):
+        self.decoder, self.weights = decoder, weights
+        self.plain: set[str] = set()
+        #: token -> (words of positive weight and their weights, whether restoring changes it, its single letters)
+        self.special: dict[str, tuple[dict, bool, int]] = {}
 
-    def of(self, words: set[str]) -> list[float]:
-        if new := [w for w in words if w not in self]:
-            self.update(zip(new, self.table[buckets(new)].max(axis=1).tolist(), strict=True))
-        return [self[w] for w in words]
+    def weight(self, word: str) -> float:
+        """The largest weight of the word and its beginnings."""
+        get = self.weights.get
+        return max([get(xxh64_intdigest(f) % BUCKETS, 0.0) for f in beginnings(word)])
+
+    def learn(self, tokens: list[str]) -> None:
+        for t in tokens:
+            core = t.strip(AROUND)
+            if core.isalpha() and len(core) > 1 and not RUN.search(core):  # most tokens: a word, which restoring leaves alone
+                if (w := self.weight(core)) > 0:
+                    self.special[t] = ({core: w}, False, 0)
+                else:
+                    self.plain.add(t)
+                continue
+            r = self.decoder.plain(t)
+            known = {x: w for x in set(WORD.findall(r)) if (w := self.weight(x)) > 0}
+            singles = len(SINGLE.findall(t))
+            if known or r != t or singles:
+                self.special[t] = (known, r != t, singles)
+            else:
+                self.plain.add(t)
+
+    def kept_apart(self, tokens: list[str]) -> bool:
+        """Whether letters may be kept apart: a token with two single letters, or two neighbours with one."""
+        n = [x[2] if (x := self.special.get(t)) else 0 for t in tokens]
+        return max(n) > 1 or any(map(min, n, n[1:]))
+
+    def read(self, text: str) -> tuple[float, bool]:
+        """(sum of the three largest weights of distinct words, whether restoring changes the text)."""
+        text, changed = text.lower(), False
+        tokens = text.split()
+        hits = self.hits(tokens)
+        if any(self.special[t][2] for t in hits) and self.kept_apart(tokens):
+            joined = self.decoder.joined(text)
+            if joined != text:
+                changed = True
+                hits = self.hits(joined.split())
+        found: dict[str, float] = {}
+        for t in hits:
+            known, c, _ = self.special[t]
+            found.update(known)
+            changed = changed or c
+        if len(self.plain) + len(self.special) > REMEMBERED:
+            self.plain.clear(), self.special.clear()
+        return sum(sorted(found.values(), reverse=True)[:3]), changed
+
+    def hits(self, tokens: list[str]) -> list[str]:
+        rest = set(tokens) - self.plain
+        if new := [t for t in rest if t not in self.special]:
+            self.learn(new)
+        return [t for t in rest if t in self.special]
 
 
 def buckets(words: list[str]) -> np.ndarray:
@@ -208,16 +289,9 @@ def features(text: str) -> np.ndarray:
     return buckets(sorted(set(WORD.findall(text))))
 
 
-def evidence(weights: Weights, text: str) -> float:
-    """The sum of the three largest weights of distinct words."""
-    found = sorted((w for w in weights.of(set(WORD.findall(text))) if w > 0), reverse=True)[:3]
-    if len(weights) > REMEMBERED:
-        weights.clear()
-    return sum(found)
-
-
 def bounds(tox, clean, n1, n0):
     """Lower confidence bounds of the log odds, where they are clear; else 0."""
+    tox, clean = np.maximum(tox, 0), np.maximum(clean, 0)  # a row left out takes its own count from buckets that others may not have
     odds = np.log((tox + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
     low = odds - 1.64 * np.sqrt(1 / (tox + 0.5) + 1 / (clean + 0.5))
     return np.where((tox >= 2) & (low >= LEAST_WEIGHT), low, 0)
@@ -239,30 +313,44 @@ def calibrated(evidence: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return b
 
 
+def free_prefix(columns: list[str]) -> str:
+    prefix = ""
+    while any((prefix + c) in columns for c in ("held_out", "score", "predicted", "was_obfuscated")):
+        prefix += "_"
+    return prefix
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", fit_rows: int = FIT_ROWS, keep_columns: bool = False
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted, was_obfuscated): one row per document.
 
-    With ``keep_columns`` the columns of ``docs`` come first, unchanged, and doc_id is left out.
+    With ``keep_columns`` the columns of ``docs`` come first, unchanged, doc_id is left out, and the names of the
+    others are preceded by as many underscores as no column of ``docs`` begins with (see ``free_prefix``).
     """
     spark = docs.sparkSession
-    d = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    d = renamed(docs, id=id_col, text=text_col)
     counts = np.zeros(N_CLASSES**3, np.int64)
     grams = character_counts(d).toPandas()  # bounded by N_CLASSES cubed
     counts[grams["gram"].to_numpy(np.int64)] = grams["n"]
     decoder = spark.sparkContext.broadcast(counts)
     remainder = lambda c: F.crc32(c.cast("string").cast("binary")) % 5
     known = renamed(labels, id=label_id_col, y=label_col).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    taken = known.where(remainder(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").limit(fit_rows).toPandas()
-    chosen = spark.sparkContext.broadcast(dict(zip(taken["id"].tolist(), taken["y"].astype(int).tolist(), strict=True)))
+    taken = written(known.where(remainder(F.col("id")) != 0).orderBy(F.xxhash64("id"), "id").limit(fit_rows), "taken")  # at most fit_rows ids, so it may be broadcast
+    fit = d.join(F.broadcast(taken), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
-    def training_rows(batches):
+    def training(batches):
         dec = Decoder(decoder.value)
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if i in chosen.value:
-                    yield chosen.value[i], features(dec.restore(t.as_py() or ""))
+            rows = [features(dec.restore(t.as_py() or "")).tolist() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["y", "words"])
+
+    rows = written(fit.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(training, "y int, words array<array<int>>"), "training")
+
+    def training_rows(batches):
+        for b in batches:
+            for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield y, np.array(f, np.int64).reshape(-1, 4)
 
     def count_features(batches):
         """Dense counts per task; the last bucket counts rows."""
@@ -274,22 +362,22 @@ def toxicity(
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(tox[at]), pa.array(n[at])], ["bucket", "tox", "n"])
 
+    # buckets of fewer than two toxic rows never weigh anything; at most BUCKETS rows come back
     tox, clean = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    if len(taken):  # buckets of fewer than two toxic rows never weigh anything; at most BUCKETS rows come back
-        c = d.mapInArrow(count_features, "bucket int, tox long, n long").groupBy("bucket").agg(F.sum("tox").alias("tox"), F.sum("n").alias("n"))
-        c = c.where((F.col("tox") > 1) | (F.col("bucket") == BUCKETS)).toPandas()
-        at = c["bucket"].to_numpy(np.int64)
-        tox[at], clean[at] = c["tox"], c["n"] - c["tox"]
+    c = rows.mapInArrow(count_features, "bucket int, tox long, n long").groupBy("bucket").agg(F.sum("tox").alias("tox"), F.sum("n").alias("n"))
+    c = c.where((F.col("tox") > 1) | (F.col("bucket") == BUCKETS)).toPandas()
+    at = c["bucket"].to_numpy(np.int64)
+    tox[at], clean[at] = c["tox"], c["n"] - c["tox"]
     n1, n0 = int(tox[BUCKETS]), int(clean[BUCKETS])
     weights, coef = np.zeros(BUCKETS, np.float32), np.array([-40.0, 0])
     if n1 and n0:
         counts_of = spark.sparkContext.broadcast((tox[:BUCKETS].astype(np.int32), clean[:BUCKETS].astype(np.int32)))
 
         def evidence_of(batches):
-            rows = [(y, left_out(y, f, *counts_of.value, n1, n0)) for y, f in training_rows(batches)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], ["y", "e"])
+            out = [(y, left_out(y, f, *counts_of.value, n1, n0)) for y, f in training_rows(batches)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.float64())], ["y", "e"])
 
-        e = d.mapInArrow(evidence_of, "y int, e double").toPandas().sort_values(["e", "y"])  # two numbers for each training row
+        e = rows.mapInArrow(evidence_of, "y int, e double").toPandas().sort_values(["e", "y"])  # two numbers for each training row
         weights = bounds(tox[:BUCKETS], clean[:BUCKETS], n1, n0).astype(np.float32)
         coef = calibrated(e["e"].to_numpy(), e["y"].to_numpy(np.float64))
     at = np.nonzero(weights)[0].astype(np.int32)
@@ -297,39 +385,33 @@ def toxicity(
 
     def ready():
         at, w, coef = model.value
-        table = np.zeros(BUCKETS, np.float32)
-        table[at] = w
-        return Decoder(decoder.value), Weights(table), *coef.tolist()
+        return Reader(Decoder(decoder.value), dict(zip(at.tolist(), w.tolist(), strict=True))), *coef.tolist()
 
     def score(batches, state=None):
-        dec, known, c0, c1 = state or ready()
+        reader, c0, c1 = state or ready()
         for b in batches:
             scores, changed = [], []
             for t in b.column(2):
-                text = t.as_py() or ""
-                restored = dec.restore(text)
-                s = evidence(known, restored)
+                s, restored = reader.read(t.as_py() or "")
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, c0 + c1 * s)))))
-                changed.append(restored != text.lower())
+                changed.append(restored)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array(changed, pa.bool_())], ["doc_id", "held_out", "score", "predicted", "was_obfuscated"])
 
     held = F.coalesce(remainder(F.col("id")) == 0, F.lit(False))
     added = "held_out boolean, score double, predicted int, was_obfuscated boolean"
     if not keep_columns:
-        return d.select("id", held.alias("held_out"), "text").mapInArrow(score, f"doc_id long, {added}")
+        return d.select("id", held.alias("held_out"), "text").mapInArrow(score, f"doc_id {d.schema['id'].dataType.simpleString()}, {added}")
 
+    prefix = free_prefix(docs.columns)
     at, n = docs.columns.index(text_col), len(docs.columns)
-    own = docs.select("*", F.coalesce(remainder(F.col(f"`{id_col}`").cast("long")) == 0, F.lit(False)).alias("held_out"))
+    own = docs.select("*", F.coalesce(remainder(F.col(f"`{id_col}`")) == 0, F.lit(False)).alias(f"{prefix}held_out"))
 
     def beside(batches):
         state = ready()
         for b in batches:
             slim = pa.RecordBatch.from_arrays([b.column(n), b.column(n), b.column(at)], ["id", "held_out", "text"])
             out = next(score(iter([slim]), state))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)] + [out.column(i) for i in range(1, 5)], b.schema.names[:n] + out.schema.names[1:])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n)] + [out.column(i) for i in range(1, 5)], b.schema.names[:n] + [prefix + x for x in out.schema.names[1:]])
 
     extra = own.sparkSession.createDataFrame([], added).schema.fields
-    clash = {f.name for f in extra} & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs has columns of these names already: {sorted(clash)}")
-    return own.mapInArrow(beside, StructType([*docs.schema.fields, *extra]))
+    return own.mapInArrow(beside, StructType([*docs.schema.fields, *(StructField(prefix + f.name, f.dataType) for f in extra)]))
