@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import interaction_type, supertype
+from ..functions.expressions import interaction_type, last_integer, natural_key, supertype
 
 #: Metals as single-atom components, with their charge, and residue names shown differently.
 METALS = {"MG": "Mg2+", "ZN": "Zn2+", "CA": "Ca2+", "MN": "Mn2+", "FE": "Fe2+", "CU": "Cu2+", "CO": "Co2+", "NI": "Ni2+", "NA": "Na+", "K": "K+"}
@@ -158,10 +158,30 @@ def consensus_units(units: DataFrame, fraction: float = 0.80) -> DataFrame:
     return best.withColumn("unit", F.when(applied, F.col("unit")).otherwise(F.concat("atom_name", F.lit(" site")))).withColumn("decision", F.when(applied, "apply").otherwise("below_consensus"))
 
 
-def accepted_units(proposals: DataFrame, accepted: list[str], spark) -> tuple[DataFrame, DataFrame]:
-    """(proposals with status, accepted ids that match nothing)."""
-    ids = spark.createDataFrame([(x,) for x in accepted], "proposal_id string")
-    return proposals.join(ids.withColumn("__a", F.lit(1)), "proposal_id", "left").withColumn("status", F.when(F.col("__a") == 1, "accepted").otherwise("proposed")).drop("__a"), ids.join(proposals.select("proposal_id"), "proposal_id", "left_anti")
+def accepted_units(proposals: DataFrame, accepted: list[str], rejected: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(proposals with status proposed, accepted or rejected; accepted and rejected ids that match nothing). A rejection outweighs an acceptance."""
+    wanted = {x: "accepted" for x in accepted} | {x: "rejected" for x in rejected}
+    ids = proposals.sparkSession.createDataFrame(list(wanted.items()), "proposal_id string, __s string")
+    out = proposals.join(F.broadcast(ids), "proposal_id", "left").withColumn("status", F.coalesce("__s", F.lit("proposed"))).drop("__s")  # a configured list
+    return out, ids.join(proposals.select("proposal_id"), "proposal_id", "left_anti").select("proposal_id", F.col("__s").alias("asked"))
+
+
+def proposals(units: DataFrame, fraction: float = 0.80) -> DataFrame:
+    """(proposal_id, resname, rule, unit, atoms, support): groups of a residue's atoms that recur in enough structures, to be accepted by id."""
+    group = units.where("rule != 'individual_atom'").groupBy("structure_id", "resname", "chain", "resseq", "unit", "rule").agg(F.array_sort(F.collect_set("atom_name")).alias("atoms"))
+    n = units.agg(F.count_distinct("structure_id").alias("n"))
+    s = group.groupBy("resname", "rule", "unit", "atoms").agg(F.count_distinct("structure_id").alias("k")).crossJoin(F.broadcast(n)).withColumn("support", F.col("k") / F.col("n"))  # one row
+    name = F.upper(F.concat_ws("_", "resname", "rule", F.array_join("atoms", "_")))
+    return s.where(F.col("support") >= fraction).select(name.alias("proposal_id"), "resname", "rule", "unit", F.array_join("atoms", ";").alias("atoms"), "support")
+
+
+def substrate_inventory(atoms: DataFrame, smiles: dict[str, str] | None = None) -> DataFrame:
+    """(resname, n_structures, atom_names, elements, smiles, smiles_status): heavy atoms of every ligand over all structures. Given SMILES are passed on, not validated."""
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
+    heavy = atoms.where(~F.upper("element").isin("H", "D"))
+    out = heavy.groupBy("resname").agg(F.count_distinct("structure_id").alias("n_structures"), joined("atom_name").alias("atom_names"), joined(F.upper("element")).alias("elements"))
+    given = F.element_at(F.create_map(*[F.lit(x) for kv in smiles.items() for x in kv]), F.col("resname")) if smiles else F.lit(None).cast("string")
+    return out.withColumn("smiles", given).withColumn("smiles_status", F.when(F.col("smiles").isNull(), "not_given").otherwise("not_validated"))
 
 
 def layered_units(atoms: DataFrame, layers: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -194,6 +214,29 @@ def class_signatures(edges: DataFrame, classes: DataFrame, policy: str = "most_c
     return counted.withColumn("k", F.row_number().over(w)).where("k = 1").select("class", "signature")
 
 
+def split_classes(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(structure_id, class, split): members of a class with unequal edge sets get classes of their own, ``<class>.<k>`` by size and then signature;
+    a class whose members agree keeps its name."""
+    sets = classes.join(edges, "structure_id", "left").groupBy("class", "structure_id").agg(F.array_join(F.array_sort(F.collect_set("edge")), "; ").alias("signature"))
+    each = sets.groupBy("class", "signature").agg(F.count("*").alias("n"))
+    k, many = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "signature")), F.count("*").over(Window.partitionBy("class")) > 1
+    each = each.withColumn("split", F.when(many, F.concat_ws(".", "class", k.cast("string"))).otherwise(F.col("class")))
+    return sets.join(each.select("class", "signature", "split"), ["class", "signature"]).select("structure_id", "class", "split")
+
+
+def class_visuals(merged: DataFrame, verdicts: DataFrame, paths: DataFrame) -> DataFrame:
+    """(merged_class, label, representative, n_structures, structure_ids, is_candidate, representative_path): a row per merged class, in order of its number.
+
+    ``merged`` (structure_id, merged_class), ``verdicts`` (class, is_candidate), ``paths`` (structure_id, path)."""
+    order = F.struct(last_integer(F.col("structure_id")).alias("n"), natural_key(F.col("structure_id")).alias("k"), "structure_id")
+    ids = F.transform(F.array_sort(F.collect_list(order)), lambda r: r["structure_id"])
+    g = merged.groupBy("merged_class").agg(ids.alias("ids"), F.count("*").alias("n_structures"))
+    g = g.withColumn("representative", F.get("ids", F.lit(0)))
+    out = g.join(verdicts.select(F.col("class").alias("merged_class"), "is_candidate"), "merged_class", "left").join(paths.select(F.col("structure_id").alias("representative"), F.col("path").alias("representative_path")), "representative", "left")
+    label = F.replace(F.col("merged_class"), F.lit("class_"), F.lit("Class "))
+    return out.select("merged_class", label.alias("label"), "representative", "n_structures", F.array_join("ids", ";").alias("structure_ids"), F.coalesce("is_candidate", F.lit(False)).alias("is_candidate"), "representative_path")
+
+
 def merged_classes(signatures: DataFrame, classes: DataFrame) -> DataFrame:
     """(structure_id, class, merged_class): classes of equal signature merge and are numbered from 1 by size, then signature."""
     s = classes.join(signatures, "class")

@@ -8,6 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import last_integer, natural_key
+from ..sources.shared import deleted, written
+
+
+def place(structure: str, kind: str = "string") -> list:
+    """The order of graphs of one edge count: the last integer of the id, its natural key, the id."""
+    sid = F.col(structure)
+    return [sid] if kind != "string" else [last_integer(sid), natural_key(sid), sid]
+
+
+def ordered(df: DataFrame, structure: str) -> list:
+    return place(structure, df.schema[structure].dataType.simpleString())
+
+
+def graph_order(df: DataFrame, structure: str, edge_count: str = "edge_count") -> list:
+    """Sort expressions of graphs: most edges first, then ``place``."""
+    return [F.desc(edge_count), *ordered(df, structure)]
+
 
 def blueprint(nodes: DataFrame, order: list, key: str = "node_key") -> DataFrame:
     """Zero-based index of the distinct nodes of all graphs. The node vocabulary, not the graphs, sets its size."""
@@ -27,8 +45,9 @@ def signature_classes(signatures: DataFrame, structure: str) -> DataFrame:
     Classes are visited by descending edge count and then by their first member, as sequential
     leader clustering would.
     """
-    g = signatures.groupBy("edge_count", "signature").agg(F.min(structure).alias("leader"), F.count("*").alias("size"))
-    return g.withColumn("class_number", F.row_number().over(Window.orderBy(F.desc("edge_count"), "leader")))
+    first = F.min_by(structure, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ordered(signatures, structure))]))
+    g = signatures.groupBy("edge_count", "signature").agg(first.alias("leader"), F.count("*").alias("size"))
+    return g.withColumn("class_number", F.row_number().over(Window.orderBy(*graph_order(g, "leader"))))  # a row per class
 
 
 def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: float) -> DataFrame:
@@ -37,11 +56,13 @@ def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: floa
     Blocks are independent because graphs of unequal edge counts are infinitely far apart. Graphs of equal
     edges always share a leader, so only distinct edge sets enter a block, each under its first structure.
     """
-    distinct = graphs.groupBy("edge_count", "edges").agg(F.min(structure).alias(structure))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ordered(graphs, structure))])
+    distinct = graphs.groupBy("edge_count", "edges").agg(F.min_by(structure, key).alias(structure))
+    distinct = distinct.withColumn("__at", F.row_number().over(Window.partitionBy("edge_count").orderBy(*ordered(distinct, structure))))
     kind = graphs.schema[structure].dataType.simpleString()
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        left = [(r[structure], [(e["u"], e["v"]) for e in r["edges"]]) for _, r in block.sort_values(structure).iterrows()]
+        left = [(r[structure], [(e["u"], e["v"]) for e in r["edges"]]) for _, r in block.sort_values("__at").iterrows()]
         out = []
         while left:
             lead, edges = left[0]
@@ -52,7 +73,7 @@ def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: floa
         return pd.DataFrame(out, columns=[structure, "leader", "distance"]).assign(edge_count=int(block["edge_count"].iloc[0]))
 
     led = distinct.groupBy("edge_count").applyInPandas(run, f"{structure} {kind}, leader {kind}, distance double, edge_count int")
-    first = distinct.join(led.drop("edge_count"), structure).select("edge_count", "edges", "leader", "distance")
+    first = distinct.drop("__at").join(led.drop("edge_count"), structure).select("edge_count", "edges", "leader", "distance")
     return graphs.join(first, ["edge_count", "edges"]).select(structure, "leader", "distance", "edge_count")
 
 
@@ -103,38 +124,20 @@ def jaccard_candidates(current: DataFrame, reference: DataFrame, member: str, cu
     return out.withColumn("jaccard", F.col("shared") / (F.col("n_current") + F.col("n_reference") - F.col("shared")))
 
 
-def stable_labels(candidates: DataFrame, current_class: str, reference_class: str, min_jaccard: float = 0.25) -> DataFrame:
-    """Greedy one-to-one matching by descending overlap. Candidates are class pairs, so one group holds them all."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["jaccard"] >= min_jaccard].sort_values(["jaccard", "shared", current_class, reference_class], ascending=[False, False, True, True])
-        seen_c, seen_r, out = set(), set(), []
-        for r in pdf.itertuples():
-            c, f = getattr(r, current_class), getattr(r, reference_class)
-            if c not in seen_c and f not in seen_r:
-                seen_c.add(c), seen_r.add(f)
-                out.append((str(c), str(f), float(r.jaccard), "exact_set" if r.jaccard == 1 else "overlap"))
-        return pd.DataFrame(out, columns=["current", "stable_label", "jaccard", "match_type"])
-
-    return candidates.groupBy().applyInPandas(run, "current string, stable_label string, jaccard double, match_type string")
-
-
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 30) -> DataFrame:
-    """(node, component) by least label propagation with pointer jumping; checkpointed every round."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    """(node, component) by least label propagation with pointer jumping; every round ends in a table of the shared folder.
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="confora-"))
+    A node's neighbours are only ever aggregated, map-side first, so a hub costs no more than its edges; the join on hubs is split by AQE."""
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    both = e.union(e.select("v", "u")).distinct().checkpoint()
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label").checkpoint()
+    both = written(e.union(e.select("v", "u")).distinct(), "edges")
+    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
     for _ in range(max_rounds):
         heard = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("heard"))
         new = labels.join(heard, F.col("node") == F.col("u")).select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved"))
         hop = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = new.join(hop, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "moved").checkpoint()
-        labels = new.select("node", "label")
+        new = written(new.join(hop, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "moved"), "labels")
+        deleted(labels)
+        labels = new
         if not new.where("moved").limit(1).count():
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")

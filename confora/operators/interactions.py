@@ -19,6 +19,21 @@ def ligand_inventory(given: DataFrame, processed: DataFrame, source: str = "inpu
     return given.unionByName(processed.join(given.select("structure_id", "serial"), ["structure_id", "serial"], "left_anti"))
 
 
+#: Ligand atoms are listed by residue name, chain, number, insertion code, atom name and serial.
+ATOM_ORDER = ("resname", "chain", "resseq", "icode", "atom_name", "serial")
+
+
+def ordered_atoms(atoms: DataFrame) -> DataFrame:
+    """Adds atom_number, the place of a ligand atom in its structure's list."""
+    return atoms.withColumn("atom_number", F.row_number().over(Window.partitionBy("structure_id").orderBy(*ATOM_ORDER)))
+
+
+def inspected_residues(atoms: DataFrame) -> DataFrame:
+    """(structure_id, resname, chain, resseq, n_atoms, atom_names) of ligand residues, names in file order: what a trimming rule is written from."""
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_index", "atom_name"))), lambda r: r["atom_name"]), ",")
+    return atoms.groupBy("structure_id", "resname", "chain", "resseq").agg(F.count("*").alias("n_atoms"), names.alias("atom_names"))
+
+
 def ligand_nodes(atoms: DataFrame, key_mode: str = "residue_atom_name", label_mode: str = "auto") -> DataFrame:
     """Adds node_key and label. A key used again gets ``@serial:`` and its serial; the label is left as it is."""
     c = {n: F.col(n) for n in ("resname", "chain", "resseq", "icode", "atom_name", "serial", "element")}

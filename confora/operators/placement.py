@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 TRACE = "structure_id string, attempt int, phase string, action string, clashes_before int, score_before double, clashes_after int, score_after double, translation double, rotation_deg double"
 
 
@@ -27,63 +29,92 @@ def rotated(x: np.ndarray, axis: np.ndarray, degrees: float) -> np.ndarray:
     return (x - c) @ (np.eye(3) + np.sin(a) * k + (1 - np.cos(a)) * k @ k).T + c
 
 
+STEPS = {"translate": 1.0, "rotate": 12.0}
+SMALLEST = {"translate": 0.05, "rotate": 0.5}
+
+
+def axes_across(direction: np.ndarray) -> list[np.ndarray]:
+    """Two unit axes that are perpendicular to the direction and to each other."""
+    first = np.cross(direction, np.eye(3)[np.argmin(np.abs(direction))])
+    first = first / np.linalg.norm(first)
+    return [first, np.cross(direction, first)]
+
+
 def relieved(obstacles: np.ndarray, ligand: np.ndarray, threshold: float = 2.0, attempts: int = 50, max_shift: float = 5.0, max_turn: float = 30.0):
-    """(coordinates, trace): bounded steps, away from the clash, about an axis across it, or both; the phase
-    changes after three steps without gain; the best position seen is returned. No random numbers."""
-    now, best, trace = ligand.copy(), ligand.copy(), []
-    shift, turn, phase, stale = np.zeros(3), 0.0, 0, 0
+    """(coordinates, trace): a bounded pattern search, without random numbers.
+
+    Every attempt weighs a step away from the clash, turns about the axes along and across it, and both together; the one
+    with the least summed depth is taken if it is less than now, else the steps are halved. It ends without clashes, with steps too small to
+    matter, or after ``attempts``; the shift never exceeds ``max_shift`` and the turns never add up to more than ``max_turn``.
+    The result is the best position seen, which is always the last one taken.
+    """
+    now, trace = ligand.copy(), []
+    shift, turned, step = np.zeros(3), 0.0, dict(STEPS)
     n, score, away = collisions(obstacles, now, threshold)
-    least = score
-    for k in range(attempts):
-        if n == 0:
+    for k in range(1, attempts + 1):
+        if n == 0 or all(step[p] < SMALLEST[p] for p in step):
             break
         if not away.any():
             away = np.array([0.0, 0.0, 1.0])
-        before, moved = (n, score), False
-        if phase in (0, 2) and (room := max_shift - np.linalg.norm(shift)) > 1e-9:
-            step = min(0.1 + 0.01 * k, 0.5, room)
-            now, shift, moved = now + away * step, shift + away * step, True
-        if phase in (1, 2) and max_turn - turn > 1e-9:
-            other = np.eye(3)[np.argmin(np.abs(away))]
-            axis = np.cross(away, other)
-            angle = min(2.0 + 0.1 * k, 5.0, max_turn - turn)
-            now, turn, moved = rotated(now, axis / np.linalg.norm(axis), angle), turn + angle, True
+        moves = [("translate", away * step["translate"], None, 0.0)]
+        angle = min(step["rotate"], max_turn - turned)
+        if angle > 1e-9:
+            turns = [(axis, sign * angle) for axis in (away, *axes_across(away)) for sign in (1, -1)]
+            moves += [("rotate", np.zeros(3), *t) for t in turns] + [("combined", away * step["translate"], *t) for t in turns]
+        tried = []
+        for order, (phase, by, axis, degrees) in enumerate(moves):
+            if np.linalg.norm(shift + by) <= max_shift + 1e-9:
+                x = (rotated(now, axis, degrees) if axis is not None else now) + by
+                tried.append((collisions(obstacles, x, threshold)[1], order, phase, by, abs(degrees), x))
+        best = min(tried, default=None, key=lambda t: t[:2])
+        if best is None or best[0] >= score - 1e-12:
+            step = {p: s / 2 for p, s in step.items()}
+            trace.append((k, "halved", "none", n, score, n, score, float(np.linalg.norm(shift)), turned))
+            continue
+        before, (_, _, phase, by, degrees, now) = (n, score), best
+        shift, turned = shift + by, turned + degrees
         n, score, away = collisions(obstacles, now, threshold)
-        trace.append((k + 1, ("translate", "rotate", "combined")[phase], "moved" if moved else "none", *before, n, score, float(np.linalg.norm(shift)), turn))
-        if score < least:
-            least, best, stale = score, now.copy(), 0
-        else:
-            stale += 1
-        if stale >= 3:
-            phase, stale = (phase + 1) % 3, 0
-    return (now if n == 0 else best), trace
-
-
-def placed(transforms: DataFrame, protein: DataFrame, ligands: DataFrame, threshold: float = 2.0, avoid: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(atoms, trace). ``transforms`` (structure_id, rotation, translation) take the template onto a structure; ``ligands``
+        trace.append((k, phase, "moved", *before, n, score, float(np.linalg.norm(shift)), turned))
+    return now, trace
+
+
+AUDIT = "structure_id string, group_index int, n_atoms int, clashes_before int, clashes_after int, n_attempts int, shift double, turn_deg double, clear boolean"
+PLACED = ", ".join(dict.fromkeys(f"structure_id string, kind string, group_index int, atom_index int, x double, y double, z double, {TRACE}, {AUDIT}".split(", ")))
+
+
+def placed(transforms: DataFrame, protein: DataFrame, ligands: DataFrame, threshold: float = 2.0, avoid: bool = True, assembly: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(atoms, trace, audit). ``transforms`` (structure_id, rotation, translation) take the template onto a structure; ``ligands``
     (group_index, atom_index, x, y, z) are the template's ligand groups, a few hundred rows. Groups are placed in order and
-    become obstacles of the next ones."""
-    template = ligands.orderBy("group_index", "atom_index").toPandas()
+    become obstacles of the next ones, or move as one body (``assembly``). Every structure is placed once: its rows of all three kinds
+    leave the same pass, kept in the shared folder."""
+    template = ligands.orderBy("group_index", "atom_index").toPandas()  # one template
     packed = protein.groupBy("structure_id").agg(F.collect_list(F.struct("x", "y", "z")).alias("p"))
     jobs = transforms.join(packed, "structure_id")
+    names = [c.split()[0] for c in PLACED.split(", ")]
 
     def place(row):
         r, t = np.array(row.rotation).reshape(3, 3), np.array(row.translation)
         obstacles = np.array([(a["x"], a["y"], a["z"]) for a in row.p])
-        for g, part in template.groupby("group_index", sort=True):
+        for _, part in [(1, template)] if assembly else template.groupby("group_index", sort=True):
             x, trace = part[["x", "y", "z"]].to_numpy(float) @ r + t, []
+            before = collisions(obstacles, x, threshold)[0]
             if avoid:
                 x, trace = relieved(obstacles, x, threshold)
+            after = collisions(obstacles, x, threshold)[0]
             obstacles = np.concatenate([obstacles, x])
-            yield int(g), part["atom_index"].tolist(), x, trace
-
-    def atoms(batches):
-        for pdf in batches:
-            rows = [(row.structure_id, g, int(i), *map(float, p)) for row in pdf.itertuples() for g, ids, x, _ in place(row) for i, p in zip(ids, x, strict=True)]
-            yield pd.DataFrame(rows, columns=["structure_id", "group_index", "atom_index", "x", "y", "z"])
+            g = int(part["group_index"].iloc[0])
+            for gi, i, p in zip(part["group_index"], part["atom_index"], x, strict=True):
+                yield {"structure_id": row.structure_id, "kind": "atom", "group_index": int(gi), "atom_index": int(i), "x": p[0], "y": p[1], "z": p[2]}
+            for step in trace:
+                yield {"structure_id": row.structure_id, "kind": "trace", "group_index": g, **dict(zip([c.split()[0] for c in TRACE.split(", ")][1:], step, strict=True))}
+            shift, turn = trace[-1][-2:] if trace else (0.0, 0.0)
+            moved = sum(t[2] == "moved" for t in trace)
+            yield {"structure_id": row.structure_id, "kind": "audit", "group_index": g, "n_atoms": len(part), "clashes_before": before, "clashes_after": after, "n_attempts": moved, "shift": shift, "turn_deg": turn, "clear": after == 0}
 
-    def traces(batches):
+    def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([(row.structure_id, *x) for row in pdf.itertuples() for _, _, _, trace in place(row) for x in trace], columns=[c.split()[0] for c in TRACE.split(", ")])
+            yield pd.DataFrame([x for row in pdf.itertuples() for x in place(row)], columns=names).astype(object).where(lambda d: d.notna(), None)
 
-    return jobs.mapInPandas(atoms, "structure_id string, group_index int, atom_index int, x double, y double, z double"), jobs.mapInPandas(traces, TRACE)
+    done = written(jobs.mapInPandas(run, PLACED), "placed")
+    kind = lambda k, schema: done.where(F.col("kind") == k).select(*[c.split()[0] for c in schema.split(", ")])
+    return kind("atom", "structure_id string, group_index int, atom_index int, x double, y double, z double"), kind("trace", TRACE), kind("audit", AUDIT)

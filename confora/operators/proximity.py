@@ -8,7 +8,7 @@ predicate and never a nested loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,15 @@ def overlaps(pairs: DataFrame, delta: float) -> DataFrame:
     return out.withColumn("overlap", F.col("cutoff") - F.col("distance")).withColumn("clash", F.col("distance") < F.col("cutoff"))
 
 
+#: Clashing pairs are listed by ligand atom, then protein atom, then distance.
+PAIR_ORDER = ("ligand_serial", "protein_serial", "distance")
+
+
+def ordered_pairs(clashes: DataFrame) -> DataFrame:
+    """Adds pair_number, the place of a clashing pair in its structure's list."""
+    return clashes.withColumn("pair_number", F.row_number().over(Window.partitionBy("structure_id").orderBy(*PAIR_ORDER)))
+
+
 def clash_summary(structures: DataFrame, clashes: DataFrame, by: str, max_clashes: int) -> DataFrame:
     """Count, summed overlap, least clash distance and verdict; structures without clashes stay."""
     c = clashes.groupBy(by).agg(F.count("*").alias("n"), F.sum("overlap").alias("o"), F.min("distance").alias("min_clash_distance"))

@@ -12,18 +12,20 @@ def with_total(df: DataFrame, structures: DataFrame, key: str) -> DataFrame:
 
 
 def residue_frequency(contacts: DataFrame, structures: DataFrame, structure: str, residue: str, within: Column, distance: str) -> DataFrame:
-    """Structures seen and within reach, least, median and mean distance, frequency over all structures."""
-    s = contacts.groupBy(residue).agg(
-        F.count_distinct(structure).alias("n_structures"),
-        F.count_distinct(F.when(within, F.col(structure))).alias("n_within"),
-        F.min(distance).alias("min_distance"), F.median(distance).alias("median_distance"), F.avg(distance).alias("mean_distance"),
-    )
+    """Structures seen and within reach, least, median and mean distance over all rows, frequency over all structures.
+
+    Distinct counts are plain counts over (residue, structure), reduced map-side first; distances have an aggregation of their own, so no
+    row is expanded. Both are partitioned by residue."""
+    one = contacts.groupBy(residue, structure).agg(F.max(F.when(within, 1).otherwise(0)).alias("__in"))
+    seen = one.groupBy(residue).agg(F.count(structure).alias("n_structures"), F.sum(F.when(F.col(structure).isNotNull(), F.col("__in")).otherwise(0)).alias("n_within"))
+    far = contacts.groupBy(F.col(residue).alias("__r")).agg(F.min(distance).alias("min_distance"), F.median(distance).alias("median_distance"), F.avg(distance).alias("mean_distance"))
+    s = seen.join(far, F.col(residue).eqNullSafe(F.col("__r"))).drop("__r")
     return with_total(s, structures, structure).withColumn("frequency", F.col("n_within") / F.col("n_total"))
 
 
 def graph_occurrence(edges: DataFrame, structures: DataFrame, structure: str, residue: str) -> DataFrame:
     """Each residue counts once per structure."""
-    o = edges.groupBy(residue).agg(F.count_distinct(structure).alias("n_graphs"))
+    o = edges.select(residue, structure).distinct().groupBy(residue).agg(F.count(structure).alias("n_graphs"))
     return with_total(o, structures, structure).withColumn("occurrence", F.col("n_graphs") / F.col("n_total"))
 
 
@@ -49,6 +51,35 @@ def structure_filter(sets: DataFrame, required: list[str], mode: str = "all") ->
     return out.withColumn("passed", F.col("n_present") == len(required) if mode == "all" else F.col("n_present") > 0)
 
 
+def contact_sets(structures: DataFrame, near: DataFrame, graph: DataFrame, definition: str, structure: str = "structure_id", node: str = "residue") -> DataFrame:
+    """(structure, nodes) of every structure: residues within reach, in the graph, in either or in both, by ``definition``."""
+    if definition not in ("distance", "graph", "distance_or_graph", "distance_and_graph"):
+        raise ValueError(f"unknown contact definition {definition!r}")
+    none = F.array().cast("array<string>")
+    n, g = (node_sets(x, structure, node).withColumnRenamed("nodes", c) for x, c in ((near, "__n"), (graph, "__g")))
+    out = structures.select(structure).distinct().join(n, structure, "left").join(g, structure, "left")
+    n, g = F.coalesce("__n", none), F.coalesce("__g", none)
+    nodes = {"distance": n, "graph": g, "distance_or_graph": F.array_sort(F.array_union(n, g)), "distance_and_graph": F.array_sort(F.array_intersect(n, g))}[definition]
+    return out.select(structure, nodes.alias("nodes"))
+
+
+def filter_reason(filtered: DataFrame, required: list[str], mode: str = "all") -> DataFrame:
+    """Adds why a structure passed ``structure_filter`` or did not."""
+    good, bad = ("all_key_residues_present", "missing_required_key_residues") if mode == "all" else ("at_least_one_key_residue_present", "no_key_residue_present")
+    return filtered.withColumn("reason", F.when(F.col("passed"), good).otherwise(bad) if required else F.lit("no_key_residues_selected"))
+
+
+def first_structures(df: DataFrame, n: int | None, order: str = "input_order") -> DataFrame:
+    """The first ``n`` rows of an index by its order, or all: a limit that is asked for."""
+    return df.orderBy(order).limit(n) if n else df
+
+
+def first_seen(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
+    """One row for each key, that of the least ordinal."""
+    row = F.struct(*df.columns)
+    return df.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min_by(row, ordinal).alias("__r")).select("__r.*")
+
+
 def coverage(required: DataFrame, present: DataFrame, key: str, minimum: float | None = None) -> DataFrame:
     """(n_required, n_present, coverage); raises when it is below ``minimum``."""
     r = required.select(key).distinct()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import residue_base_of, vdw_radius
+from ..functions.expressions import RADII, residue_base_of, vdw_radius
 from ..operators import graphs, proximity, scores, screening
 from ..sources import pdb, tables
 
@@ -50,6 +50,22 @@ class Settings:
     extra: dict = field(default_factory=dict)
 
 
+#: Where a configuration keeps each setting.
+PLACES = {
+    "min_global": ("step01", "plddt_threshold"), "max_clashes": ("step03", "max_clashes"), "delta": ("step03", "delta"), "region_radius": ("step05", "radius"), "min_region_mean": ("step05", "min_mean"),
+    "min_region_p10": ("step05", "min_p10"), "contact_cutoff": ("step07", "distance_cutoff"), "min_frequency": ("step07", "min_frequency"), "min_grade": ("step07", "min_grade"),
+    "min_occurrence": ("step07", "min_occurrence"), "required_mode": ("step07", "require_key_residues"),
+}
+
+
+def settings(config: dict) -> Settings:
+    """The settings that a configuration gives (``tables.config``); the rest keep their defaults."""
+    found = {k: (config.get(step) or {}).get(name) for k, (step, name) in PLACES.items()}
+    kinds = {f.name: f.type for f in fields(Settings)}
+    cast = {"float": float, "int": int, "str": str}
+    return Settings(**{k: cast[kinds[k]](v) for k, v in found.items() if v is not None}, extra=config)
+
+
 def quality(atoms: DataFrame, s: Settings) -> DataFrame:
     """Step 01: score summary per structure over CA atoms, over all atoms where a structure has none, and its verdict."""
     p = atoms.where("record = 'ATOM'")
@@ -65,7 +81,7 @@ def sides(atoms: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
 def clash_verdicts(atoms: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Step 03: (clashing pairs, verdict per structure)."""
     protein, ligand = sides(atoms, s)
-    reach = 2 * max(2.75, 1.98) - s.delta  # no radius sum of either table is larger
+    reach = max(0.1, 2 * max(RADII[s.radii].values()) - s.delta)  # no radius sum of the table is larger
     pairs = proximity.overlaps(proximity.voxel_join(protein, ligand, reach, ["structure_id"]), s.delta).where("clash")
     pairs = pairs.select(F.col("l.structure_id").alias("structure_id"), F.col("l.serial").alias("protein_serial"), F.col("r.serial").alias("ligand_serial"), "distance", "overlap")
     return pairs, proximity.clash_summary(atoms, pairs, "structure_id", s.max_clashes)
@@ -83,7 +99,7 @@ def residue_contacts(atoms: DataFrame, s: Settings) -> DataFrame:
     """(structure_id, residue, distance): least distance of each residue to any ligand atom."""
     protein, ligand = sides(atoms, s)
     p = protein.withColumn("residue", residue_base_of(F.col("resname"), F.col("resseq"), F.col("icode")))
-    pairs = proximity.structure_join(p, ligand, ["structure_id"])
+    pairs = proximity.structure_join(p, ligand, ["structure_id"])  # the least distance has no bound, and structures are small
     return pairs.groupBy(F.col("l.structure_id").alias("structure_id"), F.col("l.residue").alias("residue")).agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
@@ -121,7 +137,7 @@ def classes(edges: DataFrame, kept: DataFrame, nodes: DataFrame | None = None, t
             ends = F.struct(F.least("ligand", "residue").alias("u"), F.greatest("ligand", "residue").alias("v"))
             g = e.groupBy("structure_id").agg(F.array_sort(F.collect_set(ends)).alias("edges")).withColumn("edge_count", F.size("edges"))
             led = graphs.leader_clusters(g, "structure_id", graphs.blueprint_distance(labels, threshold), threshold)
-            numbers = led.select("edge_count", "leader").distinct().withColumn("class_number", F.row_number().over(Window.orderBy(F.desc("edge_count"), "leader")))
+            numbers = led.select("edge_count", "leader").distinct().withColumn("class_number", F.row_number().over(Window.orderBy(*graphs.graph_order(led, "leader"))))
             return led.join(numbers, ["edge_count", "leader"]).select("structure_id", "class_number", "leader", "edge_count")
     sig = graphs.edge_signatures(e, "structure_id", "ligand", "residue")
     return sig.join(graphs.signature_classes(sig, "structure_id"), ["edge_count", "signature"]).select("structure_id", "class_number", "leader", "edge_count")

@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import RADII
+from ..functions.expressions import AMINO_ACIDS, RADII, is_hydrogen
+from .shared import file_name
 
 #: Fixed values: (start, length) of the columns, counted from 1.
 COLUMNS = {
@@ -24,6 +25,9 @@ INTEGERS, DOUBLES = ("serial", "resseq"), ("x", "y", "z", "occupancy", "b_factor
 WATER = ("HOH", "WAT", "H2O", "DOD")
 #: Element symbols of two letters that have a radius.
 TWO_LETTERS = tuple(e for e in RADII["vdw"] if len(e) == 2)
+#: Elements that graphs read from two letters of an atom name, and backbone atoms.
+GRAPH_METALS = ("MG", "ZN", "FE", "MN", "CA", "NA", "CL", "CU", "CO", "NI")
+BACKBONE = ("N", "CA", "C", "O", "OXT")
 
 
 @dataclass(frozen=True)
@@ -37,17 +41,18 @@ class Dialect:
     blank_chain: str = ""
     last_serial_wins: bool = False
     guess_element: bool = True
+    element: str = "clash"
 
 
 STRICT = Dialect(records=("ATOM",), required=("resseq", "x", "y", "z", "b_factor"), guess_element=False)
 CLASH = Dialect(altlocs=("", "A"))
-GRAPH = Dialect(required=("serial",), on_bad="keep", last_serial_wins=True)
-LENIENT = Dialect(required=("resseq", "x", "y", "z"), on_bad="skip", blank_chain="_")
+GRAPH = Dialect(required=("serial",), on_bad="keep", last_serial_wins=True, element="graph")
+LENIENT = Dialect(required=("resseq", "x", "y", "z"), on_bad="skip", blank_chain="_", element="screening")
 
 
 def lines(spark: SparkSession, path: str, pattern: str = "*.pdb") -> DataFrame:
     """(structure_id, file, line_index, line); the id is the file name without its last suffix."""
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(file_name().alias("file"), "value")
     cut = files.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("structure_id"), "file", F.posexplode(F.split("value", "\r?\n")).alias("line_index", "line"))
     return cut.where("line != ''")
 
@@ -59,6 +64,21 @@ def guessed_element(atom_name: Column, explicit: Column) -> Column:
     return F.when(two.isin(*TWO_LETTERS), two).otherwise(F.substring(text, 1, 1))
 
 
+def graph_element(atom_name: Column, explicit: Column) -> Column:
+    """The whole explicit field, or else the first two letters of the atom name where they are a metal or halide of graphs; else the first letter."""
+    name = F.upper(F.regexp_replace(F.trim(atom_name), "[^A-Za-z]", ""))
+    two = F.substring(name, 1, 2)
+    return F.when(F.trim(explicit) != "", F.upper(F.trim(explicit))).when(two.isin(*GRAPH_METALS), two).otherwise(F.substring(name, 1, 1))
+
+
+def screening_element(atom_name: Column, explicit: Column) -> Column:
+    """The whole explicit field, or else the first two letters of the atom name."""
+    return F.when(F.trim(explicit) != "", F.upper(F.trim(explicit))).otherwise(F.upper(F.substring(F.regexp_replace(F.trim(atom_name), "[^A-Za-z]", ""), 1, 2)))
+
+
+ELEMENTS = {"clash": guessed_element, "graph": graph_element, "screening": screening_element}
+
+
 def atoms(source: DataFrame, dialect: Dialect = LENIENT) -> DataFrame:
     """Atom records of ``lines``, typed."""
     cut = {c: F.trim(F.substring("line", *at)) for c, at in COLUMNS.items()}
@@ -76,7 +96,7 @@ def atoms(source: DataFrame, dialect: Dialect = LENIENT) -> DataFrame:
     if dialect.blank_chain:
         out = out.withColumn("chain", F.when(F.col("chain") == "", dialect.blank_chain).otherwise(F.col("chain")))
     if dialect.guess_element:
-        out = out.withColumn("element", guessed_element(F.col("atom_name"), F.col("element")))
+        out = out.withColumn("element", ELEMENTS[dialect.element](F.col("atom_name"), F.col("element")))
     if dialect.last_serial_wins:
         row = F.struct(*[c for c in out.columns if c not in ("structure_id", "serial")])
         out = out.groupBy("structure_id", "serial").agg(F.max_by(row, "line_index").alias("r")).select("structure_id", "serial", "r.*")
@@ -91,6 +111,32 @@ def is_ligand() -> Column:
     return (F.col("record") == "HETATM") & ~is_water()
 
 
+def clash_split(atoms: DataFrame, ligands: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(protein atoms: ATOM records of the twenty amino acids, ligand atoms: HETATM records, of the named residues only where there are names); no water."""
+    dry, name = atoms.where(~is_water()), F.upper("resname")
+    ligand = F.col("record") == "HETATM"
+    return dry.where((F.col("record") == "ATOM") & name.isin(*AMINO_ACIDS)), dry.where(ligand & name.isin(*[x.upper() for x in ligands]) if ligands else ligand)
+
+
+def screening_split(atoms: DataFrame, scope: str = "all", include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(protein atoms: all ATOM records or, in scope ``sidechain``, those off the backbone; ligand atoms: HETATM records less water and ``exclude``), without hydrogens."""
+    heavy, name = atoms.where(~is_hydrogen(F.col("element"), F.col("atom_name"))), F.upper("resname")
+    protein = heavy.where("record = 'ATOM'")
+    if scope == "sidechain":
+        protein = protein.where(~F.upper("atom_name").isin(*BACKBONE))
+    elif scope != "all":
+        raise ValueError(f"unknown protein atom scope {scope!r}")
+    ligand = heavy.where((F.col("record") == "HETATM") & ~is_water() & ~name.isin(*[x.upper() for x in exclude]))
+    return protein, ligand.where(name.isin(*[x.upper() for x in include])) if include else ligand
+
+
+def graph_ligands(atoms: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ("HOH", "WAT")) -> DataFrame:
+    """HETATM records of the named residues, or of all but ``exclude``."""
+    name = F.upper("resname")
+    out = atoms.where((F.col("record") == "HETATM") & ~name.isin(*exclude))
+    return out.where(name.isin(*include)) if include else out
+
+
 def conect_edges(source: DataFrame) -> DataFrame:
     """(structure_id, u, v): undirected bonds of CONECT lines, u < v, each once. Reads fixed columns where they parse, else all integers."""
     numbers = F.array(*[F.trim(F.substring("line", 7 + 5 * i, 5)).try_cast("int") for i in range(5)])
@@ -106,17 +152,26 @@ def file_metadata(name: Column) -> dict[str, Column]:
     return {k: F.when((n := F.regexp_extract(name, rf"_{k}_(\d+)", 1)) != "", n).cast("int") for k in ("rank", "model", "seed")}
 
 
+#: What may stand before the prediction's number in a file stem, in this order of preference, without regard to case;
+#: ``^`` and ``$`` there are the stem's ends or one of ``_`` and ``-``, ``{id}`` is the target's id.
+PREDICTION_FORMS = (
+    "^prediction_ N $", "^pred_ N $", "^model_ N $", "^ N _Chain $", "^rank_ N $", "^ N $",
+)
+TARGET_FORMS = ("{id}_ N $", "{id}..._ N _Chain")
+
+
 def prediction_index(stem: Column, target_id: str | None = None) -> Column:
-    """The prediction number of a file stem: the first pattern that fits, most telling first."""
+    """The prediction number of a file stem, read from its tokens: the first form that fits, most telling first."""
     import re
 
-    edge, end = r"(?:^|[_-])", r"(?:[_-]|$)"
-    named = [f"{edge}{w}[_-]?0*(\\d+){end}" for w in ("prediction", "pred", "model")]
-    patterns = [*named, rf"{edge}(\d+)[_-]Chain{end}", f"{edge}rank[_-]?0*(\\d+){end}", rf"{edge}(\d+){end}"]
-    if target_id:
-        own = re.escape(target_id)
-        patterns = [rf"^{own}[_-](\d+){end}", rf"^{own}.*?[_-](\d+)[_-]Chain", *patterns]
-    found = [F.regexp_extract(stem, f"(?i){p}", 1) for p in patterns]
+    def pattern(form: str) -> str:
+        out = "".join({"^": "(?:^|[_-])", "$": "(?:[_-]|$)", "N": r"(\d+)", "_": "[_-]", " ": "", ".": ""}.get(c, c) for c in form.replace("{id}", "").replace("...", ""))
+        if form.startswith("{id}"):
+            return "^" + re.escape(target_id) + (".*?" if "..." in form else "") + out
+        return out.replace("[_-]" + r"(\d+)", r"[_-]?0*(\d+)") if form[1].isalpha() else out
+
+    forms = [*(TARGET_FORMS if target_id else ()), *PREDICTION_FORMS]
+    found = [F.regexp_extract(stem, f"(?i){pattern(f)}", 1) for f in forms]
     return F.coalesce(*[F.when(x != "", x).cast("long") for x in found])
 
 
@@ -126,6 +181,16 @@ def with_coordinates(line: Column, x: Column, y: Column, z: Column) -> Column:
     return F.concat(F.substring(padded, 1, 30), F.format_string("%8.3f%8.3f%8.3f", x, y, z), F.substring(padded, 55, 1000))
 
 
+def renamed_line(line: Column, serial: Column | None = None, record: str | None = None, resname: str | None = None, chain: str | None = None, resseq: int | None = None) -> Column:
+    """The line with another serial and identity in their fixed columns; what is not given stays."""
+    padded = F.rpad(line, F.greatest(F.length(line), F.lit(54)), " ")
+    cut = lambda a, b: F.substring(padded, a, b - a + 1)
+    return F.concat(
+        F.lit(f"{record:<6}") if record else cut(1, 6), F.lpad(serial.cast("string"), 5, " ") if serial is not None else cut(7, 11), cut(12, 17),
+        F.lit(f"{resname:>3}"[:3]) if resname else cut(18, 20), cut(21, 21), F.lit(chain[:1]) if chain else cut(22, 22), F.lit(f"{resseq:>4}") if resseq is not None else cut(23, 26), F.substring(padded, 27, 1000),
+    )
+
+
 def file_text(source: DataFrame, line: str = "line") -> DataFrame:
     """(structure_id, text): lines joined in order, for a sink that writes files."""
     rows = F.array_sort(F.collect_list(F.struct("line_index", line)))

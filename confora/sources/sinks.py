@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.settings import structure_id
+from .pdb import renamed_line
+
 
 def stage_tables(df: DataFrame, path: str, flag: str = "passed", csv: bool = False) -> None:
     """All rows, partitioned by the verdict (read back as text), so that the next stage reads only what passed."""
@@ -36,6 +39,61 @@ def structure_files(texts: DataFrame, path: str, per_partition: int = 500) -> No
     texts.select("structure_id", F.col("text").alias("value")).repartition("structure_id").write.mode("overwrite").partitionBy("structure_id").option("maxRecordsPerFile", per_partition).text(path)
 
 
+def append_pairs(pairs: DataFrame, path: str, by: str = "edge_count") -> None:
+    """Appends pair results to a table partitioned by block, so that a run that stops keeps the blocks it has finished."""
+    pairs.write.mode("append").partitionBy(by).parquet(path)
+
+
+def pair_line() -> Column:
+    """A pair result (leader, member, distance) as a tab-separated line; infinite distances are ``inf``, whole ones have no decimals."""
+    d = F.when(F.col("distance") == float("inf"), "inf").when(F.col("distance") == F.floor("distance"), F.col("distance").cast("long").cast("string")).otherwise(F.col("distance").cast("string"))
+    return F.concat_ws("\t", F.col("leader").cast("string"), F.col("member").cast("string"), d)
+
+
+#: Folders by preference for a structure's file.
+FOLDERS = (
+    "04_catalytic_region_plddt_qc", "05_catalytic_region_plddt_qc", "05_pocket_plddt_qc", "04_ligand_atom_trimming", "03_clash_filter",
+    "02_template_guided_docking", "05_plip_interaction_graphs", "06_plip_interaction_graphs",
+)
+
+
+def file_score(path: Column) -> Column:
+    """Preference of a structure file, smaller is better: its stage's place in FOLDERS (999 outside), ten worse if a profiler made it, one
+    better for each of a trimmed complex and a name that ends in ``_complex.pdb``."""
+    place = F.coalesce(*[F.when(F.contains(path, F.lit(f)), i) for i, f in enumerate(FOLDERS)], F.lit(999))
+    name = F.lower(F.regexp_replace(path, r"^.*/", ""))
+    made = F.contains(name, F.lit("protonated")) | F.contains(name, F.lit("xcbrefx")) | F.contains(name, F.lit("plipfixed"))
+    return place + F.when(made, 10).otherwise(0) - F.when(F.contains(name, F.lit("trimmed_complex")), 1).otherwise(0) - F.when(name.endswith("_complex.pdb"), 1).otherwise(0)
+
+
+def file_kind(path: Column) -> Column:
+    name = F.regexp_replace(path, r"^.*/", "")
+    return F.when(name.endswith("_final.txt"), "graph").when(F.contains(name, F.lit("interaction_output")) & name.endswith(".txt"), "interaction").when(name == "report.xml", "plip_report_xml").when(
+        name == "report.txt", "plip_report_txt").when(F.lower(name).endswith(".pdb"), "pdb")
+
+
+def file_index(files: DataFrame) -> DataFrame:
+    """(structure_id, kind, path, score) of the files (path) that an export can use; reports are named after their folder. Hidden files do not count."""
+    name, kind = F.regexp_replace("path", r"^.*/", ""), file_kind(F.col("path"))
+    folder = F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)
+    owner = F.when(name.isin("report.xml", "report.txt", "interaction_output.txt"), folder).otherwise(name)
+    rows = files.where(kind.isNotNull() & ~name.startswith(".")).select(structure_id(owner, "export").alias("structure_id"), kind.alias("kind"), "path")
+    return rows.where("structure_id != ''").withColumn("score", F.when(F.col("kind") == "pdb", file_score(F.col("path"))).otherwise(0))
+
+
+def exported_files(spark, index: DataFrame, kinds: list[str], path: str) -> DataFrame:
+    """Copies the files of an ``export_index`` into ``path``, a folder for each class, by the executors; (structure_id, kind, source, target)."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("source")) for k in kinds])).alias("f")
+    jobs = index.select("class", "structure_id", each).select("class", "structure_id", "f.*").where("source is not null")
+    jobs = jobs.withColumn("target", F.concat_ws("/", F.lit(path.rstrip("/")), F.concat(F.lit("class="), "class"), F.concat(F.lit("file="), F.regexp_replace("source", r"^.*/", ""))))
+    names = [r.source for r in jobs.select("source").distinct().collect()]  # the chosen candidates, not the ensemble
+    if names:
+        texts = spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.regexp_replace("value", r"\n$", "").alias("value"))
+        same = F.regexp_replace(F.col("p"), "^file:/+", "/") == F.regexp_replace(F.col("source"), "^file:/+", "/")
+        texts.join(jobs, same).select("class", F.regexp_replace("source", r"^.*/", "").alias("file"), "value").write.mode("overwrite").partitionBy("class", "file").text(path)
+    return jobs.select("structure_id", "kind", "source", "target")
+
+
 def export_index(chosen: DataFrame, files: DataFrame, kinds: list[str]) -> DataFrame:
     """``chosen`` with the best file of each kind (by score, then the shortest path, then the path) and notes on what is missing."""
     best = files.groupBy("structure_id", "kind").agg(F.min(F.struct(F.col("score"), F.length("path").alias("n"), F.col("path"))).alias("b")).select("structure_id", "kind", F.col("b.path").alias("path"))
@@ -44,12 +102,16 @@ def export_index(chosen: DataFrame, files: DataFrame, kinds: list[str]) -> DataF
     return out.withColumn("notes", F.concat_ws("; ", *[F.when(F.col(k).isNull(), f"no {k} file") for k in kinds]))
 
 
-def complex_lines(protein: DataFrame, ligands: DataFrame) -> DataFrame:
-    """(structure_id, line_index, line): protein lines, ligand lines and an end record, in that order."""
+def complex_lines(protein: DataFrame, ligands: DataFrame, identity: dict | None = None) -> DataFrame:
+    """(structure_id, line_index, line): protein lines, ligand lines and an end record, in that order, atoms numbered through.
+
+    ``identity`` (resname, chain, resseq) is what ligand lines are renamed to; they become HETATM records then."""
+    if identity:
+        ligands = ligands.withColumn("line", renamed_line(F.col("line"), record="HETATM", **identity))
     p = protein.select("structure_id", F.lit(0).alias("part"), F.col("line_index").cast("long").alias("i"), "line")
     lig = ligands.select("structure_id", F.lit(1), F.col("line_index").cast("long"), "line")
     end = protein.select("structure_id").distinct().select("structure_id", F.lit(2), F.lit(0).cast("long"), F.lit("END"))
     both = p.union(lig).union(end)
-    from pyspark.sql import Window
-
-    return both.select("structure_id", (F.row_number().over(Window.partitionBy("structure_id").orderBy("part", "i")) - 1).alias("line_index"), "line")
+    n = F.row_number().over(Window.partitionBy("structure_id").orderBy("part", "i"))
+    line = F.when(F.col("line").startswith("ATOM") | F.col("line").startswith("HETATM"), renamed_line(F.col("line"), serial=n)).otherwise(F.col("line"))
+    return both.select("structure_id", (n - 1).alias("line_index"), line.alias("line"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import interaction_type, shift_last_integer
+from ..functions.expressions import interaction_type, natural_key, shift_last_integer
+from .shared import file_name, file_system
 
 
 def resolve_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -23,8 +24,8 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+    fs, at = file_system(spark, path)
+    return bool(fs.exists(at))
 
 
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
@@ -53,43 +54,67 @@ def source_paths(index: DataFrame, manifest: DataFrame) -> DataFrame:
     return index.join(exact, "path", "left").join(unique, "file", "left").withColumn("source_path", F.coalesce("s1", "s2")).drop("s1", "s2")
 
 
-def plip_report(spark: SparkSession, path: str) -> DataFrame:
-    """(file, kind, resnr, restype, reschain, dist): contacts of XML reports, one row each, through Spark's XML source.
+#: Elements of one contact in a report, and where each keeps its distance.
+CONTACT_TAGS = ("hydrophobic_interaction", "hydrogen_bond", "water_bridge", "salt_bridge", "pi_stack", "pi_cation_interaction", "halogen_bond", "metal_complex")
+DISTANCES = ("dist", "dist_h-a", "dist_d-a", "centdist", "dist_a-w")
 
-    Every leaf element that carries a residue number is a contact; its kind is the canonical
-    interaction type of its tag.
+
+def plip_report(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
+    """(file, kind, resnr, restype, reschain, restype_lig, dist): contacts of XML reports, one row each, through Spark's XML source.
+
+    The element of a contact is the row; its kind is the canonical interaction type of its tag. A tag is one scan, which skips the others.
     """
-    text = spark.read.option("pathGlobFilter", "*.xml").text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    tags = "hydrophobic_interaction|hydrogen_bond|water_bridge|salt_bridge|pi_stack|pi_cation_interaction|halogen_bond|metal_complex"
-    blocks = text.select("file", F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)(<(?:{tags}) .*?</(?:{tags})>)"), 1)).alias("b"))
-    leaf = lambda n: F.when((v := F.regexp_extract("b", rf"<{n}>([^<]*)</{n}>", 1)) != "", v)
-    kind = interaction_type(F.regexp_extract("b", r"^<([a-z_]+)", 1))
-    distance = F.coalesce(*[leaf(n).try_cast("double") for n in ("dist", "dist_h-a", "dist_d-a", "centdist", "dist_a-w")])
-    return blocks.select("file", kind.alias("kind"), leaf("resnr").cast("int").alias("resnr"), leaf("restype").alias("restype"), leaf("reschain").alias("reschain"), leaf("restype_lig").alias("restype_lig"), distance.alias("dist"))
+    leaves = ", ".join(f"`{x}` string" for x in ("resnr", "restype", "reschain", "restype_lig", *DISTANCES))
+    out = None
+    for tag in CONTACT_TAGS:
+        rows = spark.read.format("xml").option("rowTag", tag).option("pathGlobFilter", pattern).schema(leaves).load(path)
+        distance = F.coalesce(*[F.col(f"`{x}`").try_cast("double") for x in DISTANCES])
+        rows = rows.where("resnr is not null").select(file_name().alias("file"), interaction_type(F.lit(tag)).alias("kind"), F.col("resnr").try_cast("int").alias("resnr"), "restype", "reschain", "restype_lig", distance.alias("dist"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
+    """(path, file, size, input_order): files of a folder in natural order of their names. Contents are not read; the order is over the listing only."""
+    r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    out = r.select("path", F.regexp_replace("path", r"^.*/", "").alias("file"), F.col("length").alias("size"))
+    return out.withColumn("input_order", F.row_number().over(Window.orderBy(natural_key(F.col("file")), "file", "path")))
+
+
+#: Kinds of result files by their endings, for a listing.
+RESULT_KINDS = {"table": ("csv", "tsv", "parquet"), "report": ("json", "md"), "structure": ("pdb",), "text": ("txt",)}
+
+
+def result_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, kind, size): the results under a folder, newest names last, with what kind of file each is."""
+    ending = F.lower(F.regexp_extract("file", r"\.([^.]*)$", 1))
+    kind = F.coalesce(*[F.when(ending.isin(*v), k) for k, v in RESULT_KINDS.items()], F.lit("other"))
+    return files(spark, path, recursive=True).select("path", "file", kind.alias("kind"), "size")
 
 
-def interaction_lines(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """(file, type, ligand, protein, ligand_node_key) of tab-separated ``Key: value`` lines."""
-    t = spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_name").alias("file"), F.str_to_map("value", F.lit("\t"), F.lit(": ")).alias("m"))
-    return t.where(F.col("m")["Type"].isNotNull()).select("file", F.trim(F.col("m")["Type"]).alias("type"), F.trim(F.col("m")["Ligand"]).alias("ligand"), F.trim(F.col("m")["Protein"]).alias("protein"), F.trim(F.col("m")["LigandNodeKey"]).alias("ligand_node_key"))
+def interaction_lines(spark: SparkSession, path: str, pattern: str = "*.txt", more: Sequence[str] = ()) -> DataFrame:
+    """(file, type, ligand, protein, ligand_node_key) of tab-separated ``Key: value`` lines, and further keys in lower case."""
+    t = spark.read.option("pathGlobFilter", pattern).text(path).select(file_name().alias("file"), F.str_to_map("value", F.lit("\t"), F.lit(": ")).alias("m"))
+    return t.where(F.col("m")["Type"].isNotNull()).select("file", F.trim(F.col("m")["Type"]).alias("type"), F.trim(F.col("m")["Ligand"]).alias("ligand"), F.trim(F.col("m")["Protein"]).alias("protein"), F.trim(F.col("m")["LigandNodeKey"]).alias("ligand_node_key"), *[F.trim(F.col("m")[k]).alias(k.lower()) for k in more])
 
 
 def graph_files(spark: SparkSession, path: str, pattern: str = "*_final.txt") -> DataFrame:
     """(structure_id, u, v) of ``e`` lines of graph files."""
     t = spark.read.option("pathGlobFilter", pattern).text(path).where(F.col("value").startswith("e "))
     p = F.split("value", r"\s+")
-    return t.select(F.regexp_replace("_metadata.file_name", r"_final\.txt$", "").alias("structure_id"), p[1].cast("int").alias("u"), p[2].cast("int").alias("v"))
+    return t.select(F.regexp_replace(file_name(), r"_final\.txt$", "").alias("structure_id"), p[1].cast("int").alias("u"), p[2].cast("int").alias("v"))
 
 
 #: Public section names and the runtime names of the same stage.
 SECTIONS = {"step04": "step05", "step05": "step06", "step06": "step07", "step07": "step08", "step08": "step09", "step09": "step10"}
 
 
-def config(path: str | Path) -> dict:
-    """A project's YAML with public section names translated when the file says ``workflow_numbering: public``."""
+def config(path: str | Path, spark: SparkSession | None = None) -> dict:
+    """A project's YAML, from the driver's disk or with ``spark`` from any store, with public section names translated when the file says ``workflow_numbering: public``."""
     import yaml
 
-    raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    text = Path(path).read_text(encoding="utf-8") if spark is None else spark.read.text(str(path), wholetext=True).first()[0]
+    raw = yaml.safe_load(text) or {}
     if not isinstance(raw, dict):
         raise ValueError("a configuration is a mapping")
     if raw.get("workflow_numbering") == "public":

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from confora.plans import catalog
+from confora.plans import catalog, ensembles, structures  # noqa: F401  the last two add their queries to the catalog
 
 SF = "/root/testdata/sf0.001"
 
