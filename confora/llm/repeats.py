@@ -12,10 +12,11 @@ content also starts anywhere else. Removal is judged on the input.
    Equal stretches of one task are sent once. Anchor values that are too frequent for a shard in
    memory are extended to the full depth: single windows, by 128-bit fingerprints, again sent once
    per task, so that no key gathers more rows than there are tasks and distinct contents.
-4. A shard sorts its suffixes (``separate``, passed in by the operator) and reports repeated windows.
+4. Spark's disk-backed sort hands a shard its stretches anchor by anchor; those of as many anchors as fit are compared
+   at a time by the operator's own method (``separate``), symbol by symbol, and repeated windows are reported.
 5. The reports meet their text again and the covered symbols are removed.
 
-Equality below step 2 is by 64-bit fingerprints of symbol blocks along the whole depth.
+Hashes place and prune; what is removed was compared literally, except the windows of too frequent anchors, whose 128-bit fingerprints stand for them.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * P1)
 LONGEST_RUN = 4096
 #: Occurrences of an anchor value from which its windows are spread by their whole content.
 HOT = 4000
-#: Windows that a shard sorts at once, besides those of a single anchor value.
-AT_ONCE = 300_000
+#: Windows that a shard compares at once, besides those of a single anchor value.
+AT_ONCE = 400_000
 REMEMBERED = 100_000
 
 
@@ -70,10 +71,6 @@ class Words:
         data, starts, ends = parts
         return data[starts[start] : ends[end - 1]]
 
-    @staticmethod
-    def again(data: bytes) -> np.ndarray:
-        return Words.split(data)[1]
-
     @staticmethod
     def join(parts: tuple, keep: np.ndarray) -> bytes:
         words = parts[0].split()  # of bytes, this splits at the same six characters
@@ -89,10 +86,6 @@ class Bytes:
     def cut(parts: bytes, start: int, end: int) -> bytes:
         return parts[start:end]
 
-    @staticmethod
-    def again(data: bytes) -> np.ndarray:
-        return BYTE_CODE[np.frombuffer(data, np.uint8)]
-
     @staticmethod
     def join(parts: bytes, keep: np.ndarray) -> bytes:
         return np.frombuffer(parts, np.uint8)[keep].tobytes()
@@ -230,7 +223,7 @@ def repeated_windows(
         found += [(r[1], r[2], r[3], 1) for same in prints.values() if len(same) > 1 for r in same]
         runs = [r for r in held if r[4] > 0]
         if runs:
-            flags = separate([alphabet.again(r[5]) for r in runs], [r[4] for r in runs], width)
+            flags = separate([r[5] for r in runs], [r[4] for r in runs], np.array([r[0] for r in runs], np.int64).view(np.uint64), width, k)
             found += [(r[1], r[2], r[3] + s, m) for r, f in zip(runs, flags, strict=True) for s, m in spans(f)]
         if found:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -263,29 +256,3 @@ def repeated_windows(
     kept = texts.join(reports, ["k1", "k2"], "left").select("k1", "k2", "text", "n", "windows")
     kept = kept.mapInArrow(remove, "k1 long, k2 long, n_symbols long, removed array<struct<start: int, length: int>>, kept_sha256 string")
     return d.select("id", "k1", "k2").join(kept, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "n_symbols", "removed", "kept_sha256")
-
-
-def refined(sequences: list[np.ndarray], n_windows: list[int], width: int, depths: tuple[int, ...]) -> list[np.ndarray]:
-    """Per sequence, which of its first ``n_windows`` suffixes share ``width`` symbols with another one.
-
-    Classes of suffixes that agree so far are split by their next symbols; suffixes alone in their
-    class are discarded at once.
-    """
-    sizes = np.array([len(s) for s in sequences])
-    offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    starts = np.concatenate([np.arange(o, o + n) for o, n in zip(offset, n_windows, strict=True)])
-    prints = Fingerprints(np.concatenate(sequences))
-    live = np.arange(len(starts))
-    node = np.zeros(len(starts), np.uint64)
-    depth = 0
-    for to in depths:
-        key = mix(node[live] * P2 + prints.at(starts[live] + depth, to - depth))
-        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        many = counts[inverse] > 1
-        live = live[many]
-        node[live] = inverse[many]
-        depth = to
-    assert depth == width
-    flags = np.zeros(len(starts), bool)
-    flags[live] = True
-    return np.split(flags, np.cumsum(n_windows)[:-1])
