@@ -297,6 +297,59 @@ def test_removal_equals_brute_force(spark, operator, width, hot):
     assert [(r.n_symbols, sum(s.length for s in r.removed), r.kept_sha256) for r in got] == brute_removal(texts, split, join, width)
 
 
+@pytest.mark.parametrize("operator", [remove_repeated_words, remove_repeated_bytes])
+def test_removal_at_the_default_width(spark, operator):
+    """Passages near the width, at every place of a text, in near copies, in one text twice, periodic, and in very long texts."""
+    rng = random.Random(61)
+    long = words(rng, 9000, "z", 300)
+    texts = [" ".join(long), " ".join(long[100:4000] + ["x"] + long[4001:])]
+    for n in (20, 34, 35, 36, 50, 60, 61, 62, 63, 64, 65, 66, 80, 120):
+        p = words(rng, n, "p")
+        texts += [" ".join([*words(rng, rng.randrange(60), "u"), *p, *words(rng, rng.randrange(60), "v")]) for _ in range(3)] + [" ".join(p)]
+    p = words(rng, 90, "q")
+    texts += [" ".join([*p, *words(rng, 9), *p]), "ab " * 900, "ab " * 901, "é" * 500, "é" * 501, "", None, "short", "\x00" * 900, "\x00" * 800 + "1"]
+    near = words(rng, 400, "n")
+    for _ in range(12):
+        w = list(near)
+        w[rng.randrange(400)] = "changed"
+        texts.append(" ".join(w))
+    split, join, width = (lambda b: re.findall(rb"[^\x20\x09-\x0D]+", b), b" ".join, 35) if operator is remove_repeated_words else (list, bytes, 400)
+    want = brute_removal(texts, split, join, width)
+    for hot in (4000, 2):
+        got = operator(docs(spark, texts), hot=hot).orderBy("doc_id").collect()
+        assert [(r.n_symbols, sum(s.length for s in r.removed), r.kept_sha256) for r in got] == want
+
+
+def test_suffix_tree_and_induced_order():
+    """Trees have the nodes of a brute-force tree; induced ranks and common prefixes are those of sorted suffixes."""
+    from confora.llm import suffix_array_dedup, suffix_tree_dedup
+
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        rows = rng.integers(0, 3, (40, 6)).astype(np.int32)
+        order, shared = suffix_tree_dedup.sorted_suffixes(rows)
+        tree = suffix_tree_dedup.tree_of(shared, 6)
+        got = {(tuple(rows[order[s]][:d].tolist()), int(e - s)) for d, s, e in zip(tree.depth, tree.start, tree.end, strict=True)}
+        prefixes = Counter(tuple(r[:d].tolist()) for r in rows for d in range(7))
+        want = {(p, n) for p, n in prefixes.items() if n > 1 and (len(p) == 6 or len({x for x in prefixes if x[: len(p)] == p and len(x) == len(p) + 1}) > 1)}
+        assert got == want
+        assert all(tree.parent[i] < i and (tree.parent[i] < 0 or tree.depth[tree.parent[i]] < tree.depth[i]) for i in range(len(tree.depth)))
+    for memory in (5, 100):
+        data = [b" ".join(b"%d" % x for x in rng.integers(0, 2, n)) for n in (60, 80, 40)]
+        n = [max(0, len(x.split()) - 4) for x in data]
+        flags = np.concatenate(suffix_tree_dedup.deep_nodes(data, n, None, 5, 1, memory)).tolist()
+        grams = [tuple(x.split()[i : i + 5]) for x, m in zip(data, n, strict=True) for i in range(m)]
+        assert flags == [Counter(grams)[g] > 1 for g in grams]
+    text = rng.integers(0, 3, 300).astype(np.uint8)
+    at = np.arange(20, 260)
+    queue = suffix_array_dedup.sample_suffixes(text, at, np.full(len(at), 40), np.zeros(len(at), np.int64), 40)
+    for offset in range(1, 15):
+        queue = queue.induced(text[at[queue.item] - offset].astype(np.int64))
+        suffix = [text[a - offset : a + 40].tolist() for a in at[queue.item]]
+        assert suffix == sorted(suffix)
+        assert queue.shared[1:].tolist() == [next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), 40 + offset) for a, b in zip(suffix, suffix[1:], strict=False)]
+
+
 # 6
 def test_token_counts_equal_the_library(spark):
     import public_tokenizers
