@@ -63,7 +63,7 @@ SEPARATORS = " .-_*"
 #: Signs that also end sentences.
 CLOSING = "!"
 #: Results remembered per task, and the longest token among them; longer ones are decoded each time.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 64
 
 
 def classes(text: str) -> np.ndarray:
@@ -342,15 +342,17 @@ def toxicity(
     def training(batches):
         dec = Decoder(decoder.value)
         for b in batches:
-            rows = [features(dec.restore(t.as_py() or "")).tolist() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.list_(pa.int32())))], ["y", "words"])
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                rows = [features(dec.restore(t.as_py() or "")).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["y", "words"])
 
-    rows = written(fit.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(training, "y int, words array<array<int>>"), "training")
+    rows = written(fit.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(training, "y int, words binary"), "training")
 
     def training_rows(batches):
         for b in batches:
-            for y, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                yield y, np.array(f, np.int64).reshape(-1, 4)
+            for y, f in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                yield y, np.frombuffer(f.as_py(), np.int32).reshape(-1, 4)
 
     def count_features(batches):
         """Dense counts per task; the last bucket counts rows."""
