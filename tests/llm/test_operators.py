@@ -418,6 +418,29 @@ def test_values_are_discovered_in_every_context(spark):
     assert all(not r.added for i, r in enumerate(got) if i not in want and "12345" not in texts[i] and "555" not in texts[i])
 
 
+def test_discovery_of_planted_identifiers(spark):
+    """Precision and recall on values that only their contexts give away: left, right and both, secrets, quotes, and none in other contexts."""
+    rng = random.Random(71)
+    hexed = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    fill = lambda: " ".join(words(rng, 12, "f", 3000)).replace("0", "o").translate({ord(str(i)): "abcdefghij"[i] for i in range(10)})
+    texts, want = [], {}
+    for _ in range(40):
+        texts += [f'{fill()} token = "{hexed()}" {fill()}', f"{fill()} u{rng.randrange(9**9)}@site.org wrote {fill()}", f"{fill()} caller +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} hung {fill()}", f"{fill()} page {rng.randrange(999)} of {fill()}"]
+    for value, form in ((f"hunter{i}", 'token = "{}"') for i in range(8)):
+        want[len(texts)] = (4, value)
+        texts.append(f"{fill()} {form.format(value)}; {fill()}")
+    for i in range(8):
+        want[len(texts)] = (0, f"user-at-{i}")
+        texts.append(f"{fill()} user-at-{i} wrote {fill()}")
+        want[len(texts)] = (4, f"correct{'abcdefgh'[i]}horse")
+        texts.append(f"{fill()} token = 'correct{'abcdefgh'[i]}horse', {fill()}")
+    got = personal_data.personal_spans(docs(spark, texts)).orderBy("doc_id").collect()
+    found = {(i, s.kind, texts[i][s.start : s.end]) for i, r in enumerate(got) for s in r.added}
+    secrets = {x for x in found if len(x[2]) == 40}
+    planted = {(i, k, v) for i, (k, v) in want.items()}
+    assert len(secrets) == 40 and found - secrets == planted
+
+
 def test_one_long_word_of_many_matches(spark):
     got = personal_data.personal_spans(docs(spark, ["1.1.1.1," * 20_000, "q" * 1_000_000 + " 5"])).orderBy("doc_id").collect()
     assert len(got[0].base) == 20_000
