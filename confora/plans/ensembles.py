@@ -344,11 +344,12 @@ def q149_clash_relief(spark, d):
     return audit.select("structure_id", "clashes_before", "clashes_after", "clear", ((F.col("shift") > 0) & (F.col("shift") <= 5)).alias("within_reach"))
 
 
-# chemistry: every nation is a structure with a carboxylate, a metal and a phosphate
-SHAPE = [("CAR", "A", 1, "C1", "C", 0.0, 0.0), ("CAR", "A", 1, "O1", "O", 1.2, 0.0), ("CAR", "A", 1, "O2", "O", -0.7, 1.1), ("CAR", "A", 1, "H1", "H", 0.2, 0.9), ("ION", "B", 2, "MG", "MG", 9.0, 9.0),
-         ("PHO", "C", 3, "P1", "P", 20.0, 0.0), ("PHO", "C", 3, "O1", "O", 21.4, 0.0), ("PHO", "C", 3, "O2", "O", 18.6, 0.0), ("PHO", "C", 3, "O3", "O", 20.0, 1.4)]
-UNITS = """unit(resname, chain, resseq, atom_name, unit, rule) AS (VALUES ('CAR', 'A', 1, 'C1', 'CAR C1 site', 'individual_atom'), ('CAR', 'A', 1, 'O1', 'CAR carboxylate oxygen unit', 'carboxylate_oxygen'), ('CAR', 'A', 1, 'O2', 'CAR carboxylate oxygen unit', 'carboxylate_oxygen'),
-    ('ION', 'B', 2, 'MG', 'Mg2+ ion', 'metal_ion'), ('PHO', 'C', 3, 'P1', 'PHO phosphate unit', 'phosphate'), ('PHO', 'C', 3, 'O1', 'PHO phosphate unit', 'phosphate'), ('PHO', 'C', 3, 'O2', 'PHO phosphate unit', 'phosphate'), ('PHO', 'C', 3, 'O3', 'PHO phosphate unit', 'phosphate'))"""
+# chemistry: every nation is a structure with an acetate, a zinc ion and a sulfate
+SHAPE = [("ACT", "A", 1, "CH3", "C", -1.5, 0.0), ("ACT", "A", 1, "C", "C", 0.0, 0.0), ("ACT", "A", 1, "O", "O", 0.7, 1.1), ("ACT", "A", 1, "OXT", "O", 0.7, -1.1), ("ACT", "A", 1, "H1", "H", -1.9, 0.9), ("ION", "B", 2, "ZN", "ZN", 9.0, 9.0),
+         ("SO4", "C", 3, "S", "S", 20.0, 0.0), ("SO4", "C", 3, "OA", "O", 21.4, 0.0), ("SO4", "C", 3, "OB", "O", 18.6, 0.0), ("SO4", "C", 3, "OC", "O", 20.0, 1.4)]
+UNITS = """unit(resname, chain, resseq, atom_name, unit, rule) AS (VALUES ('ACT', 'A', 1, 'CH3', 'ACT aliphatic carbon unit', 'aliphatic_carbon'), ('ACT', 'A', 1, 'C', 'ACT aliphatic carbon unit', 'aliphatic_carbon'), ('ACT', 'A', 1, 'O', 'ACT carboxylate oxygen unit', 'carboxylate_oxygen'),
+    ('ACT', 'A', 1, 'OXT', 'ACT carboxylate oxygen unit', 'carboxylate_oxygen'), ('ION', 'B', 2, 'ZN', 'Zn2+ ion', 'metal_ion'), ('SO4', 'C', 3, 'S', 'SO4 S site', 'individual_atom'), ('SO4', 'C', 3, 'OA', 'SO4 sulfate/sulfonate oxygen unit', 'sulfate_sulfonate_oxygen'),
+    ('SO4', 'C', 3, 'OB', 'SO4 sulfate/sulfonate oxygen unit', 'sulfate_sulfonate_oxygen'), ('SO4', 'C', 3, 'OC', 'SO4 sulfate/sulfonate oxygen unit', 'sulfate_sulfonate_oxygen'))"""
 
 
 def ligand_atoms(spark, d):
@@ -359,25 +360,25 @@ def ligand_atoms(spark, d):
 
 def units(spark, d):
     atoms = ligand_atoms(spark, d)
-    listed = spark.createDataFrame([(6, 7), (6, 8), (6, 9)], "u int, v int")
+    listed = spark.createDataFrame([(7, 8), (7, 9), (7, 10)], "u int, v int")
     bonds = atoms.select("structure_id").distinct().crossJoin(F.broadcast(listed))  # three bonds
-    return chemistry.contact_units(atoms.where("not (resname = 'PHO' and n_nationkey % 5 = 0)"), bonds)
+    return chemistry.contact_units(atoms.where("not (resname = 'SO4' and n_nationkey % 5 = 0)"), bonds)
 
 
-@query(f"WITH {UNITS} SELECT 'm' || n_nationkey AS structure_id, resname, atom_name, unit, rule, CASE resname WHEN 'CAR' THEN 'local_geometry_covalent_cutoff' ELSE 'listed_bonds' END AS evidence FROM nation CROSS JOIN unit WHERE NOT (resname = 'PHO' AND n_nationkey % 5 = 0)")
+@query(f"WITH {UNITS} SELECT 'm' || n_nationkey AS structure_id, resname, atom_name, unit, rule, CASE resname WHEN 'ACT' THEN 'local_geometry_covalent_cutoff' ELSE 'listed_bonds' END AS evidence FROM nation CROSS JOIN unit WHERE NOT (resname = 'SO4' AND n_nationkey % 5 = 0)")
 def q150_contact_units(spark, d):
     return units(spark, d).select("structure_id", "resname", "atom_name", "unit", "rule", "evidence")
 
 
-@query(f"""WITH {UNITS} SELECT resname, atom_name, CASE WHEN resname = 'PHO' THEN atom_name || ' site' ELSE unit END AS unit, CASE WHEN resname = 'PHO' THEN 0.8 ELSE 1.0 END::DOUBLE AS support, CASE WHEN resname = 'PHO' THEN 'below_consensus' ELSE 'apply' END AS decision FROM unit""")
+@query(f"""WITH {UNITS} SELECT resname, atom_name, CASE WHEN resname = 'SO4' THEN atom_name || ' site' ELSE unit END AS unit, CASE WHEN resname = 'SO4' THEN 0.8 ELSE 1.0 END::DOUBLE AS support, CASE WHEN resname = 'SO4' THEN 'below_consensus' ELSE 'apply' END AS decision FROM unit""")
 def q151_consensus_units(spark, d):
     return chemistry.consensus_units(units(spark, d), 0.81).select("resname", "atom_name", "unit", F.round("support", 9).alias("support"), "decision")
 
 
-@query("""SELECT * FROM (VALUES ('CAR_CARBOXYLATE_OXYGEN_O1_O2', 'accepted', 'O1;O2', 1.0::DOUBLE), ('ION_METAL_ION_MG', 'rejected', 'MG', 1.0), ('PHO_PHOSPHATE_O1_O2_O3_P1', 'proposed', 'O1;O2;O3;P1', 0.8)) v(proposal_id, status, atoms, support)
+@query("""SELECT * FROM (VALUES ('ACT_CARBOXYLATE_OXYGEN_O_OXT', 'accepted', 'O;OXT', 1.0::DOUBLE), ('ACT_ALIPHATIC_CARBON_C_CH3', 'proposed', 'C;CH3', 1.0), ('ION_METAL_ION_ZN', 'rejected', 'ZN', 1.0), ('SO4_SULFATE_SULFONATE_OXYGEN_OA_OB_OC', 'proposed', 'OA;OB;OC', 0.8)) v(proposal_id, status, atoms, support)
 UNION ALL SELECT 'NONE_SUCH', 'accepted without a proposal', NULL, NULL""")
 def q152_proposals(spark, d):
-    rows, unmatched = chemistry.accepted_units(chemistry.proposals(units(spark, d), 0.7), ["CAR_CARBOXYLATE_OXYGEN_O1_O2", "NONE_SUCH", "ION_METAL_ION_MG"], ["ION_METAL_ION_MG"])
+    rows, unmatched = chemistry.accepted_units(chemistry.proposals(units(spark, d), 0.7), ["ACT_CARBOXYLATE_OXYGEN_O_OXT", "NONE_SUCH", "ION_METAL_ION_ZN"], ["ION_METAL_ION_ZN"])
     rows = rows.select("proposal_id", "status", "atoms", F.round("support", 9).alias("support"))
     return rows.unionByName(unmatched.select("proposal_id", F.concat("asked", F.lit(" without a proposal")).alias("status")), allowMissingColumns=True)
 
@@ -390,9 +391,9 @@ def q153_layered_units(spark, d):
     return chemistry.layered_units(atoms, layers).select("p_partkey", "unit", "unit_source")
 
 
-@query("SELECT * FROM (VALUES ('CAR', 25::BIGINT, 'C1;O1;O2', 'C;O', 'CC(=O)O', 'not_validated'), ('ION', 25, 'MG', 'MG', NULL, 'not_given'), ('PHO', 25, 'O1;O2;O3;P1', 'O;P', NULL, 'not_given')) v(resname, n_structures, atom_names, elements, smiles, smiles_status)")
+@query("SELECT * FROM (VALUES ('ACT', 25::BIGINT, 'C;CH3;O;OXT', 'C;O', 'CC(=O)[O-]', 'not_validated'), ('ION', 25, 'ZN', 'ZN', NULL, 'not_given'), ('SO4', 25, 'OA;OB;OC;S', 'O;S', NULL, 'not_given')) v(resname, n_structures, atom_names, elements, smiles, smiles_status)")
 def q154_substrate_inventory(spark, d):
-    return chemistry.substrate_inventory(ligand_atoms(spark, d), {"CAR": "CC(=O)O"})
+    return chemistry.substrate_inventory(ligand_atoms(spark, d), {"ACT": "CC(=O)[O-]"})
 
 
 TYPE = "CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'Polar contact' WHEN 'RF' THEN 'Hydrophobic contact' WHEN 'NO' THEN 'Pi interaction' WHEN 'NF' THEN 'Metal coordination' ELSE 'Other' END"

@@ -14,8 +14,8 @@ from ..sources import pdb
 
 def model_stream(spark: SparkSession, path: str, pattern: str = "*.pdb", files_per_trigger: int = 1000) -> DataFrame:
     """(file, value): whole structure files as they arrive."""
-    s = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger)
-    return s.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    s = spark.readStream.schema("value string").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger)
+    return s.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
 def score_arrivals(stream: DataFrame, output: str, checkpoint: str, settings: Settings | None = None, then: Callable | None = None) -> StreamingQuery:

@@ -56,4 +56,4 @@ def test_sinks(spark, tmp_path):
     assert got == {"a": ("/y", ""), "b": (None, "no pdb file")}
     p = spark.createDataFrame([("a", 5, "ATOM")], "structure_id string, line_index int, line string")
     lig = spark.createDataFrame([("a", 1, "HETATM")], "structure_id string, line_index int, line string")
-    assert [r.line for r in sinks.complex_lines(p, lig).orderBy("line_index").collect()] == ["ATOM", "HETATM", "END"]
+    assert [r.line.split() for r in sinks.complex_lines(p, lig).orderBy("line_index").collect()] == [["ATOM", "1"], ["HETATM", "2"], ["END"]]
