@@ -124,20 +124,39 @@ def jaccard_candidates(current: DataFrame, reference: DataFrame, member: str, cu
     return out.withColumn("jaccard", F.col("shared") / (F.col("n_current") + F.col("n_reference") - F.col("shared")))
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 30) -> DataFrame:
-    """(node, component) by least label propagation with pointer jumping; every round ends in a table of the shared folder.
+def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 50) -> DataFrame:
+    """(node, component) of every node with an edge to another or itself, the component being the smallest node that edges reach.
 
-    A node's neighbours are only ever aggregated, map-side first, so a hub costs no more than its edges; the join on hubs is split by AQE."""
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
-    both = written(e.union(e.select("v", "u")).distinct(), "edges")
-    labels = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")).select(F.col("u").alias("node"), "label"), "labels")
+    Alternating large-star and small-star rounds: each is a pair of aggregations, so a node with millions of neighbours is
+    pre-aggregated map-side and never gathered into a list. Every round ends in a table of the shared folder, and the one before it
+    is deleted. Rounds grow with the logarithm of the longest chain; ``max_rounds`` only guards against a bug and raises
+    instead of returning a partial answer. Edges with a null end are none.
+    """
+
+    def state(e: DataFrame):
+        return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
+    given = edges.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).where(F.col(u).isNotNull() & F.col(v).isNotNull()).distinct()
+    given = written(given, "edges")
+    e = written(given.where("a < b"), "stars")
+    before = state(e)
     for _ in range(max_rounds):
-        heard = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("heard"))
-        new = labels.join(heard, F.col("node") == F.col("u")).select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved"))
-        hop = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(new.join(hop, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "moved"), "labels")
-        deleted(labels)
-        labels = new
-        if not new.where("moved").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+        both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select("b", "a"))
+        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        # large-star: neighbours above x are tied to the least of x's neighbourhood
+        large = both.where("y > x").join(low, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a < b").distinct()
+        # small-star: x and its lower neighbours are tied to the least of them
+        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
+        new = written(small.where("a < b").distinct(), "stars")
+        now = state(new)
+        deleted(e)
+        e = new
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("components did not settle")
+    tied = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    alone = given.select(F.col("a").alias("node")).distinct().join(tied, "node", "left_anti").select("node", F.col("node").alias("component"))  # roots, and nodes with an edge to themselves only
+    return tied.unionByName(alone)
