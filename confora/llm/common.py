@@ -1,52 +1,18 @@
-"""What the operators of this package share: shared-folder handling, hot-key lookups, components."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
+from ..sources.shared import shared_dir, written  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset and the session runs in one process (``local``), a temporary folder is taken; a
-    cluster without the setting is an error, for its executors share no temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="confora-")
-        shared_dir.own = found
-        found = f"file://{found}" if found.startswith("/") else found
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, what: str = "cut") -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def deleted(df: DataFrame) -> None:
-    """Removes the files of a table made by ``written`` that no later plan reads."""
-    jvm, path = df.sparkSession._jvm, getattr(df, "written_path", None)
-    if path:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -56,54 +22,6 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def sha256_hex(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
-
-
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
-    """(u, v) edges -> (node, component), component being the smallest id that links reach.
-
-    Alternating large-star and small-star rounds: each is a pair of aggregations, so a node with
-    millions of neighbours is pre-aggregated and never gathered into a list. Every round ends in
-    a written table, and the one before it is deleted. Rounds grow with the logarithm of the longest chain; ``max_rounds`` only
-    guards against a bug and raises instead of returning a partial answer.
-    """
-
-    def state(edges: DataFrame):
-        return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-
-    e = written(edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).where("a < b").distinct(), "cc")
-    before = state(e)
-    for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select("b", "a"))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        # large-star: neighbours above x are tied to the least of x's neighbourhood
-        large = both.where("y > x").join(low, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a < b").distinct()
-        # small-star: x and its lower neighbours are tied to the least of them
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        tied = large.join(least, "b")
-        small = (
-            tied.select(F.col("m").alias("a"), F.col("a").alias("b"))
-            .union(least.select(F.col("m").alias("a"), "b"))
-            .where("a < b")
-            .distinct()
-        )
-        new = written(small, "cc")
-        now = state(new)
-        deleted(e)
-        e = new
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    comp = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    roots = e.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    comp = comp.union(roots)
-    if nodes is None:
-        return comp
-    return nodes.select("node").join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(u, v) links -> (node, component), component being the smallest node that links reach."""
+    return components(edges)
