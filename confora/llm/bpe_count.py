@@ -26,7 +26,7 @@ from .common import renamed
 #: Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REMEMBERED = 400_000
-BITS = 17
+BITS = 24
 
 
 def byte_letters() -> dict[int, str]:

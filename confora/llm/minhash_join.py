@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, ngram: int) -> DataFrame:
                 ["id", "tk", "k1", "k2", "n_grams", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, tk long, k1 long, k2 long, n_grams int, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, tk long, k1 long, k2 long, n_grams int, bands array<long>")
 
 
 def near_duplicate_classes(
@@ -118,7 +118,7 @@ def near_duplicate_classes(
     number of other documents with Jaccard >= threshold, same_set_id the smallest id with an equal set."""
     spark = docs.sparkSession
     bands, rows = bands_for(threshold, recall)
-    d = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    d = renamed(docs, id=id_col, text=text_col)
     sigs = written(signatures(d.withColumn("tk", F.xxhash64("text", F.isnull("id"))), bands, rows, ngram), "signatures")
     # a set is a node: its smallest id and one of that id's texts stand for it
     named = F.col("id").isNotNull()
@@ -139,7 +139,7 @@ def near_duplicate_classes(
     wanted = entries.join(kept, ["band", "key"]).groupBy("rep").agg(F.collect_list(F.struct("band", "key", "tiles")).alias("spots"))
     wanted = written(wanted.join(reps.select("rep", "id", "tk", "n", "bands"), "rep"), "wanted")
     # one text for each wanted set: rows that repeat an id and its text are collapsed before they meet
-    place = lambda tk: (F.coalesce("id", F.lit(0)).alias("a"), tk.alias("b"))
+    place = lambda tk: (F.xxhash64("id").alias("a"), tk.alias("b"))
     texts = d.select(*place(F.xxhash64("text", F.isnull("id"))), "text").groupBy("a", "b").agg(F.first("text").alias("text"))
     texts = texts.join(wanted.select(*place(F.col("tk")), "rep", "n", "bands", "spots"), ["a", "b"]).select("rep", "n", "bands", "spots", "text")
 

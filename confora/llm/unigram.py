@@ -303,8 +303,8 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 if len(_seen) > REMEMBERED:
                     _seen.clear()
 
-    d = renamed(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    return d.mapInArrow(run, "doc_id long, n_pieces long, n_byte_pieces long, pieces array<int>, round_trip boolean")
+    d = renamed(docs, id=id_col, text=text_col)
+    return d.mapInArrow(run, f"doc_id {d.schema['id'].dataType.simpleString()}, n_pieces long, n_byte_pieces long, pieces array<int>, round_trip boolean")
 
 
 #: Words that this Python worker has decoded.
