@@ -27,6 +27,13 @@ def words(rng, n, tag="w", pool=10_000):
     return [f"{tag}{rng.randrange(pool)}" for _ in range(n)]
 
 
+@pytest.fixture(scope="module")
+def piece_model():
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 60), (60, 50), (7, 7)], "u long, v long")
     assert {r.node: r.component for r in connected_components(e).collect()} == {i: 0 for i in range(31)} | {50: 50, 60: 50}
@@ -84,6 +91,30 @@ def test_words_are_those_of_the_pattern():
         assert len(got) == len(w) and [int(x) for x in got] == [int(minhash_join.hashes_of_words(x)[0]) for x in w]
 
 
+def test_ids_of_any_type(spark, piece_model):
+    """Text ids are carried as they are; the least of a class is the least text."""
+    rows = [("b", "one two three four five six seven"), ("a", "One two, three four five six seven"), ("c", None), (None, "other words here and there now")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in minhash_join.near_duplicate_classes(df).collect()}
+    assert got == {"a": ("a", 1), "b": ("a", 1), "c": ("c", 0), None: (None, 0)}
+    assert {r.doc_id for r in unigram.encoded(df, piece_model).collect()} == {"a", "b", "c", None}
+    bench = spark.createDataFrame([("q1", "one two three four five. six seven.")], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in bm25_wand.contaminated(df, bench).collect()} == {("a", "q1"), ("b", "q1")}
+    assert {r.doc_id for r in toxicity.toxicity(df, spark.createDataFrame([("a", 1), ("b", 0)], "doc_id string, toxic int")).collect()} == {"a", "b", "c", None}
+
+
+def test_toxicity_of_null_and_repeated_ids(spark):
+    """Rows of one id are scored each, null ids are never held out, and columns of clashing names are carried through."""
+    rows = [(i, "the house " + ("moron" if i % 3 == 0 else "idea")) for i in range(90)] + [(3, "the house moron"), (3, None), (None, "a moron"), (None, "an idea"), (None, None)]
+    df = spark.createDataFrame([(i, t, 0.25, 7) for i, t in rows], "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(0, 1), (0, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(df, labels).collect()
+    assert len(got) == len(rows) and not any(r.held_out for r in got if r.doc_id is None)
+    assert sorted(r.predicted for r in got if r.doc_id == 3) == [0, 1, 1] and sorted(r.predicted for r in got if r.doc_id is None) == [0, 0, 1]
+    kept = toxicity.toxicity(df, labels, keep_columns=True)
+    assert kept.columns[:4] == df.columns and kept.select("score").distinct().collect() == [(0.25,)] and kept.where("_predicted = 1").count() == sum(r.predicted for r in got)
+
+
 def test_bands():
     b, r = minhash_join.bands_for(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= minhash_join.MAX_HASHES
@@ -199,13 +230,6 @@ def test_contamination_of_edited_items(spark):
 
 
 # 3
-@pytest.fixture(scope="module")
-def piece_model():
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def test_unigram_equals_library_and_brute_force(piece_model):
     sentencepiece = pytest.importorskip("sentencepiece")
     raw = open(piece_model, "rb").read()
