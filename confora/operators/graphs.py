@@ -110,9 +110,17 @@ def edit_distance(nodes_a: dict, edges_a, nodes_b: dict, edges_b, limit: float =
     return float(best) if best < limit else float("inf")
 
 
+def degree_bound(edges_a, edges_b) -> float:
+    """A lower bound of the edit distance that no labels can beat: an edge more or less moves two degrees by one, other edits move none."""
+    a, b = (sorted(Counter(x for e in {frozenset(e) for e in edges} for x in e).values(), reverse=True) for edges in (edges_a, edges_b))
+    n = max(len(a), len(b))
+    a, b = a + [0] * (n - len(a)), b + [0] * (n - len(b))
+    return sum(abs(x - y) for x, y in zip(a, b, strict=True)) / 2
+
+
 def blueprint_distance(labels: dict, threshold: float):
-    """The ``distance`` of ``leader_clusters`` for graphs that all have the vertices of a blueprint, vertex to label."""
-    return lambda a, b: edit_distance(labels, a, labels, b, threshold)
+    """The ``distance`` of ``leader_clusters`` for graphs that all have the vertices of a blueprint, vertex to label; pairs that the degrees keep apart are not searched."""
+    return lambda a, b: float("inf") if degree_bound(a, b) >= threshold else edit_distance(labels, a, labels, b, threshold)
 
 
 def jaccard_candidates(current: DataFrame, reference: DataFrame, member: str, current_class: str, reference_class: str) -> DataFrame:

@@ -39,6 +39,15 @@ def structure_files(texts: DataFrame, path: str, per_partition: int = 500) -> No
     texts.select("structure_id", F.col("text").alias("value")).repartition("structure_id").write.mode("overwrite").partitionBy("structure_id").option("maxRecordsPerFile", per_partition).text(path)
 
 
+def packed_structures(texts: DataFrame, path: str, per_file: int = 5000) -> None:
+    """(structure_id, text) packed into sorted files of up to ``per_file`` structures: their statistics are the index that a lookup by id prunes with."""
+    texts.select("structure_id", "text").repartitionByRange("structure_id").sortWithinPartitions("structure_id").write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
+
+
+def packed_structure(spark, path: str, structure_id: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("structure_id") == structure_id)
+
+
 def append_pairs(pairs: DataFrame, path: str, by: str = "edge_count") -> None:
     """Appends pair results to a table partitioned by block, so that a run that stops keeps the blocks it has finished."""
     pairs.write.mode("append").partitionBy(by).parquet(path)

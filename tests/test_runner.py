@@ -71,6 +71,13 @@ def test_batch_and_init(spark, project):
     assert parser().parse_args(["step03", "--config", "c"]).command == "step03"
 
 
+def test_packed_structures(spark, tmp_path):
+    texts = spark.createDataFrame([(f"m_{i}", f"ATOM {i}\nEND") for i in range(50)], "structure_id string, text string")
+    sinks.packed_structures(texts, f"{tmp_path}/packed", 7)
+    assert [r.text for r in sinks.packed_structure(spark, f"{tmp_path}/packed", "m_31").collect()] == ["ATOM 31\nEND"]
+    assert spark.read.parquet(f"{tmp_path}/packed").count() == 50
+
+
 def test_exported_files(spark, project):
     index = spark.createDataFrame([("c1", "m_1", f"{project}/models/m_1.pdb", None), ("c2", "m_2", f"{project}/models/m_2.pdb", f"{project}/grades.txt")], "class string, structure_id string, pdb string, graph string")
     made = sinks.exported_files(spark, index, ["pdb", "graph"], f"{project}/export")

@@ -189,6 +189,7 @@ def test_edit_distance_equals_all_mappings(spark):
             g += [n, [e for e in itertools.combinations(n, 2) if rng.random() < 0.5]]
         want = brute(*g)
         assert graphs.edit_distance(*g) == want
+        assert graphs.degree_bound(g[1], g[3]) <= want
         assert graphs.edit_distance(*g, limit=want) == float("inf")
     labels = {"a": "C1", "b": "C1", "r": "R1", "s": "S1"}
     rows = [(1, [("a", "r")], 1), (2, [("b", "r")], 1), (3, [("a", "s")], 1)]
