@@ -44,3 +44,115 @@ def test_null_and_repeated_ids_are_dropped_too(spark):
     assert once.columns == docs.columns
     got = sorted((str(r.doc_id), (r.text or "")[:2]) for r in stages.drop_contaminated(spark, once, SF).collect())
     assert got == [("2", "d0"), ("5", "c0"), ("5", "f0"), ("None", ""), ("None", "a0")]
+
+
+def test_every_stage_equals_a_plain_version(spark):
+    """The five stages over all documents of the smallest tables, against loops over rows on the driver."""
+    import re
+    import zlib
+    from collections import Counter
+
+    import numpy as np
+    import public_tokenizers
+    from test_operators import base_spans
+
+    from confora.llm import bm25_wand, minhash_join, toxicity, unigram
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    assert len(rows) == docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+
+    # toxicity: the model fitted and applied text by text, without remembered tokens
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null").collect():
+        labels[r.doc_id] = max(r.toxic, labels.get(r.doc_id, 0))
+    counts = Counter()
+    for t in rows.values():
+        c = [toxicity.EDGE, toxicity.EDGE, *toxicity.classes(t or "").tolist(), toxicity.EDGE, toxicity.EDGE] if t else []
+        counts.update(zip(c, c[1:], c[2:], strict=False))
+    dense = np.zeros((toxicity.N_CLASSES,) * 3, np.int64)
+    for k, n in counts.items():
+        dense[k] = n
+    restore = toxicity.Decoder(dense.ravel()).restore
+    fit = {i: y for i, y in labels.items() if i in rows and zlib.crc32(str(i).encode()) % 5}
+    seen = {i: toxicity.features(restore(rows[i] or "")) for i in fit}
+    tox, clean = np.zeros(toxicity.BUCKETS), np.zeros(toxicity.BUCKETS)
+    for i, f in seen.items():
+        (tox if fit[i] else clean)[np.unique(f)] += 1
+    n1, n0 = sum(fit.values()), len(fit) - sum(fit.values())
+    clean[tox < 2] = tox[tox < 2] = 0
+    e = np.array([toxicity.left_out(fit[i], seen[i], tox, clean, n1, n0) for i in fit])
+    y = np.array(list(fit.values()), float)
+    by = np.lexsort((y, e))
+    c0, c1 = toxicity.calibrated(e[by], y[by])
+    weight = toxicity.bounds(tox, clean, n1, n0)
+
+    def toxic(text):
+        words = sorted(set(toxicity.WORD.findall(restore(text or ""))))
+        found = sorted((w for w in (weight[toxicity.buckets(words)].max(axis=1) if words else []) if w > 0), reverse=True)[:3]
+        return c0 + c1 * sum(found) >= 0
+
+    kept = {i: t for i, t in rows.items() if not toxic(t)}
+    got = written(stages["toxicity"](spark, docs, SF))
+    assert {r.doc_id: r.text for r in got.collect()} == kept and len(kept) < len(rows)
+
+    # near duplicates: all pairs
+    sets = {i: set(minhash_join.ngram_set(t).tolist()) if t else set() for i, t in kept.items()}
+    label = {i: i for i in kept}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for _ in range(len(kept)):
+        before = dict(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    kept = {i: t for i, t in kept.items() if label[i] == i}
+    got = written(stages["near_duplicates"](spark, got, SF))
+    assert {r.doc_id: r.text for r in got.collect()} == kept and pairs
+
+    # decontamination: every passage against every item
+    items = [(r.item_id, *bm25_wand.split_answer(r.text or "")) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    index = bm25_wand.Index([x for x in items if bm25_wand.words(x[1]) or bm25_wand.words(x[2])])
+
+    def leaks(text):
+        ws = bm25_wand.words(text)
+        for lo in range(0, len(ws), index.longest):
+            passage = ws[lo : lo + 2 * index.longest]
+            score = Counter()
+            for x in {index.term.get(w, 0) for w in passage}:
+                for k, s in zip(index.items[x], index.impact[x], strict=True):
+                    score[k] += s
+            for k, s in score.items():
+                if s >= 0.5 - 1e-9:
+                    q, a, whole = (bm25_wand.tolerant_overlap(p, passage, 5, 0.8) for p in (*index.parts[k], index.full[k]))
+                    if min(q, a) >= 0.8 or whole >= 0.8:
+                        return True
+        return False
+
+    clean_of = {i: t for i, t in kept.items() if not leaks(t)}
+    got = written(stages["decontamination"](spark, got, SF))
+    assert {r.doc_id: r.text for r in got.collect()} == clean_of and len(clean_of) < len(kept)
+
+    # personal data: the shapes as plain patterns; the documents' contexts give nothing further away
+    def masked(text):
+        if text is None:
+            return None
+        secrets = [(4, m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{32,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        out, at = [], 0
+        for s, e, k in sorted((s, e, k) for k, s, e in base_spans(text) + secrets):
+            if s >= at:
+                out += [text[at:s], f"<{('email', 'ip', 'card', 'phone', 'secret')[k]}>"]
+                at = e
+        return "".join(out) + text[at:]
+
+    want = {i: masked(t) for i, t in clean_of.items()}
+    got = written(stages["personal_data"](spark, got, SF))
+    assert {r.doc_id: r.text for r in got.collect()} == want and want != clean_of
+    assert all(r.n_chars == len(r.text) for r in got.collect() if r.text is not None)
+
+    # pieces: each text alone, and back again
+    model = unigram.Unigram(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    pieces = {r.doc_id: r.pieces for r in stages["sentencepiece"](spark, got, SF).collect()}
+    assert pieces == {i: model.encode_all([t or ""], {})[0].tolist() for i, t in want.items()}
+    assert all(model.decode(pieces[i]) == (t or "") for i, t in want.items())
