@@ -20,7 +20,7 @@ STAGES = [
     ("sentencepiece", stages.encode_pieces),
 ]
 
-#: Viterbi decoding, MinHash classes and WAND retrieval have no SQL form; tests/llm compare each stage with brute force.
+#: Viterbi decoding, MinHash classes and WAND retrieval have no SQL form; tests/llm/test_pipeline.py holds each stage against loops over all rows.
 ORACLE_SQL = None
 
 
