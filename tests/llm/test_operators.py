@@ -242,7 +242,14 @@ def test_unigram_equals_library_and_brute_force(piece_model):
     total = lambda p: sum(m.scores[i] for i in p)
     for text, mine, theirs in zip(texts, ids, library.encode(texts), strict=True):
         assert mine == theirs or total(mine) >= total(theirs) - 1e-6, text
-    for text in ("hello", "ab é", "thethe"):  # all segmentations
+    # single words, whose sums no precision blurs: the same ids, but for rare ones where the library's path scores less
+    import pyarrow.parquet as pq
+
+    some = sorted({w for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() for w in (t or "").split() if len(w) < 20})[:3000]
+    mine, theirs = [x.tolist() for x in m.encode_all(some, {})], library.encode(some)
+    other = [(a, b) for a, b in zip(mine, theirs, strict=True) if a != b]
+    assert len(other) <= len(some) // 1000 and all(total(a) > total(b) for a, b in other)
+    for text in ("hello", "ab é", "thethe", "ariear"):  # all segmentations
         data = m.escaped(text).encode()
         keys = {p.encode(): m.scores[i] for i, p in enumerate(m.pieces) if m.kinds[i] == unigram.NORMAL}
         best = [0.0] + [-np.inf] * len(data)
