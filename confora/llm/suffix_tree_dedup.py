@@ -2,7 +2,7 @@
 
 Stretches of text that may repeat meet by the anchors of their windows (see ``repeats``). There, the suffixes that start a window
 are split by their literal first words: a group of suffixes with the same prefix that is larger than MEMORY is split by one more
-word, so prefixes are as long as it takes. A group's suffixes are sorted, the words that neighbours share are counted, and the tree is
+word, so prefixes are as long as it takes; small groups side by side are taken together, up to MEMORY. A group's suffixes are sorted, the words that neighbours share are counted, and the tree is
 built top-down from these counts, all nodes of a level at a time: an inner node is a range of suffixes with its depth (the words they all
 share) and its parent, its edge is the words between the two depths, and suffixes left alone are leaves. Inner nodes of at
 least a window's depth are the repeats; their suffixes start one, and runs of such suffixes are the maximal repeats that are removed.
@@ -36,6 +36,14 @@ class Tree:
     parent: np.ndarray
 
 
+class Numbers(dict):
+    """A number for each distinct word."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges one after the other, and which range each is of."""
     size = end - start
@@ -67,7 +75,15 @@ def tree_of(shared: np.ndarray, deepest: int) -> Tree:
 
 def sorted_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, words shared with the one before) of suffixes given as rows of word numbers."""
-    order = np.lexsort(rows.T[::-1])
+    bits = max(1, int(rows.max(initial=0)).bit_length())
+    per = max(1, 63 // bits)  # words of a sort key
+    keys = []
+    for j in range(0, rows.shape[1], per):
+        key = np.zeros(len(rows), np.int64)
+        for c in rows[:, j : j + per].T:
+            key = key << bits | c
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
     a = rows[order]
     same = a[1:] == a[:-1]
     return order, np.concatenate([[0], np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1))]).astype(np.int64)
@@ -75,8 +91,8 @@ def sorted_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def deep_nodes(stretches: list[bytes], n_windows: list[int], _, width: int, __, memory: int = MEMORY) -> list[np.ndarray]:
     """Per stretch, which of its first ``n_windows`` suffixes lie in an inner node of at least ``width`` words."""
-    number: dict[bytes, int] = {}
-    words = [np.fromiter((number.setdefault(w, len(number)) for w in x.split()), np.int32) for x in stretches]  # of bytes, this splits at the same six characters
+    number = Numbers()
+    words = [np.fromiter(map(number.__getitem__, x.split()), np.int32) for x in stretches]  # of bytes, this splits at the same six characters
     text, size = np.concatenate(words), np.array([len(w) for w in words])
     first = np.cumsum(size) - size
     starts, _ = ranges(first, first + np.array(n_windows))
@@ -89,8 +105,19 @@ def deep_nodes(stretches: list[bytes], n_windows: list[int], _, width: int, __,
         if depth == width:
             flags[group] = True
         elif len(group) > memory:  # one more word
-            by = group[np.argsort(text[starts[group] + depth], kind="stable")]
-            todo += [(x, depth + 1) for x in np.split(by, np.nonzero(np.diff(text[starts[by] + depth]))[0] + 1)]
+            word = text[starts[group] + depth]
+            by = np.argsort(word, kind="stable")
+            group, word = group[by], word[by]
+            cut = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1, [len(group)]])
+            lo = 0
+            for k in range(1, len(cut)):
+                if cut[k] - cut[k - 1] > memory:  # a prefix of its own
+                    todo += [(group[cut[lo] : cut[k - 1]], depth), (group[cut[k - 1] : cut[k]], depth + 1)]
+                    lo = k
+                elif cut[k] - cut[lo] > memory:
+                    todo.append((group[cut[lo] : cut[k - 1]], depth))
+                    lo = k - 1
+            todo.append((group[cut[lo] :], depth))
         else:
             order, shared = sorted_suffixes(text[starts[group][:, None] + np.arange(depth, width)])
             tree = tree_of(shared, width - depth)
