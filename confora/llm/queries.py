@@ -92,6 +92,27 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import audited, damage, digests, repaired
+
+    conversations = table(spark, sf_dir, "conversations")
+    rows = damage(conversations)
+    audits = audited(rows)
+    kept = digests(repaired(rows, audits)).withColumnRenamed("conv_id", "repaired_id")
+    every = conversations.select(F.col("conv_id").alias("original_id")).distinct()
+    found = every.join(audits.drop("pieces"), F.col("original_id").eqNullSafe(F.col("conv_id")), "left").join(kept, F.col("original_id").eqNullSafe(F.col("repaired_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(
+        F.col("original_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -104,11 +125,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_arrays": op8_suffix_arrays,
         "op7_personal_data": op7_personal_data,
         "op6_token_counts": op6_token_counts,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1, "op4_warc_index": OP4, "op5_suffix_trees": OP5, "op10_embedding_cells": OP10}
+    return {"op1_ngram_jaccard": OP1, "op4_warc_index": OP4, "op5_suffix_trees": OP5, "op10_embedding_cells": OP10, "op12_importance_resampling": OP12}
 
 
 #: Connected components of ``links`` (a, b), both ways round, by spreading smaller ids.
@@ -163,3 +186,19 @@ links AS MATERIALIZED (SELECT DISTINCT a, b FROM pairs), """
     + """ SELECT e.vec_id, coalesce(k, 0) AS n_links, coalesce(c.label, e.vec_id) AS component_id, coalesce(c.label, e.vec_id) = e.vec_id AS kept FROM embeddings e
 LEFT JOIN (SELECT a, count(*) AS k FROM pairs GROUP BY 1) p ON p.a = e.vec_id LEFT JOIN component c ON c.node = e.vec_id"""
 )
+
+#: crc32 of each distinct word from a table of its 256 steps; gains and noise in doubles.
+OP12 = r"""WITH steps AS (SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS MATERIALIZED (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY 1, 2),
+bw AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY 1),
+crc AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(encode(w)), 2 * i::INT + 1, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), steps),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dw JOIN crc USING (w) GROUP BY 1), t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM bw JOIN crc USING (w) GROUP BY 1),
+gain AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000) / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weight AS (SELECT rid, sum(n * gain)::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN gain USING (bucket) GROUP BY 1),
+score AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weight USING (rid)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM score)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked"""
