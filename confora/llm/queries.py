@@ -92,6 +92,19 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_detections
+
+    found = license_detections(table(spark, sf_dir, "documents"))
+    places, listed = F.col("base.word"), lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    own = F.coalesce(F.array_max("detections.confidence"), F.lit(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        listed(F.col("base.label")).alias("base_labels"), listed(F.concat("base.label", "detections.label")).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(own).alias("score"),
+    )
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resampled
 
@@ -125,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_arrays": op8_suffix_arrays,
         "op7_personal_data": op7_personal_data,
         "op6_token_counts": op6_token_counts,
+        "op11_license_scan": op11_license_scan,
         "op12_importance_resampling": op12_importance_resampling,
         "op13_conversation_repair": op13_conversation_repair,
     }
