@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,79 +47,6 @@ def signature_classes(signatures: DataFrame, structure: str) -> DataFrame:
     return g.withColumn("class_number", F.row_number().over(Window.orderBy(*graph_order(g, "leader"))))  # a row per class
 
 
-def leader_clusters(graphs: DataFrame, structure: str, distance, threshold: float) -> DataFrame:
-    """General leader clustering within blocks of equal edge count; ``distance(edges_a, edges_b)`` may be any function.
-
-    Blocks are independent because graphs of unequal edge counts are infinitely far apart. Graphs of equal
-    edges always share a leader, so only distinct edge sets enter a block, each under its first structure.
-    """
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(ordered(graphs, structure))])
-    distinct = graphs.groupBy("edge_count", "edges").agg(F.min_by(structure, key).alias(structure))
-    distinct = distinct.withColumn("__at", F.row_number().over(Window.partitionBy("edge_count").orderBy(*ordered(distinct, structure))))
-    kind = graphs.schema[structure].dataType.simpleString()
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        left = [(r[structure], [(e["u"], e["v"]) for e in r["edges"]]) for _, r in block.sort_values("__at").iterrows()]
-        out = []
-        while left:
-            lead, edges = left[0]
-            near = [(sid, float(distance(edges, e)) if sid != lead else 0.0) for sid, e in left]
-            member = {sid for sid, x in near if x < threshold or sid == lead}
-            out += [(sid, lead, x) for sid, x in near if sid in member]
-            left = [x for x in left if x[0] not in member]
-        return pd.DataFrame(out, columns=[structure, "leader", "distance"]).assign(edge_count=int(block["edge_count"].iloc[0]))
-
-    led = distinct.groupBy("edge_count").applyInPandas(run, f"{structure} {kind}, leader {kind}, distance double, edge_count int")
-    first = distinct.drop("__at").join(led.drop("edge_count"), structure).select("edge_count", "edges", "leader", "distance")
-    return graphs.join(first, ["edge_count", "edges"]).select(structure, "leader", "distance", "edge_count")
-
-
-def edit_distance(nodes_a: dict, edges_a, nodes_b: dict, edges_b, limit: float = float("inf")) -> float:
-    """Exact graph edit distance at uniform costs of undirected graphs; infinite where it is not below ``limit``.
-
-    ``nodes`` map a vertex to its label, and labels may repeat. Depth-first over vertex mappings, cut by a lower bound from the
-    labels and edges that are left. Time grows exponentially with the distance; nothing stops it early.
-    """
-    ea, eb = {frozenset(e) for e in edges_a}, {frozenset(e) for e in edges_b}
-    degree = Counter(x for e in ea for x in e)
-    todo = sorted(nodes_a, key=lambda x: (-degree[x], str(x)))
-    best = limit
-
-    def left_over(k: int, free: set, rest_a: int, rest_b: int) -> int:
-        la, lb = Counter(nodes_a[x] for x in todo[k:]), Counter(nodes_b[y] for y in free)
-        return max(la.total(), lb.total()) - (la & lb).total() + abs(rest_a - rest_b)
-
-    def visit(k: int, to: dict, free: set, cost: int, rest_a: int, rest_b: int) -> None:
-        nonlocal best
-        if cost + left_over(k, free, rest_a, rest_b) >= best:
-            return
-        if k == len(todo):
-            best = cost + len(free) + rest_b
-            return
-        x = todo[k]
-        for y in [*sorted(free, key=lambda y: (nodes_b[y] != nodes_a[x], y != x, str(y))), None]:
-            mine = [frozenset((x, p)) in ea for p in to]
-            theirs = [y is not None and q is not None and frozenset((y, q)) in eb for q in to.values()]
-            step = (1 if y is None else int(nodes_a[x] != nodes_b[y])) + sum(m != t for m, t in zip(mine, theirs, strict=True))
-            visit(k + 1, to | {x: y}, free - {y}, cost + step, rest_a - sum(mine), rest_b - sum(theirs))
-
-    visit(0, {}, set(nodes_b), 0, len(ea), len(eb))
-    return float(best) if best < limit else float("inf")
-
-
-def degree_bound(edges_a, edges_b) -> float:
-    """A lower bound of the edit distance that no labels can beat: an edge more or less moves two degrees by one, other edits move none."""
-    a, b = (sorted(Counter(x for e in {frozenset(e) for e in edges} for x in e).values(), reverse=True) for edges in (edges_a, edges_b))
-    n = max(len(a), len(b))
-    a, b = a + [0] * (n - len(a)), b + [0] * (n - len(b))
-    return sum(abs(x - y) for x, y in zip(a, b, strict=True)) / 2
-
-
-def blueprint_distance(labels: dict, threshold: float):
-    """The ``distance`` of ``leader_clusters`` for graphs that all have the vertices of a blueprint, vertex to label; pairs that the degrees keep apart are not searched."""
-    return lambda a, b: float("inf") if degree_bound(a, b) >= threshold else edit_distance(labels, a, labels, b, threshold)
-
-
 def jaccard_candidates(current: DataFrame, reference: DataFrame, member: str, current_class: str, reference_class: str) -> DataFrame:
     """Class pairs that share members, with shared count and Jaccard index."""
     c, r = current.select(member, current_class).distinct(), reference.select(member, reference_class).distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import chemistry, graphs, interactions, labels, placement, proximity, scores, screening
+from ..operators.edit_distance import edit_distances
+from ..operators.leaders import leader_classes
 from ..operators.superpose import superpose
 from ..sources import conservation, pdb, shared
 from ..streaming import quality as streaming
@@ -141,12 +143,59 @@ def q129_leader_classes(spark, d):
     names = {f"P{i}": f"P{i}" for i in range(2)} | {f"S{i}": f"S{i}" for i in range(3)}
     ends = F.struct(F.least("ligand", "residue").alias("u"), F.greatest("ligand", "residue").alias("v"))
     g = e.groupBy("structure_id").agg(F.array_sort(F.collect_set(ends)).alias("edges")).withColumn("edge_count", F.size("edges"))
-    led = graphs.leader_clusters(g, "structure_id", graphs.blueprint_distance(names, 1.0), 1.0)
+    led = leader_classes(g, "structure_id", names, graphs.ordered(g, "structure_id"))
     numbers = led.select("edge_count", "leader").distinct()
     numbers = graphs.blueprint(numbers, graphs.graph_order(numbers, "leader"), "leader").select("leader", (F.col("global_idx") + 1).alias("class_number"))
     return led.join(numbers, "leader").select("structure_id", "class_number", "leader", "edge_count")
 
 
+#: Distances of all pairs of edge sets that occur, over five vertices of two labels, from all 120 mappings.
+DISTANCES = """v AS (SELECT range AS i, CASE WHEN range < 2 THEN 'P' ELSE 'S' END AS label FROM range(5)),
+o AS MATERIALIZED (SELECT l_orderkey, list(DISTINCT (l_partkey % 2) * 5 + 2 + l_suppkey % 3) AS given FROM lineitem GROUP BY 1),
+s AS MATERIALIZED (SELECT DISTINCT list_sort(given) AS edges FROM o),
+perm AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p, ((a.label <> 'P')::INT + (b.label <> 'P')::INT + (c.label <> 'S')::INT + (d.label <> 'S')::INT + (e.label <> 'S')::INT) AS relabelled
+    FROM v a, v b, v c, v d, v e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+image AS MATERIALIZED (SELECT edges, relabelled, list_transform(edges, lambda x: least(p[x // 5 + 1], p[x % 5 + 1]) * 5 + greatest(p[x // 5 + 1], p[x % 5 + 1])) AS moved FROM s, perm),
+dist AS MATERIALIZED (SELECT x.edges AS a, y.edges AS b, min(relabelled + len(x.moved) + len(y.edges) - 2 * len(list_intersect(x.moved, y.edges))) AS n FROM image x, s y GROUP BY 1, 2)"""
+
+
+def two_label_graphs(spark, d):
+    """Order graphs over vertices P0, P1 of label P and S0, S1, S2 of label S."""
+    e = order_graphs(spark, d)
+    ends = F.struct(F.least("ligand", "residue").alias("u"), F.greatest("ligand", "residue").alias("v"))
+    return e.groupBy("structure_id").agg(F.array_sort(F.collect_set(ends)).alias("edges")).withColumn("edge_count", F.size("edges"))
+
+
+TWO_LABELS = {"P0": "P", "P1": "P", "S0": "S", "S1": "S", "S2": "S"}
+
+
+@query(f"""WITH {DISTANCES}, p AS (SELECT x.l_orderkey, list_sort(x.given) AS a, list_sort(y.given) AS b FROM o x JOIN o y ON y.l_orderkey = x.l_orderkey + 1),
+q AS (SELECT l_orderkey, CASE WHEN p.a = p.b THEN 'exact' WHEN l_orderkey % 10 = 0 THEN 'over_budget' WHEN n < 3 THEN 'exact' ELSE 'beyond' END AS status, n FROM p JOIN dist USING (a, b))
+SELECT l_orderkey, status, CASE WHEN status = 'exact' THEN n::DOUBLE END AS distance FROM q""")
+def q163_edit_distances(spark, d):
+    """The graph of an order against that of the next: 0, 1 and 2, beyond the limit of 3, and pairs without a budget, which are given up."""
+    nodes = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("label")) for k, v in TWO_LABELS.items()])
+    g = two_label_graphs(spark, d).select(F.regexp_extract("structure_id", "([0-9]+)$", 1).cast("long").alias("l_orderkey"), "edges")
+    after = g.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("edges").alias("edges_b"))
+    pairs = g.select("l_orderkey", F.col("edges").alias("edges_a")).join(after, "l_orderkey").withColumns({"nodes_a": nodes, "nodes_b": nodes})
+    found = edit_distances(pairs.withColumn("budget", F.when(F.col("l_orderkey") % 10 == 0, 0).otherwise(1000)), limit=3)
+    return found.select("l_orderkey", "status", F.when(F.col("status") == "exact", F.col("distance")).alias("distance"))
+
+
+@query(f"""WITH RECURSIVE {DISTANCES}, first AS (SELECT list_sort(given) AS edges, min(l_orderkey) AS lead FROM o GROUP BY 1), block AS (SELECT len(edges) AS edge_count, list(edges ORDER BY lead) AS todo FROM first GROUP BY 1),
+near AS MATERIALIZED (SELECT a, list(b) AS others FROM dist WHERE n < 3 GROUP BY 1), step AS (SELECT edge_count, todo, [todo[1]] AS leaders, 2 AS k FROM block
+    UNION ALL SELECT edge_count, todo, CASE WHEN len(list_intersect(leaders, others)) > 0 THEN leaders ELSE leaders || [todo[k]] END, k + 1 FROM step JOIN near ON a = todo[k] WHERE k <= len(todo)),
+led AS (SELECT edge_count, unnest(leaders) AS leader FROM step WHERE k = len(todo) + 1),
+best AS (SELECT f.edges, min(l.lead) AS lead FROM first f JOIN led ON edge_count = len(f.edges) JOIN first l ON l.edges = leader JOIN dist ON a = f.edges AND b = leader AND n < 3 GROUP BY 1)
+SELECT 'run10_model_' || l_orderkey AS structure_id, 'run10_model_' || CASE WHEN list_sort(given) IN (SELECT leader FROM led) THEN f.lead ELSE best.lead END AS leader,
+    CASE WHEN list_sort(given) IN (SELECT leader FROM led) THEN 0.0 ELSE n END::DOUBLE AS distance, len(given) AS edge_count
+FROM o JOIN first f ON f.edges = list_sort(given) JOIN best ON best.edges = f.edges JOIN first l ON l.lead = best.lead JOIN dist ON a = f.edges AND b = l.edges""")
+def q164_leader_distances(spark, d):
+    """Leaders at a threshold of 3 where labels repeat: members are 0, 1 or 2 edits away from the earliest leader that is near enough."""
+    g = two_label_graphs(spark, d)
+    return leader_classes(g, "structure_id", TWO_LABELS, graphs.ordered(g, "structure_id"), 3.0).select("structure_id", "leader", "distance", F.col("edge_count").cast("long").alias("edge_count"))
+
+
 # joins
 @query("""WITH good AS (SELECT s_nationkey AS k, n_regionkey AS r, s_acctbal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 6000),
 e AS (SELECT k, avg(s_acctbal) AS v FROM good GROUP BY 1), f AS (SELECT r, avg(s_acctbal) AS v FROM good GROUP BY 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import RADII, residue_base_of, vdw_radius
 from ..operators import graphs, proximity, scores, screening
+from ..operators.leaders import leader_classes
 from ..sources import pdb, tables
 
 STEPS = [f"{i:02d}" for i in range(1, 10)]
@@ -136,7 +137,7 @@ def classes(edges: DataFrame, kept: DataFrame, nodes: DataFrame | None = None, t
         if threshold > 1 or len(set(labels.values())) < len(labels):
             ends = F.struct(F.least("ligand", "residue").alias("u"), F.greatest("ligand", "residue").alias("v"))
             g = e.groupBy("structure_id").agg(F.array_sort(F.collect_set(ends)).alias("edges")).withColumn("edge_count", F.size("edges"))
-            led = graphs.leader_clusters(g, "structure_id", graphs.blueprint_distance(labels, threshold), threshold)
+            led = leader_classes(g, "structure_id", labels, graphs.ordered(g, "structure_id"), threshold)
             numbers = led.select("edge_count", "leader").distinct().withColumn("class_number", F.row_number().over(Window.orderBy(*graphs.graph_order(led, "leader"))))
             return led.join(numbers, ["edge_count", "leader"]).select("structure_id", "class_number", "leader", "edge_count")
     sig = graphs.edge_signatures(e, "structure_id", "ligand", "residue")

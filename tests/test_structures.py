@@ -84,8 +84,10 @@ def test_set_types_and_filters(spark):
 
 
 def test_leader_clustering(spark):
+    from confora.operators.leaders import leader_classes
+
     g = spark.createDataFrame([(1, [(0, 1)], 1), (2, [(0, 1)], 1), (3, [(0, 2)], 1), (4, [(0, 1), (0, 2)], 2)], "id int, edges array<struct<u:int,v:int>>, edge_count int")
-    out = graphs.leader_clusters(g, "id", lambda a, b: len(set(a) ^ set(b)), 1.0)
+    out = leader_classes(g, "id", {0: "a", 1: "b", 2: "c"}, [F.col("id")])
     assert {(r.id, r.leader) for r in out.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
 
 

@@ -163,38 +163,13 @@ def test_components_cover_every_edge_with_whole_keys(spark, tmp_path):
     assert got == want and len(set(got.values())) == 3
 
 
-def test_edit_distance_equals_all_mappings(spark):
-    import itertools
-    import random
-
-    from confora.operators import graphs
-
-    def brute(na, ea, nb, eb):
-        best, a, slots = 99, list(na), list(nb)
-        slots += [None] * len(a)
-        sa, sb = {frozenset(e) for e in ea}, {frozenset(e) for e in eb}
-        for p in set(itertools.permutations(slots, len(a))):
-            to = dict(zip(a, p, strict=True))
-            image = {frozenset(to[x] for x in e) for e in sa if None not in [to[x] for x in e]}
-            kept = len(image & sb)
-            vertices = sum(1 if y is None else na[x] != nb[y] for x, y in to.items()) + len(set(nb) - set(p))
-            best = min(best, vertices + len(sa) + len(sb) - 2 * kept)
-        return best
-
-    rng = random.Random(4)
-    for _ in range(60):
-        g = []
-        for _ in range(2):
-            n = {i: rng.choice("CCN") for i in range(rng.randrange(1, 5))}
-            g += [n, [e for e in itertools.combinations(n, 2) if rng.random() < 0.5]]
-        want = brute(*g)
-        assert graphs.edit_distance(*g) == want
-        assert graphs.degree_bound(g[1], g[3]) <= want
-        assert graphs.edit_distance(*g, limit=want) == float("inf")
+def test_classes_where_labels_repeat(spark):
+    from confora.operators.leaders import leader_classes
+
     labels = {"a": "C1", "b": "C1", "r": "R1", "s": "S1"}
     rows = [(1, [("a", "r")], 1), (2, [("b", "r")], 1), (3, [("a", "s")], 1)]
     g = spark.createDataFrame(rows, "id int, edges array<struct<u:string,v:string>>, edge_count int")
-    led = lambda t: {(r.id, r.leader) for r in graphs.leader_clusters(g, "id", graphs.blueprint_distance(labels, t), t).collect()}
+    led = lambda t: {(r.id, r.leader) for r in leader_classes(g, "id", labels, [F.col("id")], t).collect()}
     assert led(1.0) == {(1, 1), (2, 1), (3, 3)} and led(3.0) == {(1, 1), (2, 1), (3, 1)}
     nodes = spark.createDataFrame(list(labels.items()), "node_key string, label string")
     edges = spark.createDataFrame([("s1", "a", "r"), ("s2", "b", "r"), ("s3", "a", "s"), ("s4", "a", "r"), ("s4", "b", "r")], "structure_id string, ligand string, residue string")
