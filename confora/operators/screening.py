@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def with_total(df: DataFrame, structures: DataFrame, key: str) -> DataFrame:
     """Adds n_total, the number of all structures, also of those without any row."""
     return df.crossJoin(F.broadcast(structures.agg(F.count_distinct(key).alias("n_total"))))  # one row
 
 
-def residue_frequency(contacts: DataFrame, structures: DataFrame, structure: str, residue: str, within: Column, distance: str) -> DataFrame:
+def residue_frequency(contacts: DataFrame, structures: DataFrame, structure: str, residue: str, within: Column, distance: str, hot: int | None = None) -> DataFrame:
     """Structures seen and within reach, least, median and mean distance over all rows, frequency over all structures.
 
     Distinct counts are plain counts over (residue, structure), reduced map-side first; distances have an aggregation of their own, so no
-    row is expanded. Both are partitioned by residue."""
+    row is expanded. Both are partitioned by residue. Medians of residues with more than ``hot`` rows are refined by histograms."""
     one = contacts.groupBy(residue, structure).agg(F.max(F.when(within, 1).otherwise(0)).alias("__in"))
     seen = one.groupBy(residue).agg(F.count(structure).alias("n_structures"), F.sum(F.when(F.col(structure).isNotNull(), F.col("__in")).otherwise(0)).alias("n_within"))
-    far = contacts.groupBy(F.col(residue).alias("__r")).agg(F.min(distance).alias("min_distance"), F.median(distance).alias("median_distance"), F.avg(distance).alias("mean_distance"))
-    s = seen.join(far, F.col(residue).eqNullSafe(F.col("__r"))).drop("__r")
+    far = contacts.groupBy(F.col(residue).alias("__r")).agg(F.min(distance).alias("min_distance"), F.avg(distance).alias("mean_distance"))
+    middle = quantiles(contacts, [F.col(residue)], distance, {"median_distance": 0.5}, hot).withColumnRenamed("k0", "__m")
+    s = seen.join(far, F.col(residue).eqNullSafe(F.col("__r"))).join(middle, F.col(residue).eqNullSafe(F.col("__m")), "left").drop("__r", "__m")
     return with_total(s, structures, structure).withColumn("frequency", F.col("n_within") / F.col("n_total"))
 
 

@@ -101,8 +101,8 @@ def q05_radius_semi(spark, d):
 
 def nearest_points(spark, d):
     left, right = points(spark, d)
-    pairs = proximity.structure_join(left, right, ["structure_id"]).select(F.col("l.vec_id").alias("protein_id"), F.col("r.vec_id").alias("ligand_id"), "d2")
-    return r6(proximity.nearest(pairs, ["protein_id"], "ligand_id"), "min_distance")
+    near = proximity.nearest_in_rings(left, right, ["structure_id"], ["vec_id"], "vec_id")
+    return r6(near.withColumnRenamed("vec_id", "protein_id"), "min_distance")
 
 
 @query("WITH " + POINTS + " SELECT protein_id, round(sqrt(min(d2)), 6) AS min_distance FROM pairs WHERE structure_id = other GROUP BY 1")

@@ -100,8 +100,8 @@ def residue_contacts(atoms: DataFrame, s: Settings) -> DataFrame:
     """(structure_id, residue, distance): least distance of each residue to any ligand atom."""
     protein, ligand = sides(atoms, s)
     p = protein.withColumn("residue", residue_base_of(F.col("resname"), F.col("resseq"), F.col("icode")))
-    pairs = proximity.structure_join(p, ligand, ["structure_id"])  # the least distance has no bound, and structures are small
-    return pairs.groupBy(F.col("l.structure_id").alias("structure_id"), F.col("l.residue").alias("residue")).agg(F.sqrt(F.min("d2")).alias("distance"))
+    near = proximity.nearest_in_rings(p, ligand, ["structure_id"], ["residue"], "serial")
+    return near.select("structure_id", "residue", F.col("min_distance").alias("distance"))
 
 
 def key_residues(contacts: DataFrame, edges: DataFrame, conservation: DataFrame, structures: DataFrame, s: Settings) -> DataFrame:
