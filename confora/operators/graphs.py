@@ -56,37 +56,49 @@ def jaccard_candidates(current: DataFrame, reference: DataFrame, member: str, cu
     return out.withColumn("jaccard", F.col("shared") / (F.col("n_current") + F.col("n_reference") - F.col("shared")))
 
 
+#: Neighbours from which a node is a hub, whose rows do not meet in one task, and how many hubs are broadcast at most.
+HUB, BROADCAST_HUBS = 100_000, 200_000
+
+
+def with_values(rows: DataFrame, values: DataFrame, key: str, hubs: DataFrame | None) -> DataFrame:
+    """``rows`` with the one row of ``values`` for their key. Rows of ``hubs`` stay where they are, and their few values are sent to them."""
+    if hubs is None:
+        return rows.join(values, key)
+    few = F.broadcast(hubs.withColumnRenamed("x", key))
+    sent = F.broadcast(values.join(few, key, "left_semi"))  # at most a row for each hub
+    return rows.join(few, key, "left_semi").join(sent, key).unionByName(rows.join(few, key, "left_anti").join(values.join(few, key, "left_anti"), key))
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 50) -> DataFrame:
     """(node, component) of every node with an edge to another or itself, the component being the smallest node that edges reach.
 
-    Alternating large-star and small-star rounds: each is a pair of aggregations, so a node with millions of neighbours is
-    pre-aggregated map-side and never gathered into a list. Every round ends in a table of the shared folder, and the one before it
-    is deleted. Rounds grow with the logarithm of the longest chain; ``max_rounds`` only guards against a bug and raises
+    Alternating large-star and small-star rounds. The least neighbour of each node is an aggregation, reduced map-side, and its result goes
+    back to the edges by a join. A node with more than ``HUB`` neighbours would have all its edges in one task of that join, so the least neighbours of hubs, of which there are
+    at most two for every ``HUB`` edges, are broadcast (if counted to be few enough; else the join's own skew handling is left to it). Every round ends in tables of the shared
+    folder, and those before are deleted. Rounds grow with the logarithm of the longest chain; ``max_rounds`` only guards against a bug and raises
     instead of returning a partial answer. Edges with a null end are none.
     """
-
-    def state(e: DataFrame):
-        return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-
     given = edges.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).where(F.col(u).isNotNull() & F.col(v).isNotNull()).distinct()
     given = written(given, "edges")
-    e = written(given.where("a < b"), "stars")
-    before = state(e)
+    e, before = written(given.where("a < b"), "stars"), None
     for _ in range(max_rounds):
         both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).union(e.select("b", "a"))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        low = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")), "low")
+        *now, n_hubs = low.agg(F.sum("n"), F.sum("h"), F.count_if(F.col("n") > HUB)).first()  # the edges that are left, by number and hash
+        if now == before:
+            deleted(low)
+            break
+        before = now
+        hubs = low.where(F.col("n") > HUB).select("x") if 0 < n_hubs <= BROADCAST_HUBS else None
         # large-star: neighbours above x are tied to the least of x's neighbourhood
-        large = both.where("y > x").join(low, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a < b").distinct()
-        # small-star: x and its lower neighbours are tied to the least of them
+        large = with_values(both.where("y > x"), low.select("x", "m"), "x", hubs).select(F.col("m").alias("a"), F.col("y").alias("b")).where("a < b").distinct()
+        # small-star: x and its lower neighbours are tied to the least of them; who has many of these had as many neighbours before
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
+        small = with_values(large, least, "b", hubs).select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), "b"))
         new = written(small.where("a < b").distinct(), "stars")
-        now = state(new)
         deleted(e)
+        deleted(low)
         e = new
-        if now == before:
-            break
-        before = now
     else:
         raise RuntimeError("components did not settle")
     tied = e.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -12,15 +12,49 @@ from ..sources.shared import written
 TRACE = "structure_id string, attempt int, phase string, action string, clashes_before int, score_before double, clashes_after int, score_after double, translation double, rotation_deg double"
 
 
-def collisions(obstacles: np.ndarray, ligand: np.ndarray, threshold: float) -> tuple[int, float, np.ndarray]:
-    """(pairs below the threshold, summed depth, unit direction away from them weighted by depth)."""
-    diff = ligand[None] - obstacles[:, None]
-    d = np.sqrt((diff**2).sum(axis=2))
+class Obstacles:
+    """Points sorted by voxel, so that a trial costs the neighbourhood of the ligand and not all points."""
+
+    def __init__(self, points: np.ndarray, edge: float):
+        self.edge = edge
+        cell = np.floor(points / edge).astype(np.int64)
+        self.low = cell.min(axis=0) if len(points) else np.zeros(3, np.int64)
+        self.size = (cell.max(axis=0) - self.low + 1) if len(points) else np.ones(3, np.int64)
+        code = self.code(cell)
+        order = np.argsort(code, kind="stable")
+        self.points, self.codes = points[order], code[order]
+
+    def code(self, cell: np.ndarray) -> np.ndarray:
+        c = cell - self.low
+        return (c[..., 0] * self.size[1] + c[..., 1]) * self.size[2] + c[..., 2]
+
+    def near(self, ligand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(obstacle, ligand atom) of every pair in the same or in neighbouring voxels."""
+        cell = np.floor(ligand / self.edge).astype(np.int64)[:, None] + AROUND
+        at, atom = cell.reshape(-1, 3), np.repeat(np.arange(len(ligand)), len(AROUND))
+        inside = ((at >= self.low) & (at < self.low + self.size)).all(axis=1)
+        code, atom = self.code(at[inside]), atom[inside]
+        first, last = np.searchsorted(self.codes, code, "left"), np.searchsorted(self.codes, code, "right")
+        n = last - first
+        place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.points[place], ligand[np.repeat(atom, n)]
+
+
+AROUND = np.array([(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+
+
+def collisions(obstacles: Obstacles | np.ndarray, ligand: np.ndarray, threshold: float) -> tuple[int, float, np.ndarray]:
+    """(pairs below the threshold, summed depth, unit direction away from them weighted by depth). Voxels must be no smaller than the threshold."""
+    found = obstacles if isinstance(obstacles, Obstacles) else Obstacles(obstacles, threshold)
+    there, here = found.near(ligand)
+    diff = here - there
+    d = np.sqrt((diff**2).sum(axis=1))
     near = d < threshold
-    depth = np.where(near, threshold - d, 0.0)
-    push = (diff / np.maximum(d, 1e-12)[..., None] * depth[..., None]).sum(axis=(0, 1))
+    diff, d = diff[near], d[near]
+    depth = threshold - d
+    push = (diff / np.maximum(d, 1e-12)[:, None] * depth[:, None]).sum(axis=0)
     size = np.linalg.norm(push)
-    return int(near.sum()), float(depth.sum()), push / size if size > 1e-12 else np.zeros(3)
+    return len(d), float(depth.sum()), push / size if size > 1e-12 else np.zeros(3)
 
 
 def rotated(x: np.ndarray, axis: np.ndarray, degrees: float) -> np.ndarray:
@@ -40,7 +74,7 @@ def axes_across(direction: np.ndarray) -> list[np.ndarray]:
     return [first, np.cross(direction, first)]
 
 
-def relieved(obstacles: np.ndarray, ligand: np.ndarray, threshold: float = 2.0, attempts: int = 50, max_shift: float = 5.0, max_turn: float = 30.0):
+def relieved(obstacles: Obstacles | np.ndarray, ligand: np.ndarray, threshold: float = 2.0, attempts: int = 50, max_shift: float = 5.0, max_turn: float = 30.0):
     """(coordinates, trace): a bounded pattern search, without random numbers.
 
     Every attempt weighs a step away from the clash, turns about the axes along and across it, and both together; the one
@@ -48,6 +82,7 @@ def relieved(obstacles: np.ndarray, ligand: np.ndarray, threshold: float = 2.0,
     matter, or after ``attempts``; the shift never exceeds ``max_shift`` and the turns never add up to more than ``max_turn``.
     The result is the best position seen, which is always the last one taken.
     """
+    obstacles = obstacles if isinstance(obstacles, Obstacles) else Obstacles(obstacles, threshold)
     now, trace = ligand.copy(), []
     shift, turned, step = np.zeros(3), 0.0, dict(STEPS)
     n, score, away = collisions(obstacles, now, threshold)
@@ -97,10 +132,11 @@ def placed(transforms: DataFrame, protein: DataFrame, ligands: DataFrame, thresh
         obstacles = np.array([(a["x"], a["y"], a["z"]) for a in row.p])
         for _, part in [(1, template)] if assembly else template.groupby("group_index", sort=True):
             x, trace = part[["x", "y", "z"]].to_numpy(float) @ r + t, []
-            before = collisions(obstacles, x, threshold)[0]
+            there = Obstacles(obstacles, threshold)
+            before = collisions(there, x, threshold)[0]
             if avoid:
-                x, trace = relieved(obstacles, x, threshold)
-            after = collisions(obstacles, x, threshold)[0]
+                x, trace = relieved(there, x, threshold)
+            after = collisions(there, x, threshold)[0]
             obstacles = np.concatenate([obstacles, x])
             g = int(part["group_index"].iloc[0])
             for gi, i, p in zip(part["group_index"], part["atom_index"], x, strict=True):

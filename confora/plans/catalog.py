@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import graphs, proximity, scores, screening
+from ..operators.ordering import globally_numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -309,7 +310,7 @@ def q38_connected_components(spark, d):
 @query("""SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_acctbal >= 0 THEN s_acctbal END DESC NULLS LAST, s_nationkey, s_suppkey) AS position FROM supplier""")
 def q41_sort_nulls_last(spark, d):
     v = F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal"))
-    return t(spark, d, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(v.desc_nulls_last(), "s_nationkey", "s_suppkey")).alias("position"))
+    return globally_numbered(t(spark, d, "supplier"), v.desc_nulls_last(), "s_nationkey", "s_suppkey").select("s_suppkey", "position")
 
 
 @query("SELECT event_type, json_extract(props, '$.k')::BIGINT AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

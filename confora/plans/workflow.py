@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import RADII, residue_base_of, vdw_radius
 from ..operators import graphs, proximity, scores, screening
 from ..operators.leaders import leader_classes
+from ..operators.ordering import globally_numbered
 from ..sources import pdb, tables
 
 STEPS = [f"{i:02d}" for i in range(1, 10)]
@@ -166,5 +167,4 @@ def ranked_models(index: DataFrame) -> DataFrame:
     from ..functions.expressions import natural_key
 
     rank = pdb.file_metadata(F.col("structure_id"))["rank"]
-    order = Window.orderBy(rank.isNull(), rank, natural_key(F.col("structure_id")))
-    return index.withColumn("output_rank", F.row_number().over(order))
+    return globally_numbered(index, rank.isNull(), rank, natural_key(F.col("structure_id")), name="output_rank")

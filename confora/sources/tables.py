@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import interaction_type, natural_key, shift_last_integer
+from ..operators.ordering import globally_numbered
 from .shared import file_name, file_system
 
 
@@ -75,10 +76,10 @@ def plip_report(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataF
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """(path, file, size, input_order): files of a folder in natural order of their names. Contents are not read; the order is over the listing only."""
+    """(path, file, size, input_order): files of a folder in natural order of their names. Contents are not read."""
     r = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     out = r.select("path", F.regexp_replace("path", r"^.*/", "").alias("file"), F.col("length").alias("size"))
-    return out.withColumn("input_order", F.row_number().over(Window.orderBy(natural_key(F.col("file")), "file", "path")))
+    return globally_numbered(out, natural_key(F.col("file")), "file", "path", name="input_order")
 
 
 #: Kinds of result files by their endings, for a listing.

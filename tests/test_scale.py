@@ -86,3 +86,63 @@ def test_nearest_compares_fewer_pairs(spark):
     least = np.array([((q - x) ** 2).sum(1).min() ** 0.5 for x in p])
     assert {r.u: round(r.min_distance, 6) for r in got.collect()} == {i: round(float(d), 6) for i, d in enumerate(least)}
     assert len(compared) > 2 and sum(compared) < 20_000 * 4_000 / 4
+
+
+# global order
+def test_numbers_without_one_task(spark, tmp_path):
+    """Ties in the first columns, nulls, descending order, more ranges than rows, and an empty table; no plan gathers all rows."""
+    from confora.operators.ordering import globally_numbered
+    from confora.plans import catalog, workflow
+    from confora.sources import tables
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 1, 1, 1, 2, 3]), i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    for order, key in (([F.col("a").asc_nulls_first(), "b"], lambda r: (r[0] is not None, r[0] or 0, r[1])), ([F.desc_nulls_last("a"), F.desc("b")], lambda r: (r[0] is None, -(r[0] or 0), -r[1]))):
+        for n in (5, 16):
+            got = globally_numbered(df, *order, partitions=n).collect()
+            assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.position)] == sorted(rows, key=key) and {r.position for r in got} == set(range(1, 1001))
+    assert globally_numbered(df.limit(0), "a").collect() == []
+    assert [r.position for r in globally_numbered(df.limit(2), "b", first=0).orderBy("b").collect()] == [0, 1]
+    for i in (10, 2, 1):
+        (tmp_path / f"m_{i}.pdb").write_text("END\n")
+    files = tables.files(spark, str(tmp_path))
+    assert [r.file for r in files.orderBy("input_order").collect()] == ["m_1.pdb", "m_2.pdb", "m_10.pdb"]
+    ranked = workflow.ranked_models(spark.createDataFrame([("x_rank_10",), ("x_rank_2",), ("y",)], "structure_id string"))
+    for plan in (files, ranked, catalog.QUERIES["q41_sort_nulls_last"](spark, "/root/testdata/sf0.001")):
+        assert "SinglePartition" not in plan._jdf.queryExecution().toString()
+
+
+# components
+def test_a_star_is_spread_evenly(spark, monkeypatch):
+    """A hub with 50,000 leaves, greatest or least of all: its edges stay spread over the tasks that hold them."""
+    from confora.operators import graphs
+
+    monkeypatch.setattr(graphs, "HUB", 5_000)
+    n = 50_000
+    for hub in (n + 1, -1):
+        star = spark.range(0, n, 1, 8).select(F.col("id").alias("u"), F.lit(hub).cast("long").alias("v"))
+        chain = spark.createDataFrame([(10**9 + i, 10**9 + i + 1) for i in range(50)], "u long, v long")
+        found = graphs.components(star.unionByName(chain))
+        assert {(r.component, r["count"]) for r in found.groupBy("component").count().collect()} == {(min(hub, 0), n + 1), (10**9, 51)}
+    rows = star.select(F.col("v").alias("x"), F.col("u").alias("y"))
+    values, hubs = rows.groupBy("x").agg(F.min("y").alias("m")), spark.createDataFrame([(-1,)], "x long")
+    sizes = [r["count"] for r in graphs.with_values(rows, values, "x", hubs).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= n / 8
+
+
+# placement
+def test_obstacles_by_voxel_equal_all_pairs():
+    from confora.operators.placement import Obstacles, collisions
+
+    rng = np.random.default_rng(5)
+    for n, m, size, threshold in ((500, 30, 12, 2.0), (0, 4, 5, 1.0), (60, 1, 3, 4.0), (3000, 60, 40, 2.5)):
+        there, ligand = rng.uniform(-size, size, (n, 3)), rng.uniform(-size * 1.5, size * 1.5, (m, 3))
+        d = np.sqrt(((ligand[None] - there[:, None]) ** 2).sum(axis=2))
+        near = d < threshold
+        push = ((ligand[None] - there[:, None]) / np.maximum(d, 1e-12)[..., None] * np.where(near, threshold - d, 0)[..., None]).sum(axis=(0, 1))
+        count, depth, away = collisions(Obstacles(there, threshold), ligand, threshold)
+        assert count == near.sum() and depth == pytest.approx(np.where(near, threshold - d, 0).sum())
+        np.testing.assert_allclose(away, push / np.linalg.norm(push) if count else np.zeros(3), atol=1e-9)
+        assert len(Obstacles(there, threshold).near(ligand)[0]) <= n * m
+    assert len(Obstacles(there, threshold).near(ligand)[0]) < n * m / 50  # a trial costs the neighbourhood
