@@ -45,7 +45,31 @@ def ligand_nodes(atoms: DataFrame, key_mode: str = "residue_atom_name", label_mo
     return out.withColumn("label", ligand_label(label_mode, *place, c["element"], repeated)).drop("__key")
 
 
-def ligand_bonds(atoms: DataFrame, listed: DataFrame, covalent: float = 1.9) -> DataFrame:
+#: Covalent radii of elements in ligands (in angstrom) and how many neighbours an atom may have. Metals are left out: their contacts are no bonds.
+COVALENT_RADII = {"H": 0.31, "D": 0.31, "B": 0.84, "C": 0.76, "N": 0.71, "O": 0.66, "F": 0.57, "SI": 1.11, "P": 1.07, "S": 1.05, "CL": 1.02, "AS": 1.19, "SE": 1.20, "BR": 1.20, "I": 1.39}
+NEIGHBOURS = {"H": 1, "D": 1, "B": 4, "C": 4, "N": 4, "O": 2, "F": 1, "SI": 4, "P": 5, "S": 6, "CL": 4, "AS": 5, "SE": 6, "BR": 1, "I": 3}
+#: What a bond may be longer than its radii, and what two atoms must be apart to be two.
+SLACK, APART = 0.45, 0.4
+
+
+def guessed_bonds(atoms: DataFrame, key: list[str], slack: float = SLACK) -> DataFrame:
+    """(key, u, v): bonds by distance between atoms of one residue. Two atoms may be bonded within the sum of their covalent radii and ``slack``; each keeps no more than its
+    element's number of neighbours, the nearest ones (ties: the lower serial), and a bond holds if both ends keep it. Where the element is blank, the atom's name tells it."""
+    letters = F.upper(F.regexp_replace("atom_name", "[^A-Za-z]", ""))
+    element = F.when(F.trim("element") != "", F.upper(F.trim("element"))).otherwise(F.substring(letters, 1, 1))
+    table = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("el"))
+    a = atoms.withColumn("el", element).withColumns({"r": table(COVALENT_RADII), "most": table(NEIGHBOURS)}).where("r is not null").select(*key, "serial", "x", "y", "z", "r", "most", "el")
+    d = F.sqrt(sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    pairs = a.alias("a").join(a.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]).where(F.col("a.serial") != F.col("b.serial"))
+    both_h = F.col("a.el").isin("H", "D") & F.col("b.el").isin("H", "D")
+    pairs = pairs.withColumn("d", d).where((F.col("d") >= APART) & (F.col("d") <= F.col("a.r") + F.col("b.r") + slack) & ~both_h)
+    own = Window.partitionBy(*[F.col(f"a.{k}") for k in key], F.col("a.serial")).orderBy("d", F.col("b.serial"))
+    kept = pairs.withColumn("place", F.row_number().over(own)).where(F.col("place") <= F.col("a.most"))
+    ends = kept.select(*[F.col(f"a.{k}").alias(k) for k in key], F.least("a.serial", "b.serial").alias("u"), F.greatest("a.serial", "b.serial").alias("v"))
+    return ends.groupBy(*key, "u", "v").agg(F.count("*").alias("n")).where("n = 2").drop("n")  # kept from both ends
+
+
+def ligand_bonds(atoms: DataFrame, listed: DataFrame, slack: float = SLACK) -> DataFrame:
     """(structure_id, u, v, edge_type): listed bonds between ligand atoms; residues without any get bonds from distances."""
     ids = atoms.select("structure_id", "serial", "resname", "chain", "resseq")
     end = lambda s: ids.select("structure_id", F.col("serial").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("resname", "chain", "resseq")])
@@ -53,10 +77,8 @@ def ligand_bonds(atoms: DataFrame, listed: DataFrame, covalent: float = 1.9) ->
     first = known.select("structure_id", "u", "v", F.lit("listed").alias("edge_type"))
     has = known.select("structure_id", F.col("u_resname").alias("resname"), F.col("u_chain").alias("chain"), F.col("u_resseq").alias("resseq")).distinct()
     key = ["structure_id", "resname", "chain", "resseq"]
-    rest = atoms.join(has, key, "left_anti").select(*key, "serial", "x", "y", "z")
-    d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    near = rest.alias("a").join(rest.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]).where((F.col("a.serial") < F.col("b.serial")) & (d2 <= covalent**2))
-    return first.unionByName(near.select(F.col("a.structure_id").alias("structure_id"), F.col("a.serial").alias("u"), F.col("b.serial").alias("v"), F.lit("distance").alias("edge_type")))
+    rest = guessed_bonds(atoms.join(has, key, "left_anti"), key, slack)
+    return first.unionByName(rest.select("structure_id", "u", "v", F.lit("distance").alias("edge_type")))
 
 
 def resolved_contacts(contacts: DataFrame, atoms: DataFrame, reach: float = 0.5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,29 +11,51 @@ from pyspark.sql import functions as F
 
 
 def align(a: str, b: str, mode: str = "global", match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[float, list[tuple[int, int]]]:
-    """(score, aligned index pairs). Ties prefer the diagonal, then a gap in ``b``, then one in ``a``. Local: Smith-Waterman."""
+    """(score, aligned index pairs). Ties prefer the diagonal, then a gap in ``b``, then one in ``a``. Local: Smith-Waterman.
+
+    Of the score matrix only every k-th row is kept, k being the root of the number of rows. The way back takes one block of rows after the other, computed
+    again from the row above it and only as far right as the way can still go: memory grows with the length times its root, time doubles at most.
+    """
     n, m, local = len(a), len(b), mode == "local"
-    s = np.zeros((n + 1, m + 1), np.int64)
+    letters, every = np.frombuffer(b.encode("utf-32-le"), np.uint32), max(1, math.isqrt(n))
+    steps = gap * np.arange(m + 1, dtype=np.int32)
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        """Row ``i`` of the matrix from the one above."""
+        width = len(row)
+        diagonal = row[:-1] + np.where(letters[: width - 1] == ord(a[i - 1]), match, mismatch).astype(np.int32)
+        inner = np.maximum(diagonal, row[1:] + gap)
+        whole = np.concatenate([np.array([0 if local else gap * i], np.int32), np.maximum(inner, 0) if local else inner])
+        return np.maximum.accumulate(whole - steps[:width]) + steps[:width]  # gaps along the row
+
+    row = np.zeros(m + 1, np.int32) if local else steps.copy()
+    kept, best, i, j = {0: row}, int(row.max()) if local else 0, 0, int(row.argmax())
+    for k in range(1, n + 1):
+        row = below(row, k)
+        if k % every == 0:
+            kept[k] = row
+        if local and row.max() > best:
+            best, i, j = int(row.max()), k, int(row.argmax())
     if not local:
-        s[:, 0], s[0, :] = gap * np.arange(n + 1), gap * np.arange(m + 1)
-    bb = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    steps = gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        diagonal = s[i - 1, :-1] + np.where(bb == ord(a[i - 1]), match, mismatch)
-        row = np.maximum(diagonal, s[i - 1, 1:] + gap)
-        row = np.concatenate([[s[i, 0]], np.maximum(row, 0) if local else row])
-        s[i] = np.maximum.accumulate(row - steps) + steps  # gaps along the row
-    i, j = np.unravel_index(int(s.argmax()), s.shape) if local else (n, m)
-    best, pairs = float(s[i, j]), []
-    while i > 0 and j > 0 and not (local and s[i, j] == 0):
-        if s[i, j] == s[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            i, j = i - 1, j - 1
-            pairs.append((int(i), int(j)))
-        elif s[i, j] == s[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return best, pairs[::-1]
+        best, i, j = int(row[m]), n, m
+    pairs = []
+    while i > 0 and j > 0:
+        top = (i - 1) // every * every
+        rows = [kept[top][: j + 1]]
+        for k in range(top + 1, i + 1):
+            rows.append(below(rows[-1], k))
+        if local and rows[-1][j] == 0:
+            break
+        while i > top and j > 0 and not (local and rows[i - top][j] == 0):
+            here, above = rows[i - top], rows[i - top - 1]
+            if here[j] == above[j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+            elif here[j] == above[j] + gap:
+                i -= 1
+            else:
+                j -= 1
+    return float(best), pairs[::-1]
 
 
 #: Scores of the global and the local alignment.

@@ -301,14 +301,40 @@ def q139_ordered_atoms(spark, d):
     return interactions.ordered_atoms(every_atom(spark, d).where(pdb.is_ligand())).select("structure_id", "serial", "atom_number")
 
 
+#: Bonds by distance among the atoms of ``rest``.
+GUESSED = """el(e, r, most) AS (VALUES ('H', 0.31, 1), ('C', 0.76, 4), ('N', 0.71, 4), ('O', 0.66, 2), ('P', 1.07, 5), ('S', 1.05, 6), ('I', 1.39, 3)),
+typed AS (SELECT * FROM rest JOIN el ON e = CASE WHEN element <> '' THEN element ELSE substr(atom_name, 1, 1) END),
+tried AS (SELECT p.structure_id, p.resname, p.chain, p.resseq, p.serial AS i, q.serial AS j, p.most, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS d, p.r + q.r + 0.45 AS reach
+    FROM typed p JOIN typed q ON p.structure_id = q.structure_id AND p.resname = q.resname AND p.chain = q.chain AND p.resseq = q.resseq AND p.serial <> q.serial AND NOT (p.e = 'H' AND q.e = 'H')),
+placed AS (SELECT *, row_number() OVER (PARTITION BY structure_id, resname, chain, resseq, i ORDER BY d, j) AS place FROM tried WHERE d >= 0.4 AND d <= reach::DOUBLE),
+guessed AS (SELECT structure_id, least(i, j) AS u, greatest(i, j) AS v FROM placed WHERE place <= most GROUP BY 1, resname, chain, resseq, 2, 3 HAVING count(*) = 2)"""
+
+
 @query(f"""WITH {ATOMS}, {BONDS}, l AS (SELECT * FROM a WHERE {LIGAND}), known AS (SELECT b.structure_id, u, v, p.resname, p.chain, p.resseq FROM bonds b JOIN l p ON p.structure_id = b.structure_id AND p.serial = u JOIN l q ON q.structure_id = b.structure_id AND q.serial = v),
-rest AS (SELECT * FROM l ANTI JOIN known USING (structure_id, resname, chain, resseq))
-SELECT structure_id, u, v, 'listed' AS edge_type FROM known UNION ALL SELECT p.structure_id, p.serial, q.serial, 'distance' FROM rest p JOIN rest q USING (structure_id, resname, chain, resseq)
-WHERE p.serial < q.serial AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) <= 1.9 * 1.9""")
+rest AS (SELECT * FROM l ANTI JOIN known USING (structure_id, resname, chain, resseq)), {GUESSED}
+SELECT structure_id, u, v, 'listed' AS edge_type FROM known UNION ALL SELECT structure_id, u, v, 'distance' FROM guessed""")
 def q140_ligand_bonds(spark, d):
     return interactions.ligand_bonds(every_atom(spark, d).where(pdb.is_ligand()), pdb.conect_edges(bond_lines(spark, d)))
 
 
+#: Pairs of elements some way apart: disulfide, carbon-iodine, phosphate, an amine, and a hydrogen on carbon that an oxygen comes near.
+ENDS = [("S", "S", 2.05), ("C", "I", 2.14), ("P", "O", 1.6), ("C", "N", 1.47), ("C", "H", 1.09)]
+
+
+@query(f"""WITH part_of AS (SELECT 'm' || c_custkey AS structure_id, c_custkey % 5 + 1 AS k, [2.05, 2.14, 1.6, 1.47, 1.09][c_custkey % 5 + 1]::DOUBLE + (c_custkey % 7)::DOUBLE / 8 AS pos FROM customer),
+three AS (SELECT structure_id, 1 AS serial, ['S', 'C', 'P', 'C', 'C'][k] AS element, 0.0::DOUBLE AS x FROM part_of UNION ALL SELECT structure_id, 2, ['S', 'I', 'O', 'N', 'H'][k], pos FROM part_of UNION ALL SELECT structure_id, 3, 'O', pos + 1.25 FROM part_of),
+rest AS (SELECT structure_id, serial, element, element || serial AS atom_name, 'LIG' AS resname, 'A' AS chain, 1 AS resseq, x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z FROM three), {GUESSED} SELECT structure_id, u, v FROM guessed""")
+def q165_guessed_bonds(spark, d):
+    """Bonds of element pairs at growing distances, with an oxygen 1.25 beyond the second atom, of which a hydrogen takes only the nearer neighbour."""
+    k = (F.col("c_custkey") % 5).cast("int")
+    at = pick([e[2] for e in ENDS], k) + (F.col("c_custkey") % 7).cast("double") / 8
+    atom = lambda serial, element, x: F.struct(F.lit(serial).alias("serial"), element.alias("element"), x.alias("x"))
+    three = F.array(atom(1, pick([e[0] for e in ENDS], k), F.lit(0.0)), atom(2, pick([e[1] for e in ENDS], k), at), atom(3, F.lit("O"), at + 1.25))
+    rows = t(spark, d, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("structure_id"), F.explode(three).alias("a")).select("structure_id", "a.*")
+    fixed = {"resname": F.lit("LIG"), "chain": F.lit("A"), "resseq": F.lit(1), "y": F.lit(0.0), "z": F.lit(0.0), "atom_name": F.concat("element", F.col("serial").cast("string"))}
+    return interactions.ligand_bonds(rows.withColumns(fixed), spark.createDataFrame([], "structure_id string, u int, v int")).select("structure_id", "u", "v")
+
+
 @query("""WITH e AS (SELECT 'm' || l_orderkey AS structure_id, 'P' || (l_partkey % 2) AS u, 'S' || (l_suppkey % 3) AS v, l_returnflag || l_linestatus AS type, epoch_us(l_shipdate) * 8 + l_linenumber AS o FROM lineitem)
 SELECT structure_id, u, v, max(o) AS last FROM e GROUP BY 1, 2, 3""")
 def q141_graph_edges(spark, d):

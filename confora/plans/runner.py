@@ -1,11 +1,15 @@
 """A project from its configuration: the steps chained over tables of the shared store, resumable, and batches of projects.
 
-A step reads the tables of earlier ones, writes its own under ``<output_root>/<folder>`` and is skipped when they are
-there already, unless it is forced. Every table holds all structures of the project; verdicts partition it.
+A step reads the tables of earlier ones and writes its own under ``<output_root>/<folder>``. It ends with a marker that names the settings and input files it
+was made with and the run of the step before it, and is skipped only while all of these are the same: a changed threshold or file, or a step that was
+forced, makes the later steps run again. Every table holds all structures of the project; verdicts partition it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +20,7 @@ from ..functions.settings import choice, structure_id
 from ..operators import chemistry, docking, graphs, matching, placement, screening
 from ..operators.superpose import superpose
 from ..sources import conservation, pdb, shared, sinks, tables
+from . import preflight as flight
 from . import workflow
 
 #: The folder of each step.
@@ -23,6 +28,11 @@ FOLDERS = {
     "01": "01_af2_prepare", "02": "02_template_guided_docking", "03": "03_clash_filter", "04": "04_catalytic_region_plddt_qc", "05": "05_plip_interaction_graphs",
     "06": "06_key_residue_screening", "07": "07_ged_classification", "08": "08_chemical_equivalence", "09": "09_class_visualization",
 }
+#: The sections of the configuration and the inputs that a step depends on, besides the steps before it.
+DEPENDS = {
+    "01": (["step01"], ["models", "pattern"]), "02": (["step02", "workflow"], ["template"]), "03": (["step03"], []), "04": (["step05"], []), "05": ([], ["interactions", "interaction_pattern"]),
+    "06": (["step07"], ["conservation"]), "07": (["step08"], []), "08": (["step09"], []), "09": (["export"], []),
+}
 #: A configuration to start from.
 TEMPLATE = """project:
   target_id: {name}
@@ -68,6 +78,29 @@ class Project:
     def atoms(self, path: str, pattern: str = "*") -> DataFrame:
         return pdb.atoms(pdb.lines(self.spark, path, pattern), pdb.LENIENT)
 
+    def checks(self) -> list[DataFrame]:
+        """Findings about inputs that are there: whether models align with the template, what conservation covers, and whether steps agree on ligand names."""
+        models = self.atoms(self.inputs["models"], self.inputs.get("pattern", "*.pdb")).where("record = 'ATOM'")
+        named, out = lambda df: df.withColumn("project", F.lit(self.name)), []
+        if self.inputs.get("template"):
+            own = self.section("step02")
+            general = own.get("general_alignment") or {}
+            t, m = matching.residues(self.atoms(self.inputs["template"])), matching.residues(models)
+            best = matching.by_sequence(t, m, 0.0).groupBy("structure_id").agg(F.min("identity").alias("identity"), F.min("coverage").alias("coverage"))
+            told = {"mode": str(own.get("alignment_mode") or "auto").lower(), "allow_unsafe": bool(own.get("allow_unsafe_legacy_alignment")), "min_identity": float(general.get("min_sequence_identity", 0.3)), "min_coverage": float(general.get("min_alignment_coverage", 0.5))}
+            rows = matching.compatible(t, m).join(best, "structure_id", "left").withColumns({k: F.lit(v) for k, v in told.items()})
+            out.append(flight.unsafe_alignments(named(rows)))
+        if self.inputs.get("conservation"):
+            own = (self.section("step07").get("conservation") or {}).get("mapping") or {}
+            targets = conservation.keyed(models.select(F.upper("resname").alias("resname"), "chain", "resseq", "icode").distinct())
+            mapping = conservation.mapped(conservation.load(self.spark, self.inputs["conservation"]), targets, own.get("offsets"), own.get("chain_map"))
+            flags = bool(own.get("fail_on_low_target_coverage", True)), bool(own.get("fail_on_mapping_conflict", True))
+            out.append(flight.conservation_gaps(named(mapping), named(targets), float(own.get("min_target_coverage", 0.90)), *flags))
+        steps = {"step05": (self.section("step05").get("catalytic_region") or {}).get("ligand_resnames"), "step07": (self.section("step07").get("ligand") or {}).get("include_resnames")}
+        told = [(self.name, s, n) for s, names in steps.items() for n in names or []]
+        out.append(flight.differing_names(self.spark.createDataFrame(told, "project string, step string, resname string")))
+        return out
+
     def passed(self, step: str) -> DataFrame:
         return self.read(step, "verdicts").where("passed").select("structure_id")
 
@@ -131,13 +164,21 @@ class Project:
         number = F.regexp_extract("node_key", "(-?[0-9]+)", 1).try_cast("int")
         self.write(graphs.blueprint(nodes, ["kind", F.when(F.col("kind") == 1, number), "node_key"]), "05", "blueprint")
 
+    def residues(self, structures: DataFrame) -> DataFrame:
+        """The distinct residues of the structures' proteins."""
+        atoms = self.read("02", "atoms").where("record = 'ATOM'").join(structures, "structure_id", "left_semi")
+        return conservation.keyed(atoms.select(F.upper("resname").alias("resname"), "chain", "resseq", "icode").distinct())
+
     def step_06(self) -> None:
         contacts = self.write(workflow.residue_contacts(self.complexes("04"), self.settings), "06", "contacts")
         edges, structures = self.read("05", "edges"), self.passed("04")
         scores = conservation.load(self.spark, self.inputs["conservation"]) if self.inputs.get("conservation") else None
         if scores is None:
             raise ValueError("step 06 needs inputs.conservation")
-        graded = scores.select(residue_base(F.col("residue_key")).alias("residue"), "grade")
+        own = (self.section("step07").get("conservation") or {}).get("mapping") or {}
+        mapping = conservation.mapped(scores, self.residues(structures), own.get("offsets"), own.get("chain_map"), float(own.get("min_sequence_identity", 0.70)), float(own.get("min_target_coverage", 0.50)))
+        mapping = self.write(mapping, "06", "conservation")
+        graded = mapping.where("status = 'mapped'").select(residue_base(F.col("target_key")).alias("residue"), "grade")
         keys = self.write(workflow.key_residues(contacts, edges, graded, structures, self.settings), "06", "residues")
         names = [r.residue for r in keys.where("key").select("residue").distinct().orderBy("residue").collect()]  # residues of one protein
         sets = screening.contact_sets(structures, contacts.where(F.col("distance") <= self.settings.contact_cutoff), edges, self.section("step07").get("contact_definition", "graph"))
@@ -155,6 +196,13 @@ class Project:
         edges = self.read("05", "edges").join(self.passed("06"), "structure_id", "left_semi").withColumnRenamed("ligand", "atom_key")
         manual = own.get("manual_ligand_units") or {}
         units = self.spark.createDataFrame(list(manual.items()), "atom_key string, unit string")
+        if own.get("unit_policy", "auto") != "manual":  # what most structures agree on, under the configured units
+            ligand = self.complexes("06").where(pdb.is_ligand())
+            found = chemistry.contact_units(ligand, self.spark.createDataFrame([], "structure_id string, u int, v int"))
+            agreed = self.write(chemistry.consensus_units(found, float(own.get("unit_consensus", 0.80))), "08", "units")
+            agreed = agreed.where("decision = 'apply' and rule != 'individual_atom'").select(F.concat_ws(":", "resname", "chain", F.col("resseq").cast("string"), "atom_name").alias("atom_key"), "unit")
+            units = chemistry.layered_units(edges.select("atom_key").distinct(), [("manual", units), ("universal", agreed)])
+            units = self.write(units, "08", "layers").where("unit_source != 'unmapped'").select("atom_key", "unit")
         canonical = self.write(chemistry.canonical_edges(edges, units, own.get("interaction_type_map")), "08", "edges")
         classes = self.read("07", "classes").select("structure_id", F.concat(F.lit("class_"), F.col("class_number").cast("string")).alias("class"))
         merged = self.write(chemistry.merged_classes(chemistry.class_signatures(canonical, classes, own.get("signature_policy", "most_common")), classes), "08", "classes")
@@ -165,21 +213,56 @@ class Project:
     def step_09(self) -> None:
         paths = self.passed("06").withColumn("path", F.concat(F.lit(f"{self.path('02', 'atoms')}#"), "structure_id"))
         self.write(chemistry.class_visuals(self.read("08", "classes").select("structure_id", "merged_class"), self.read("08", "verdicts"), paths), "09", "summary")
+        self.export()
 
-    def done(self, step: str) -> bool:
-        return tables.exists(self.spark, f"{self.root}/{FOLDERS[step]}/_done")
+    def export(self) -> None:
+        """The candidates' structure and interaction files, copied by class with a manifest."""
+        own = self.section("export")
+        if not own.get("enabled", True):
+            return
+        chosen = self.read("08", "classes").join(self.read("08", "verdicts").where("is_candidate").select(F.col("class").alias("merged_class")), "merged_class", "left_semi")
+        found = tables.files(self.spark, self.inputs["models"], self.inputs.get("pattern", "*.pdb")).select("path")
+        if self.inputs.get("interactions"):
+            found = found.unionByName(tables.files(self.spark, self.inputs["interactions"], self.inputs.get("interaction_pattern", "*.txt")).select("path"))
+        kinds = ["pdb", "interaction"]
+        index = sinks.export_index(chosen.select("structure_id", F.col("merged_class").alias("class")), sinks.file_index(found), kinds)
+        index = self.write(index, "09", "export_index")
+        sinks.exported_files(self.spark, index, kinds, self.path("09", "candidate_exports"))
+
+    def fingerprint(self, given: str | None) -> list:
+        """What tells whether an input has changed: its files' number, size and newest time, and a hash of their names."""
+        if not given or not tables.exists(self.spark, str(given)):
+            return [given]
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(given))  # the listing only
+        each = F.xxhash64("path", "length", F.col("modificationTime").cast("string")).cast("decimal(38,0)")
+        return [given, *map(str, files.agg(F.count("*"), F.sum("length"), F.sum(each)).first())]
+
+    def marker(self, step: str) -> str:
+        return f"{self.root}/{FOLDERS[step]}/_done"
+
+    def key(self, step: str) -> str:
+        """A digest of what the step depends on, which includes the run of the step before it."""
+        sections, inputs = DEPENDS[step]
+        before = FOLDERS.keys() & {f"{int(step) - 1:02d}"}
+        chain = [shared.get(self.spark, self.marker(s)) for s in before]
+        told = [[self.section(s) for s in sections], [self.fingerprint(self.inputs.get(i)) if i not in ("pattern", "interaction_pattern") else self.inputs.get(i) for i in inputs], chain]
+        return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()
+
+    def done(self, step: str, key: str) -> bool:
+        return (shared.get(self.spark, self.marker(step)) or "").split(" ")[0] == key
 
     def run(self, steps: Iterable[str], force: bool = False) -> list[tuple[str, str]]:
         """(step, done or kept) of each step."""
         out = []
         for step in steps:
-            if self.done(step) and not force:
+            key = self.key(step)
+            if self.done(step, key) and not force:
                 out.append((step, "kept"))
                 continue
             getattr(self, f"step_{step}")()
             if tables.exists(self.spark, self.path(step, "verdicts")) and "passed" in self.read(step, "verdicts").columns:
                 sinks.report(self.read(step, "verdicts"), f"{self.root}/{FOLDERS[step]}", f"{self.name} step {step}")
-            shared.put(self.spark, f"{self.root}/{FOLDERS[step]}/_done", b"")  # last, so that a step that stopped runs again
+            shared.put(self.spark, self.marker(step), f"{key} {uuid.uuid4().hex}".encode())  # last, so that a step that stopped runs again
             out.append((step, "done"))
         return out
 
@@ -193,8 +276,11 @@ def preflight(spark: SparkSession, config_path: str) -> DataFrame:
     p = Project(spark, tables.config(config_path, spark))
     given = lambda k: str(p.inputs.get(k) or "")
     row = (p.name, given("models"), given("template") or given("models"), given("conservation"))
-    issues = workflow.preflight(spark, spark.createDataFrame([row], "project string, models string, template string, ligands string"))
-    return issues.withColumn("message", F.replace("message", F.lit("ligands"), F.lit("conservation")))
+    issues = flight.missing_inputs(spark, spark.createDataFrame([row], "project string, models string, template string, ligands string"))
+    issues = shared.written(issues.withColumn("message", F.replace("message", F.lit("ligands"), F.lit("conservation"))), "missing")
+    if not issues.isEmpty():
+        return issues
+    return flight.report(issues, *p.checks())
 
 
 def batch(spark: SparkSession, manifest: str, stage: str = "all") -> DataFrame:

@@ -560,6 +560,25 @@ def q43_sequence_align(spark, d):
     return aligned_pairs(rows, "a", "b").select("p_partkey", "score", F.size("pairs").alias("n_pairs"))
 
 
+@query("""WITH s AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS s, length(replace(p_name, ' ', '')) AS n FROM part),
+k AS (SELECT p_partkey, n, mode, p_partkey % 3 AS m, CASE mode WHEN 'global' THEN 2 ELSE 3 END AS hit, CASE mode WHEN 'global' THEN -1 ELSE -2 END AS miss, CASE mode WHEN 'global' THEN -2 ELSE -3 END AS gap FROM s CROSS JOIN (VALUES ('global'), ('local')) v(mode))
+SELECT p_partkey, mode, CASE m WHEN 0 THEN hit * (n - 1) + miss WHEN 1 THEN hit * (n - 1) + gap ELSE hit * n + 2 * gap END::DOUBLE AS score, CASE m WHEN 1 THEN n - 1 ELSE n END AS n_pairs,
+round(CASE m WHEN 0 THEN (n - 1)::DOUBLE / n ELSE 1 END, 9) AS identity FROM k""")
+def q166_mutated_alignment(spark, d):
+    """Part names against themselves with a letter in the middle replaced, one left out or two put in, globally and locally."""
+    from ..operators.seqalign import aligned_pairs
+
+    s = F.upper(F.replace("p_name", F.lit(" ")))
+    half, k = F.floor(F.length(s) / 2).cast("int"), F.col("p_partkey") % 3
+    head, tail = F.substring(s, F.lit(1), half), F.substring(s, half + 1, F.length(s))
+    mutated = F.when(k == 0, F.concat(head, F.lit("#"), F.substring(tail, F.lit(2), F.length(s)))).when(k == 1, F.concat(head, F.substring(tail, F.lit(2), F.length(s)))).otherwise(F.concat(head, F.lit("##"), tail))
+    rows, out = t(spark, d, "part").select("p_partkey", s.alias("a"), mutated.alias("b")), None
+    for mode in ("global", "local"):
+        found = aligned_pairs(rows, "a", "b", mode=mode).select("p_partkey", F.lit(mode).alias("mode"), "score", F.size("pairs").alias("n_pairs"), F.round("identity", 9).alias("identity"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 SCORED = f"q AS (SELECT structure_id, avg(b_factor) AS mean FROM a WHERE record = 'ATOM' AND atom_name = 'CA' GROUP BY 1)"
 
 

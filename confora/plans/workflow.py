@@ -11,7 +11,8 @@ from ..functions.expressions import RADII, residue_base_of, vdw_radius
 from ..operators import graphs, proximity, scores, screening
 from ..operators.leaders import leader_classes
 from ..operators.ordering import globally_numbered
-from ..sources import pdb, tables
+from ..sources import pdb
+from .preflight import missing_inputs
 
 STEPS = [f"{i:02d}" for i in range(1, 10)]
 #: Named slices of the steps.
@@ -147,15 +148,7 @@ def classes(edges: DataFrame, kept: DataFrame, nodes: DataFrame | None = None, t
 
 def preflight(spark: SparkSession, projects: DataFrame) -> DataFrame:
     """(severity, project, message) for missing inputs. ``projects`` has project, models, template, ligands; a row per project."""
-    issues = []
-    for r in projects.collect():  # a manifest
-        for name in ("models", "template", "ligands"):
-            value = r[name] if name in r.asDict() else None
-            if not value:
-                issues.append(("error", r["project"], f"missing {name}"))
-            else:
-                issues += [("error", r["project"], f"{name} not found: {p}") for p in value.split(";") if not tables.exists(spark, p)]
-    return spark.createDataFrame(issues, "severity string, project string, message string")
+    return missing_inputs(spark, projects)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:

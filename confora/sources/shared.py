@@ -51,6 +51,18 @@ def deleted(df: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def get(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, for the driver; None if there is none."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def put(spark: SparkSession, path: str, data: bytes) -> str:
     """Writes a small file from the driver to the store of ``path``."""
     fs, at = file_system(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,17 +92,61 @@ def file_index(files: DataFrame) -> DataFrame:
     return rows.where("structure_id != ''").withColumn("score", F.when(F.col("kind") == "pdb", file_score(F.col("path"))).otherwise(0))
 
 
-def exported_files(spark, index: DataFrame, kinds: list[str], path: str) -> DataFrame:
-    """Copies the files of an ``export_index`` into ``path``, a folder for each class, by the executors; (structure_id, kind, source, target)."""
+#: The folder of each kind of exported file.
+EXPORT_FOLDERS = {"pdb": "complexes", "graph": "ged_input_files", "interaction": "interaction_outputs", "plip_report_xml": "plip_reports", "plip_report_txt": "plip_reports"}
+
+
+def export_targets(index: DataFrame, kinds: list[str], path: str) -> DataFrame:
+    """(structure_id, class, kind, source, target) of an ``export_index``: a folder for each kind and class. Reports are named after their structure, and so are files whose names would meet."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("source")) for k in kinds])).alias("f")
-    jobs = index.select("class", "structure_id", each).select("class", "structure_id", "f.*").where("source is not null")
-    jobs = jobs.withColumn("target", F.concat_ws("/", F.lit(path.rstrip("/")), F.concat(F.lit("class="), "class"), F.concat(F.lit("file="), F.regexp_replace("source", r"^.*/", ""))))
-    names = [r.source for r in jobs.select("source").distinct().collect()]  # the chosen candidates, not the ensemble
-    if names:
-        texts = spark.read.text(names, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.regexp_replace("value", r"\n$", "").alias("value"))
-        same = F.regexp_replace(F.col("p"), "^file:/+", "/") == F.regexp_replace(F.col("source"), "^file:/+", "/")
-        texts.join(jobs, same).select("class", F.regexp_replace("source", r"^.*/", "").alias("file"), "value").write.mode("overwrite").partitionBy("class", "file").text(path)
-    return jobs.select("structure_id", "kind", "source", "target")
+    jobs = index.select("structure_id", F.coalesce(F.nullif(F.trim("class"), F.lit("")), F.lit("unclassified")).alias("class"), each).select("structure_id", "class", "f.*").where("source is not null")
+    name = F.regexp_replace("source", r"^.*/", "")
+    folder = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in EXPORT_FOLDERS.items()], F.col("kind"))
+    owned = F.when(F.col("kind") == "interaction", F.concat("structure_id", F.lit("_interaction_output.txt"))).when(F.col("kind").startswith("plip_report"), F.concat("structure_id", F.lit("_"), name)).otherwise(name)
+    jobs = jobs.withColumn("__t", F.concat_ws("/", F.lit(path.rstrip("/")), folder, "class", owned))
+    shared_name = F.size(F.collect_set("source").over(Window.partitionBy("__t"))) > 1
+    own = F.concat_ws("/", F.lit(path.rstrip("/")), folder, "class", F.concat("structure_id", F.lit("_"), name))
+    return jobs.withColumn("target", F.when(shared_name, own).otherwise(F.col("__t"))).drop("__t")
+
+
+def copied(batches):
+    """Copies source to target for each row, in pieces; a file takes its name when it is whole, so that a repeated or lost task leaves no half of one."""
+    import uuid
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    store = lambda at: fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", at))  # noqa: E731  local paths, and stores that pyarrow reaches
+    for batch in batches:
+        n, states = [], []
+        for r in batch.to_pylist():
+            try:
+                (source, there), (target, here) = store(r["source"]), store(r["target"])
+                target.create_dir(here.rsplit("/", 1)[0], recursive=True)
+                part, size = f"{here}.{uuid.uuid4().hex}", 0
+                with source.open_input_stream(there) as read, target.open_output_stream(part) as write:
+                    while piece := read.read(1 << 20):
+                        write.write(piece)
+                        size += len(piece)
+                target.move(part, here)
+                n.append(size)
+                states.append("copied")
+            except FileNotFoundError:
+                n.append(None)
+                states.append("source not found")
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(states, pa.string())], [*batch.schema.names, "bytes", "status"])
+
+
+def exported_files(spark, index: DataFrame, kinds: list[str], path: str) -> DataFrame:
+    """Copies the files of an ``export_index``, byte for byte, to stated names under ``path``; (structure_id, class, kind, source, target, bytes, status).
+
+    Executors copy, each its rows; the driver sees no list of files. The result is also the manifest, ``path``/manifest, written last: an export without it is not finished.
+    """
+    jobs = export_targets(index, kinds, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in jobs.schema)
+    done = jobs.repartition("target").mapInArrow(copied, f"{schema}, bytes long, status string")
+    done.write.mode("overwrite").parquet(f"{path.rstrip('/')}/manifest")
+    return spark.read.parquet(f"{path.rstrip('/')}/manifest")
 
 
 def export_index(chosen: DataFrame, files: DataFrame, kinds: list[str]) -> DataFrame:

@@ -86,6 +86,12 @@ def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
 RESULT_KINDS = {"table": ("csv", "tsv", "parquet"), "report": ("json", "md"), "structure": ("pdb",), "text": ("txt",)}
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's entries; none if there is no such folder."""
+    fs, at = file_system(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def result_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, file, kind, size): the results under a folder, newest names last, with what kind of file each is."""
     ending = F.lower(F.regexp_extract("file", r"\.([^.]*)$", 1))

@@ -79,8 +79,80 @@ def test_packed_structures(spark, tmp_path):
 
 
 def test_exported_files(spark, project):
-    index = spark.createDataFrame([("c1", "m_1", f"{project}/models/m_1.pdb", None), ("c2", "m_2", f"{project}/models/m_2.pdb", f"{project}/grades.txt")], "class string, structure_id string, pdb string, graph string")
-    made = sinks.exported_files(spark, index, ["pdb", "graph"], f"{project}/export")
-    assert made.count() == 3
-    back = spark.read.text(f"{project}/export", wholetext=True).collect()
-    assert {(r["class"], r.file): r.value.rstrip("\n") for r in back}["c1", "m_1.pdb"] == "\n".join(model(0.0)) and len(back) == 3
+    """Bytes as they are, names as stated, files of one name apart, and a source that is gone."""
+    (project / "blob.pdb").write_bytes(bytes(range(256)) * 5000)
+    (project / "m_1").mkdir(), (project / "m_2").mkdir()
+    for m in ("m_1", "m_2"):
+        (project / m / "report.xml").write_text(f"<{m}/>")
+    pdb, report = (lambda n: f"{project}/models/{n}.pdb"), (lambda n: f"{project}/{n}/report.xml")
+    rows = [("c1", "m_1", pdb("m_1"), report("m_1")), ("c2", "m_2", f"file:{project}/blob.pdb", report("m_2")), ("c1", "m_3", pdb("gone"), None), ("", "m_4", pdb("m_4"), None), ("c2", "m_5", f"{project}/models/../blob.pdb", None)]
+    index = spark.createDataFrame(rows, "class string, structure_id string, pdb string, plip_report_xml string")
+    made = {(r.structure_id, r.kind): (r.target.removeprefix(f"{project}/export/"), r.bytes, r.status) for r in sinks.exported_files(spark, index, ["pdb", "plip_report_xml"], f"{project}/export").collect()}
+    assert made["m_1", "plip_report_xml"][0] == "plip_reports/c1/m_1_report.xml" and made["m_3", "pdb"][1:] == (None, "source not found")
+    assert made["m_4", "pdb"][0] == "complexes/unclassified/m_4.pdb" and made["m_2", "pdb"] == ("complexes/c2/m_2_blob.pdb", 1_280_000, "copied") and made["m_5", "pdb"][0] == "complexes/c2/m_5_blob.pdb"
+    assert (project / "export/complexes/c2/m_2_blob.pdb").read_bytes() == (project / "blob.pdb").read_bytes()
+    files = sorted(str(f.relative_to(project / "export")) for f in (project / "export").rglob("*") if f.is_file() and "manifest" not in str(f))
+    assert files == sorted(t for t, _, state in made.values() if state == "copied")
+    again = sinks.exported_files(spark, index.limit(0), ["pdb"], f"{project}/none")
+    assert again.collect() == []
+
+
+def test_shifted_conservation_and_changed_settings(spark, project):
+    """Grades under another chain and numbering reach the same residues; a new threshold runs only the later steps, a forced step all after it."""
+    config, out = f"{project}/config.yaml", f"{project}/out"
+    (project / "grades.txt").write_text("".join(f" {i} {x} {n}:{i + 300}:Q 0.5 9 b f 9/9 {x}\n" for i, (x, n) in enumerate(zip("SHDG", NAMES, strict=True), 1)))
+    assert dict(runner.run(spark, config)) == dict.fromkeys(workflow.STEPS, "done")
+    residues = lambda: sorted(r.residue for r in spark.read.parquet(f"{out}/{runner.FOLDERS['06']}/residues").where("key").collect())
+    assert residues() == ["SER1"]
+    mapping = spark.read.parquet(f"{out}/{runner.FOLDERS['06']}/conservation")
+    assert {(r.resseq, r.target_key, r.method) for r in mapping.collect()} == {(301, "SER1A", "sequence_alignment"), (302, "HIS2A", "sequence_alignment"), (303, "ASP3A", "sequence_alignment"), (304, "GLY4A", "sequence_alignment")}
+    assert set(dict(runner.run(spark, config)).values()) == {"kept"}
+    text = (project / "config.yaml").read_text()
+    (project / "config.yaml").write_text(text.replace("min_frequency: 0.5", "min_frequency: 0.45"))
+    assert dict(runner.run(spark, config)) == {s: "kept" if s < "06" else "done" for s in workflow.STEPS}
+    assert runner.run(spark, config, "all", "03", "03", force=True) == [("03", "done")]
+    assert dict(runner.run(spark, config)) == {s: "kept" if s < "04" else "done" for s in workflow.STEPS}
+    (project / "contacts" / "m_1_interaction_output.txt").write_text("Type: hbond\tLigand: LIG1\tProtein: SER1A\tLigandNodeKey: LIG:A:9:C1\nType: hbond\tLigand: LIG1\tProtein: ASP3A\tLigandNodeKey: LIG:A:9:C1\n")
+    assert dict(runner.run(spark, config)) == {s: "kept" if s < "05" else "done" for s in workflow.STEPS}
+
+
+def test_units_by_default(spark, project):
+    """Without configured units, the two oxygens of a carboxylate that most structures agree on are one unit, and their classes merge; the candidates' files are copied."""
+    acid = [line(9, "C1", "LIG", 9, (-47.0, 0.0, 3.0), "HETATM"), line(10, "O1", "LIG", 9, (-46.4, 1.05, 3.0), "HETATM"), line(11, "O2", "LIG", 9, (-46.4, -1.05, 3.0), "HETATM")]
+    (project / "template.pdb").write_text("\n".join([*model(-50.0), *acid]) + "\n")
+    for k, atom_name in ((1, "O1"), (2, "O2"), (3, "O1")):
+        (project / "contacts" / f"m_{k}_interaction_output.txt").write_text(f"Type: hbond\tLigand: LIG1\tProtein: SER1A\tLigandNodeKey: LIG:A:9:{atom_name}\n")
+    config, out = f"{project}/config.yaml", f"{project}/out"
+    text = (project / "config.yaml").read_text().replace("step02: {", "step02: {avoid_clashes: false, ").replace("step04:", "step03: {max_clashes: 99}\nstep04:")
+    (project / "config.yaml").write_text(text)
+    table = lambda step, name: spark.read.parquet(f"{out}/{runner.FOLDERS[step]}/{name}")
+    runner.run(spark, config)
+    assert len({r["class_number"] for r in table("07", "classes").collect()}) == 2
+    assert {r.merged_class for r in table("08", "classes").collect()} == {"class_1"}
+    assert {(r.atom_key, r.unit_source) for r in table("08", "layers").collect()} == {("LIG:A:9:O1", "universal"), ("LIG:A:9:O2", "universal")}
+    kept = {r.structure_id: r.status for r in spark.read.parquet(f"{out}/{runner.FOLDERS['09']}/candidate_exports/manifest").where("kind = 'pdb'").collect()}
+    assert kept == dict.fromkeys(("m_1", "m_2", "m_3"), "copied")
+    assert (project / "out" / runner.FOLDERS["09"] / "candidate_exports" / "complexes" / "class_1" / "m_1.pdb").read_text() == (project / "models" / "m_1.pdb").read_text()
+    (project / "config.yaml").write_text(text.replace("step08: {", "step08: {unit_policy: manual, "))
+    assert dict(runner.run(spark, config))["08"] == "done" and {r.merged_class for r in table("08", "classes").collect()} == {"class_1", "class_2"}
+
+
+def test_findings_before_a_run(spark, project):
+    """Residues that differ, grades that cover too little or collide, and steps that disagree on names."""
+    from confora.plans import preflight as P
+
+    config = f"{project}/config.yaml"
+    tell = lambda: sorted((r.severity, r.message) for r in runner.preflight(spark, config).collect())
+    assert tell() == []
+    (project / "grades.txt").write_text("".join(f" {i} {x} {n}:{i}:A 0.5 9 b f 9/9 {x}\n" for i, (x, n) in enumerate(zip("SHD", NAMES), 1)))
+    text = (project / "config.yaml").read_text()
+    (project / "config.yaml").write_text(text.replace("step04: {", "step04: {catalytic_region: {ligand_resnames: [LIG]}, ").replace("step06: {", "step06: {ligand: {include_resnames: [LIG, MG]}, "))
+    assert tell() == [("error", "conservation covers 75.0 % of residues, below 90.0 %"), ("warning", "ligand names differ: step05: LIG; step07: LIG, MG")]
+    (project / "models" / "m_2.pdb").write_text("\n".join([line(1, "CA", "TRP", 1, (0.0, 0.0, 0.0)), line(2, "CA", "TRP", 2, (4.0, 0.0, 0.0))]) + "\n")
+    assert any(s == "error" and m.startswith("m_2: too little of the template aligns") for s, m in tell())
+    (project / "config.yaml").write_text(text.replace("step02: {", "step02: {alignment_mode: legacy, "))
+    assert any(m.startswith("m_2: exact placement is unsafe") for _, m in tell())
+    mapping = spark.createDataFrame([("p", "A1", "conflict"), ("p", "A1", "conflict"), ("p", "A2", "mapped"), ("q", None, "missing")], "project string, target_key string, status string")
+    targets = spark.createDataFrame([("p", "A1"), ("p", "A2"), ("q", "A1"), ("r", "A1")], "project string, residue_key string")
+    rows = sorted((r.project, r.severity, r.message[:30]) for r in P.conservation_gaps(mapping, targets, 0.9, low_is_error=False).collect())
+    assert rows == [("p", "error", "2 conservation rows share a re"), ("p", "warning", "conservation covers 50.0 % of "), ("q", "warning", "no conservation row maps to an"), ("r", "warning", "no conservation row maps to an")]

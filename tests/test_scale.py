@@ -146,3 +146,75 @@ def test_obstacles_by_voxel_equal_all_pairs():
         np.testing.assert_allclose(away, push / np.linalg.norm(push) if count else np.zeros(3), atol=1e-9)
         assert len(Obstacles(there, threshold).near(ligand)[0]) <= n * m
     assert len(Obstacles(there, threshold).near(ligand)[0]) < n * m / 50  # a trial costs the neighbourhood
+
+
+# alignment
+def by_full_matrix(a, b, mode, match, mismatch, gap):
+    """The whole matrix, entry by entry, and the way back through it."""
+    local = mode == "local"
+    s = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i and j:
+                s[i][j] = max(s[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), s[i - 1][j] + gap, s[i][j - 1] + gap, *([0] if local else []))
+            elif not local:
+                s[i][j] = gap * (i + j)
+    i, j = len(a), len(b)
+    if local:
+        best = max(max(r) for r in s)
+        i, j = next((i, j) for i, r in enumerate(s) for j, x in enumerate(r) if x == best)
+    score, pairs = s[i][j], []
+    while i and j and not (local and s[i][j] == 0):
+        if s[i][j] == s[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif s[i][j] == s[i - 1][j] + gap:
+            i -= 1
+        else:
+            j -= 1
+    return float(score), pairs[::-1]
+
+
+def test_alignment_equals_the_full_matrix():
+    from confora.operators.seqalign import SCORES, align
+
+    rng = random.Random(8)
+    for _ in range(250):
+        a, b = ("".join(rng.choice("AB" if rng.random() < 0.5 else "ACDE") for _ in range(rng.randrange(40))) for _ in range(2))
+        for mode, scores in SCORES.items():
+            assert align(a, b, mode, *scores) == by_full_matrix(a, b, mode, *scores)
+
+
+def test_long_alignment_in_little_memory():
+    """20,000 letters a side: the whole matrix would be 1.6 GB even in 32 bits."""
+    import tracemalloc
+
+    from confora.operators.seqalign import SCORES, align
+
+    rng = random.Random(9)
+    a = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(20_000))
+    b = a[:5_000] + a[5_010:12_000] + "WWWWW" + a[12_000:]
+    tracemalloc.start()
+    score, pairs = align(a, b, "global", *SCORES["global"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert score >= 2 * 19_990 - 2 * 15 and len(pairs) >= 19_985 and peak < 120e6
+
+
+# bonds
+def test_bonds_by_element(spark):
+    """Disulfide, carbon-iodine and phosphorus-oxygen bonds; a hydrogen near an oxygen, a crowded carbon, a metal and a blank element."""
+    from confora.operators.interactions import ligand_bonds
+
+    def atoms(*rows, residue=1):
+        return [("s", i, name, "LIG", "A", residue, element, x, y, 0.0) for i, name, element, x, y in rows]
+
+    rows = atoms((1, "S1", "S", 0, 0), (2, "S2", "S", 2.05, 0), (3, "C1", "C", 0, 1.8), (4, "I1", "I", 0, 3.94))
+    rows += atoms((10, "P1", "P", 0, 0), (11, "O1", "O", 1.6, 0), (12, "MG", "MG", 1.6, 2.0), residue=2)
+    rows += atoms((20, "C1", "C", 0, 0), (21, "H1", "H", 1.09, 0), (22, "O1", "O", 2.45, 0), residue=3)  # 1.36 from the hydrogen, within the radii and the slack
+    rows += atoms((30, "C1", "", 0, 0), *((31 + k, f"C{k}", "", 1.5 * np.cos(k * 1.2) + 0.01 * k, 1.5 * np.sin(k * 1.2)) for k in range(5)), residue=4)
+    rows = [tuple(float(v) if i > 6 else v for i, v in enumerate(r)) for r in rows]
+    frame = spark.createDataFrame(rows, "structure_id string, serial int, atom_name string, resname string, chain string, resseq int, element string, x double, y double, z double")
+    got = {(r.u, r.v) for r in ligand_bonds(frame, spark.createDataFrame([], "structure_id string, u int, v int")).collect()}
+    assert {p for p in got if p[0] < 30} == {(1, 2), (1, 3), (3, 4), (10, 11), (20, 21)}
+    assert sum(30 in p for p in got) == 4  # carbon keeps its four nearest of five
