@@ -419,6 +419,48 @@ def q149_clash_relief(spark, d):
     return audit.select("structure_id", "clashes_before", "clashes_after", "clear", ((F.col("shift") > 0) & (F.col("shift") <= 5)).alias("within_reach"))
 
 
+#: Two ligands of two atoms, one above the other, and a sheet of protein atoms below them that every other structure has.
+CROWD = """s AS (SELECT s_suppkey AS k, (s_suppkey % 7)::DOUBLE / 20 AS dx FROM supplier), lig(g, i, x, y, z) AS (VALUES (1, 1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 2, 1.5, 0.0, 0.0), (2, 1, 0.5, 0.3, 1.0), (2, 2, 2.0, 0.3, 1.0)),
+sheet AS (SELECT k, a.range - 2.0::DOUBLE AS x, b.range - 2.0::DOUBLE AS y, CASE WHEN k % 2 = 0 THEN -1.2 ELSE -50.0 END::DOUBLE AS z FROM s, range(6) a, range(6) b),
+atom AS (SELECT k, g, i, x + dx AS x, y, z FROM s, lig), other AS (SELECT k, 0 AS g, x, y, z FROM sheet UNION ALL SELECT k, g, x, y, z FROM atom WHERE g = 1)"""
+
+
+@query(f"""WITH {CROWD}, n AS (SELECT a.k, a.g, count(o.k) AS n FROM atom a LEFT JOIN other o ON o.k = a.k AND o.g < a.g AND (a.x - o.x) * (a.x - o.x) + (a.y - o.y) * (a.y - o.y) + (a.z - o.z) * (a.z - o.z) < 4 GROUP BY 1, 2)
+SELECT k AS structure_id, g AS group_index, CASE WHEN k % 2 = 1 OR g = 1 THEN n END AS clashes_before, 0 AS clashes_after, 1.5::DOUBLE AS length, k % 2 = 0 OR g = 2 AS moved FROM n""")
+def q167_crowded_placement(spark, d):
+    """Groups that meet the protein and each other. What is left is counted on the atoms that come out, not taken from the audit; where the first group had to move, the second one's start depends on it and is not compared."""
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("structure_id"), ((F.col("s_suppkey") % 7) / 20).alias("dx"))
+    turn = F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])
+    name = F.col("structure_id").cast("string").alias("structure_id")
+    transforms = s.select(name, turn.alias("rotation"), F.array("dx", F.lit(0.0), F.lit(0.0)).alias("translation"))
+    grid = F.explode(F.flatten(F.array(*[F.array(*[F.struct(F.lit(a - 2.0).alias("x"), F.lit(b - 2.0).alias("y")) for b in range(6)]) for a in range(6)])))
+    protein = s.select(name, grid.alias("p"), F.when(F.col("structure_id") % 2 == 0, -1.2).otherwise(-50.0).alias("z")).select("structure_id", "p.x", "p.y", "z")
+    lig = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0), (1, 2, 1.5, 0.0, 0.0), (2, 1, 0.5, 0.3, 1.0), (2, 2, 2.0, 0.3, 1.0)], "group_index int, atom_index int, x double, y double, z double")
+    atoms, _, audit = placement.placed(transforms, protein, lig)
+    there = protein.select("structure_id", F.lit(0).alias("group_index"), "x", "y", "z").unionByName(atoms.select("structure_id", "group_index", "x", "y", "z"))
+    met = proximity.voxel_join(atoms.select("structure_id", "group_index", "x", "y", "z"), there, 2.0, ["structure_id"]).where("r.group_index < l.group_index and d2 < 4 - 1e-9")
+    left = met.groupBy(F.col("l.structure_id").alias("structure_id"), F.col("l.group_index").alias("group_index")).agg(F.count("*").alias("n"))
+    first, second = (atoms.where(F.col("atom_index") == i).select("structure_id", "group_index", *[F.col(c).alias(f"{c}{i}") for c in "xyz"]) for i in (1, 2))
+    length = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) ** 2 for c in "xyz"), F.lit(0.0)))
+    out = audit.join(left, ["structure_id", "group_index"], "left").join(first.join(second, ["structure_id", "group_index"]), ["structure_id", "group_index"])
+    known = (F.col("structure_id").cast("long") % 2 == 1) | (F.col("group_index") == 1)
+    return out.select(F.col("structure_id").cast("long").alias("structure_id"), "group_index", F.when(known, F.col("clashes_before")).alias("clashes_before"), F.coalesce("n", F.lit(0)).cast("int").alias("clashes_after"), F.round(length, 6).alias("length"), (F.col("shift") > 0).alias("moved"))
+
+
+@query("""WITH p AS (SELECT vec_id, vec_id % 20 AS g, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y, embedding[4]::DOUBLE AS ex, embedding[5]::DOUBLE AS ey FROM embeddings),
+m AS (SELECT vec_id, g, x, y, CASE WHEN g % 2 = 1 THEN -1 ELSE 1 END * (x * cos(0.7) - y * sin(0.7)) + ex + 3 AS u, x * sin(0.7) + y * cos(0.7) + ey - 4 AS v FROM p),
+c AS (SELECT g, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, u - avg(u) OVER w AS u, v - avg(v) OVER w AS v FROM m WINDOW w AS (PARTITION BY g)),
+h AS (SELECT g, count(*) AS n, sum(x * x + y * y + u * u + v * v) AS e, sum(x * u) AS a, sum(x * v) AS b, sum(y * u) AS c, sum(y * v) AS d FROM c GROUP BY 1)
+SELECT g AS structure_id, n AS n_matched, round(sqrt(greatest(0, e - 2 * sqrt(a * a + b * b + c * c + d * d + 2 * abs(a * d - b * c))) / n), 6) AS rmsd_after FROM h""")
+def q168_noisy_superposition(spark, d):
+    """Points of a plane turned by 0.7, with noise, every other structure mirrored: the best fit in closed form from the two singular values of the covariance."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    p = t(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("structure_id"), (e(0) * 20).alias("x"), (e(1) * 20).alias("y"), F.lit(0.0).alias("z"), e(3).alias("ex"), e(4).alias("ey"))
+    side = F.when(F.col("structure_id") % 2 == 1, -1).otherwise(1)
+    turned = p.select("vec_id", "structure_id", (side * (F.col("x") * F.cos(F.lit(0.7)) - F.col("y") * F.sin(F.lit(0.7))) + F.col("ex") + 3).alias("x"), (F.col("x") * F.sin(F.lit(0.7)) + F.col("y") * F.cos(F.lit(0.7)) + F.col("ey") - 4).alias("y"), "z")
+    return r6(superpose(p.drop("ex", "ey"), turned, ["structure_id"], ["vec_id"]).select("structure_id", "n_matched", "rmsd_after"), "rmsd_after")
+
+
 # chemistry: every nation is a structure with an acetate, a zinc ion and a sulfate
 SHAPE = [("ACT", "A", 1, "CH3", "C", -1.5, 0.0), ("ACT", "A", 1, "C", "C", 0.0, 0.0), ("ACT", "A", 1, "O", "O", 0.7, 1.1), ("ACT", "A", 1, "OXT", "O", 0.7, -1.1), ("ACT", "A", 1, "H1", "H", -1.9, 0.9), ("ION", "B", 2, "ZN", "ZN", 9.0, 9.0),
          ("SO4", "C", 3, "S", "S", 20.0, 0.0), ("SO4", "C", 3, "OA", "O", 21.4, 0.0), ("SO4", "C", 3, "OB", "O", 18.6, 0.0), ("SO4", "C", 3, "OC", "O", 20.0, 1.4)]

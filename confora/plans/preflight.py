@@ -54,7 +54,7 @@ def conservation_gaps(mapping: DataFrame, targets: DataFrame, min_coverage: floa
     both = size.join(rows, "project", "left").na.fill(0, ["conflicts", "mapped"]).withColumn("coverage", F.col("mapped") / F.col("n"))
     kind = lambda error: "error" if error else "warning"
     conflict = findings(both.where("conflicts > 0"), kind(conflict_is_error), F.concat(F.col("conflicts").cast("string"), F.lit(" conservation rows share a residue")))
-    low = findings(both.where((F.col("coverage") < min_coverage) & (F.col("mapped") > 0)), kind(low_is_error), F.concat(F.lit("conservation covers "), F.format_string("%.1f", F.col("coverage") * 100), F.lit(f" % of residues, below {min_coverage:.1%}".replace("%", " %"))))
+    low = findings(both.where((F.col("coverage") < min_coverage) & (F.col("mapped") > 0)), kind(low_is_error), F.concat(F.lit("conservation covers "), F.format_string("%.1f", F.col("coverage") * 100), F.lit(f" % of residues, below {min_coverage * 100:.1f} %")))
     none = findings(both.where("mapped = 0"), kind(low_is_error), F.lit("no conservation row maps to any residue"))
     return conflict.unionByName(low).unionByName(none)
 
