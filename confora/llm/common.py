@@ -22,6 +22,14 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+def free_name(name: str, *taken: str) -> str:
+    """``name`` with as many underscores before it as it takes to be none of the ``taken`` (upper and lower case are one)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) links -> (node, component), component being the smallest node that links reach."""
     return components(edges)

@@ -1,4 +1,8 @@
-"""Vectorised 64-bit hashes of words."""
+"""Vectorised 64-bit hashes of words and of stretches.
+
+A stretch's hash is made of its polynomial's values at two points modulo the prime 2**31 - 1, one for each half of its symbols. (Modulo a power of two, polynomials of
+self-similar sequences agree at every odd point.)
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,9 @@ import numpy as np
 import xxhash
 
 P1 = np.uint64(0x9E3779B97F4A7C15)
+#: The modulus, a Mersenne prime, and the two points.
+PRIME, BITS = np.uint64((1 << 31) - 1), np.uint64(31)
+POINTS = (1_103_515_245, 1_664_525_123)
 #: Powers are kept up to this length; longer texts make their own and let them go.
 KEPT_POWERS = 1 << 18
 
@@ -26,34 +33,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(p: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i up to n."""
-    known = _powers.get(int(p))
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    x = (x & PRIME) + (x >> BITS)
+    x = (x & PRIME) + (x >> BITS)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """point**i and point**-i modulo the prime, for i up to n."""
+    known = _powers.get(point)
     if known is None or len(known[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        inverse = np.uint64(pow(int(p), -1, 1 << 64))
-        up, down = np.full(size, p, np.uint64), np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        known = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        size, tables = max(1 << 16, 1 << int(n + 1).bit_length()), []
+        for base in (point, pow(point, -1, int(PRIME))):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate([table, reduced(table * np.uint64(pow(base, len(table), int(PRIME))))])
+            tables.append(table)
+        known = tuple(tables)
         if size <= KEPT_POWERS:
-            _powers[int(p)] = known
+            _powers[point] = known
     return known
 
 
 class Fingerprints:
-    """Hashes of any stretch of a symbol sequence, from prefix sums."""
+    """Hashes of any stretch of a symbol sequence (64-bit numbers), from prefix sums."""
 
-    def __init__(self, symbols: np.ndarray, p: np.uint64 = P1):
-        up, self.down = powers(p, len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
+    def __init__(self, symbols: np.ndarray):
+        self.sums, self.down, n = [], [], len(symbols)
+        for point, half in zip(POINTS, (symbols & PRIME, symbols >> np.uint64(33))):
+            up, down = powers(point, n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(reduced(reduced(half) * up[:n]), out=sums[1:])  # below 2**63 for texts of less than 2**32 symbols
+            self.sums.append(reduced(sums))
+            self.down.append(down)
 
     def all(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        return mix((self.sums[width:] - self.sums[:n]) * self.down[:n])
+        n = len(self.sums[0]) - width
+        low, high = (reduced(reduced(s[width:] + PRIME - s[:n]) * d[:n]) for s, d in zip(self.sums, self.down))
+        return mix(low | high << np.uint64(32))
 
     def at(self, starts: np.ndarray, width) -> np.ndarray:
-        return mix((self.sums[starts + width] - self.sums[starts]) * self.down[starts])
+        low, high = (reduced(reduced(s[starts + width] + PRIME - s[starts]) * d[starts]) for s, d in zip(self.sums, self.down))
+        return mix(low | high << np.uint64(32))
 
 
 _letters: list[np.ndarray] = []

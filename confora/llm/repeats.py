@@ -9,14 +9,15 @@ content also starts anywhere else. Removal is judged on the input.
    Anchors are counted over the corpus, and only windows whose anchor occurs twice go on. This
    prunes suffixes that cannot share ``width`` symbols with any other; it loses none.
 3. Stretches of such windows with one anchor value are shipped, as text, to the shard of that value.
-   Equal stretches of one task are sent once. Anchor values that are too frequent for a shard in
-   memory are extended to the full depth: single windows, by 128-bit fingerprints, again sent once
-   per task, so that no key gathers more rows than there are tasks and distinct contents.
+   Equal stretches of one task are sent once. Anchor values that are too frequent for one shard are extended to the full depth:
+   their windows are stretches of their own, sent to the shard of the window's fingerprint, again once
+   per task, so that no shard gathers more rows than there are tasks and distinct contents.
 4. Spark's disk-backed sort hands a shard its stretches anchor by anchor; those of as many anchors as fit are compared
    at a time by the operator's own method (``separate``), symbol by symbol, and repeated windows are reported.
 5. The reports meet their text again and the covered symbols are removed.
 
-Hashes place and prune; what is removed was compared literally, except the windows of too frequent anchors, whose 128-bit fingerprints stand for them.
+Fingerprints place and prune. What is removed was compared symbol by symbol, but for two cases where cryptographic digests stand for the content: whole copies
+(120 bits of SHA-256 of the text) and equal stretches of one task (128 bits of BLAKE2b).
 """
 
 from __future__ import annotations
@@ -26,18 +27,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import n_partitions, renamed
 from .hashing import P1, Fingerprints, mix
 
-P2 = np.uint64(0xD6E8FEB86659FD93)
 #: A fixed 64-bit number for each byte, from the mixing rule.
 BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * P1)
 LONGEST_RUN = 4096
-#: Occurrences of an anchor value from which its windows are spread by their whole content.
+#: Occurrences of an anchor value from which its windows are dealt out by their whole content.
 HOT = 4000
 #: Windows that a shard compares at once, besides those of a single anchor value.
 AT_ONCE = 400_000
@@ -64,7 +63,7 @@ class Words:
         edges = np.diff(inside)
         starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
         prints = Fingerprints(BYTE_CODE[b])
-        return (data, starts, ends), mix((prints.sums[ends] - prints.sums[starts]) * prints.down[starts])
+        return (data, starts, ends), prints.at(starts, ends - starts)
 
     @staticmethod
     def cut(parts: tuple, start: int, end: int) -> bytes:
@@ -119,7 +118,8 @@ def repeated_windows(
     """(doc_id, n_symbols, removed, kept_sha256): ``removed`` lists (start, length) of removed stretches."""
     spark = docs.sparkSession
     d = renamed(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    d = d.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit("second"), "text")})
+    digits = lambda at: F.conv(F.substring(F.sha2("text", 256), at, 15), 16, 10).cast("long")
+    d = d.withColumns({"k1": digits(1), "k2": digits(16)})
     texts = d.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
     def count(batches):
@@ -141,7 +141,7 @@ def repeated_windows(
     lists = anchors.select("anchor", "k1", "k2").join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "hot")).alias("anchors"))
 
     def ship(batches):
-        """Rows to shards (n_windows > 0: text, 0: fingerprint), and reports of repeats within the task (n_windows < 0)."""
+        """Rows to shards (n_windows > 0), and reports of repeats within the task (n_windows < 0)."""
         seen: dict = {}
         for b in batches:
             out: list = []
@@ -156,35 +156,22 @@ def repeated_windows(
                 prints = None
                 for i in np.nonzero(np.isin(value, values))[0]:
                     if is_hot[i]:
-                        prints = prints or (Fingerprints(symbols, P1), Fingerprints(symbols, P2))
-                        at = np.arange(cuts[i], cuts[i + 1])
-                        f1, f2 = (p.at(at, width).view(np.int64) for p in prints)
-                        again = np.zeros(len(at), bool)
-                        for j, key in enumerate(zip(f1.tolist(), f2.tolist(), strict=True)):
-                            first = seen.get(key)
-                            if first is None:
-                                seen[key] = (k1, k2, int(at[j]), 1)
-                                out.append((key[0], k1, k2, int(at[j]), 0, key[1].to_bytes(8, "little", signed=True)))
-                            else:
-                                again[j] = True
-                                if first:
-                                    out.append((hash(first[:3]), first[0], first[1], first[2], -1, b""))
-                                    seen[key] = ()
-                        out += [(hash((k1, k2, s)), k1, k2, int(at[s]), -m, b"") for s, m in spans(again)]
-                    else:
-                        for s in range(cuts[i], cuts[i + 1], LONGEST_RUN):
-                            m = min(LONGEST_RUN, int(cuts[i + 1]) - s)
-                            data = alphabet.cut(parts, s, s + m + width - 1)
-                            key = xxhash.xxh3_128_digest(data)
-                            first = seen.get(key)
-                            if first is None:
-                                seen[key] = (k1, k2, int(s), m)
-                                out.append((int(value[i].view(np.int64)), k1, k2, int(s), m, data))
-                            else:
-                                out.append((hash((k1, k2, s)), k1, k2, int(s), -m, b""))
-                                if first:
-                                    out.append((hash(first[:3]), first[0], first[1], first[2], -first[3], b""))
-                                    seen[key] = ()
+                        prints = prints or Fingerprints(symbols)
+                        shards = prints.at(np.arange(cuts[i], cuts[i + 1]), width).view(np.int64).tolist()
+                    run, anchor = 1 if is_hot[i] else LONGEST_RUN, int(value[i].view(np.int64))
+                    for s in range(int(cuts[i]), int(cuts[i + 1]), run):
+                        m = min(run, int(cuts[i + 1]) - s)
+                        data = alphabet.cut(parts, s, s + m + width - 1)
+                        key = hashlib.blake2b(data, digest_size=16).digest()
+                        first = seen.get(key)
+                        if first is None:
+                            seen[key] = (k1, k2, s, m)
+                            out.append((shards[s - cuts[i]] if is_hot[i] else anchor, anchor, k1, k2, s, m, data))
+                        else:
+                            out.append((hash((k1, k2, s)), 0, k1, k2, s, -m, b""))
+                            if first:
+                                out.append((hash(first[:3]), 0, first[0], first[1], first[2], -first[3], b""))
+                                seen[key] = ()
                 if len(out) > 2000:
                     yield rows(out)
                     out = []
@@ -193,43 +180,38 @@ def repeated_windows(
             if out:
                 yield rows(out)
 
-    names = ["shard", "k1", "k2", "start", "n_windows", "data"]
+    names = ["shard", "anchor", "k1", "k2", "start", "n_windows", "data"]
 
     def rows(out):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def compare(batches):
         """Groups of shard values, as many as fit, at a time."""
         held, total, shard = [], 0, None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            for row in zip(*cols, b.column(5), strict=True):
+            cols = [b.column(i).to_pylist() for i in range(6)]
+            for row in zip(*cols, b.column(6), strict=True):
                 if row[0] != shard:
                     if total > AT_ONCE:
                         yield from report(held)
                         held, total = [], 0
                     shard = row[0]
-                held.append((*row[:5], row[5].as_py()))
-                total += row[4] if row[4] > 0 else 1
+                held.append((*row[:6], row[6].as_py()))
+                total += row[5] if row[5] > 0 else 1
         yield from report(held)
 
     def report(held):
-        found = [(r[1], r[2], r[3], -r[4]) for r in held if r[4] < 0]
-        prints: dict = {}
-        for r in held:
-            if r[4] == 0:
-                prints.setdefault((r[0], r[5]), []).append(r)
-        found += [(r[1], r[2], r[3], 1) for same in prints.values() if len(same) > 1 for r in same]
-        runs = [r for r in held if r[4] > 0]
+        found = [(r[2], r[3], r[4], -r[5]) for r in held if r[5] < 0]
+        runs = [r for r in held if r[5] > 0]
         if runs:
-            flags = separate([r[5] for r in runs], [r[4] for r in runs], np.array([r[0] for r in runs], np.int64).view(np.uint64), width, k)
-            found += [(r[1], r[2], r[3] + s, m) for r, f in zip(runs, flags, strict=True) for s, m in spans(f)]
+            flags = separate([r[6] for r in runs], [r[5] for r in runs], np.array([r[1] for r in runs], np.int64).view(np.uint64), width, k)
+            found += [(r[2], r[3], r[4] + s, m) for r, f in zip(runs, flags, strict=True) for s, m in spans(f)]
         if found:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)], ["k1", "k2", "start", "n"])
 
-    shipped = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "n", "anchors").mapInArrow(ship, "shard long, k1 long, k2 long, start int, n_windows int, data binary")
+    shipped = texts.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "n", "anchors").mapInArrow(ship, "shard long, anchor long, k1 long, k2 long, start int, n_windows int, data binary")
     shards = shipped.repartition(n_partitions(spark), "shard").sortWithinPartitions("shard")
     reports = shards.mapInArrow(compare, "k1 long, k2 long, start int, n int")
     reports = reports.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("windows"))

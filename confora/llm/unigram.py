@@ -307,5 +307,5 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     return d.mapInArrow(run, f"doc_id {d.schema['id'].dataType.simpleString()}, n_pieces long, n_byte_pieces long, pieces array<int>, round_trip boolean")
 
 
-#: Words that this Python worker has decoded.
+#: Words that have been decoded; it travels with the function, so it lives for one task.
 _seen: dict[str, bytes] = {}
