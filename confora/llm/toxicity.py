@@ -208,7 +208,8 @@ def beginnings(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) >= n)]
 
 
-SINGLE = re.compile(r"(?<!\w)[^\W_](?!\w)")
+#: A letter or digit with none beside it: every letter of a SPACED_TOKEN is one, whatever separates them.
+SINGLE = re.compile(r"(?<![^\W_])[^\W_](?![^\W_])")
 #: Signs around a word that stand for nothing and belong to no word.
 AROUND = ".,;:?\"')[]{}%&#*-"
 
