@@ -15,8 +15,8 @@ compared block by block.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 kept; vectors of different lengths never link; equal vectors (ties, repeated rows) link; an id that names
-several vectors is a vector for each; rows with a null id link with nothing; an empty table gives an empty
-result; extra columns are ignored.
+several vectors is a vector for each, and so is every row with a null id, which is the least of no component that has another id and is kept
+only in one that has none; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,8 +97,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
     good = F.coalesce(
         (F.size("vec") > 0)
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-        & F.exists("vec", lambda x: x != 0)
-        & F.col("id").isNotNull(),
+        & F.exists("vec", lambda x: x != 0),
         F.lit(False),
     )
     v = v.select("id", F.transform("vec", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)).alias("vec"), good.alias("good"))
@@ -157,7 +156,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col:
         F.col("id").alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )
 
 

@@ -192,13 +192,14 @@ kept AS (SELECT doc_id, count(*) AS n, sum(gone) AS gone, coalesce(string_agg(wo
 SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
 OP10 = (
-    """WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+    """WITH RECURSIVE every AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings),
+v AS MATERIALIZED (SELECT rid, embedding::DOUBLE[] AS e FROM every WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-pairs AS MATERIALIZED (SELECT x.rid AS r, x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.rid <> y.rid AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),
-links AS MATERIALIZED (SELECT DISTINCT a, b FROM pairs), """
+links AS MATERIALIZED (SELECT x.rid AS a, y.rid AS b FROM v x JOIN v y ON x.rid <> y.rid AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95), """
     + _COMPONENTS
-    + """ SELECT e.vec_id, coalesce(k, 0) AS n_links, coalesce(c.label, e.vec_id) AS component_id, coalesce(c.label, e.vec_id) = e.vec_id AS kept FROM embeddings e
-LEFT JOIN (SELECT a, count(*) AS k FROM pairs GROUP BY 1) p ON p.a = e.vec_id LEFT JOIN component c ON c.node = e.vec_id"""
+    + """, least AS (SELECT label, min(vec_id) AS first FROM component JOIN every ON rid = node GROUP BY 1)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(first, vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(first, vec_id) AS kept FROM every
+LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY 1) ON a = rid LEFT JOIN component ON node = rid LEFT JOIN least USING (label)"""
 )
 
 #: crc32 of each distinct word from a table of its 256 steps; gains and noise in doubles.
