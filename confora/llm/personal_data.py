@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, written
+from .common import free_name, renamed, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Base spans are of these; secrets are seeds besides.
@@ -199,9 +199,10 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def masked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; where spans overlap, the first stands."""
-    s = spans.where("size(base) + size(added) > 0").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"), F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias("__spans"))
-    s = s.dropDuplicates(["__id", "__tk"])
-    j = docs.join(s, docs[id_col].eqNullSafe(F.col("__id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__tk")), "left")
+    own_id, own_key, own_spans = (free_name(c, *docs.columns) for c in ("__id", "__tk", "__spans"))
+    s = spans.where("size(base) + size(added) > 0").select(F.col("doc_id").alias(own_id), F.col("tk").alias(own_key), F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))).alias(own_spans))
+    s = s.dropDuplicates([own_id, own_key])
+    j = docs.join(s, docs[f"`{id_col}`"].eqNullSafe(F.col(own_id)) & F.xxhash64(docs[f"`{text_col}`"]).eqNullSafe(F.col(own_key)), "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     text = F.col(f"`{text_col}`")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -210,5 +211,5 @@ def masked(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
         part = F.concat(text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["kind"] + 1))
         return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(part)).alias("out")))
 
-    whole = F.aggregate("__spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
-    return j.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(whole)).select(*docs.columns)
+    whole = F.aggregate(own_spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text))))
+    return j.withColumn(text_col, F.when(F.col(own_spans).isNull(), text).otherwise(whole)).select(*[F.col(f"`{c}`") for c in docs.columns])

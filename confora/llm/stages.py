@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bm25_wand import contaminated
-from .common import table, written
+from .common import free_name, table, written
 from .minhash_join import near_duplicate_classes
 from .personal_data import masked, personal_spans
 from .toxicity import free_prefix, toxicity
@@ -20,19 +20,16 @@ from .unigram import encoded
 BROADCAST_IDS = 200_000
 
 
-#: The internal key's column.
-KEY = "__row"
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key for every row, written, so that every reader sees the same keys; and the key's name."""
+    key = free_name("__row", *docs.columns)
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key for every row, written, so that every reader sees the same keys."""
-    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
-
-
-def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """``rows`` less those with these keys, and without the key: by broadcast below the checked bound, else by a shuffled anti join."""
-    keys = written(keys.select(KEY).distinct(), "dropped")
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, KEY, "left_anti").drop(KEY)
+    keys = written(keys.select(key).distinct(), "dropped")
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, key, "left_anti").drop(key)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +40,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays; null ids come last."""
-    rows = keyed(docs)
-    classes = written(near_duplicate_classes(rows, id_col=KEY).where("n_links > 0").select(F.col("doc_id").alias(KEY), "class_id"), "classes")
-    members = written(rows.select(KEY, "doc_id").join(classes, KEY), "members")
-    first = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY))[KEY].alias("stays"))
-    return without(rows, members.join(first, "class_id").where(F.col(KEY) != F.col("stays"))).select(*docs.columns)
+    rows, key = keyed(docs)
+    classes = written(near_duplicate_classes(rows, id_col=key).where("n_links > 0").select(F.col("doc_id").alias(key), F.col("class_id").alias("class")), "classes")
+    members = written(rows.select(key, F.col("doc_id").alias("id")).join(classes, key), "members")
+    first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", key))[key].alias("stays"))
+    return without(rows, members.join(first, "class").where(F.col(key) != F.col("stays")), key).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified benchmark item go."""
-    rows = keyed(docs)
-    hits = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=KEY)
-    return without(rows, hits.select(F.col("doc_id").alias(KEY))).select(*docs.columns)
+    rows, key = keyed(docs)
+    hits = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    return without(rows, hits.select(F.col("doc_id").alias(key)), key).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
