@@ -193,3 +193,23 @@ def in_ranges(resseq: Column, ranges: Iterable[tuple[int, int]]) -> Column:
 def parse_bool(text: Column) -> Column:
     t = F.lower(F.trim(text.cast("string")))
     return F.when(t.isin("true", "1", "1.0", "yes", "y", "t"), True).when(t.isin("false", "0", "0.0", "no", "n", "f"), False)
+
+
+def token_number(token: Column) -> Column:
+    """The token where it is all digits."""
+    return F.when(token.rlike("^[0-9]+$"), token)
+
+
+def first_number(tokens: Column, *words: str, before: str | None = None, whole: bool = True) -> Column:
+    """The first number among ``tokens`` that follows one of ``words``, as the next token or joined to the word; or that stands ``before`` a word (or, if not
+    ``whole``, before a token that begins so); or, with neither, any number. Null if there is none."""
+
+    def here(token: Column, i: Column) -> Column:
+        after = F.coalesce(F.get(tokens, i + 1), F.lit(""))
+        if before is not None:
+            return F.when((after == before) if whole else after.startswith(before), token_number(token))
+        if not words:
+            return token_number(token)
+        return F.coalesce(*[F.when(token == w, token_number(after)) for w in words], *[F.when(token.startswith(w), token_number(F.substring(token, len(w) + 1, 1000))) for w in words])
+
+    return F.get(F.filter(F.transform(tokens, here), lambda x: x.isNotNull()), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import natural_key, selector
+from ..functions.expressions import first_number, natural_key, selector, token_number
 from ..functions.settings import choice, stem, structure_id
 from ..sources.pdb import is_ligand, is_water
 from .ordering import globally_numbered
@@ -48,14 +48,19 @@ def score_sources(index: DataFrame, files: DataFrame, complex_column: str = "com
     return out.select(*index.columns, (F.coalesce(*found) if found else F.lit(None).cast("string")).alias("score_path"))
 
 
+#: Words that a model's rank follows in its file name.
+RANK_WORDS = ("rank", "af2rank")
+
+
 def output_names(models: DataFrame) -> DataFrame:
-    """Adds short_id, ``<code>_<rank>`` of a model's file stem; one that is taken gets ``_dup`` and the model's input_order."""
-    s = stem(F.col("file"))
-    code = F.upper(F.regexp_extract(s, r"^([A-Za-z0-9]{4})(?:[_.-]|$)", 1))
-    token = F.regexp_replace(F.when(code != "", code).otherwise(F.regexp_extract(s, r"^([^_.-]*)", 1)), r"[^A-Za-z0-9]+", "_")
-    ranked = F.regexp_extract(s, r"(?i)(?:^|[_.-])(?:af2)?rank[_.-]?([0-9]+)(?:[_.-]|$)", 1)
-    after = F.regexp_extract(s, r"^[A-Za-z0-9]{4}[_.-]([0-9]+)(?:[_.-]|$)", 1)
-    rank = F.coalesce(F.when(ranked != "", ranked).cast("long"), F.when(after != "", after).cast("long"), F.col("input_order").cast("long"))
+    """Adds short_id, ``<code>_<rank>`` from the tokens of a model's file stem: the first one (a code if it has four letters or digits), and the number that goes with a rank, else
+    that right behind a code, else the input order. A name that is taken gets ``_dup`` and the input_order."""
+    tokens = F.split(stem(F.col("file")), "[_.-]")
+    first = F.get(tokens, F.lit(0))
+    is_code = first.rlike("^[A-Za-z0-9]{4}$")
+    token = F.regexp_replace(F.when(is_code, F.upper(first)).otherwise(first), "[^A-Za-z0-9]+", "_")
+    rank = F.coalesce(first_number(F.transform(tokens, F.lower), *RANK_WORDS), F.when(is_code, token_number(F.get(tokens, F.lit(1))))).cast("long")
+    rank = F.coalesce(rank, F.col("input_order").cast("long"))
     out = models.withColumn("__s", F.concat_ws("_", F.when(token != "", token).otherwise("model"), rank.cast("string")))
     again = F.row_number().over(Window.partitionBy("__s").orderBy("input_order")) > 1
     return out.withColumn("short_id", F.when(again, F.concat("__s", F.lit("_dup"), F.col("input_order").cast("string"))).otherwise(F.col("__s"))).drop("__s")

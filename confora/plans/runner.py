@@ -15,9 +15,9 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import residue_base
+from ..functions.expressions import residue_base, residue_base_of
 from ..functions.settings import choice, structure_id
-from ..operators import chemistry, docking, graphs, matching, placement, screening
+from ..operators import chemistry, docking, graphs, interactions, matching, placement, screening
 from ..operators.superpose import superpose
 from ..sources import conservation, pdb, shared, sinks, tables
 from . import preflight as flight
@@ -152,13 +152,31 @@ class Project:
     def step_04(self) -> None:
         self.write(workflow.region_verdicts(self.complexes("03"), self.settings), "04", "verdicts")
 
+    def reported_edges(self, pattern: str) -> DataFrame:
+        """(structure_id, ligand, residue, type) of XML reports, whose ligand atoms are resolved among those of the complexes. ``report.xml`` belongs to the structure its folder is named after."""
+        rows = tables.plip_report(self.spark, self.inputs["interactions"], pattern)
+        owner = F.when(F.col("file").isin("report.xml"), F.col("folder")).otherwise(F.regexp_replace("file", "_report", ""))
+        rows = rows.withColumn("structure_id", structure_id(owner)).join(self.passed("04"), "structure_id", "left_semi")
+        rows = shared.written(rows.withColumn("contact_id", F.monotonically_increasing_id()), "contacts")
+        records = rows.select("structure_id", "contact_id", "ligand_serial", "ligand_serials", F.col("restype_lig").alias("resname"), F.col("reschain_lig").alias("chain"), F.col("resnr_lig").alias("resseq"), "x", "y", "z")
+        ligands = self.complexes("04").where(pdb.is_ligand())
+        found = self.write(interactions.resolved_contacts(records, ligands).select("structure_id", "contact_id", "serial", "resolved_by"), "05", "resolved")
+        nodes = interactions.ligand_nodes(ligands).select("structure_id", "serial", "node_key")
+        told = rows.select("structure_id", "contact_id", residue_base_of(F.col("restype"), F.col("resnr"), F.lit("")).alias("residue"), F.col("kind").alias("type"))
+        return found.where("serial is not null").join(nodes, ["structure_id", "serial"]).join(told, ["structure_id", "contact_id"]).select("structure_id", F.col("node_key").alias("ligand"), "residue", "type")
+
     def step_05(self) -> None:
         """Contacts of the structures that passed and the graph nodes of all."""
         if not self.inputs.get("interactions"):
             raise ValueError("step 05 needs inputs.interactions")
-        rows = tables.interaction_lines(self.spark, self.inputs["interactions"], self.inputs.get("interaction_pattern", "*.txt"))
-        sid = structure_id(F.regexp_replace("file", "_interaction_output", ""))
-        edges = rows.select(sid.alias("structure_id"), F.coalesce(F.nullif("ligand_node_key", F.lit("")), "ligand").alias("ligand"), residue_base(F.col("protein")).alias("residue"), "type").where("residue is not null")
+        pattern = self.inputs.get("interaction_pattern", "*.txt")
+        if pattern.lower().endswith(".xml"):
+            edges = self.reported_edges(pattern)
+        else:
+            rows = tables.interaction_lines(self.spark, self.inputs["interactions"], pattern)
+            sid = structure_id(F.regexp_replace("file", "_interaction_output", ""))
+            edges = rows.select(sid.alias("structure_id"), F.coalesce(F.nullif("ligand_node_key", F.lit("")), "ligand").alias("ligand"), residue_base(F.col("protein")).alias("residue"), "type").where("residue is not null")
+        self.write(interactions.ligand_bonds(self.complexes("04").where(pdb.is_ligand()), self.spark.createDataFrame([], "structure_id string, u int, v int")), "05", "bonds")
         edges = self.write(edges.join(self.passed("04"), "structure_id", "left_semi"), "05", "edges")
         nodes = edges.select(F.col("ligand").alias("node_key"), F.lit(0).alias("kind")).union(edges.select("residue", F.lit(1))).distinct()
         number = F.regexp_extract("node_key", "(-?[0-9]+)", 1).try_cast("int")

@@ -142,8 +142,10 @@ def q60_xml_report(spark, d):
     tag, distance = F.when(n == 0, "hydrogen_bond").when(n == 1, "pi_stack").otherwise("metal_complex"), F.when(n == 0, "dist_h-a").when(n == 1, "centdist").otherwise("dist")
     value = F.format_string("%.3f", (F.col("c_custkey") % 40) / 8)
     line = F.concat(F.lit("<"), tag, F.lit(' id="1"><resnr>'), (F.col("c_custkey") % 200).cast("string"), F.lit("</resnr><restype>"), F.upper(F.substring("c_mktsegment", 1, 3)), F.lit("</restype><reschain>B</reschain><"), distance, F.lit(">"), value, F.lit("</"), distance, F.lit("></"), tag, F.lit(">"))
-    one = F.concat(F.lit("<report>"), F.array_join(F.collect_list("line"), "\n"), F.lit("</report>"))  # a report for each nation
-    t(spark, d, "customer").select("c_nationkey", line.alias("line")).groupBy("c_nationkey").agg(one.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    group = F.concat(F.when(n == 2, "metal_complexe").otherwise(tag), F.lit("s"))
+    inside = F.concat(F.lit("<"), F.first("group"), F.lit(">"), F.array_join(F.collect_list("line"), "\n"), F.lit("</"), F.first("group"), F.lit(">"))
+    one = F.concat(F.lit("<report><bindingsite><interactions>"), inside, F.lit("</interactions></bindingsite></report>"))  # a report for each nation
+    t(spark, d, "customer").select("c_nationkey", line.alias("line"), group.alias("group")).groupBy("c_nationkey").agg(one.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return tables.plip_report(spark, path, "part-*").select("resnr", "restype", "kind", "dist", "reschain")
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import AMINO_ACIDS, RADII, is_hydrogen
+from ..functions.expressions import AMINO_ACIDS, RADII, first_number, is_hydrogen, token_number
 from .shared import file_name
 
 #: Fixed values: (start, length) of the columns, counted from 1.
@@ -152,27 +152,26 @@ def file_metadata(name: Column) -> dict[str, Column]:
     return {k: F.when((n := F.regexp_extract(name, rf"_{k}_(\d+)", 1)) != "", n).cast("int") for k in ("rank", "model", "seed")}
 
 
-#: What may stand before the prediction's number in a file stem, in this order of preference, without regard to case;
-#: ``^`` and ``$`` there are the stem's ends or one of ``_`` and ``-``, ``{id}`` is the target's id.
-PREDICTION_FORMS = (
-    "^prediction_ N $", "^pred_ N $", "^model_ N $", "^ N _Chain $", "^rank_ N $", "^ N $",
-)
-TARGET_FORMS = ("{id}_ N $", "{id}..._ N _Chain")
+#: Words that a prediction's number follows in a file stem, before and after the rule that a number stands before ``chain``.
+TELLING_WORDS, LESS_TELLING_WORDS = ("prediction", "pred", "model"), ("rank",)
 
 
 def prediction_index(stem: Column, target_id: str | None = None) -> Column:
-    """The prediction number of a file stem, read from its tokens: the first form that fits, most telling first."""
-    import re
-
-    def pattern(form: str) -> str:
-        out = "".join({"^": "(?:^|[_-])", "$": "(?:[_-]|$)", "N": r"(\d+)", "_": "[_-]", " ": "", ".": ""}.get(c, c) for c in form.replace("{id}", "").replace("...", ""))
-        if form.startswith("{id}"):
-            return "^" + re.escape(target_id) + (".*?" if "..." in form else "") + out
-        return out.replace("[_-]" + r"(\d+)", r"[_-]?0*(\d+)") if form[1].isalpha() else out
-
-    forms = [*(TARGET_FORMS if target_id else ()), *PREDICTION_FORMS]
-    found = [F.regexp_extract(stem, f"(?i){pattern(f)}", 1) for f in forms]
-    return F.coalesce(*[F.when(x != "", x).cast("long") for x in found])
+    """The prediction number of a file stem, read from its tokens between ``_`` and ``-``; the most telling place that has one.
+
+    With a target's id: the token right behind the id, then the number before a chain; else, or without such, the number that goes with a telling word (as the next token, or
+    joined to it), the number before a chain, one that goes with a rank, and last the first token that is a number."""
+    tokens, places = F.split(F.lower(stem), "[_-]"), []
+    if target_id:
+        own = target_id.lower()
+        behind = F.split(F.substring(F.lower(stem), len(own) + 1, 1000), "[_-]")  # the first of these runs on from the id
+        named = F.lower(stem).startswith(own)
+        places.append(F.when(named & (F.get(behind, F.lit(0)) == ""), token_number(F.get(behind, F.lit(1)))))
+        places.append(F.when(named, first_number(F.slice(behind, 2, 1000), before="chain", whole=False)))
+    places += [first_number(tokens, w) for w in TELLING_WORDS]
+    places.append(first_number(tokens, before="chain"))
+    places += [first_number(tokens, w) for w in LESS_TELLING_WORDS]
+    return F.coalesce(*places, first_number(tokens)).cast("long")
 
 
 def with_coordinates(line: Column, x: Column, y: Column, z: Column) -> Column:

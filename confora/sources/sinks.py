@@ -68,13 +68,18 @@ FOLDERS = (
 )
 
 
+#: The score outside of these folders, what a profiler's file costs, and what each preferred name gains.
+NO_FOLDER, PROFILER_FILE, PREFERRED_NAME = 999, 10, 1
+
+
 def file_score(path: Column) -> Column:
-    """Preference of a structure file, smaller is better: its stage's place in FOLDERS (999 outside), ten worse if a profiler made it, one
-    better for each of a trimmed complex and a name that ends in ``_complex.pdb``."""
-    place = F.coalesce(*[F.when(F.contains(path, F.lit(f)), i) for i, f in enumerate(FOLDERS)], F.lit(999))
+    """Preference of a structure file, smaller is better: its stage's place in FOLDERS, worse if a profiler made it, better for each of
+    a trimmed complex and a name that ends in ``_complex.pdb``."""
+    place = F.coalesce(*[F.when(F.contains(path, F.lit(f)), i) for i, f in enumerate(FOLDERS)], F.lit(NO_FOLDER))
     name = F.lower(F.regexp_replace(path, r"^.*/", ""))
     made = F.contains(name, F.lit("protonated")) | F.contains(name, F.lit("xcbrefx")) | F.contains(name, F.lit("plipfixed"))
-    return place + F.when(made, 10).otherwise(0) - F.when(F.contains(name, F.lit("trimmed_complex")), 1).otherwise(0) - F.when(name.endswith("_complex.pdb"), 1).otherwise(0)
+    gain = lambda c: F.when(c, PREFERRED_NAME).otherwise(0)
+    return place + F.when(made, PROFILER_FILE).otherwise(0) - gain(F.contains(name, F.lit("trimmed_complex"))) - gain(name.endswith("_complex.pdb"))
 
 
 def file_kind(path: Column) -> Column:

@@ -55,24 +55,38 @@ def source_paths(index: DataFrame, manifest: DataFrame) -> DataFrame:
     return index.join(exact, "path", "left").join(unique, "file", "left").withColumn("source_path", F.coalesce("s1", "s2")).drop("s1", "s2")
 
 
-#: Elements of one contact in a report, and where each keeps its distance.
-CONTACT_TAGS = ("hydrophobic_interaction", "hydrogen_bond", "water_bridge", "salt_bridge", "pi_stack", "pi_cation_interaction", "halogen_bond", "metal_complex")
+#: Elements of one contact in a report under the element of their group, where each keeps its distance, and where its ligand atom's serial.
+CONTACT_GROUPS = {
+    "hydrophobic_interactions": "hydrophobic_interaction", "hydrogen_bonds": "hydrogen_bond", "water_bridges": "water_bridge", "salt_bridges": "salt_bridge", "pi_stacks": "pi_stack",
+    "pi_cation_interactions": "pi_cation_interaction", "halogen_bonds": "halogen_bond", "metal_complexes": "metal_complex",
+}
 DISTANCES = ("dist", "dist_h-a", "dist_d-a", "centdist", "dist_a-w")
+LIGAND_ATOM, LIGAND_DONOR, LIGAND_ACCEPTOR = ("ligcarbonidx", "metal_idx", "don_idx"), ("donoridx", "donor_idx"), ("acceptoridx", "acceptor_idx")
 
 
 def plip_report(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
-    """(file, kind, resnr, restype, reschain, restype_lig, dist): contacts of XML reports, one row each, through Spark's XML source.
+    """Contacts of XML reports, one row each: file, folder, kind, resnr, restype, reschain of the protein's residue, restype_lig, resnr_lig, reschain_lig, ligand_serial, ligand_serials, x, y, z, dist.
 
-    The element of a contact is the row; its kind is the canonical interaction type of its tag. A tag is one scan, which skips the others.
+    One scan: a row of the source is the ``interactions`` of a binding site, with an array for each group of contacts. A ligand atom that donates or accepts is told by
+    which side the protein is.
     """
-    leaves = ", ".join(f"`{x}` string" for x in ("resnr", "restype", "reschain", "restype_lig", *DISTANCES))
-    out = None
-    for tag in CONTACT_TAGS:
-        rows = spark.read.format("xml").option("rowTag", tag).option("pathGlobFilter", pattern).schema(leaves).load(path)
-        distance = F.coalesce(*[F.col(f"`{x}`").try_cast("double") for x in DISTANCES])
-        rows = rows.where("resnr is not null").select(file_name().alias("file"), interaction_type(F.lit(tag)).alias("kind"), F.col("resnr").try_cast("int").alias("resnr"), "restype", "reschain", "restype_lig", distance.alias("dist"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    plain = ("resnr", "restype", "reschain", "restype_lig", "resnr_lig", "reschain_lig", "protisdon", *DISTANCES, *LIGAND_ATOM, *LIGAND_DONOR, *LIGAND_ACCEPTOR)
+    contact = "struct<" + ", ".join(f"`{x}`: string" for x in plain) + ", lig_idx_list: struct<idx: array<string>>, ligcoo: struct<x: string, y: string, z: string>>"
+    schema = ", ".join(f"{group} struct<{tag}: array<{contact}>>" for group, tag in CONTACT_GROUPS.items())
+    sites = spark.read.format("xml").option("rowTag", "interactions").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema(schema).load(path)
+    of = lambda group, tag: F.transform(F.coalesce(F.col(f"{group}.{tag}"), F.array().cast(f"array<{contact}>")), lambda c: F.struct(F.lit(tag).alias("tag"), c.alias("c")))
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = sites.select(file_name().alias("file"), F.regexp_extract(place, "([^/]*)/[^/]*$", 1).alias("folder"), F.explode(F.concat(*[of(*g) for g in CONTACT_GROUPS.items()])).alias("r")).where("r.c.resnr is not null")
+    c = lambda name: F.col(f"r.c.`{name}`")
+    whole = lambda name: c(name).try_cast("int")
+    first = lambda names: F.coalesce(*[whole(n) for n in names])
+    serial = F.coalesce(first(LIGAND_ATOM), F.when(F.lower(c("protisdon")) == "true", first(LIGAND_ACCEPTOR)).otherwise(first(LIGAND_DONOR)))
+    listed = F.filter(F.transform(F.coalesce(F.col("r.c.lig_idx_list.idx"), F.array().cast("array<string>")), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
+    return rows.select(
+        "file", "folder", interaction_type(F.col("r.tag")).alias("kind"), whole("resnr").alias("resnr"), c("restype").alias("restype"), c("reschain").alias("reschain"), c("restype_lig").alias("restype_lig"),
+        whole("resnr_lig").alias("resnr_lig"), c("reschain_lig").alias("reschain_lig"), serial.alias("ligand_serial"), listed.alias("ligand_serials"),
+        *[F.col(f"r.c.ligcoo.{x}").try_cast("double").alias(x) for x in "xyz"], F.coalesce(*[c(d).try_cast("double") for d in DISTANCES]).alias("dist"),
+    )
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:

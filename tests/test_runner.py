@@ -137,6 +137,34 @@ def test_units_by_default(spark, project):
     assert dict(runner.run(spark, config))["08"] == "done" and {r.merged_class for r in table("08", "classes").collect()} == {"class_1", "class_2"}
 
 
+def contact(group, tag, resnr, restype, **leaves):
+    inner = "".join(f"<{k}>{v}</{k}>" for k, v in {"resnr": resnr, "restype": restype, "reschain": "A", "restype_lig": "LIG", "resnr_lig": 9, "reschain_lig": "A", **leaves}.items())
+    return f'<{group}><{tag} id="1">{inner}</{tag}></{group}>'
+
+
+def test_reports_give_the_same_graph(spark, project):
+    """Contacts of XML reports, their ligand atoms found by index, by list, as the residue's only atom and by coordinates, make the graph that text lines make."""
+    config, out = f"{project}/config.yaml", f"{project}/out"
+    runner.run(spark, config, "all", last="05")
+    table = lambda name: spark.read.parquet(f"{out}/{runner.FOLDERS['05']}/{name}")
+    edges = lambda: sorted({(r.structure_id, r.ligand, r.residue) for r in table("edges").collect()})
+    text, blueprint = edges(), sorted((r.global_idx, r.node_key) for r in table("blueprint").collect())
+    place = "<x>{}</x><y>0.0</y><z>3.1</z>"
+    reports = {
+        "m_1": contact("hydrogen_bonds", "hydrogen_bond", 1, "SER", protisdon="True", donoridx=1, acceptoridx=9, dist_a=3.0),
+        "m_2": contact("pi_stacks", "pi_stack", 1, "SER", lig_idx_list="<idx>77</idx><idx>9</idx>", centdist=4.0),
+        "m_3": contact("hydrophobic_interactions", "hydrophobic_interaction", 1, "SER", restype_lig="UNL", ligcarbonidx=400, ligcoo=place.format(23.0)) + contact("salt_bridges", "salt_bridge", 3, "ASP"),
+        "m_4": contact("salt_bridges", "salt_bridge", 1, "SER"),
+    }
+    for name, inner in reports.items():
+        (project / "reports" / name).mkdir(parents=True)
+        (project / "reports" / name / "report.xml").write_text(f"<report><bindingsite><identifiers/><interactions>{inner}</interactions></bindingsite></report>")
+    (project / "config.yaml").write_text((project / "config.yaml").read_text().replace(f"interactions: {project}/contacts", f"interactions: {project}/reports, interaction_pattern: '*.xml'"))
+    assert runner.run(spark, config, "all", last="05")[-1] == ("05", "done")
+    assert edges() == text and sorted((r.global_idx, r.node_key) for r in table("blueprint").collect()) == blueprint
+    assert {r.resolved_by for r in table("resolved").collect()} == {"index", "index_list", "coordinates", "residue"}
+
+
 def test_findings_before_a_run(spark, project):
     """Residues that differ, grades that cover too little or collide, and steps that disagree on names."""
     from confora.plans import preflight as P
