@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import interaction_type, last_integer, natural_key, supertype
+from ..sources.shared import written
 
 #: Metals as single-atom components, with their charge, and residue names shown differently.
 METALS = {"MG": "Mg2+", "ZN": "Zn2+", "CA": "Ca2+", "MN": "Mn2+", "FE": "Fe2+", "CU": "Cu2+", "CO": "Co2+", "NI": "Ni2+", "NA": "Na+", "K": "K+"}
@@ -239,6 +240,7 @@ def class_visuals(merged: DataFrame, verdicts: DataFrame, paths: DataFrame) -> D
 
 def merged_classes(signatures: DataFrame, classes: DataFrame) -> DataFrame:
     """(structure_id, class, merged_class): classes of equal signature merge and are numbered from 1 by size, then signature."""
+    signatures = written(signatures, "signatures")  # a row for each class, used twice
     s = classes.join(signatures, "class")
     g = s.groupBy("signature").agg(F.count("*").alias("n"))
     g = g.withColumn("merged_class", F.concat(F.lit("class_"), F.row_number().over(Window.orderBy(F.desc("n"), "signature")).cast("string")))
@@ -246,7 +248,8 @@ def merged_classes(signatures: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def edge_frequencies(edges: DataFrame, structures: DataFrame, common: float = 0.80, rare: float = 0.10) -> DataFrame:
-    f = edges.groupBy("edge").agg(F.count_distinct("structure_id").alias("n")).crossJoin(F.broadcast(structures.agg(F.count_distinct("structure_id").alias("total"))))
+    """(edge, n, total, frequency, category): in how many of the ``structures`` each edge occurs. Distinct counts are plain counts over (edge, structure), reduced map-side first."""
+    f = edges.select("edge", "structure_id").distinct().groupBy("edge").agg(F.count("structure_id").alias("n")).crossJoin(F.broadcast(structures.agg(F.count_distinct("structure_id").alias("total"))))
     f = f.withColumn("frequency", F.col("n") / F.col("total"))
     return f.withColumn("category", F.when(F.col("frequency") >= common, "common").when(F.col("frequency") <= rare, "rare").otherwise("other"))
 

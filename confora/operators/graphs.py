@@ -36,6 +36,12 @@ def edge_signatures(edges: DataFrame, structure: str, u: str = "u", v: str = "v"
     return sets.select(structure, F.array_join("s", ",").alias("signature"), F.size("s").alias("edge_count"))
 
 
+def edge_count_blocks(signatures: DataFrame) -> DataFrame:
+    """(edge_count, n_graphs, n_signatures): the blocks that classes are made in."""
+    each = signatures.groupBy("edge_count", "signature").agg(F.count("*").alias("n"))
+    return each.groupBy("edge_count").agg(F.sum("n").alias("n_graphs"), F.count("*").alias("n_signatures"))
+
+
 def signature_classes(signatures: DataFrame, structure: str) -> DataFrame:
     """Graphs at distance 0: (class_number, signature, edge_count, leader, size), exact where labels are distinct.
 

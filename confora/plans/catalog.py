@@ -150,13 +150,12 @@ def q12_graph_occurrence(spark, d):
 
 def key_table(spark, d):
     structures = t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    s = t(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        F.count_distinct(F.when(F.col("l_quantity") <= 25, F.col("l_orderkey"))).alias("w"), F.count_distinct("l_orderkey").alias("g")
-    )
-    s = t(spark, d, "supplier").select("s_suppkey").join(s, F.col("s_suppkey") == F.col("l_suppkey"), "left")
-    s = screening.with_total(s, structures, "l_orderkey")
+    li = t(spark, d, "lineitem")
+    f = screening.residue_frequency(li, structures, "l_orderkey", "l_suppkey", F.col("l_quantity") <= 25, "l_quantity").select("l_suppkey", "frequency")
+    o = screening.graph_occurrence(li, structures, "l_orderkey", "l_suppkey").select("l_suppkey", "occurrence")
+    s = t(spark, d, "supplier").select(F.col("s_suppkey"), F.col("s_suppkey").alias("l_suppkey")).join(f, "l_suppkey", "left").join(o, "l_suppkey", "left")
     grade = (F.col("s_suppkey") % 9 + 1).cast("long")
-    return s.select("s_suppkey", grade.alias("grade"), (F.coalesce("w", F.lit(0)) / F.col("n_total")).alias("frequency"), (F.coalesce("g", F.lit(0)) / F.col("n_total")).alias("occurrence"))
+    return s.select("s_suppkey", grade.alias("grade"), F.coalesce("frequency", F.lit(0.0)).alias("frequency"), F.coalesce("occurrence", F.lit(0.0)).alias("occurrence"))
 
 
 KEYS = """k AS (SELECT s_suppkey, s_suppkey % 9 + 1 AS grade, coalesce(w, 0)::DOUBLE / n AS frequency, coalesce(g, 0)::DOUBLE / n AS occurrence FROM supplier
@@ -244,7 +243,7 @@ def q21_signature_classes(spark, d):
 
 @query("WITH " + COARSE + " SELECT edge_count, count(*) AS n_graphs, count(DISTINCT signature) AS n_signatures FROM g GROUP BY 1")
 def q22_edge_count_blocks(spark, d):
-    return coarse(spark, d).groupBy("edge_count").agg(F.count("*").alias("n_graphs"), F.count_distinct("signature").alias("n_signatures"))
+    return graphs.edge_count_blocks(coarse(spark, d))
 
 
 @query("WITH " + CLASSES + " SELECT leader, l_orderkey AS member, 0.0::DOUBLE AS distance FROM g JOIN c USING (edge_count, signature) WHERE l_orderkey <> leader")

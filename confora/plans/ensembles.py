@@ -539,7 +539,7 @@ def q155_canonical_edges(spark, d):
 
 @query(f"WITH {CANON}, n AS (SELECT count(DISTINCT structure_id) AS total FROM c) SELECT edge, count(*) AS n, round(count(*) / any_value(total)::DOUBLE, 9) AS frequency, CASE WHEN count(*) / any_value(total)::DOUBLE >= 0.2 THEN 'common' WHEN count(*) / any_value(total)::DOUBLE <= 0.1 THEN 'rare' ELSE 'other' END AS category FROM c CROSS JOIN n GROUP BY 1")
 def q27_common_rare(spark, d):
-    c = canonical(spark, d)
+    c = shared.written(canonical(spark, d), "edges")
     return r6(chemistry.edge_frequencies(c, c, 0.2, 0.1).select("edge", "n", "frequency", "category"), "frequency", digits=9)
 
 
@@ -577,7 +577,7 @@ ce AS (SELECT DISTINCT class, edge FROM cl JOIN c USING (structure_id) WHERE cl.
 
 
 def class_verdicts(spark, d):
-    c, classes = canonical(spark, d), old_classes(spark, d)
+    c, classes = shared.written(canonical(spark, d), "edges"), old_classes(spark, d)
     edges = classes.join(c, "structure_id").where(number() % 3 == 0).select("class", "edge").distinct()
     return chemistry.candidates(edges, chemistry.edge_frequencies(c, c, 0.25, 0.02), classes)
 
@@ -616,3 +616,57 @@ def q45_tumbling(spark, d):
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def q45_session(spark, d):
     return streaming.sessions(t(spark, d, "events"), "4 hours").select("user_id", "start", "n")
+
+
+#: Molecules by their bonds, and the units of their atoms by rule: all twelve rules occur.
+MOLECULES = {
+    "SUC": "OA-CA OB-CA CA-CB CB-CC CC-CD CD-OC CD-OD", "TRI": "PX-OXA PX-OXB PX-OXY PY-OXY PY-OYA PY-OYZ PZ-OYZ PZ-OZA PZ-OZB", "MSO": "CM-SM SM-OM SM-ON SM-OP", "DMS": "CP-SP CQ-SP SP-OQ SP-OR",
+    "NET": "CE-CF CF-NE NE-OE NE-OF", "GUM": "CG-NG CG-NH CG-NI NI-CH", "RPY": "NA-CA CA-CB CB-CC CC-CD CD-CE CE-NA", "FUR": "OQ-CQ CQ-CR CR-CS CS-CT CT-OQ CR-OR CS-OS", "HEX": "CA-CB CB-CC CC-CD CD-CE CE-CF",
+    "ZNC": "ZN", "AMM": "NZ",
+}
+MOLECULE_UNITS = """unit(resname, atoms, unit, rule) AS (VALUES
+('SUC', 'OA OB', 'SUC carboxylate oxygen 1 unit', 'carboxylate_oxygen'), ('SUC', 'OC OD', 'SUC carboxylate oxygen 2 unit', 'carboxylate_oxygen'), ('SUC', 'CA CB CC CD', 'SUC aliphatic carbon unit', 'aliphatic_carbon'),
+('TRI', 'PX OXA OXB', 'TRI phosphate 1 unit', 'phosphate'), ('TRI', 'PY OYA', 'TRI phosphate 2 unit', 'phosphate'), ('TRI', 'PZ OZA OZB', 'TRI phosphate 3 unit', 'phosphate'),
+('TRI', 'OXY', 'TRI phosphate 1–2 bridging oxygen', 'phosphate_bridging_oxygen'), ('TRI', 'OYZ', 'TRI phosphate 2–3 bridging oxygen', 'phosphate_bridging_oxygen'),
+('MSO', 'OM ON OP', 'MSO sulfate/sulfonate oxygen unit', 'sulfate_sulfonate_oxygen'), ('MSO', 'CM', 'MSO CM site', 'individual_atom'), ('MSO', 'SM', 'MSO SM site', 'individual_atom'),
+('DMS', 'OQ OR', 'DMS sulfonyl oxygen unit', 'sulfonyl_oxygen'), ('DMS', 'CP', 'DMS CP site', 'individual_atom'), ('DMS', 'CQ', 'DMS CQ site', 'individual_atom'), ('DMS', 'SP', 'DMS SP site', 'individual_atom'),
+('NET', 'OE OF', 'NET nitro oxygen unit', 'nitro_oxygen'), ('NET', 'CE CF', 'NET aliphatic carbon unit', 'aliphatic_carbon'), ('NET', 'NE', 'NET NE site', 'individual_atom'),
+('GUM', 'NG NH', 'GUM delocalized nitrogen unit', 'delocalized_nitrogen'), ('GUM', 'CG', 'GUM CG site', 'individual_atom'), ('GUM', 'NI', 'GUM NI site', 'individual_atom'), ('GUM', 'CH', 'GUM CH site', 'individual_atom'),
+('RPY', 'CA CB CC CD CE', 'RPY aromatic ring unit', 'aromatic_ring'), ('RPY', 'NA', 'RPY NA site', 'individual_atom'),
+('FUR', 'CQ CR CS CT', 'FUR sugar-ring carbon unit', 'sugar_ring_carbon'), ('FUR', 'OQ', 'FUR OQ site', 'individual_atom'), ('FUR', 'OR', 'FUR OR site', 'individual_atom'), ('FUR', 'OS', 'FUR OS site', 'individual_atom'),
+('HEX', 'CA CB CC CD CE CF', 'HEX aliphatic carbon unit', 'aliphatic_carbon'), ('ZNC', 'ZN', 'Zn2+ ion', 'metal_ion'), ('AMM', 'NZ', 'AMM NZ site', 'individual_atom'))"""
+
+
+@query(f"""WITH {MOLECULE_UNITS}, a AS (SELECT resname, unnest(string_split(atoms, ' ')) AS atom_name, unit, rule FROM unit)
+SELECT s_suppkey AS structure_id, resname, atom_name, unit, rule FROM supplier CROSS JOIN a WHERE resname <> {list(MOLECULES)}[s_suppkey % {len(MOLECULES)} + 1]""")
+def q169_unit_rules(spark, d):
+    """Eleven molecules of which each structure lacks one: units by all twelve rules, from listed bonds."""
+    atoms, bonds, serial = [], [], 0
+    for k, (resname, text) in enumerate(MOLECULES.items()):
+        pairs = [p.split("-") for p in text.split()]
+        number = {n: serial + i for i, n in enumerate(dict.fromkeys(n for p in pairs for n in p), 1)}
+        serial += len(number)
+        atoms += [(k, resname, "A", k + 1, n, "ZN" if n == "ZN" else n[0], i, 9.0 * i, 0.5 * i * i) for n, i in number.items()]
+        bonds += [(k, number[p[0]], number[p[1]]) for p in pairs if len(p) == 2]
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("structure_id"), (F.col("s_suppkey") % len(MOLECULES)).alias("lacks"))
+    here = lambda rows, schema: s.join(F.broadcast(spark.createDataFrame(rows, schema)), F.col("k") != F.col("lacks")).withColumn("structure_id", F.col("structure_id").cast("string"))  # noqa: E731  eleven molecules
+    a = here(atoms, "k int, resname string, chain string, resseq int, atom_name string, element string, serial int, x double, y double").withColumn("z", F.lit(0.0))
+    found = chemistry.contact_units(a, here(bonds, "k int, u int, v int").select("structure_id", "u", "v"))
+    return found.select(F.col("structure_id").cast("long").alias("structure_id"), "resname", "atom_name", "unit", "rule")
+
+
+@query("""WITH m AS (SELECT c_nationkey AS project, c_custkey % 50 AS target, CASE WHEN c_custkey % 7 = 0 THEN 'missing' WHEN c_custkey % 11 = 0 THEN 'conflict' ELSE 'mapped' END AS status FROM customer),
+t AS (SELECT n_nationkey AS project, range AS target FROM nation, range(60)), c AS (SELECT DISTINCT s_nationkey AS project, s_suppkey % 60 AS target FROM supplier),
+hit AS (SELECT DISTINCT project, target FROM m WHERE status = 'mapped'),
+a AS (SELECT project, count(*) AS n_source, count(*) FILTER (status = 'mapped') AS n_mapped, count(*) FILTER (status = 'conflict') AS n_conflict FROM m GROUP BY 1),
+b AS (SELECT t.project, count(*) AS n_target, count(hit.target) AS n_target_mapped FROM t LEFT JOIN hit USING (project, target) GROUP BY 1),
+e AS (SELECT c.project, count(*) AS n_contact, count(hit.target) AS n_contact_mapped FROM c LEFT JOIN hit USING (project, target) GROUP BY 1)
+SELECT project, coalesce(n_source, 0) AS n_source, coalesce(n_mapped, 0) AS n_mapped, coalesce(n_conflict, 0) AS n_conflict, round(n_mapped::DOUBLE / n_source, 9) AS source_coverage, n_target, n_target_mapped, round(n_target_mapped::DOUBLE / n_target, 9) AS target_coverage,
+    coalesce(n_contact, 0) AS n_contact, coalesce(n_contact_mapped, 0) AS n_contact_mapped, round(n_contact_mapped::DOUBLE / n_contact, 9) AS contact_coverage FROM b LEFT JOIN a USING (project) LEFT JOIN e USING (project)""")
+def q170_mapping_audit(spark, d):
+    """What of the conservation rows, of the residues and of the contact residues a mapping reaches, for each project."""
+    k, key = F.col("c_custkey"), lambda c: F.concat(F.lit("R"), c.cast("string")).alias("residue_key")
+    mapping = t(spark, d, "customer").select(F.col("c_nationkey").alias("project"), key(k % 50).alias("target_key"), F.when(k % 7 == 0, "missing").when(k % 11 == 0, "conflict").otherwise("mapped").alias("status"))
+    targets = t(spark, d, "nation").select(F.col("n_nationkey").alias("project"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("r")).select("project", key(F.col("r")))
+    contacts = t(spark, d, "supplier").select(F.col("s_nationkey").alias("project"), key(F.col("s_suppkey") % 60))
+    return r6(conservation.audit(mapping, targets, contacts, ["project"]), "source_coverage", "target_coverage", "contact_coverage", digits=9)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -371,6 +372,22 @@ def q82_ligand_nodes(spark, d):
     return n.join(aware, ["structure_id", "serial"]).select("structure_id", "serial", "node_key", "label", "by_serial", "aware")
 
 
+OWN_LABEL = "resname || '_' || CASE WHEN chain = '' THEN '_' ELSE chain END || resseq || icode || '_' || atom_name"
+
+
+@query(f"""WITH {ATOMS} SELECT structure_id, serial, atom_name AS k_atom_name, atom_name || '@serial:' || serial AS k_serial_atom_name, {NODE} AS k_residue_atom_name, {NODE} || '@serial:' || serial AS k_residue_atom_name_serial,
+    atom_name AS l_auto, {NODE} AS l_node_key, {OWN_LABEL} AS l_unique_residue_atom_name, CASE WHEN count(*) OVER (PARTITION BY structure_id, atom_name) > 1 THEN {OWN_LABEL} ELSE atom_name END AS l_atom_name_with_residue_for_duplicates,
+    CASE WHEN element <> '' THEN element ELSE atom_name END AS l_element FROM a WHERE {LIGAND}""")
+def q171_node_modes(spark, d):
+    """Every mode of node keys and of labels."""
+    a = every_atom(spark, d).where(pdb.is_ligand())
+    c = {n: F.col(n) for n in ("resname", "chain", "resseq", "icode", "atom_name", "serial", "element")}
+    place, repeated = (c["resname"], c["chain"], c["resseq"], c["icode"], c["atom_name"]), F.count("*").over(Window.partitionBy("structure_id", "atom_name")) > 1
+    keys = [X.ligand_node_key(m, *place, c["serial"]).alias(f"k_{m}") for m in ("atom_name", "serial_atom_name", "residue_atom_name", "residue_atom_name_serial")]
+    labels = [X.ligand_label(m, *place, c["element"], repeated).alias(f"l_{m}") for m in ("auto", "node_key", "unique_residue_atom_name", "atom_name_with_residue_for_duplicates", "element")]
+    return a.select("structure_id", "serial", *keys, *labels)
+
+
 @query("""SELECT p_partkey, [1.70, 1.55, 1.52, 1.75, 2.31, 1.70][p_partkey % 6 + 1]::DOUBLE AS r1, [1.70, 1.50, 1.52, 1.50, 1.50, 1.50][p_partkey % 6 + 1]::DOUBLE AS r2 FROM part""".replace("[1.70, 1.50, 1.52", "[1.70, 1.55, 1.52"))
 def q83_radii(spark, d):
     element = pick(["C", " n", "o", "Cl", "CA", "XX"], F.col("p_partkey") % 6)
