@@ -11,13 +11,15 @@ import hashlib
 import json
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import residue_base, residue_base_of
+from ..functions.expressions import residue_base, residue_base_of, residue_ranges
 from ..functions.settings import choice, structure_id
-from ..operators import chemistry, docking, graphs, interactions, matching, placement, screening
+from ..operators import chemistry, docking, graphs, interactions, matching, placement, screening, trimming
+from ..operators import labels as labels_of
 from ..operators.superpose import superpose
 from ..sources import conservation, pdb, shared, sinks, tables
 from . import preflight as flight
@@ -30,9 +32,11 @@ FOLDERS = {
 }
 #: The sections of the configuration and the inputs that a step depends on, besides the steps before it.
 DEPENDS = {
-    "01": (["step01"], ["models", "pattern"]), "02": (["step02", "workflow"], ["template"]), "03": (["step03"], []), "04": (["step05"], []), "05": ([], ["interactions", "interaction_pattern"]),
-    "06": (["step07"], ["conservation"]), "07": (["step08"], []), "08": (["step09"], []), "09": (["export"], []),
+    "01": (["step01"], ["models", "pattern", "manifest", "sources"]), "02": (["step02", "workflow", "ligand_trimming"], ["template"]), "03": (["step03", "ligand_trimming"], []), "04": (["step05"], []), "05": ([], ["interactions", "interaction_pattern"]),
+    "06": (["step07"], ["conservation"]), "07": (["step08"], ["reference_classes"]), "08": (["step09"], []), "09": (["export"], []),
 }
+#: Projects of a batch that run at a time.
+SIDE_BY_SIDE = 4
 #: A configuration to start from.
 TEMPLATE = """project:
   target_id: {name}
@@ -54,6 +58,19 @@ step08: {{common: 0.8, rare: 0.1, signature_policy: most_common}}
 """
 
 
+#: Spellings of where a model's score is taken from.
+SCORE_SCOPES = {
+    "input": ("input", "legacy", "current", "trimmed"), "source_if_available": ("source_if_available", "source", "original", "full_length"), "source_required": ("source_required", "full_length_required"),
+}
+
+
+def score_scope(text: str) -> str:
+    found = [k for k, names in SCORE_SCOPES.items() if str(text).strip().lower() in names]
+    if not found:
+        raise ValueError(f"unknown score scope {text!r}: one of {', '.join(SCORE_SCOPES)}")
+    return found[0]
+
+
 class Project:
     def __init__(self, spark: SparkSession, config: dict):
         self.spark, self.config, self.settings = spark, config, workflow.settings(config)
@@ -106,9 +123,58 @@ class Project:
 
     # steps
     def step_01(self) -> None:
-        atoms = self.write(self.atoms(self.inputs["models"], self.inputs.get("pattern", "*.pdb")), "01", "atoms")
-        index = workflow.ranked_models(workflow.quality(atoms, self.settings)).withColumnRenamed("output_rank", "input_order")
-        self.write(index, "01", "verdicts")
+        """Models, less the residues that are to go, with the verdict on their own or their sources' scores; and, if asked for, all that passed on one reference."""
+        own = self.section("step01")
+        atoms = self.atoms(self.inputs["models"], self.inputs.get("pattern", "*.pdb"))
+        if own.get("remove_residues"):
+            chains = own.get("remove_chains")
+            atoms = trimming.without_regions(atoms, residue_ranges(str(own["remove_residues"])), [chains] if isinstance(chains, str) else chains)
+        atoms = self.write(atoms, "01", "atoms")
+        scored = workflow.quality(atoms, self.settings)
+        scope = score_scope(own.get("plddt_filter_scope", "input"))
+        if scope == "input":
+            scored = scored.withColumn("score_scope", F.lit("input"))
+        else:
+            scored = self.scored_by_source(scored, scope)
+        index = self.write(workflow.ranked_models(scored).withColumnRenamed("output_rank", "input_order"), "01", "verdicts")
+        aligned = own.get("alignment") or {}
+        if aligned.get("enabled"):
+            self.align(atoms, index, str(aligned.get("reference", "auto_best_plddt")), int(aligned.get("min_matched_atoms", 50)))
+
+    def scored_by_source(self, scored: DataFrame, scope: str) -> DataFrame:
+        """``scored`` with the summary and verdict of each structure's source file, which a manifest (output, source) names; its own where there is none, or a failure if sources are required."""
+        manifest = self.spark.read.option("header", "true").csv(self.inputs["manifest"]).select(F.trim("output").alias("output"), F.trim("source").alias("source"))
+        at = tables.files(self.spark, self.inputs["models"], self.inputs.get("pattern", "*.pdb")).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "file")
+        index = tables.source_paths(at, manifest).select(structure_id("file").alias("structure_id"), F.regexp_extract("source_path", "([^/]*)$", 1).alias("source_file"))
+        lines = pdb.lines(self.spark, self.inputs["sources"], self.inputs.get("pattern", "*.pdb"))
+        full = workflow.quality(pdb.atoms(lines, pdb.LENIENT), self.settings).withColumnRenamed("structure_id", "source_id")
+        names = index.select("structure_id", F.regexp_replace("source_file", r"\.[^.]*$", "").alias("source_id"))
+        kept = [c for c in scored.columns if c != "structure_id"]
+        both = scored.join(names, "structure_id", "left").join(full.select("source_id", *[F.col(c).alias(f"__{c}") for c in kept]), "source_id", "left")
+        found = F.col("__passed").isNotNull()
+        own = F.lit(scope == "source_if_available")
+        chosen = [F.when(found | ~own, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in kept if c != "passed"]
+        passed = F.when(found, F.col("__passed")).otherwise(own & F.col("passed"))
+        return both.select("structure_id", *chosen, passed.alias("passed"), F.when(found, "source").when(own, "input").otherwise("source_unavailable").alias("score_scope"))
+
+    def align(self, atoms: DataFrame, index: DataFrame, choose: str, least: int) -> None:
+        """Structures that passed, turned onto the reference by their common CA atoms."""
+        best = docking.reference_model(index.withColumn("model", F.col("structure_id")), choose).select("structure_id")
+        passed = atoms.join(index.where("passed").select("structure_id"), "structure_id", "left_semi")
+        pairs = matching.by_key(matching.residues(atoms.join(best, "structure_id", "left_semi")), matching.residues(passed))
+        side = lambda s: pairs.select("structure_id", "ordinal", *[F.col(f"{s}{c}").alias(c) for c in "xyz"])
+        turns = self.write(superpose(side("f"), side("m"), ["structure_id"], ["ordinal"], least), "01", "alignment")
+        turned = passed.join(turns.where("status = 'ok'").select("structure_id", "rotation", "translation"), "structure_id")
+        at = lambda k: sum((F.col(c) * F.get("rotation", F.lit(3 * i + k)) for i, c in enumerate("xyz")), F.get("translation", F.lit(k)))
+        new = turned.select(*[c for c in passed.columns if c not in "xyz"], *[at(k).alias(f"__{c}") for k, c in enumerate("xyz")])
+        self.write(new.withColumnsRenamed({f"__{c}": c for c in "xyz"}).select(*passed.columns), "01", "aligned")
+
+    def trimming_rules(self, timing: str) -> list[dict] | None:
+        """The rules of the optional ligand trimming, if it runs at this time."""
+        own = self.section("ligand_trimming")
+        if not own or not own.get("enabled", True) or own.get("timing", "after_clash_filter") != timing:
+            return None
+        return list(own.get("rules") or [])
 
     def step_02(self) -> None:
         """Complexes: the models that passed, with the template's ligands where there is a template."""
@@ -133,6 +199,9 @@ class Project:
         lig = docking.ligand_groups(template, groups)
         if empty := docking.empty_groups(lig, groups, template).collect():  # configured groups
             raise ValueError(f"ligand groups without atoms: {[r.group_index for r in empty]}")
+        if (rules := self.trimming_rules("before_docking")) is not None:
+            cut = trimming.trimmed_stage(lig.withColumn("is_ligand", F.lit(True)), rules, None, "before_docking", self.section("ligand_trimming").get("default", "keep"))[0]
+            lig = cut.where("keep_atom").select(*lig.columns)
         protein = models.where("record = 'ATOM'")
         atoms, trace, audit = placement.placed(transforms.where("status = 'ok'"), protein, lig.select("group_index", "atom_index", "x", "y", "z"), avoid=bool(own.get("avoid_clashes", True)), assembly=bool(own.get("rigid_assembly")))
         self.write(trace, "02", "trace")
@@ -144,10 +213,22 @@ class Project:
     def step_03(self) -> None:
         pairs, verdicts = workflow.clash_verdicts(self.read("02", "atoms"), self.settings)
         self.write(pairs, "03", "pairs")
-        self.write(verdicts, "03", "verdicts")
+        rules = self.trimming_rules("after_clash_filter")
+        if rules is None:
+            self.write(verdicts, "03", "verdicts")
+            return
+        atoms = self.read("02", "atoms").withColumn("is_ligand", pdb.is_ligand())
+        decisions, left = trimming.trimmed_stage(atoms, rules, verdicts.where("passed"), "after_clash_filter", self.section("ligand_trimming").get("default", "keep"))
+        self.write(decisions.where("keep_atom").select(*self.read("02", "atoms").columns), "03", "trimmed")
+        self.write(decisions.where("is_ligand").select("structure_id", "serial", "atom_name", "resname", "keep_atom", "rule_id", "reason"), "03", "decisions")
+        left = left.select("structure_id", "n_ligand_atoms", "n_kept", "n_emptied", F.col("passed").alias("__trimmed"))
+        out = verdicts.join(left, "structure_id", "left").withColumn("passed", F.col("passed") & F.coalesce("__trimmed", F.lit(False))).drop("__trimmed")
+        self.write(out, "03", "verdicts")
 
     def complexes(self, after: str) -> DataFrame:
-        return self.read("02", "atoms").join(self.passed(after), "structure_id", "left_semi")
+        """Atoms of the structures that passed a step, after the optional trimming."""
+        trimmed = self.trimming_rules("after_clash_filter") is not None
+        return (self.read("03", "trimmed") if trimmed else self.read("02", "atoms")).join(self.passed(after), "structure_id", "left_semi")
 
     def step_04(self) -> None:
         self.write(workflow.region_verdicts(self.complexes("03"), self.settings), "04", "verdicts")
@@ -207,7 +288,13 @@ class Project:
     def step_07(self) -> None:
         labels = self.read("05", "blueprint").select("node_key", F.col("node_key").alias("label"))
         threshold = float(self.section("step08").get("ged_threshold", 1.0))
-        self.write(workflow.classes(self.read("05", "edges"), self.passed("06"), labels, threshold), "07", "classes")
+        classes = self.write(workflow.classes(self.read("05", "edges"), self.passed("06"), labels, threshold), "07", "classes")
+        if self.inputs.get("reference_classes"):  # the labels of an earlier run
+            own = self.section("step08").get("stable_labels") or {}
+            reference = tables.class_manifest(self.spark.read.option("header", "true").csv(self.inputs["reference_classes"]), int(own.get("structure_offset", 0)))
+            current = classes.select(F.concat(F.lit("class_"), F.col("class_number").cast("string")).alias("class"), "structure_id", F.col("leader").alias("representative"))
+            told = self.write(labels_of.stable_labels(current, reference, float(own.get("minimum_jaccard", 0.5))), "07", "labels")
+            self.write(labels_of.relabelled(current, told), "07", "stable_classes")
 
     def step_08(self) -> None:
         own = self.section("step09")
@@ -222,7 +309,10 @@ class Project:
             units = chemistry.layered_units(edges.select("atom_key").distinct(), [("manual", units), ("universal", agreed)])
             units = self.write(units, "08", "layers").where("unit_source != 'unmapped'").select("atom_key", "unit")
         canonical = self.write(chemistry.canonical_edges(edges, units, own.get("interaction_type_map")), "08", "edges")
-        classes = self.read("07", "classes").select("structure_id", F.concat(F.lit("class_"), F.col("class_number").cast("string")).alias("class"))
+        if self.inputs.get("reference_classes"):
+            classes = self.read("07", "stable_classes").select("structure_id", "class")
+        else:
+            classes = self.read("07", "classes").select("structure_id", F.concat(F.lit("class_"), F.col("class_number").cast("string")).alias("class"))
         merged = self.write(chemistry.merged_classes(chemistry.class_signatures(canonical, classes, own.get("signature_policy", "most_common")), classes), "08", "classes")
         frequencies = self.write(chemistry.edge_frequencies(canonical, self.passed("06"), float(own.get("common", 0.8)), float(own.get("rare", 0.1))), "08", "frequencies")
         by_class = merged.select("merged_class", F.explode(F.split("signature", "; ")).alias("edge")).distinct().withColumnRenamed("merged_class", "class")
@@ -302,16 +392,22 @@ def preflight(spark: SparkSession, config_path: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, manifest: str, stage: str = "all") -> DataFrame:
-    """(project, config, status, message, meta_...) of a manifest's projects, run one after the other; a failure stops only its own."""
+    """(project, config, status, message, failed_step, meta_...) of a manifest's projects, ``SIDE_BY_SIDE`` at a time; a failure stops only its own."""
     rows = tables.batch_manifest(spark, manifest)
-    out = []
-    for r in rows.collect():  # a row per project
+
+    def one(r) -> tuple:
+        at = "configuration"
         try:
-            run(spark, r["config"], stage)
-            out.append((*r, "done", ""))
-        except Exception as e:  # noqa: BLE001  the batch goes on, and the table says what failed
-            out.append((*r, "failed", str(e).splitlines()[0][:500] if str(e) else type(e).__name__))
-    schema = ", ".join(f"`{c}` string" for c in rows.columns) + ", status string, message string"
+            project = Project(spark, tables.config(r["config"], spark))
+            for at in workflow.select_steps(stage):
+                project.run([at])
+            return (*r, "done", "", None)
+        except Exception as e:  # noqa: BLE001  the batch goes on, and the table says what failed and where
+            return (*r, "failed", str(e) or type(e).__name__, at)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:  # Spark runs the jobs of several threads; each project's steps stay in order
+        out = list(pool.map(one, rows.collect()))  # a row per project
+    schema = ", ".join(f"`{c}` string" for c in rows.columns) + ", status string, message string, failed_step string"
     return spark.createDataFrame(out, schema)
 
 

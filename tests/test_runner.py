@@ -61,8 +61,8 @@ def test_project(spark, project):
 def test_batch_and_init(spark, project):
     (project / "bad.yaml").write_text("project: {target_id: B}\ninputs: {}\n")
     (project / "batch.csv").write_text(f"project,config,site\ngood,{project}/config.yaml,x\nbad,{project}/bad.yaml,y\n")
-    got = {r.project: (r.status, r.meta_site) for r in runner.batch(spark, f"{project}/batch.csv", "prepare").collect()}
-    assert got == {"good": ("done", "x"), "bad": ("failed", "y")}
+    got = {r.project: (r.status, r.meta_site, r.failed_step) for r in runner.batch(spark, f"{project}/batch.csv", "prepare").collect()}
+    assert got == {"good": ("done", "x", None), "bad": ("failed", "y", "01")}
     assert {r.message for r in runner.preflight(spark, f"{project}/bad.yaml").collect()} == {"missing models", "missing template", "missing conservation"}
     path = runner.init(spark, f"{project}/new.yaml", "N", str(project))
     assert runner.Project(spark, runner.tables.config(path, spark)).settings.min_global == 75
@@ -137,6 +137,40 @@ def test_units_by_default(spark, project):
     assert dict(runner.run(spark, config))["08"] == "done" and {r.merged_class for r in table("08", "classes").collect()} == {"class_1", "class_2"}
 
 
+def test_preparation_options(spark, project):
+    """Scores of full-length sources, residues that go, all on one reference, ligand atoms cut by rule, and the labels of an earlier run."""
+    (project / "sources").mkdir()
+    for k, b in ((1, 96.0), (2, 40.0), (4, 99.0)):
+        (project / "sources" / f"full_{k}.pdb").write_text("\n".join(model(0.0, b)) + "\n")
+    (project / "manifest.csv").write_text("output,source\n" + "".join(f"{project}/models/m_{k}.pdb,{project}/sources/full_{k}.pdb\n" for k in (1, 2, 4)))
+    (project / "old.csv").write_text("class,structure_id\nclass_7,m_1\n")
+    ligand = [line(9, "C1", "LIG", 9, (-47.0, 0.0, 3.0), "HETATM"), line(10, "C2", "LIG", 9, (-46.0, 0.0, 4.5), "HETATM")]
+    (project / "template.pdb").write_text("\n".join([*model(-50.0), *ligand]) + "\n")
+    text = (project / "config.yaml").read_text()
+    text = text.replace("inputs: {", f"inputs: {{manifest: {project}/manifest.csv, sources: {project}/sources, reference_classes: {project}/old.csv, ").replace(
+        "step02:", 'step01: {plddt_filter_scope: original, remove_residues: "4", alignment: {enabled: true, reference: first_passed, min_matched_atoms: 3}}\nligand_trimming: {rules: [{rule_id: core, match: {resname: LIG}, action: keep_only, names: [C1]}]}\nstep02:')
+    (project / "config.yaml").write_text(text)
+    config, out = f"{project}/config.yaml", f"{project}/out"
+    table = lambda step, name: spark.read.parquet(f"{out}/{runner.FOLDERS[step]}/{name}")
+    runner.run(spark, config, "all", last="07")
+    assert {r.structure_id: (r.passed, r.score_scope, r["mean"]) for r in table("01", "verdicts").collect()} == {"m_1": (True, "source", 96.0), "m_2": (False, "source", 40.0), "m_3": (True, "input", 97.0), "m_4": (True, "source", 99.0)}
+    assert {r.resseq for r in table("01", "atoms").collect()} == {1, 2, 3}
+    first = {(r.structure_id, r.resseq): (round(r.x, 3), round(r.y, 3), round(r.z, 3)) for r in table("01", "aligned").collect()}
+    assert {k: v for k, v in first.items()} == {(s, i + 1): p for s in ("m_1", "m_3", "m_4") for i, p in enumerate(PLACES[:3])}
+    assert {(r.atom_name, r.keep_atom, r.rule_id) for r in table("03", "decisions").collect()} == {("C1", True, "core"), ("C2", False, "core")}
+    assert {r.atom_name for r in table("03", "trimmed").where("record = 'HETATM'").collect()} == {"C1"}
+    assert {(r["class"], r.structure_id) for r in table("07", "stable_classes").collect()} >= {("class_7", "m_1")}
+    required = text.replace("plddt_filter_scope: original", "plddt_filter_scope: source_required")
+    (project / "config.yaml").write_text(required)
+    runner.run(spark, config, "all", last="01")
+    assert {r.structure_id: (r.passed, r.score_scope) for r in table("01", "verdicts").collect()}["m_3"] == (False, "source_unavailable")
+    (project / "config.yaml").write_text(text.replace("ligand_trimming: {", "ligand_trimming: {timing: before_docking, "))
+    runner.run(spark, config, "all", last="02")
+    assert {r.atom_name for r in table("02", "atoms").where("record = 'HETATM'").collect()} == {"C1"}
+    with pytest.raises(ValueError):
+        runner.score_scope("best")
+
+
 def contact(group, tag, resnr, restype, **leaves):
     inner = "".join(f"<{k}>{v}</{k}>" for k, v in {"resnr": resnr, "restype": restype, "reschain": "A", "restype_lig": "LIG", "resnr_lig": 9, "reschain_lig": "A", **leaves}.items())
     return f'<{group}><{tag} id="1">{inner}</{tag}></{group}>'
