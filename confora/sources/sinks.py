@@ -36,11 +36,6 @@ def report(df: DataFrame, path: str, name: str, flag: str = "passed", **settings
     return facts
 
 
-def structure_files(texts: DataFrame, path: str, per_partition: int = 500) -> None:
-    """(structure_id, text) as one folder of text files per structure, written by the executors."""
-    texts.select("structure_id", F.col("text").alias("value")).repartition("structure_id").write.mode("overwrite").partitionBy("structure_id").option("maxRecordsPerFile", per_partition).text(path)
-
-
 def packed_structures(texts: DataFrame, path: str, per_file: int = 5000) -> None:
     """(structure_id, text) packed into sorted files of up to ``per_file`` structures: their statistics are the index that a lookup by id prunes with."""
     texts.select("structure_id", "text").repartitionByRange("structure_id").sortWithinPartitions("structure_id").write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
