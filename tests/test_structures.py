@@ -146,7 +146,7 @@ def test_mapping_rejects_conflicts(spark):
 
 
 def test_reports(spark, tmp_path):
-    (tmp_path / "a.xml").write_text("<report><hydrogen_bond id='1'><resnr>10</resnr><restype>SER</restype><reschain>A</reschain><dist_h-a>2.1</dist_h-a></hydrogen_bond></report>")
+    (tmp_path / "a.xml").write_text("<report><bindingsite><interactions><hydrogen_bonds><hydrogen_bond id='1'><resnr>10</resnr><restype>SER</restype><reschain>A</reschain><dist_h-a>2.1</dist_h-a></hydrogen_bond></hydrogen_bonds><pi_stacks/></interactions></bindingsite></report>")
     (tmp_path / "b.txt").write_text("Type: hbond\tLigand: O1\tProtein: SER10A\tLigandNodeKey: LIG:A:501:O1\n")
     r = tables.plip_report(spark, f"file://{tmp_path}").first()
     assert (r.kind, r.resnr, r.restype, r.dist) == ("hydrogen_bonds", 10, "SER", 2.1)
