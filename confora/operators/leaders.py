@@ -32,9 +32,6 @@ TILE = 512
 #: Leaders of one round are broadcast when they were counted to be at most so many.
 BROADCAST_LEADERS = 10_000
 
-EDGES = "array<struct<u: string, v: string>>"
-
-
 def degrees_by_label(labels: dict, edges) -> dict:
     """Sorted degrees of the vertices of each label, without those of no edge."""
     degree: dict = defaultdict(int)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import chemistry, graphs, interactions, labels, placement, proximity, scores, screening
+from ..operators import chemistry, graphs, interactions, labels, placement, proximity, screening
 from ..operators.edit_distance import edit_distances
 from ..operators.leaders import leader_classes
 from ..operators.superpose import superpose

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..sources import tables
 
-FINDING = "severity string, project string, message string"
 INPUTS = ("models", "template", "ligands")
 
 

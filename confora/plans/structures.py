@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions import settings
-from ..operators import docking, interactions, matching, proximity, scores, screening, trimming
+from ..operators import docking, interactions, matching, scores, screening, trimming
 from ..sources import conservation, pdb, shared, sinks, tables
 from . import workflow
 from .catalog import query, r6, t
