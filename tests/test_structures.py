@@ -138,6 +138,30 @@ def test_grade_containers(spark, tmp_path):
     assert [r.residue_key for r in conservation.load(spark, f"file://{tmp_path}/g.gz").collect()] == ["CYS134A"]
 
 
+def test_archives_of_a_folder(spark, tmp_path):
+    """Many proteins at once, in archives of several kinds; each file decides for itself whether rows without a residue count; one without a table fails the read."""
+    import io
+    import tarfile
+    import zipfile
+
+    import pytest
+
+    note, plain = " 1 C CYS:1:A 0.5 9 b f 9/9 C\n 2 A - 0.5 8 b f 9/9 A\n", " 1 K 0.1 3 e f 1/2 K\n 2 A 0.1 4 e f 1/2 A\n"
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/consurf_grades.txt", note)
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("grades.txt")
+        info.size = len(plain)
+        t.addfile(info, io.BytesIO(plain.encode()))
+    (tmp_path / "c.grades").write_text(note)
+    got = {(r.file, r.residue_key, r.grade) for r in conservation.load_folder(spark, f"file://{tmp_path}").collect()}
+    assert got == {("a.zip", "CYS1A", 9), ("b.tar.gz", "LYS1A", 3), ("b.tar.gz", "ALA2A", 4), ("c.grades", "CYS1A", 9)}
+    with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
+        z.writestr("readme.txt", "x")
+    with pytest.raises(Exception, match="no grade table"):
+        conservation.load_folder(spark, f"file://{tmp_path}", "d.zip").count()
+
+
 def test_mapping_rejects_conflicts(spark):
     res = spark.createDataFrame([("CYS", "A", 1, "", "CYS1A")], "resname string, chain string, resseq int, icode string, residue_key string")
     rows = spark.createDataFrame([(1, "C", "CYS", "A", 11, "", 0.0, 9, "x"), (2, "C", "CYS", "A", 11, "", 0.0, 8, "x")], conservation.SCHEMA)
