@@ -9,15 +9,15 @@ content also starts anywhere else. Removal is judged on the input.
    Anchors are counted over the corpus, and only windows whose anchor occurs twice go on. This
    prunes suffixes that cannot share ``width`` symbols with any other; it loses none.
 3. Stretches of such windows with one anchor value are shipped, as text, to the shard of that value.
-   Equal stretches of one task are sent once. Anchor values that are too frequent for one shard are extended to the full depth:
-   their windows are stretches of their own, sent to the shard of the window's fingerprint, again once
-   per task, so that no shard gathers more rows than there are tasks and distinct contents.
+   Equal stretches of one task are sent once. Anchor values that are too frequent for a shard in
+   memory are extended to the full depth: single windows, by digests of their content, again sent once
+   per task, so that no key gathers more rows than there are tasks and distinct contents.
 4. Spark's disk-backed sort hands a shard its stretches anchor by anchor; those of as many anchors as fit are compared
    at a time by the operator's own method (``separate``), symbol by symbol, and repeated windows are reported.
 5. The reports meet their text again and the covered symbols are removed.
 
-Fingerprints place and prune. What is removed was compared symbol by symbol, but for two cases where cryptographic digests stand for the content: whole copies
-(120 bits of SHA-256 of the text) and equal stretches of one task (128 bits of BLAKE2b).
+Fingerprints place and prune. What is removed was compared symbol by symbol, but for three cases where cryptographic digests stand for the content: whole copies
+(120 bits of SHA-256 of the text), equal stretches of one task and windows of too frequent anchors (128 bits of BLAKE2b).
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from .hashing import P1, Fingerprints, mix
 #: A fixed 64-bit number for each byte, from the mixing rule.
 BYTE_CODE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * P1)
 LONGEST_RUN = 4096
-#: Occurrences of an anchor value from which its windows are dealt out by their whole content.
-HOT = 4000
+#: Occurrences of an anchor value from which its windows are spread by digests of their whole content.
+HOT = 20_000
 #: Windows that a shard compares at once, besides those of a single anchor value.
 AT_ONCE = 400_000
 REMEMBERED = 100_000
@@ -70,6 +70,11 @@ class Words:
         data, starts, ends = parts
         return data[starts[start] : ends[end - 1]]
 
+    @staticmethod
+    def content(data: bytes) -> bytes:
+        """The same for stretches of the same words, whatever stands between them."""
+        return b" ".join(data.split())
+
     @staticmethod
     def join(parts: tuple, keep: np.ndarray) -> bytes:
         words = parts[0].split()  # of bytes, this splits at the same six characters
@@ -85,6 +90,10 @@ class Bytes:
     def cut(parts: bytes, start: int, end: int) -> bytes:
         return parts[start:end]
 
+    @staticmethod
+    def content(data: bytes) -> bytes:
+        return data
+
     @staticmethod
     def join(parts: bytes, keep: np.ndarray) -> bytes:
         return np.frombuffer(parts, np.uint8)[keep].tobytes()
@@ -141,7 +150,7 @@ def repeated_windows(
     lists = anchors.select("anchor", "k1", "k2").join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "hot")).alias("anchors"))
 
     def ship(batches):
-        """Rows to shards (n_windows > 0), and reports of repeats within the task (n_windows < 0)."""
+        """Rows to shards (n_windows > 0: text, 0: digest), and reports of repeats within the task (n_windows < 0)."""
         seen: dict = {}
         for b in batches:
             out: list = []
@@ -153,25 +162,28 @@ def repeated_windows(
                 cuts = np.concatenate([[0], np.nonzero(np.diff(least))[0] + 1, [len(least)]])
                 value = least[cuts[:-1]]
                 is_hot = np.isin(value, frequent)
-                prints = None
                 for i in np.nonzero(np.isin(value, values))[0]:
-                    if is_hot[i]:
-                        prints = prints or Fingerprints(symbols)
-                        shards = prints.at(np.arange(cuts[i], cuts[i + 1]), width).view(np.int64).tolist()
-                    run, anchor = 1 if is_hot[i] else LONGEST_RUN, int(value[i].view(np.int64))
-                    for s in range(int(cuts[i]), int(cuts[i + 1]), run):
-                        m = min(run, int(cuts[i + 1]) - s)
+                    anchor, lo, hi = int(value[i].view(np.int64)), int(cuts[i]), int(cuts[i + 1])
+                    again = np.zeros(hi - lo, bool) if is_hot[i] else None
+                    run = 1 if is_hot[i] else LONGEST_RUN
+                    for s in range(lo, hi, run):
+                        m = min(run, hi - s)
                         data = alphabet.cut(parts, s, s + m + width - 1)
-                        key = hashlib.blake2b(data, digest_size=16).digest()
+                        key = hashlib.blake2b(alphabet.content(data) if is_hot[i] else data, digest_size=16).digest()
                         first = seen.get(key)
                         if first is None:
                             seen[key] = (k1, k2, s, m)
-                            out.append((shards[s - cuts[i]] if is_hot[i] else anchor, anchor, k1, k2, s, m, data))
+                            out.append((int.from_bytes(key[:8], "little", signed=True), 0, k1, k2, s, 0, key) if is_hot[i] else (anchor, anchor, k1, k2, s, m, data))
+                            continue
+                        if is_hot[i]:
+                            again[s - lo] = True  # told run by run
                         else:
                             out.append((hash((k1, k2, s)), 0, k1, k2, s, -m, b""))
-                            if first:
-                                out.append((hash(first[:3]), 0, first[0], first[1], first[2], -first[3], b""))
-                                seen[key] = ()
+                        if first:
+                            out.append((hash(first[:3]), 0, first[0], first[1], first[2], -first[3], b""))
+                            seen[key] = ()
+                    if is_hot[i]:
+                        out += [(hash((k1, k2, lo + s)), 0, k1, k2, lo + s, -m, b"") for s, m in spans(again)]
                 if len(out) > 2000:
                     yield rows(out)
                     out = []
@@ -203,6 +215,11 @@ def repeated_windows(
 
     def report(held):
         found = [(r[2], r[3], r[4], -r[5]) for r in held if r[5] < 0]
+        digests: dict = {}
+        for r in held:
+            if r[5] == 0:
+                digests.setdefault(r[6], []).append(r)
+        found += [(r[2], r[3], r[4], 1) for same in digests.values() if len(same) > 1 for r in same]
         runs = [r for r in held if r[5] > 0]
         if runs:
             flags = separate([r[6] for r in runs], [r[5] for r in runs], np.array([r[1] for r in runs], np.int64).view(np.uint64), width, k)

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from confora.llm import embedding_cells, minhash_join, stages, toxicity
-from confora.llm.hashing import PRIME, Fingerprints, mix
+from confora.llm.hashing import PRIME, Fingerprints, Identities, mix
 from confora.llm.personal_data import masked, personal_spans
 from confora.llm.suffix_array_dedup import remove_repeated_bytes
 from confora.llm.suffix_tree_dedup import remove_repeated_words
@@ -25,24 +25,26 @@ def test_fingerprints_of_self_similar_sequences():
     """Polynomials modulo a power of two give equal values for these from 1,024 symbols on."""
     code = mix(np.arange(2, dtype=np.uint64))
     for n in (1024, 2048, 4096, 16384):
-        one, other = (Fingerprints(code[np.array(thue_morse(n, *ab))]) for ab in ((0, 1), (1, 0)))
-        assert one.all(n) != other.all(n)
+        one, other = (Identities(code[np.array(thue_morse(n, *ab))]) for ab in ((0, 1), (1, 0)))
+        assert one.at(np.array([0]), n) != other.at(np.array([0]), n)
         assert minhash_join.hashes_of_words("".join(thue_morse(n, "a", "b"))) != minhash_join.hashes_of_words("".join(thue_morse(n, "b", "a")))
 
 
 def test_fingerprints_depend_on_content_alone():
     rng = np.random.default_rng(1)
     symbols = mix(rng.integers(0, 4, 3000).astype(np.uint64))
-    whole = Fingerprints(symbols)
-    for width in (1, 5, 64, 700):
-        all_of = whole.all(width)
-        for at in rng.integers(0, 3000 - width, 20):
-            part = Fingerprints(symbols[at : at + width]).all(width)[0]
-            assert part == all_of[at] == whole.at(np.array([at]), width)[0]
-        content = {symbols[i : i + width].tobytes() for i in range(len(all_of))}
-        assert len(set(all_of.tolist())) == len(content)
-    top = Fingerprints(np.full(70_000, PRIME, np.uint64))  # symbols that are 0 in one half
-    assert len(set(top.all(3).tolist())) == 1
+    for kind in (Fingerprints, Identities):
+        whole = kind(symbols)
+        for width in (1, 5, 64, 700):
+            starts = np.arange(3001 - width)
+            all_of = whole.at(starts, width)
+            for at in rng.integers(0, 3000 - width, 20):
+                assert kind(symbols[at : at + width]).at(np.array([0]), width)[0] == all_of[at]
+            content = {symbols[i : i + width].tobytes() for i in starts}
+            assert len(set(all_of.tolist())) == len(content)
+        assert kind is Identities or (whole.all(64) == whole.at(np.arange(2937), 64)).all()
+    top = Identities(np.full(70_000, PRIME, np.uint64))  # symbols that are 0 in one half
+    assert len(set(top.at(np.arange(69_998), 3).tolist())) == 1
 
 
 def test_near_duplicates_of_self_similar_words(spark):
