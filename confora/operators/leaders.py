@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import deleted, written
+from ..sources.shared import broadcast_if_few, deleted, written
 from .edit_distance import BUDGET, EXACT, OVER_BUDGET, degree_bound, searched
 
 #: Members of a bucket that meet in one task.
@@ -110,7 +110,7 @@ def equal_classes(distinct: DataFrame, labels: dict, budget: int) -> DataFrame:
     while True:
         lead = left.groupBy(*key).agg(F.min_by(F.struct(F.col("id").alias("first"), F.col("edges").alias("edges_b")), "ord").alias("lead")).select(*key, "lead.*")
         lead = written(lead, "leads")
-        pairs = left.join(F.broadcast(lead) if lead.count() <= BROADCAST_LEADERS else lead, key).withColumn("edges_a", F.col("edges"))
+        pairs = left.join(broadcast_if_few(lead, BROADCAST_LEADERS), key).withColumn("edges_a", F.col("edges"))
         told = written(compared(pairs.repartition("id"), labels, 1, budget), "equal")
         same = F.col("distance") == 0
         found = told.where(same).select("id", "first")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import one_letter
+from ..sources.shared import broadcast_if_few
 from .seqalign import SCORES, align
 
 
@@ -22,12 +23,12 @@ def residues(atoms: DataFrame) -> DataFrame:
 def by_order(template: DataFrame, target: DataFrame) -> DataFrame:
     """The n-th residue with the n-th; the longer list is cut off. Template and target coordinates as m* and f*."""
     m = template.select("ordinal", *[F.col(c).alias(f"m{c}") for c in "xyz"])
-    return target.join(F.broadcast(m), "ordinal").select("structure_id", "ordinal", "mx", "my", "mz", *[F.col(c).alias(f"f{c}") for c in "xyz"])  # a template is one protein
+    return target.join(broadcast_if_few(m), "ordinal").select("structure_id", "ordinal", "mx", "my", "mz", *[F.col(c).alias(f"f{c}") for c in "xyz"])  # a template is one protein
 
 
 def by_key(template: DataFrame, target: DataFrame, key: tuple[str, ...] = ("chain", "resseq", "icode")) -> DataFrame:
     m = template.select(*key, *[F.col(c).alias(f"m{c}") for c in "xyz"])
-    return target.join(F.broadcast(m), list(key)).select("structure_id", "ordinal", "mx", "my", "mz", *[F.col(c).alias(f"f{c}") for c in "xyz"])
+    return target.join(broadcast_if_few(m), list(key)).select("structure_id", "ordinal", "mx", "my", "mz", *[F.col(c).alias(f"f{c}") for c in "xyz"])
 
 
 def compatible(template: DataFrame, target: DataFrame) -> DataFrame:

@@ -16,17 +16,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import broadcast_if_few, written
 
 #: Values of a group that a buffer may hold.
 HOT = 1_000_000
 BINS = 1024
-#: Intervals are broadcast when they were counted to be at most so many.
-BROADCAST_INTERVALS = 100_000
-
-
-def spread(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.count() <= BROADCAST_INTERVALS else small
 
 
 def refined(values: DataFrame, groups: DataFrame, fractions: dict[str, float]) -> DataFrame:
@@ -43,7 +37,7 @@ def refined(values: DataFrame, groups: DataFrame, fractions: dict[str, float]) -
             break
         half = lambda a, b: F.col(a) / 2 - F.col(b) / 2  # noqa: E731  differences of large numbers stay finite
         bin_of = F.least(F.floor(half("v", "low") / half("high", "low") * BINS), F.lit(BINS - 1))
-        inside = values.join(spread(left), "key").where(F.col("v").between(F.col("low"), F.col("high")))
+        inside = values.join(broadcast_if_few(left), "key").where(F.col("v").between(F.col("low"), F.col("high")))
         counts = inside.groupBy("key", "rank", "below", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         before = F.col("below") + F.sum("n").over(Window.partitionBy("key", "rank").orderBy("bin")) - F.col("n")
         counts = counts.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
@@ -69,7 +63,7 @@ def quantiles(df: DataFrame, by: list, value: str, fractions: dict[str, float],
     if large.isEmpty():
         found = d.groupBy("key").agg(*plain)
     else:
-        few = spread(large.select("key"))
+        few = broadcast_if_few(large.select("key"))
         found = d.join(few, "key", "left_anti").groupBy("key").agg(*plain).unionByName(refined(d.join(few, "key", "left_semi"), large, fractions))
     names = [c if isinstance(c, str) else f"k{i}" for i, c in enumerate(by)]
     return found.select(*[F.col(f"key.k{i}").alias(c) for i, c in enumerate(names)], *fractions)

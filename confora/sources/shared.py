@@ -44,6 +44,15 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
+#: Rows that are broadcast at most.
+FEW = 100_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, to be broadcast only if it was counted to have at most ``most`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def deleted(df: DataFrame) -> None:
     """Removes the files of a table made by ``written`` that no later plan reads."""
     if path := getattr(df, "written_path", None):
