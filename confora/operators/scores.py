@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import quantiles, stepped_quantile
 
 
 def score_summary(df: DataFrame, by: list[str], value: str, preferred: Column | None = None, hot: int | None = None) -> DataFrame:
     """mean, median, p10, min, max and n_values of ``value``; of the preferred rows where a group has any, else of all.
 
-    One aggregation: the preferred rows' statistics and those of all rows share the shuffle. It keeps a group's distinct values in a buffer, which suits
+    One aggregation: the preferred rows' statistics and those of all rows share the shuffle. It keeps a group's values in a buffer, which suits
     groups that are structures. With ``hot``, groups of any size are right: preferred rows are chosen first, and the quantiles of groups with more values are refined.
     """
     v = F.col(value)
@@ -22,10 +22,10 @@ def score_summary(df: DataFrame, by: list[str], value: str, preferred: Column |
             has = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
             chosen = df.where(preferred).select(*by, value).unionByName(df.select(*by, value).join(some, has, "left_anti"))
         plain = chosen.groupBy(*by).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n_values"))
-        middle = quantiles(chosen, by, value, {"median": 0.5, "p10": 0.1}, hot).withColumnsRenamed({c: f"__{c}" for c in by})
+        middle = quantiles(chosen, by, value, {"median": 0.5, "p10": 0.1}, hot, steps=True).withColumnsRenamed({c: f"__{c}" for c in by})
         out = plain.join(middle, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left")
         return out.select(*by, "mean", "median", "p10", "min", "max", "n_values")
-    stats = {"mean": F.avg, "median": F.median, "p10": lambda c: F.percentile(c, F.lit(0.1)), "min": F.min, "max": F.max}
+    stats = {"mean": F.avg, "median": F.median, "p10": lambda c: stepped_quantile(c, 0.1), "min": F.min, "max": F.max}
     if preferred is None:
         return df.groupBy(*by).agg(*[f(v).alias(k) for k, f in stats.items()], F.count(v).alias("n_values"))
     own = F.when(preferred, v)

@@ -73,6 +73,20 @@ def test_region_thresholds_are_strict(spark):
     assert scores.region_summary(rows, ["s"], ["r"], "v", F.col("atom") == "CA", strict=False).where("s = 'a'").first().passed
 
 
+def test_region_p10_at_its_threshold(spark):
+    """A p10 of 52 is not above 52: the steps between two values are the ones of numpy's percentile, with groups in a buffer and refined."""
+    groups = {"a": [51.0, 56.0, 79.0], "b": [50.0, 70.0], "c": [51.0, 61.0], "d": [49.0, 59.0, 60.0, 80.0], "e": [52.0], "f": [51.0, 56.5, 79.0]}
+    rows = spark.createDataFrame([(s, i, "CA", v) for s, vs in groups.items() for i, v in enumerate(vs)], "s string, r int, atom string, v double")
+    out = {r.s: (r.p10, r.passed) for r in scores.region_summary(rows, ["s"], ["r"], "v", F.col("atom") == "CA", 50.0, 52.0).collect()}
+    assert out == {s: (float(np.percentile(v, 10)), s == "f") for s, v in groups.items()}
+    rng = np.random.default_rng(4)
+    groups = {i: [float(x) for x in (rng.integers(50, 99, n) if i % 2 else rng.normal(60, 9, n))] for i, n in enumerate(rng.integers(1, 40, 200))}
+    rows = spark.createDataFrame([(i, x) for i, v in groups.items() for x in v] + [(900, None)], "s int, v double")
+    for hot in (None, 10):
+        p10 = {r.s: r.p10 for r in scores.score_summary(rows, ["s"], "v", hot=hot).collect()}
+        assert p10 == {i: float(np.percentile(v, 10)) for i, v in groups.items()} | {900: None}
+
+
 def test_set_types_and_filters(spark):
     e = spark.createDataFrame([(1, "A"), (1, "B"), (1, "C"), (2, "A"), (2, "B"), (3, "B"), (3, "A"), (3, "A")], "s int, n string")
     sets = screening.node_sets(e, "s", "n")
